@@ -38,6 +38,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path(PACKING_TOKENIZER))
 
 
+def op3_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vectrine.llm import neardup
+
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), width=3, percent=85)
+
+
 def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vectrine.llm import media
 
@@ -87,7 +93,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_packing, op4_media, op5_topk, op6_pii, op7_bpe, op8_secrets, op9_language)}
+    return {f.__name__: f for f in (op1_quality, op2_packing, op3_neardup, op4_media, op5_topk, op6_pii, op7_bpe, op8_secrets, op9_language)}
 
 
 def oracle_sql() -> dict[str, str]:

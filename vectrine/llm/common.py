@@ -6,6 +6,7 @@ only the columns its docstring lists. Extra input columns are therefore ignored,
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -56,3 +57,9 @@ def held_out(doc_id: Column, folds: int = 5) -> Column:
 def partitions(spark: SparkSession) -> int:
     """The session's number of shuffle partitions."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps now: it does so once nothing refers to their plans."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

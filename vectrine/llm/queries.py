@@ -92,8 +92,15 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(docs, known).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vectrine.llm import suffixes
+
+    out = suffixes.strip_repeats(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_packing, op3_neardup, op4_media, op5_topk, op6_pii, op7_bpe, op8_secrets, op9_language)}
+    return {f.__name__: f for f in (op1_quality, op2_packing, op3_neardup, op4_media, op5_topk, op6_pii, op7_bpe, op8_secrets, op9_language, op10_suffixes)}
 
 
 def oracle_sql() -> dict[str, str]:

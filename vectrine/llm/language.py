@@ -97,3 +97,16 @@ def identify(df: DataFrame, dictionaries: dict[str, bytes], margin: float = MARG
     src = documents(df, id_col, text_col)
     return src.mapInArrow(run, f"doc_id {src.schema[0].dataType.simpleString()}, lang_pred string, score double, rejected boolean")
 
+
+
+def accepted(df: DataFrame, dictionaries: dict[str, bytes], margin: float = MARGIN, text_col: str = TEXT) -> DataFrame:
+    """The rows of df, all columns, whose text is not rejected; no join, so repeated rows and null ids are safe."""
+    at = df.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = CompressionClassifier(dictionaries, margin)
+        for batch in batches:
+            for part in slices(batch):
+                yield part.filter(pa.array([not own.predict(x or "")[2] for x in part.column(at).to_pylist()], pa.bool_()))
+
+    return df.mapInArrow(run, df.schema)

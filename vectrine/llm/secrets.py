@@ -90,13 +90,21 @@ def scan(df: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RUL
     texts are scanned once and every path gets the findings; repeated rows and null ids each keep their row. An
     empty table gives an empty table.
     """
-    spark = df.sparkSession
-    first = ledger is None
+    versions = documents(df, id_col, text_col).withColumn("blob", _blob(TEXT))
+    found = _findings(versions.select("blob", TEXT), ledger, rules)
+    return versions.select(ID, "blob").join(found, "blob", "left").select(ID, F.hex("blob").alias("blob"), F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
+
+
+def _blob(text: str) -> Column:
+    return F.unhex(F.sha2(F.col(text), 256))
+
+
+def _findings(blobs: DataFrame, ledger: str | None, rules: tuple[Rule, ...]) -> DataFrame:
+    """(blob, spans) of the blobs with findings, after the unseen pairs of (blob, text) were scanned and recorded."""
+    spark = blobs.sparkSession
     path = ledger or work_path(spark, "ledger")
-    versions = documents(df, id_col, text_col).withColumn("blob", F.unhex(F.sha2(F.col(TEXT), 256)))
     keys = [r.key for r in rules]
-    blobs = versions.select("blob", TEXT)
-    if first:
+    if ledger is None:
         unseen = blobs.dropDuplicates(["blob"]).withColumn("done", F.array().cast("array<string>"))
     else:
         done = read_ledger(spark, path).select("blob", F.explode("scanned").alias("key")).where(F.col("key").isin(keys)).groupBy("blob").agg(F.collect_set("key").alias("done"))
@@ -104,8 +112,16 @@ def scan(df: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RUL
     scan_blobs(unseen, rules).write.mode("append").parquet(path)
     wanted = F.filter("spans", lambda s: s["rule"].isin(keys))
     found = spark.read.schema(LEDGER).parquet(path).select("blob", wanted.alias("spans")).where(F.size("spans") > 0)
-    found = found.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
-    return versions.select(ID, "blob").join(found, "blob", "left").select(ID, F.hex("blob").alias("blob"), F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
+    return found.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+
+
+def mask_documents(df: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES, text_col: str = TEXT) -> DataFrame:
+    """df with every finding of its texts masked; all rows and columns stay, null texts stay null."""
+    whole = df.withColumn("_blob", F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)))
+    found = _findings(whole.select(F.col("_blob").alias("blob"), F.coalesce(F.col(text_col), F.lit("")).alias(TEXT)), ledger, rules)
+    joined = whole.join(found.select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")), "_blob", "left")
+    clean = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(masked(F.col(text_col), F.col("_spans")))
+    return joined.select(*[clean.alias(c) if c == text_col else F.col(c) for c in df.columns])
 
 
 def masked(text: Column, spans: Column, mask: str = "[secret]") -> Column:

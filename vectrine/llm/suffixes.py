@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectrine.llm.common import ID, TEXT, documents, partitions, release, written
+from vectrine.llm.common import ID, TEXT, partitions, release, written
 from vectrine.llm.graph import by_group
 from vectrine.llm.shingles import mix
 
@@ -338,7 +338,10 @@ def _ranges(found: list[tuple[int, int, int]]) -> bytes:
 
 def _with_documents(docs: DataFrame, blobs: DataFrame, n_tasks: int, fn, schema: str) -> DataFrame:
     """Calls fn for each chunk with its blobs first, then its documents by id and text, so that rows have numbers."""
-    rows = docs.select("chunk", F.lit(1).alias("kind"), F.col(ID).alias("id"), TEXT, F.lit(None).cast("binary").alias("blob"))
+    extra = [c for c in docs.columns if c == "carried"]
+    rows = docs.select("chunk", F.lit(1).alias("kind"), F.col(ID).alias("id"), TEXT, F.lit(None).cast("binary").alias("blob"), *extra)
+    if extra:
+        blobs = blobs.withColumn("carried", F.lit(None).cast(docs.schema["carried"].dataType))
     return by_group(blobs.union(rows), ["chunk"], ["kind", "id", "text"], n_tasks, fn, schema)
 
 
@@ -403,8 +406,8 @@ def _windows(group: list[tuple[bytes, list[tuple[int, int, int, int]]]], found:
 # --- step 4: documents without what repeats
 
 
-def strip_repeats(df: DataFrame, id_col: str = ID, text_col: str = TEXT) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept binary): each row's bytes without those covered by a SPAN-byte
+def strip_repeats(df: DataFrame, id_col: str = ID, text_col: str = TEXT, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_bytes, n_removed, n_spans, kept binary, and the columns named in carry): each row's bytes without those covered by a SPAN-byte
     string that also starts in a row of smaller id.
 
     Strings are judged on the input; overlaps count; matches never cross rows. Ids must be integers. Rows of one id
@@ -413,14 +416,14 @@ def strip_repeats(df: DataFrame, id_col: str = ID, text_col: str = TEXT) -> Data
     """
     spark = df.sparkSession
     n = partitions(spark)
-    docs = documents(df, id_col, text_col)
-    docs = docs.withColumn(ID, F.col(ID).cast("long"))
+    docs = df.select(df[id_col].cast("long").alias(ID), F.coalesce(df[text_col].cast("string"), F.lit("")).alias(TEXT), *([F.struct(*[df[c] for c in carry]).alias("carried")] if carry else []))
     total = docs.agg(F.sum(F.octet_length(TEXT))).first()[0] or 0
     chunks = max(n, -(-int(total) // CHUNK_BYTES))
-    docs = docs.select(F.pmod(F.xxhash64(F.coalesce(ID, F.xxhash64(TEXT))), F.lit(chunks)).cast("int").alias("chunk"), ID, TEXT)
-    shared = written(_shared(_anchors(docs.where(f"{ID} is not null"), chunks), n), "anchors")
+    docs = docs.select(F.pmod(F.xxhash64(F.coalesce(ID, F.xxhash64(TEXT))), F.lit(chunks)).cast("int").alias("chunk"), ID, TEXT, *docs.columns[2:])
+    bare = docs.select("chunk", ID, TEXT)
+    shared = written(_shared(_anchors(bare.where(f"{ID} is not null"), chunks), n), "anchors")
     release(spark)
-    runs = written(_runs(docs, shared, chunks, n), "runs")
+    runs = written(_runs(bare, shared, chunks, n), "runs")
     release(spark)
     known = written(_resolve(runs.where("kind = 0"), n).union(runs.where("kind = 1").select(F.col("target").alias("chunk"), "blob")), "ranges")
     release(spark)
@@ -446,10 +449,12 @@ def strip_repeats(df: DataFrame, id_col: str = ID, text_col: str = TEXT) -> Data
                     row += 1
                 size, removed, spans, kept = zip(*out, strict=True)
                 long = lambda x: pa.array(x, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(2), long(size), long(removed), long(spans), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+                yield pa.RecordBatch.from_arrays([part.column(2), long(size), long(removed), long(spans), pa.array(kept, pa.binary()), *part.columns[5:]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "carried"][: 5 + bool(carry)])
 
     blobs = known.select("chunk", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("text"), "blob")
-    return _with_documents(docs, blobs, n, fn, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    kind = f", carried {docs.schema['carried'].dataType.simpleString()}" if carry else ""
+    out = _with_documents(docs, blobs, n, fn, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary" + kind)
+    return out.select(*out.columns[:5], *[F.col("carried")[c].alias(c) for c in carry])
 
 
 def _cut(raw: bytes, ranges: list[list[int]]) -> tuple[int, int, bytes]:

@@ -28,8 +28,12 @@ from vectrine.llm.common import ID, TEXT, documents, written
 CAPACITY = 2048
 assert sys.byteorder == "little" and array("I").itemsize == 4, "ids are written as little-endian 32-bit"
 #: Bound of a worker's memo of encoded words; a full one is emptied.
-MAX_WORDS, MAX_CACHED_CHARS = 600_000, 40
+MAX_WORDS, MAX_CACHED_CHARS = 1_800_000, 40
 _BLANKS = re.compile(r"[ \t\n]+")
+_WORD_END = "</w>"
+#: Characters before this one have the lower-case forms that the tokenizer gives them.
+_SIMPLE = "\u0130"
+_WIDE = re.compile("[\u0130-\U0010ffff]").search
 
 
 class WordEncoder:
@@ -44,52 +48,78 @@ class WordEncoder:
         self.words: dict[str, bytes] = {}
         probe = ["it's a test, 12 (éß) don't!", "a b", " a  b\n\tc "]
         self.by_word = all(self._whole(x) == b"".join(self._whole(w) for w in _BLANKS.split(x) if w) for x in probe)
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for x, i in vocabulary.items() if x.endswith(_WORD_END)]] = True
 
     def _whole(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text."""
         if not self.by_word:
-            return self._whole(text)
-        found = [x for x in text.replace("\n", " ").replace("\t", " ").split(" ") if x]
+            return [self._whole(x) for x in texts]
+        split = [(x.lower() if x.isascii() or not _WIDE(x) else x).replace("\n", " ").split(" ") for x in texts]
+        if len(self.words) > MAX_WORDS:
+            self.words = {}
+        words = self.words
+        words[""] = b""
+        out = [list(map(words.get, found)) for found in split]
+        holes = [[i for i, x in enumerate(ids) if x is None] if None in ids else [] for ids in out]
+        missing = {found[i] for found, at in zip(split, holes, strict=True) for i in at}
+        if missing:
+            self._learn(missing)
+            for found, at, ids in zip(split, holes, out, strict=True):
+                for i in at:
+                    ids[i] = words[found[i]]
+            for x in missing:
+                if len(x) > MAX_CACHED_CHARS:
+                    del words[x]
+        return [b"".join(ids) for ids in out]
+
+    def _learn(self, missing: set[str]) -> None:
+        """Adds words. One of letters with closing marks is cut before the marks, where the tokenizer cuts it too, and
+        its letters are lower-cased as the tokenizer does; words of letters alone are then encoded joined by blanks
+        and told apart by their word ends, others one by one."""
         words = self.words
-        missing = {x for x in found if x not in words}
-        if not missing:
-            return b"".join(map(words.__getitem__, found))
-        if len(words) + 2 * len(missing) > MAX_WORDS:
-            words.clear()
-            missing = set(found)
-        split: dict[str, tuple[str, str]] = {}
-        order: list[str] = []
+        cut: list[tuple[str, str, str]] = []
+        plain: set[str] = set()
+        other: set[str] = set()
         for x in missing:
-            core, marks = self._parts(x)
-            if core not in words:
-                order.append(core)
-            if marks and marks not in words:
-                order.append(marks)
-            split[x] = core, marks
-        order = list(dict.fromkeys(order))
-        got: dict[str, bytes] = {}
-        for at in range(0, len(order), 4096):
-            some = order[at : at + 4096]
-            got.update(zip(some, [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)], strict=True))
-        for x, (core, marks) in split.items():
-            ids = got[core] if core in got else words[core]
-            if marks:
-                ids += got[marks] if marks in got else words[marks]
-            if x not in got:
-                got[x] = ids
-        out = b"".join([words[x] if x in words else got[x] for x in found])
-        words.update(got if len(max(got, key=len)) <= MAX_CACHED_CHARS else {x: y for x, y in got.items() if len(x) <= MAX_CACHED_CHARS})
-        return out
-
-    @staticmethod
-    def _parts(word: str) -> tuple[str, str]:
-        """A word of letters with closing marks is split before the marks, where the tokenizer splits it too, and the
-        letters are lower-cased as it does; any other word stays whole."""
-        core = word.rstrip(".,;:!?*#$%&")
-        return (core.lower(), word[len(core) :]) if core.isalpha() and max(core) < "\u0130" else (word, "")
+            core = x.rstrip(".,;:!?*#$%&")
+            if core.isalpha() and (core.isascii() or max(core) < _SIMPLE):
+                if len(core) < len(x) or not core.islower():
+                    marks, core = x[len(core) :], core.lower()
+                    if marks and marks not in words:
+                        other.add(marks)
+                    cut.append((x, core, marks))
+                    if core in words:
+                        continue
+                plain.add(core)
+            else:
+                other.add(x)
+        order = list(plain)
+        lines = [order[at : at + 512] for at in range(0, len(order), 512)]
+        for line, got in zip(lines, self.tokenizer.encode_batch_fast([" ".join(x) for x in lines], add_special_tokens=False), strict=True):
+            ids = array("I", got.ids)
+            stops = (np.flatnonzero(self.ends[np.frombuffer(ids, np.uint32)]) + 1) * 4
+            if len(stops) == len(line):
+                data, at = ids.tobytes(), 0
+                for word, stop in zip(line, stops.tolist(), strict=True):
+                    words[word] = data[at:stop]
+                    at = stop
+            else:
+                other.update(line)
+        rest = list(other)
+        for at in range(0, len(rest), 4096):
+            some = rest[at : at + 4096]
+            for word, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
+                words[word] = array("I", got.ids).tobytes()
+        for x, core, marks in cut:
+            words[x] = words[core] + words[marks] if marks else words[core]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
@@ -114,8 +144,8 @@ def cut(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = I
         for batch in batches:
             for part in slices(batch):
                 take, piece, start, length, crc, nth = [], [], [], [], [], []
-                for row, text in enumerate(part.column(1).to_pylist()):
-                    ids = own.encode(text) + b"\0\0\0\0"
+                for row, ids in enumerate(own.encode_all(part.column(1).to_pylist())):
+                    ids += b"\0\0\0\0"
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         one = ids[at : at + 4 * capacity]
                         n = len(one) // 4

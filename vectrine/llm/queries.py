@@ -104,7 +104,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_topk": OP5_SQL}
+    return {"op3_neardup": OP3_SQL, "op5_topk": OP5_SQL, "op8_secrets": op8_sql(), "op10_suffixes": OP10_SQL}
 
 
 OP5_SQL = """
@@ -119,3 +119,58 @@ s AS (
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5
 """
+
+OP3_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, chr(31))]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || chr(31) || w[i + 1] || chr(31) || w[i + 2]) END) AS s FROM w),
+u AS (SELECT doc_id, unnest(s) AS g FROM s),
+n AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * i >= 85 * (x.n + y.n - i)),
+l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id AS v, doc_id AS c FROM documents UNION SELECT l.b, r.c FROM r JOIN l ON l.a = r.v),
+c AS (SELECT v AS doc_id, min(c) AS component_id FROM r GROUP BY v)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN c USING (doc_id)
+"""
+
+OP10_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 49)) AS i FROM d)),
+m AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s),
+x AS (SELECT doc_id, i FROM w JOIN m USING (s) WHERE least < doc_id),
+k AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM x),
+g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS g FROM k),
+sp AS (SELECT doc_id, g, min(i) AS a, max(i) + 50 AS b FROM g GROUP BY doc_id, g),
+q AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM sp),
+t AS (
+  SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept
+  FROM q JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(coalesce(kept || substr(h, 2 * last + 1), h))) AS kept_sha256
+FROM d LEFT JOIN t USING (doc_id)
+"""
+
+
+def op8_sql() -> str:
+    """Places come from the text between matches and the matches, as in the operator's own expression."""
+    from vectrine.llm import secrets
+
+    lists = []
+    for k, r in enumerate(secrets.RULES):
+        p = r.pattern.replace("'", "''")
+        lengths = lambda x: f"coalesce(list_sum(list_transform({x}, lambda y: length(y))), 0)"
+        start = f"CAST({lengths('b' + str(k) + '[1:i]')} + {lengths('m' + str(k) + '[1:i - 1]')} AS BIGINT)"
+        span = f"list_transform(list_filter(range(1, len(m{k}) + 1), lambda i: length(v{k}[i]) >= {r.least}), lambda i: {{'s': {start}, 'k': {k}, 'e': {start} + length(m{k}[i])}})"
+        lists.append((f"regexp_extract_all(t, '{p}') AS m{k}, regexp_extract_all(t, '{p}', {r.group}) AS v{k}, string_split_regex(t, '{p}') AS b{k}", span))
+    names = "[" + ", ".join(f"'{r.kind}'" for r in secrets.RULES) + "]"
+    joined = lambda x: f"array_to_string(list_transform({x}, lambda x: {names}[x.k + 1] || ':' || x.s || ':' || x.e), ',')"
+    n = lambda k, r: f"CAST(len(list_filter(a, lambda x: x.k = {k})) AS BIGINT) AS n_{r.kind}"
+    base = len(secrets.BASE_RULES)
+    return f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), m AS (SELECT doc_id, {", ".join(x for x, _ in lists)} FROM t),
+s AS (SELECT doc_id, list_sort(flatten([{", ".join(x for _, x in lists)}])) AS a FROM m)
+SELECT doc_id, {", ".join(n(k, r) for k, r in enumerate(secrets.BASE_RULES))}, sha256({joined(f"list_filter(a, lambda x: x.k < {base})")}) AS base_sha256, {joined("a")} AS spans FROM s
+"""

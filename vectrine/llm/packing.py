@@ -28,7 +28,7 @@ from vectrine.llm.common import ID, TEXT, documents, written
 CAPACITY = 2048
 assert sys.byteorder == "little" and array("I").itemsize == 4, "ids are written as little-endian 32-bit"
 #: Bound of a worker's memo of encoded words; a full one is emptied.
-MAX_WORDS, MAX_CACHED_CHARS = 1_800_000, 40
+MAX_WORDS, MAX_CACHED_CHARS = 900_000, 40
 _BLANKS = re.compile(r"[ \t\n]+")
 _WORD_END = "</w>"
 #: Characters before this one have the lower-case forms that the tokenizer gives them.

@@ -8,7 +8,7 @@ import xxhash
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 _S30, _S27, _S31, _S32 = (np.uint64(x) for x in (30, 27, 31, 32))
 #: Bound of a worker's memo of word hashes; a full one is emptied.
-MAX_WORDS = 500_000
+MAX_WORDS = 250_000
 _WORDS: dict[bytes, int] = {}
 _EMPTY = np.iinfo(np.uint64).max
 

@@ -31,8 +31,7 @@ def hashed_embedding(text: Column, dimensions: int) -> Column:
     """Sum of signed token buckets, normalised; a text without tokens gives zeros. One fold over the tokens."""
     zero = F.array_repeat(F.lit(0.0), dimensions)
     step = F.transform(T.word_tokens(text), lambda t: F.struct(token_bucket(t, dimensions).alias("b"), token_sign(t).alias("s")))
-    by_bucket = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.aggregate(F.filter(step, lambda x: x["b"] == i), F.lit(0.0), lambda a, x: a + x["s"]))
-    return V.normalize(F.coalesce(by_bucket, zero))
+    return V.normalize(F.aggregate(step, zero, lambda acc, t: F.transform(acc, lambda x, j: F.when(j == t["b"], x + t["s"]).otherwise(x))))
 
 
 def embed_table(df: DataFrame, id_col: str, text_col: str, dimensions: int) -> DataFrame:

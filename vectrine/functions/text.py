@@ -150,7 +150,8 @@ def summarize(text: Column, max_length: int = 200, most: int = 3) -> Column:
 def phrases(text: Column, width: int = 3) -> Column:
     """All runs of `width` words between white space, joined by blanks."""
     words = F.filter(F.split(text, r"\s+"), lambda w: F.length(w) > 0)
-    return F.when(F.size(words) >= width, F.transform(F.sequence(F.lit(1), F.size(words) - width + 1), lambda i: F.array_join(F.slice(words, i, width), " "))).otherwise(F.array().cast("array<string>"))
+    shifted = [F.slice(words, k + 1, F.greatest(F.size(words) - (width - 1), F.lit(0))).alias(f"w{k}") for k in range(width)]
+    return F.transform(F.arrays_zip(*shifted), lambda z: F.concat_ws(" ", *[z[f"w{k}"] for k in range(width)]))
 
 
 def content_key(*parts: Column) -> Column:

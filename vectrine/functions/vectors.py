@@ -6,7 +6,7 @@ have one length; a null vector gives null.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,9 +35,16 @@ def subtract(a: Column, b: Column) -> Column:
     return F.zip_with(doubles(a), doubles(b), lambda x, y: x - y)
 
 
+def _with_each(a: Column, value: Column, of: Callable[[Column, Column], Column]) -> Column:
+    """of(component, value) for each component. A lambda's body is evaluated anew for every element, so the value is
+    repeated into an array, which evaluates it once."""
+    return F.zip_with(doubles(a), F.array_repeat(value, F.size(a)), of)
+
+
 def scale(a: Column, by: Column | float) -> Column:
-    by = by if isinstance(by, Column) else F.lit(float(by))
-    return F.transform(doubles(a), lambda x: x * by)
+    if isinstance(by, Column):
+        return _with_each(a, by, lambda x, y: x * y)
+    return F.transform(doubles(a), lambda x: x * F.lit(float(by)))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -51,7 +58,7 @@ def norm(a: Column) -> Column:
 def normalize(a: Column) -> Column:
     """Unit length; a zero vector stays as it is."""
     n = norm(a)
-    return F.when(n == 0, doubles(a)).otherwise(F.transform(doubles(a), lambda x: x / n))
+    return F.when(n == 0, doubles(a)).otherwise(_with_each(a, n, lambda x, y: F.try_divide(x, y)))
 
 
 def total(a: Column) -> Column:
@@ -123,7 +130,7 @@ def mean(a: Column) -> Column:
 
 def std_population(a: Column) -> Column:
     m = mean(a)
-    return F.sqrt(F.try_divide(_fold(F.transform(doubles(a), lambda x: (x - m) * (x - m))), F.size(a).cast("double")))
+    return F.sqrt(F.try_divide(_fold(_with_each(a, m, lambda x, y: (x - y) * (x - y))), F.size(a).cast("double")))
 
 
 def float32_bytes(a: Column) -> Column:

@@ -162,7 +162,7 @@ def chunk_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- sparse and hybrid search for every benchmark item
 
 _TOK = "regexp_extract_all(lower(text), '[a-z0-9_]+')"
-_BM25 = f"""t AS (SELECT doc_id, len({_TOK}) AS dl, unnest({_TOK}) AS term FROM documents), l AS (SELECT doc_id, len({_TOK}) AS dl FROM documents),
+_BM25 = f"""dw AS MATERIALIZED (SELECT doc_id, {_TOK} AS w FROM documents), t AS (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM dw), l AS (SELECT doc_id, len(w) AS dl FROM dw),
 tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM t GROUP BY doc_id, dl, term), df AS (SELECT term, count(*) AS df FROM tf GROUP BY term), c AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM l),
 qt AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest({_TOK}) AS term FROM benchmark) GROUP BY query_id, term),
 b AS (SELECT query_id, doc_id, sum(times * ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS s FROM qt JOIN tf USING (term) JOIN df USING (term), c GROUP BY query_id, doc_id),

@@ -37,11 +37,20 @@ def user_vectors(behaviours: DataFrame, items: DataFrame, n: int = 20) -> DataFr
 def content_based(users: DataFrame, items: DataFrame, seen: DataFrame, limit: int = 5) -> DataFrame:
     """(user_id, item_id, score, rank): the items most like the user's vector among those not in seen.
 
-    The block-wise search fetches limit more than each user has seen, so what the anti-join takes away is covered.
+    The block-wise search fetches limit more than a user has seen, so what the anti-join takes away is covered. Users
+    are searched in classes of how much they have seen, each sixteen times the one before, so a few that have seen
+    very much do not make everyone's lists long.
     """
     touched = seen.select("user_id", "item_id").distinct()
-    most = touched.groupBy("user_id").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
-    near = search.knn(users.select(F.col("user_id").alias("vec_id"), "embedding"), items.select(F.col("item_id").alias("vec_id"), "embedding"), limit + most, exclude_self=False)
+    counts = touched.groupBy("user_id").agg(F.count("*").alias("n"))
+    most = counts.agg(F.max("n")).first()[0] or 0
+    asked = users.join(counts, "user_id", "left").fillna(0, ["n"])
+    candidates = items.select(F.col("item_id").alias("vec_id"), "embedding")
+    near, low, high = None, -1, 64
+    while low < most or near is None:
+        part = asked.where((F.col("n") > low) & (F.col("n") <= high)).select(F.col("user_id").alias("vec_id"), "embedding")
+        found = search.knn(part, candidates, limit + min(high, most), exclude_self=False)
+        near, low, high = found if near is None else near.unionByName(found), high, high * 16
     left = near.select(F.col("query_id").alias("user_id"), F.col("vec_id").alias("item_id"), "score").join(touched, ["user_id", "item_id"], "left_anti")
     return _ranked(left, limit)
 

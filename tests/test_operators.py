@@ -16,7 +16,7 @@ from vectrine.functions import vectors as V
 from vectrine.operators import analytics, chunking, evaluation, learn, recommend, rerank, search, sparse, store, temporal
 from vectrine.plans import rag
 from vectrine.session import EngineConfig
-from vectrine.sources import files
+from vectrine.sources import files, samples
 from vectrine.streaming import recommender
 
 
@@ -348,6 +348,20 @@ def test_files(spark, tmp_path):
     assert got["b.md"] == "中文" and got["c.docx"] == "Hi\n" and "skip.bin" not in got
 
 
+def test_samples(spark):
+    docs, queries, qrels = samples.evaluation(spark)
+    assert (docs.count(), queries.count(), qrels.count()) == (10, 4, 7)
+    assert samples.documents(spark, 99).count() == 10 and samples.documents(spark, 99, "storage").count() == 2
+    assert samples.benchmark_sets(spark, 6, 2).where("relevant").count() == 6
+    scores = sparse.ranked(sparse.bm25(sparse.build_index(docs), queries), 5)
+    assert evaluation.per_query(scores, qrels, queries).agg(F.avg("hit_5")).first()[0] == 1.0
+
+
+def test_few_results_are_noise(spark):
+    df = spark.createDataFrame([(1, "a", [1.0])], "doc_id long, text string, embedding array<double>")
+    assert learn.cluster_results(df).first()["cluster"] == -1
+
+
 def test_config(tmp_path):
     (tmp_path / "c.json").write_text('{"top_k": 9, "other": 1}')
     assert EngineConfig.from_json(str(tmp_path / "c.json")).top_k == 9

@@ -324,3 +324,13 @@ def trajectory(df: DataFrame, group_col: str, time_col: str, value: Column) -> D
     w = Window.partitionBy(group_col).orderBy(time_col)
     out = df.withColumn("value", value).withColumn("place", F.row_number().over(w))
     return out.withColumn("step", F.col("value") - F.lag("value").over(w))
+
+
+def cluster_results(results: DataFrame, n_clusters: int = 3, text_col: str = "text", id_col: str = "doc_id", vector_col: str = "embedding") -> DataFrame:
+    """(id, cluster, topic) of a search's results; fewer results than clusters are all noise (-1, no topic)."""
+    from vectrine.operators import analytics
+
+    if results.limit(n_clusters).count() < n_clusters:
+        return results.select(id_col, F.lit(-1).alias("cluster"), F.lit("").alias("topic"))
+    grouped, _, _ = kmeans(results, n_clusters, vector_col=vector_col)
+    return grouped.join(analytics.topics(grouped, "cluster", text_col), "cluster").select(id_col, "cluster", "topic")

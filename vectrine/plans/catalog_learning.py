@@ -92,6 +92,20 @@ def cluster_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learn.cluster_summary(out, id_col="vec_id")
 
 
+@query()
+def cluster_best_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(k, inertia, silhouette, best) for two to five clusters."""
+    best, seen = learn.best_k(vectors(spark, sf_dir), 5, n_init=1)
+    return spark.createDataFrame([(k, a, b, k == best) for k, (a, b) in seen.items()], "k int, inertia double, silhouette double, best boolean")
+
+
+@query()
+def cluster_ward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ward's agglomeration of the label means, which are few whatever the number of vectors."""
+    means = search.mean_vectors(vectors(spark, sf_dir), "label").select(F.col("label").cast("long").alias("vec_id"), F.col("centroid").alias("embedding"))
+    return learn.ward(means, 3)
+
+
 @query()
 def cluster_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vectrine.plans.catalog_logs import checkpointed

@@ -284,3 +284,26 @@ def engine_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = list(embed.embed_table(one, "qid", "text", DIMENSIONS).first()["embedding"])
     out = rag.engine_search(index, PHRASE, q)
     return out.select(F.col("id").alias("doc_id"), "title", r6("score"))
+
+
+@query()
+def engine_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fifty best results of a search in three clusters with topics."""
+    from vectrine.operators import learn
+
+    d = docs(spark, sf_dir)
+    index = embed.embed_table(d, "doc_id", "text", DIMENSIONS).join(d.select(F.col("doc_id").alias("id"), "text"), "id")
+    q = list(index.orderBy("id").first()["embedding"])
+    found = search.topk(index, q, 50, id_col="id").withColumnRenamed("id", "doc_id").persist()
+    return learn.cluster_results(found)
+
+
+@query()
+def report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON report of each document: its profile, keywords and the three most similar documents."""
+    d = docs(spark, sf_dir)
+    index = embed.embed_table(d, "doc_id", "text", DIMENSIONS)
+    near = search.knn(index, index, 3, id_col="id").groupBy(F.col("query_id").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))).alias("similar"))
+    words = analytics.keywords(d, 5).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "word"))).alias("keywords"))
+    rows = analytics.text_profile(d).join(words, "doc_id", "left").join(near, "doc_id", "left")
+    return rows.select("doc_id", F.to_json(F.struct("chars", "words", "tokens", "category", "language", "summary", F.col("keywords.word").alias("keywords"), F.col("similar.vec_id").alias("similar"))).alias("report"))

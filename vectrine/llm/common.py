@@ -34,13 +34,14 @@ def work_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/vectrine/{tag}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+def written(df: DataFrame, tag: str, files: int | None = None) -> DataFrame:
     """Cuts lineage: writes df as Parquet in the shared folder and reads it back with its own schema.
 
-    Unlike a cache or a local checkpoint, the rows outlive every executor.
+    Unlike a cache or a local checkpoint, the rows outlive every executor. files bounds the number of files, and of
+    tasks that make them, where the caller knows how many rows to expect; small tables then are few files.
     """
     path = work_path(df.sparkSession, tag)
-    df.write.parquet(path)
+    (df.coalesce(max(1, files)) if files is not None else df).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -11,23 +11,29 @@ from pyspark.sql import functions as F
 from vectrine.llm.common import written
 
 
-def components(edges: DataFrame) -> DataFrame:
+#: Edges or labels of one file.
+FILE_ROWS = 500_000
+
+
+def components(edges: DataFrame, about: int | None = None) -> DataFrame:
     """(v, label) for every vertex of edges (a, b): label is the smallest vertex that v is connected with.
 
     Smallest labels flow along edges, then every label is replaced by its own label, until nothing changes; the jump
     makes long chains short. All steps are joins and partial aggregations, so a vertex with very many edges is no
-    single task's group. Each round is written, which cuts its lineage.
+    single task's group. Each round is written, which cuts its lineage; `about` is the number of rows to expect.
     """
-    both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = written(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("a"), F.min("b")).alias("label")), "labels")
+    files = None if about is None else -(-about // FILE_ROWS)
+    ends = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = written(edges.select(F.inline(ends)).distinct(), "edges", files)
+    state = written(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("a"), F.min("b")).alias("label")), "labels", files)
     while True:
+        labels = state.select("v", "label")
         near = both.join(labels.select(F.col("v").alias("b"), "label"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("near"))
         moved = labels.join(near, "v", "left").select("v", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         jump = moved.select(F.col("v").alias("label"), F.col("label").alias("to"))
-        now = written(moved.join(jump, "label").select("v", "was", F.least("label", "to").alias("label")), "labels")
-        if now.where(F.col("label") != F.col("was")).isEmpty():
-            return now.select("v", "label")
-        labels = now.select("v", "label")
+        state = written(moved.join(jump, "label").select("v", "was", F.least("label", "to").alias("label")), "labels", files)
+        if state.where(F.col("label") != F.col("was")).isEmpty():
+            return state.select("v", "label")
 
 
 def by_group(df: DataFrame, keys: list[str], order: list[str], n: int, fn: Callable[[tuple, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

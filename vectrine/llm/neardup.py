@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectrine.llm import shingles
@@ -23,8 +23,10 @@ from vectrine.llm.bpe import slices
 from vectrine.llm.common import ID, TEXT, documents, partitions, written
 from vectrine.llm.graph import by_group, components
 
-#: Classes of a block; columns of a piece of the incidence matrix; bins of a sketch at most.
+#: Classes of a block, columns of a piece of the incidence matrix, bins of a sketch at most.
 BLOCK, COLUMNS, MAX_BINS = 128, 8192, 128
+#: Classes of one file.
+CLASS_ROWS = 50_000
 
 
 def banding(percent: int, miss: float = 1e-6, most: int = MAX_BINS) -> tuple[int, int]:
@@ -122,10 +124,11 @@ def _confirmed(sets: DataFrame, percent: int, n_tasks: int) -> DataFrame:
     placed = sets.withColumn("nb", blocks.cast("int")).withColumn("b", F.pmod(F.xxhash64("v"), F.col("nb")).cast("int"))
     other = placed.withColumn("x", F.explode(F.when(F.col("nb") == 1, F.array(F.lit(0))).when((F.col("nb") == 2) | (F.col("b") > 0), F.array(F.when(F.col("b") == 0, F.lit(1)).otherwise(F.lit(0)))).otherwise(F.sequence(F.lit(1), F.col("nb") - 1))))
     first = other.select("label", F.least("b", "x").alias("i"), F.greatest("b", "x").alias("j"), "v", "own")
-    found = written(_compare(first, percent, n_tasks), "links")
+    found = _compare(first, percent, n_tasks)
     large = placed.where("nb > 2")
     if large.isEmpty():
         return found
+    found = written(found, "links")
     # what the first block left separate
     joined = components(found.join(large.select(F.col("v").alias("a")), "a", "left_semi"))
     known = large.select("label", "v").join(joined.select("v", F.col("label").alias("c")), "v", "left").select("label", "v", F.coalesce("c", "v").alias("c"))
@@ -140,7 +143,7 @@ def _confirmed(sets: DataFrame, percent: int, n_tasks: int) -> DataFrame:
     ends = pairs.select("label", "i", "j", F.col("i").alias("at")).union(pairs.where("i != j").select("label", "i", "j", F.col("j").alias("at")))
     rows = known.select("label", "v", F.xxhash64("c", "s").alias("at")).join(ends, ["label", "at"]).select("label", "i", "j", "v")
     rest = rows.join(sets.select("v", "own").dropDuplicates(["v"]), "v").select("label", "i", "j", "v", "own")
-    return found.union(written(_compare(rest, percent, n_tasks), "links"))
+    return found.union(_compare(rest, percent, n_tasks))
 
 
 def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = ID, text_col: str = TEXT) -> DataFrame:
@@ -157,14 +160,18 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     docs = documents(df, id_col, text_col)
     drawn = written(sketches(docs, width, rows, bands), "sketches")
     usable = drawn.where("v is not null and doc_id is not null")
-    classes = written(usable.groupBy("v").agg(F.min(ID).alias("id"), F.first("bands").alias("bands")), "classes")
+    about = drawn.count()  # from the files' footers
+    classes = written(usable.groupBy("v").agg(F.min(ID).alias("id"), F.first("bands").alias("bands")), "classes", -(-about // CLASS_ROWS))
     members = classes.select("v", F.explode("bands").alias("key"))
     buckets = members.groupBy("key").agg(F.count("*").alias("n"), F.min("v").alias("leader")).where("n > 1").select("key", "leader")
     candidates = members.join(buckets, "key").where("v != leader").select(F.col("v").alias("a"), F.col("leader").alias("b")).distinct()
-    clusters = components(candidates)
+    # a class meets one leader a band at most: hang it and its other leaders on the smallest, and few edges are left
+    hung = candidates.withColumn("m", F.min("b").over(Window.partitionBy("a")))
+    stars = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
+    clusters = components(hung.select(F.inline(stars)).where("a <> b"), about)
     sizes = clusters.groupBy("label").agg(F.count("*").alias("n"))
     wanted = clusters.join(sizes, "label").join(classes.select("v", "id"), "v").select("v", "label", "n", "id")
-    joined = components(_confirmed(_sets(docs, wanted, width), percent, n))
+    joined = components(_confirmed(_sets(docs, wanted, width), percent, n), about)
     named = classes.select("v", "id").join(joined, "v", "left").withColumn("label", F.coalesce("label", "v"))
     smallest = named.groupBy("label").agg(F.min("id").alias("component_id"))
     by_class = named.join(smallest, "label").select("v", "component_id")

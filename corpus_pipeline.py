@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectrine.llm import language, neardup, packing, secrets, suffixes
-from vectrine.llm.common import held_out, written
+from vectrine.llm.common import held_out, tasks_for, written
 from vectrine.llm.queries import PACKING_TOKENIZER
 
 #: SQL cannot express compression, sketches or tokenizers; tests compare the stages with brute-force versions.
@@ -28,7 +28,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the one of the smallest id. Rows without an id belong to no group and stay."""
     kept = neardup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null")).select(*docs.columns)
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null")).select(*docs.columns).coalesce(tasks_for(docs))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -117,7 +117,7 @@ def test_by_group_streams_groups_over_batches(spark):
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
     try:
         df = spark.range(500).selectExpr("id * id % 13 as k", "id")
-        got = {r["k"]: r["n"] for r in graph.by_group(df, ["k"], ["id"], 3, fn, "k long, n long").collect()}
+        got = {r["k"]: r["n"] for r in graph.by_group(df, ["k"], ["id"], graph.Spread(3, 2), fn, "k long, n long").collect()}
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == Counter(i * i % 13 for i in range(500))

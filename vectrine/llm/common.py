@@ -47,7 +47,14 @@ def written(df: DataFrame, tag: str, files: int | None = None) -> DataFrame:
 
 def documents(df: DataFrame, id_col: str = ID, text_col: str = TEXT) -> DataFrame:
     """(doc_id, text) with null texts made empty."""
-    return df.select(df[id_col].alias(ID), F.coalesce(df[text_col].cast("string"), F.lit("")).alias(TEXT))
+    return df.select(df[id_col].alias(ID), F.coalesce(df[text_col].cast("string"), F.lit("")).alias(TEXT)).coalesce(tasks_for(df))
+
+
+def tasks_for(df: DataFrame, bytes_each: int = 8 << 20) -> int:
+    """Tasks, and files of a written table, that df's estimated size asks for: one for each bytes_each, four for each
+    core at least. Used to coalesce only, so a table in very many small parts does not become as many small files."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return min(1 << 20, max(4 * df.sparkSession.sparkContext.defaultParallelism, -(-size // bytes_each)))  # unknown sizes are estimated very large
 
 
 def held_out(doc_id: Column, folds: int = 5) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,7 +37,14 @@ def components(edges: DataFrame, about: int | None = None) -> DataFrame:
             return state.select("v", "label")
 
 
-def by_group(df: DataFrame, keys: list[str], order: list[str], n: int, fn: Callable[[tuple, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+class Spread(NamedTuple):
+    """Partitions that groups are dealt to, and tasks that work through them at most."""
+
+    partitions: int
+    tasks: int
+
+
+def by_group(df: DataFrame, keys: list[str], order: list[str], spread: Spread, fn: Callable[[tuple, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """Calls fn(key, batches) for each group of the keys, which come first in df's columns.
 
     Rows are dealt out by key and sorted; a task streams them, so many small groups share a batch and a group of any
@@ -75,4 +83,4 @@ def by_group(df: DataFrame, keys: list[str], order: list[str], n: int, fn: Calla
                 pass
             head = after[0] if after else None
 
-    return df.repartition(n, *keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    return df.repartition(spread.partitions, *keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema).coalesce(spread.tasks)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vectrine.llm.bpe import slices
-from vectrine.llm.common import ID, TEXT, documents
+from vectrine.llm.common import ID, TEXT, documents, tasks_for
 
 UNDETERMINED = "und"
 #: A dictionary's bytes, the texts it is cut from and the longest cut: the bound of the training sample, per language.
@@ -109,4 +109,4 @@ def accepted(df: DataFrame, dictionaries: dict[str, bytes], margin: float = MARG
             for part in slices(batch):
                 yield part.filter(pa.array([not own.predict(x or "")[2] for x in part.column(at).to_pylist()], pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.coalesce(tasks_for(df)).mapInArrow(run, df.schema)

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from vectrine.llm import shingles
 from vectrine.llm.bpe import slices
-from vectrine.llm.common import ID, TEXT, documents, partitions, written
-from vectrine.llm.graph import by_group, components
+from vectrine.llm.common import ID, TEXT, documents, partitions, tasks_for, written
+from vectrine.llm.graph import Spread, by_group, components
 
 #: Classes of a block, columns of a piece of the incidence matrix, bins of a sketch at most.
 BLOCK, COLUMNS, MAX_BINS = 128, 8192, 128
@@ -88,7 +88,7 @@ def links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     return out
 
 
-def _compare(blocks: DataFrame, percent: int, n: int) -> DataFrame:
+def _compare(blocks: DataFrame, percent: int, spread: Spread) -> DataFrame:
     """(a, b) confirmed links of each group (label, i, j) of (label, i, j, v, own)."""
 
     def fn(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -100,10 +100,10 @@ def _compare(blocks: DataFrame, percent: int, n: int) -> DataFrame:
         if found:
             yield pa.RecordBatch.from_arrays([pa.array([v[i] for i, _ in found], pa.binary()), pa.array([v[j] for _, j in found], pa.binary())], ["a", "b"])
 
-    return by_group(blocks, ["label", "i", "j"], [], n, fn, "a binary, b binary")
+    return by_group(blocks, ["label", "i", "j"], [], spread, fn, "a binary, b binary")
 
 
-def _sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
+def _sets(docs: DataFrame, members: DataFrame, width: int, files: int) -> DataFrame:
     """(v, label, n, own): the full shingle set of each member, from the text of its class's smallest id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,16 +115,16 @@ def _sets(docs: DataFrame, members: DataFrame, width: int) -> DataFrame:
                 yield whole.filter(here)  # an id that occurs with several texts brings only the right one
 
     joined = docs.join(members, docs[ID] == members["id"]).select("v", "label", "n", TEXT)
-    return written(joined.mapInArrow(run, "v binary, label binary, n long, own binary"), "sets")
+    return written(joined.mapInArrow(run, "v binary, label binary, n long, own binary"), "sets", files)
 
 
-def _confirmed(sets: DataFrame, percent: int, n_tasks: int) -> DataFrame:
+def _confirmed(sets: DataFrame, percent: int, spread: Spread) -> DataFrame:
     """(a, b): links whose components are those of all links inside clusters."""
     blocks = F.ceil(F.col("n") / BLOCK)
     placed = sets.withColumn("nb", blocks.cast("int")).withColumn("b", F.pmod(F.xxhash64("v"), F.col("nb")).cast("int"))
     other = placed.withColumn("x", F.explode(F.when(F.col("nb") == 1, F.array(F.lit(0))).when((F.col("nb") == 2) | (F.col("b") > 0), F.array(F.when(F.col("b") == 0, F.lit(1)).otherwise(F.lit(0)))).otherwise(F.sequence(F.lit(1), F.col("nb") - 1))))
     first = other.select("label", F.least("b", "x").alias("i"), F.greatest("b", "x").alias("j"), "v", "own")
-    found = _compare(first, percent, n_tasks)
+    found = _compare(first, percent, spread)
     large = placed.where("nb > 2")
     if large.isEmpty():
         return found
@@ -135,7 +135,7 @@ def _confirmed(sets: DataFrame, percent: int, n_tasks: int) -> DataFrame:
     counts = known.groupBy("label", "c").agg(F.count("*").alias("m"))
     known = known.join(counts, ["label", "c"]).withColumn("c", F.when(F.col("m") >= BLOCK // 2, F.col("c")).otherwise(F.lit(b"")))
     sub = known.groupBy("label", "c").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("subs"))
-    known = written(known.join(sub, ["label", "c"]).select("label", "v", "c", F.pmod(F.xxhash64("v", F.lit(1)), F.col("subs")).cast("int").alias("s")), "blocks")
+    known = written(known.join(sub, ["label", "c"]).select("label", "v", "c", F.pmod(F.xxhash64("v", F.lit(1)), F.col("subs")).cast("int").alias("s")), "blocks", spread.tasks)
     block = known.select("label", "c", "s").distinct()
     block = block.withColumn("i", F.xxhash64("c", "s"))
     left, right = block.select("label", F.col("c").alias("c1"), F.col("i").alias("i")), block.select("label", F.col("c").alias("c2"), F.col("i").alias("j"))
@@ -143,7 +143,7 @@ def _confirmed(sets: DataFrame, percent: int, n_tasks: int) -> DataFrame:
     ends = pairs.select("label", "i", "j", F.col("i").alias("at")).union(pairs.where("i != j").select("label", "i", "j", F.col("j").alias("at")))
     rows = known.select("label", "v", F.xxhash64("c", "s").alias("at")).join(ends, ["label", "at"]).select("label", "i", "j", "v")
     rest = rows.join(sets.select("v", "own").dropDuplicates(["v"]), "v").select("label", "i", "j", "v", "own")
-    return found.union(_compare(rest, percent, n_tasks))
+    return found.union(_compare(rest, percent, spread))
 
 
 def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: str = ID, text_col: str = TEXT) -> DataFrame:
@@ -155,7 +155,7 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     links. Rows with a null id have no links either: component_id null, kept true. Repeated rows share a component
     and are kept or not alike. An empty table gives an empty table.
     """
-    n = partitions(df.sparkSession)
+    spread = Spread(partitions(df.sparkSession), tasks_for(df))
     rows, bands = banding(percent)
     docs = documents(df, id_col, text_col)
     drawn = written(sketches(docs, width, rows, bands), "sketches")
@@ -171,10 +171,10 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     clusters = components(hung.select(F.inline(stars)).where("a <> b"), about)
     sizes = clusters.groupBy("label").agg(F.count("*").alias("n"))
     wanted = clusters.join(sizes, "label").join(classes.select("v", "id"), "v").select("v", "label", "n", "id")
-    joined = components(_confirmed(_sets(docs, wanted, width), percent, n), about)
+    joined = components(_confirmed(_sets(docs, wanted, width, spread.tasks), percent, spread), about)
     named = classes.select("v", "id").join(joined, "v", "left").withColumn("label", F.coalesce("label", "v"))
     smallest = named.groupBy("label").agg(F.min("id").alias("component_id"))
     by_class = named.join(smallest, "label").select("v", "component_id")
     out = drawn.join(by_class, "v", "left")
     component = F.when(F.col(ID).isNotNull(), F.coalesce("component_id", ID))
-    return out.select(ID, "n_shingles", component.alias("component_id"), F.coalesce(component == F.col(ID), F.lit(True)).alias("kept"))
+    return out.select(ID, "n_shingles", component.alias("component_id"), F.coalesce(component == F.col(ID), F.lit(True)).alias("kept")).coalesce(spread.tasks)

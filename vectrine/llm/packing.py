@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from vectrine.llm.bpe import slices
-from vectrine.llm.common import ID, TEXT, documents, written
+from vectrine.llm.common import ID, TEXT, documents, tasks_for, written
 
 CAPACITY = 2048
 assert sys.byteorder == "little" and array("I").itemsize == 4, "ids are written as little-endian 32-bit"
@@ -253,7 +253,7 @@ def pack(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str =
     pieces = cut(df, tokenizer, capacity, id_col, text_col)
     by_part = pieces.groupBy("length", "part").agg(F.count("*").alias("n"))
     by_part = by_part.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    by_part = written(by_part, "lengths")
+    by_part = written(by_part, "lengths", tasks_for(df))
     histogram = {r["length"]: r["n"] for r in by_part.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows
     starts: list[tuple[int, int, int, int, int]] = []  # length, first rank, first sequence, sequences, offset
     used: dict[int, int] = {}
@@ -282,4 +282,4 @@ def pack(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str =
 
     ranked = pieces.join(by_part.select("length", "part", "before"), ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"))
     kind = pieces.schema["doc_id"].dataType.simpleString()
-    return ranked.mapInArrow(place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long").coalesce(tasks_for(df))

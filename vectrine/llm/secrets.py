@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vectrine.llm.common import ID, TEXT, documents, work_path
+from vectrine.llm.common import ID, TEXT, documents, tasks_for, work_path
 
 
 @dataclass(frozen=True)
@@ -92,7 +92,7 @@ def scan(df: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RUL
     """
     versions = documents(df, id_col, text_col).withColumn("blob", _blob(TEXT))
     found = _findings(versions.select("blob", TEXT), ledger, rules)
-    return versions.select(ID, "blob").join(found, "blob", "left").select(ID, F.hex("blob").alias("blob"), F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
+    return versions.select(ID, "blob").join(found, "blob", "left").select(ID, F.hex("blob").alias("blob"), F.coalesce("spans", F.array().cast(SPAN)).alias("spans")).coalesce(tasks_for(df))
 
 
 def _blob(text: str) -> Column:
@@ -109,7 +109,7 @@ def _findings(blobs: DataFrame, ledger: str | None, rules: tuple[Rule, ...]) ->
     else:
         done = read_ledger(spark, path).select("blob", F.explode("scanned").alias("key")).where(F.col("key").isin(keys)).groupBy("blob").agg(F.collect_set("key").alias("done"))
         unseen = blobs.join(done, "blob", "left").withColumn("done", F.coalesce("done", F.array().cast("array<string>"))).where(F.size("done") < len(keys)).dropDuplicates(["blob"])
-    scan_blobs(unseen, rules).write.mode("append").parquet(path)
+    scan_blobs(unseen, rules).coalesce(tasks_for(blobs)).write.mode("append").parquet(path)
     wanted = F.filter("spans", lambda s: s["rule"].isin(keys))
     found = spark.read.schema(LEDGER).parquet(path).select("blob", wanted.alias("spans")).where(F.size("spans") > 0)
     return found.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
@@ -121,7 +121,7 @@ def mask_documents(df: DataFrame, ledger: str | None = None, rules: tuple[Rule,
     found = _findings(whole.select(F.col("_blob").alias("blob"), F.coalesce(F.col(text_col), F.lit("")).alias(TEXT)), ledger, rules)
     joined = whole.join(found.select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")), "_blob", "left")
     clean = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(masked(F.col(text_col), F.col("_spans")))
-    return joined.select(*[clean.alias(c) if c == text_col else F.col(c) for c in df.columns])
+    return joined.select(*[clean.alias(c) if c == text_col else F.col(c) for c in df.columns]).coalesce(tasks_for(df))
 
 
 def masked(text: Column, spans: Column, mask: str = "[secret]") -> Column:

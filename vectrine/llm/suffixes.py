@@ -27,8 +27,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectrine.llm.common import ID, TEXT, partitions, release, written
-from vectrine.llm.graph import by_group
+from vectrine.llm.common import ID, TEXT, partitions, release, tasks_for, written
+from vectrine.llm.graph import Spread, by_group
 from vectrine.llm.shingles import mix
 
 SPAN, GRAM = 50, 24
@@ -155,7 +155,7 @@ def _anchors(docs: DataFrame, buckets: int) -> DataFrame:
     return docs.mapInArrow(run, "bucket int, blob binary")
 
 
-def _shared(anchors: DataFrame, n_tasks: int) -> DataFrame:
+def _shared(anchors: DataFrame, spread: Spread) -> DataFrame:
     """(chunk, bucket, blob): the keys of each chunk that occur in more than one document anywhere."""
 
     def fn(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,7 +183,7 @@ def _shared(anchors: DataFrame, n_tasks: int) -> DataFrame:
         for lo, hi in zip(edge, [*edge[1:], len(c)], strict=True):
             yield pa.RecordBatch.from_arrays([pa.array([int(c[lo])], pa.int32()), pa.array([key[0]], pa.int32()), pa.array([_zip(k[lo:hi])], pa.binary())], ["chunk", "bucket", "blob"])
 
-    return by_group(anchors, ["bucket"], [], n_tasks, fn, "chunk int, bucket int, blob binary")
+    return by_group(anchors, ["bucket"], [], spread, fn, "chunk int, bucket int, blob binary")
 
 
 # --- step 2: sorted, front-coded runs
@@ -269,7 +269,7 @@ def merge(runs: list[Run]) -> Iterator[tuple[int, bytes, int, int]]:
             node >>= 1
 
 
-def _runs(docs: DataFrame, shared: DataFrame, buckets: int, n_tasks: int) -> DataFrame:
+def _runs(docs: DataFrame, shared: DataFrame, buckets: int, spread: Spread) -> DataFrame:
     """(kind, target, source, blob): kind 0 are runs for a bucket, kind 1 ranges already known repeated, for a chunk."""
 
     def fn(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -316,7 +316,7 @@ def _runs(docs: DataFrame, shared: DataFrame, buckets: int, n_tasks: int) -> Dat
         if repeated:
             yield _row(1, key[0], key[0], _ranges(repeated))
 
-    return _with_documents(docs, shared.select("chunk", F.lit(0).alias("kind"), F.col("bucket").cast("long").alias("id"), F.lit(None).cast("string").alias("text"), "blob"), n_tasks, fn, "kind int, target int, source int, blob binary")
+    return _with_documents(docs, shared.select("chunk", F.lit(0).alias("kind"), F.col("bucket").cast("long").alias("id"), F.lit(None).cast("string").alias("text"), "blob"), spread, fn, "kind int, target int, source int, blob binary")
 
 
 def _row(kind: int, target: int, source: int, blob: bytes) -> pa.RecordBatch:
@@ -336,19 +336,19 @@ def _ranges(found: list[tuple[int, int, int]]) -> bytes:
     return _zip(x[:, 0].copy(), x[:, 1].copy(), x[:, 2].copy())
 
 
-def _with_documents(docs: DataFrame, blobs: DataFrame, n_tasks: int, fn, schema: str) -> DataFrame:
+def _with_documents(docs: DataFrame, blobs: DataFrame, spread: Spread, fn, schema: str) -> DataFrame:
     """Calls fn for each chunk with its blobs first, then its documents by id and text, so that rows have numbers."""
     extra = [c for c in docs.columns if c == "carried"]
     rows = docs.select("chunk", F.lit(1).alias("kind"), F.col(ID).alias("id"), TEXT, F.lit(None).cast("binary").alias("blob"), *extra)
     if extra:
         blobs = blobs.withColumn("carried", F.lit(None).cast(docs.schema["carried"].dataType))
-    return by_group(blobs.union(rows), ["chunk"], ["kind", "id", "text"], n_tasks, fn, schema)
+    return by_group(blobs.union(rows), ["chunk"], ["kind", "id", "text"], spread, fn, schema)
 
 
 # --- step 3: the merge
 
 
-def _resolve(runs: DataFrame, n_tasks: int) -> DataFrame:
+def _resolve(runs: DataFrame, spread: Spread) -> DataFrame:
     """(chunk, blob): ranges of each chunk that also occur under a smaller id, from the merged runs of each bucket."""
 
     def fn(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -370,7 +370,7 @@ def _resolve(runs: DataFrame, n_tasks: int) -> DataFrame:
         for chunk, ranges in found.items():
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([_ranges(ranges)], pa.binary())], ["chunk", "blob"])
 
-    return by_group(runs.select(F.col("target").alias("bucket"), "source", "blob"), ["bucket"], ["source"], n_tasks, fn, "chunk int, blob binary")
+    return by_group(runs.select(F.col("target").alias("bucket"), "source", "blob"), ["bucket"], ["source"], spread, fn, "chunk int, blob binary")
 
 
 def _windows(group: list[tuple[bytes, list[tuple[int, int, int, int]]]], found: dict[int, list[tuple[int, int, int]]]) -> None:
@@ -415,17 +415,17 @@ def strip_repeats(df: DataFrame, id_col: str = ID, text_col: str = TEXT, carry:
     and empty texts have no bytes. An empty table gives an empty table.
     """
     spark = df.sparkSession
-    n = partitions(spark)
+    spread = Spread(partitions(spark), tasks_for(df))
     docs = df.select(df[id_col].cast("long").alias(ID), F.coalesce(df[text_col].cast("string"), F.lit("")).alias(TEXT), *([F.struct(*[df[c] for c in carry]).alias("carried")] if carry else []))
     total = docs.agg(F.sum(F.octet_length(TEXT))).first()[0] or 0
-    chunks = max(n, -(-int(total) // CHUNK_BYTES))
+    chunks = max(spread.partitions, -(-int(total) // CHUNK_BYTES))
     docs = docs.select(F.pmod(F.xxhash64(F.coalesce(ID, F.xxhash64(TEXT))), F.lit(chunks)).cast("int").alias("chunk"), ID, TEXT, *docs.columns[2:])
     bare = docs.select("chunk", ID, TEXT)
-    shared = written(_shared(_anchors(bare.where(f"{ID} is not null"), chunks), n), "anchors")
+    shared = written(_shared(_anchors(bare.where(f"{ID} is not null"), chunks), spread), "anchors")
     release(spark)
-    runs = written(_runs(bare, shared, chunks, n), "runs")
+    runs = written(_runs(bare, shared, chunks, spread), "runs")
     release(spark)
-    known = written(_resolve(runs.where("kind = 0"), n).union(runs.where("kind = 1").select(F.col("target").alias("chunk"), "blob")), "ranges")
+    known = written(_resolve(runs.where("kind = 0"), spread).union(runs.where("kind = 1").select(F.col("target").alias("chunk"), "blob")), "ranges", spread.tasks)
     release(spark)
 
     def fn(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -453,7 +453,7 @@ def strip_repeats(df: DataFrame, id_col: str = ID, text_col: str = TEXT, carry:
 
     blobs = known.select("chunk", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("text"), "blob")
     kind = f", carried {docs.schema['carried'].dataType.simpleString()}" if carry else ""
-    out = _with_documents(docs, blobs, n, fn, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary" + kind)
+    out = _with_documents(docs, blobs, spread, fn, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary" + kind)
     return out.select(*out.columns[:5], *[F.col("carried")[c].alias(c) for c in carry])
 
 

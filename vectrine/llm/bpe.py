@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from vectrine.llm.common import ID, TEXT, documents
 
 #: Bounds of the per-worker memo tables; a full table is emptied, results do not depend on it.
-MAX_PIECES, MAX_PAIRS, MAX_CACHED_CHARS = 200_000, 1_000_000, 48
+MAX_PIECES, MAX_PAIRS, MAX_CACHED_CHARS = 500_000, 1_000_000, 48
 
 
 class BytePairCodec:

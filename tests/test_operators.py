@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from vectrine import catalog
 from vectrine.functions import embed
 from vectrine.functions import text as T
 from vectrine.functions import vectors as V
@@ -148,6 +149,31 @@ def test_all_lists_probed_equal_the_exact_search(spark):
         search.vector_of(df, -1)
 
 
+def test_trained_lists_recall_of_every_fiftieth_vector(spark, sf):
+    df = spark.read.parquet(f"{sf}/embeddings.parquet")
+    queries = df.where("vec_id % 50 = 0")
+    got = catalog.queries()["ivf_trained_search"](spark, sf)
+    assert {r["query_id"] for r in got.collect()} == {r["vec_id"] for r in queries.collect()}
+    assert search.recall(got, search.knn(queries, df, 10)) >= 0.9
+
+
+def test_batched_lists(spark):
+    _, df = vectors(spark)
+    centroids = search.train_centroids(df, 4)
+    assigned, queries = search.assign(df, centroids), df.where("vec_id < 9")
+    rows = lambda x: {(r["query_id"], r["rank"]): r["vec_id"] for r in x.collect()}
+    assert rows(search.ivf_knn(assigned, queries, centroids, 7, 4)) == rows(search.knn(queries, df, 7))
+    got = rows(search.ivf_knn(assigned, queries, centroids, 7, 2, exclude_self=False))
+    for i in range(9):
+        want = [r["vec_id"] for r in search.ivf_search(assigned, centroids, search.vector_of(df, i), 7, 2).collect()]
+        assert [got[i, k + 1] for k in range(len(want))] == want
+
+
+def test_best_rows_of_equal_scores_are_few_and_of_small_ids():
+    a, ids, s = search._cut(np.repeat([0, 1], 100), np.tile(np.arange(100)[::-1], 2), np.r_[np.ones(100), np.arange(100.0)], 3)
+    assert sorted(ids[a == 0]) == [0, 1, 2] and sorted(s[a == 1]) == [97, 98, 99]
+
+
 @pytest.mark.parametrize("metric", ["cosine", "ip", "l2", "squared_l2"])
 def test_knn_equals_single_searches(spark, metric):
     _, df = vectors(spark)

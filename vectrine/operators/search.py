@@ -18,6 +18,8 @@ from vectrine.functions import vectors as V
 
 #: Rows of a packed block.
 BLOCK = 2048
+#: Queries whose best rows a task holds while it reads blocks.
+HELD = 1 << 16
 METRICS: dict[str, Callable[[Column, Column], Column]] = {
     "cosine": V.cosine,
     "cosine_smoothed": V.cosine_smoothed,
@@ -64,23 +66,25 @@ def threshold_sweep(df: DataFrame, query: list[float], thresholds: list[float],
     return rows.groupBy("threshold").agg(F.sum(hit.cast("long")).alias("n"), F.max(F.when(hit, F.col("score"))).alias("best"))
 
 
-def packed(df: DataFrame, id_col: str, vector_col: str, rows: int = BLOCK) -> DataFrame:
-    """(dim, ids, data): blocks of at most `rows` vectors of one dimension; null vectors and ids are left out."""
+def packed(df: DataFrame, id_col: str, vector_col: str, rows: int = BLOCK, list_col: str | None = None) -> DataFrame:
+    """(dim, list, ids, data): blocks of at most `rows` vectors of one dimension and list (0 without a list_col); null
+    vectors and ids are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, rows):
                 part = batch.slice(at, rows)
                 ids, v = part.column(0).to_numpy(), part.column(1)
-                size = v.value_lengths().to_numpy()
+                size, lists = v.value_lengths().to_numpy(), part.column(2).to_numpy()
                 flat, edge = v.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(size)])
-                for dim in np.unique(size):
-                    here = np.flatnonzero(size == dim)
+                for dim, own in np.unique(np.stack([size, lists], 1), axis=0):
+                    here = np.flatnonzero((size == dim) & (lists == own))
                     data = flat[edge[here][:, None] + np.arange(dim)].astype("<f8")
-                    yield pa.RecordBatch.from_arrays([pa.array([int(dim)], pa.int32()), pa.array([ids[here].astype("<i8").tobytes()], pa.binary()), pa.array([data.tobytes()], pa.binary())], ["dim", "ids", "data"])
+                    yield pa.RecordBatch.from_arrays([pa.array([int(dim)], pa.int32()), pa.array([int(own)], pa.int64()), pa.array([ids[here].astype("<i8").tobytes()], pa.binary()), pa.array([data.tobytes()], pa.binary())], ["dim", "list", "ids", "data"])
 
     src = df.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & (F.size(vector_col) > 0))
-    return src.select(F.col(id_col).cast("long"), V.doubles(F.col(vector_col))).mapInArrow(run, "dim int, ids binary, data binary")
+    own = F.lit(0) if list_col is None else F.col(list_col)
+    return src.select(F.col(id_col).cast("long"), V.doubles(F.col(vector_col)), own.cast("long")).mapInArrow(run, "dim int, list long, ids binary, data binary")
 
 
 def _block(dim: int, ids: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -101,17 +105,44 @@ def _scores(metric: str, q: np.ndarray, v: np.ndarray) -> np.ndarray:
     return 1 / (1 + (np.sqrt(d) if metric == "l2" else d))
 
 
+def _cut(a: np.ndarray, ids: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows that may be among the k best of each query a: those over the k-th score, and the k smallest ids of
+    those within rounding of it, so under 2 k of them whatever the ties."""
+    order = np.lexsort((-s, a))
+    a, ids, s = a[order], ids[order], s[order]
+    first, end = np.searchsorted(a, a), np.searchsorted(a, a, "right")
+    kth = s[np.minimum(first + k, end) - 1]
+    near = np.abs(s - kth) <= 1e-12
+    place = np.empty(len(a), np.int64)
+    place[np.lexsort((ids, ~near, a))] = np.arange(len(a)) - first
+    keep = (s > kth + 1e-12) | (near & (place < k))
+    return a[keep], ids[keep], s[keep]
+
+
 def knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine", exclude_self: bool = True, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, vec_id, score, rank): each query's k best of all vectors.
 
-    Query blocks are dealt over groups of vector blocks by an equi-join, so neither side is broadcast; a block pair
-    gives k rows a query, and ranks are taken over those.
+    Query blocks are dealt over groups of vector blocks by an equi-join, so neither side is broadcast; a task keeps a
+    query's best rows over all blocks it reads (of `HELD` queries at a time), and ranks are taken over those.
     """
     groups = max(1, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    q = packed(queries, id_col, vector_col).select("dim", F.col("ids").alias("qids"), F.col("data").alias("qdata"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
-    v = packed(vectors, id_col, vector_col).withColumn("g", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int"))
+    return _block_best(packed(queries, id_col, vector_col), packed(vectors, id_col, vector_col), groups, k, metric, exclude_self)
+
+
+def _block_best(queries: DataFrame, vectors: DataFrame, groups: int, k: int, metric: str, exclude_self: bool) -> DataFrame:
+    """The k best of each query among the packed vectors of its lists, whose blocks are dealt over so many groups."""
+    q = queries.select("dim", "list", F.col("ids").alias("qids"), F.col("data").alias("qdata"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
+    v = vectors.withColumn("g", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[bytes, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        held = 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for qids, (a, vid, s) in best.items():
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(qids, "<i8")[a]), pa.array(vid), pa.array(s)], ["query_id", "vec_id", "score"])
+            best.clear()
+
         for batch in batches:
             for row in range(batch.num_rows):
                 dim, ids, data, qids, qdata = (batch.column(c)[row].as_py() for c in range(5))
@@ -121,10 +152,19 @@ def knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine",
                     s[qid[:, None] == vid[None, :]] = -np.inf
                 n = min(k, s.shape[1])
                 kth = np.partition(s, s.shape[1] - n, axis=1)[:, s.shape[1] - n, None]
-                a, b = np.nonzero((s >= kth - 1e-12) & np.isfinite(s))  # near-ties stay for the ranks to decide
-                yield pa.RecordBatch.from_arrays([pa.array(qid[a]), pa.array(vid[b]), pa.array(s[a, b])], ["query_id", "vec_id", "score"])
-
-    pairs = v.join(q, ["dim", "g"]).select("dim", "ids", "data", "qids", "qdata")
+                a, b = np.nonzero((s >= kth - 1e-12) & np.isfinite(s))
+                found = a, vid[b], s[a, b]
+                if qids in best:
+                    found = tuple(map(np.concatenate, zip(best[qids], found, strict=True)))
+                elif held + len(qid) > HELD:
+                    yield from out()
+                    held = len(qid)
+                else:
+                    held += len(qid)
+                best[qids] = _cut(*found, k)
+        yield from out()
+
+    pairs = v.join(q, ["dim", "list", "g"]).select("dim", "ids", "data", "qids", "qdata")
     best = pairs.mapInArrow(run, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -214,6 +254,24 @@ def ivf_search(assigned: DataFrame, centroids: list[tuple[int, list[float]]], qu
     return topk(assigned, query, k, "cosine_smoothed", where=F.col("cluster_id").isin(probe(centroids, query, nprobe)), id_col=id_col)
 
 
+def ivf_knn(assigned: DataFrame, queries: DataFrame, centroids: list[tuple[int, list[float]]], k: int, nprobe: int, exclude_self: bool = True, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(query_id, vec_id, score, rank): `knn` by cosine where each query meets its nprobe best lists only.
+
+    Blocks of one list meet the queries that probe it by an equi-join; a list's blocks are dealt over groups, so one
+    long list is not one task. Recall grows with nprobe and is 1 when all lists are probed.
+    """
+    near = F.array(*[F.struct((-V.cosine_smoothed(F.col(vector_col), V.literal(c))).alias("d"), F.lit(i).alias("i")) for i, c in centroids])
+    probed = queries.where(F.col(vector_col).isNotNull()).withColumn("_l", F.explode(F.slice(F.array_sort(near), 1, nprobe)["i"]))
+    groups = -(-max(1, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))) // max(1, len(centroids)))
+    return _block_best(packed(probed, id_col, vector_col, list_col="_l"), packed(assigned, id_col, vector_col, list_col="cluster_id"), groups, k, "cosine", exclude_self)
+
+
+def recall(found: DataFrame, exact: DataFrame) -> float | None:
+    """Share of the exact search's (query_id, vec_id) rows that were found, as a mean over its queries."""
+    hits = exact.select("query_id", "vec_id").join(found.select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left")
+    return hits.groupBy("query_id").agg(F.avg(F.coalesce("hit", F.lit(0))).alias("r")).agg(F.avg("r").alias("r")).first()["r"]
+
+
 def write_lists(assigned: DataFrame, path: str) -> None:
     """One directory for each inverted list."""
     assigned.repartition("cluster_id").write.mode("overwrite").partitionBy("cluster_id").parquet(path)

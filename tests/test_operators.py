@@ -277,6 +277,20 @@ def test_ward_and_its_bound(spark):
         learn.ward(df, 2, most=5)
 
 
+def test_ward_gives_every_vector_a_cluster(spark, sf):
+    df = spark.read.parquet(f"{sf}/embeddings.parquet")
+    got = catalog.queries()["cluster_ward"](spark, sf).collect()
+    assert sorted(r["vec_id"] for r in got) == sorted(r["vec_id"] for r in df.collect()) and {r["cluster"] for r in got} == {0, 1, 2}
+
+
+def test_ward_over_centres_finds_separate_clusters(spark):
+    points = [(i, [float(i % 3) * 10 + i * 0.001, 0.0]) for i in range(300)] + [(999, None)]
+    df = spark.createDataFrame(points, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["cluster"] for r in learn.ward_of_all(df, 3, centres=12, most=100).collect()}
+    assert len(got) == 300 and all(got[i] == got[i % 3] for i in range(300)) and len({got[0], got[1], got[2]}) == 3
+    assert learn._agglomerate(np.array([[0.0], [1.0], [2.1]]), np.array([100, 100, 1]), 2) == [0, 1, 1]
+
+
 def test_detectors_find_a_far_point(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(0, 0.1, 4)]) for i in range(80)] + [(999, [9.0] * 4)]

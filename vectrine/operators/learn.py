@@ -253,10 +253,27 @@ def within(df: DataFrame, eps: float, id_col: str = "vec_id", vector_col: str =
     return pairs.mapInArrow(run, "a long, b long")
 
 
+def _agglomerate(x: np.ndarray, size: np.ndarray, n_clusters: int) -> list[int]:
+    """Ward's agglomeration of points that stand for so many rows each: a cluster's number for each point, by first place."""
+    n, size, label = len(x), size.astype(float), np.arange(len(x))
+    d = np.stack([((x - y) ** 2).sum(1) * size * m / (size + m) for y, m in zip(x, size, strict=True)]) if n else np.zeros((0, 0))
+    np.fill_diagonal(d, np.inf)
+    for _ in range(max(0, n - n_clusters)):
+        i, j = sorted(divmod(int(np.argmin(d)), n))
+        si, sj = size[i], size[j]
+        merged = ((si + size) * d[i] + (sj + size) * d[j] - size * d[i, j]) / (si + sj + size)
+        d[i], d[:, i] = merged, merged
+        d[j], d[:, j], d[i, i] = np.inf, np.inf, np.inf
+        size[i] += sj
+        label[label == j] = i
+    names = {c: k for k, c in enumerate(dict.fromkeys(label.tolist()))}
+    return [names[c] for c in label.tolist()]
+
+
 def ward(df: DataFrame, n_clusters: int, most: int = 2000, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, cluster): Ward's agglomeration in one NumPy group, for at most `most` rows; more are refused.
 
-    There is no distributed exact form; larger tables take `kmeans` or Ward over k-means centres.
+    There is no distributed exact form; larger tables take `ward_of_all`.
     """
     if df.limit(most + 1).count() > most:
         raise ValueError(f"Ward's agglomeration takes at most {most} rows; cluster centres instead")
@@ -264,25 +281,31 @@ def ward(df: DataFrame, n_clusters: int, most: int = 2000, id_col: str = "vec_id
     def run(key: tuple, table: pa.Table) -> pa.Table:
         order = np.argsort(table["i"].to_numpy())
         x = np.array(table["v"].to_pylist())[order]
-        n = len(x)
-        size, label = np.ones(n), np.arange(n)
-        d = ((x[:, None] - x[None]) ** 2).sum(-1) / 2
-        np.fill_diagonal(d, np.inf)
-        for _ in range(max(0, n - n_clusters)):
-            i, j = sorted(divmod(int(np.argmin(d)), n))
-            si, sj = size[i], size[j]
-            merged = ((si + size) * d[i] + (sj + size) * d[j] - size * d[i, j]) / (si + sj + size)
-            d[i], d[:, i] = merged, merged
-            d[j], d[:, j], d[i, i] = np.inf, np.inf, np.inf
-            size[i] += sj
-            label[label == j] = i
-        names = {c: k for k, c in enumerate(dict.fromkeys(label.tolist()))}
-        return pa.table({id_col: table["i"].to_numpy()[order], "cluster": pa.array([names[c] for c in label.tolist()], pa.int32())})
+        return pa.table({id_col: table["i"].to_numpy()[order], "cluster": pa.array(_agglomerate(x, np.ones(len(x)), n_clusters), pa.int32())})
 
     one = df.select(F.lit(0).alias("g"), F.col(id_col).cast("long").alias("i"), V.doubles(F.col(vector_col)).alias("v"))
     return one.groupBy("g").applyInArrow(run, f"{id_col} long, cluster int")
 
 
+def ward_of_all(df: DataFrame, n_clusters: int, centres: int = 200, most: int = 2000, seed: int = 42, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(vec_id, cluster) of every row with a vector, whatever their number.
+
+    Up to `most` rows it is exact (`ward`). More are put to k-means centres first; Ward joins the centres, each with
+    the weight of its rows, and a row has the cluster of its centre. That differs from exact Ward where a centre's
+    rows would have parted.
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    rows = df.where(F.col(vector_col).isNotNull())
+    if rows.limit(most + 1).count() <= most:
+        return ward(rows, n_clusters, most, id_col, vector_col)
+    lifted = rows.select(F.col(id_col).cast("long").alias(id_col), array_to_vector(V.doubles(F.col(vector_col))).alias("_f"))
+    model = KMeans(k=max(centres, n_clusters), seed=seed, featuresCol="_f", predictionCol="_c").fit(lifted)
+    found = _agglomerate(np.array(model.clusterCenters()), np.maximum(model.summary.clusterSizes, 1), n_clusters)
+    return model.transform(lifted).select(id_col, F.get(F.array(*map(F.lit, found)), "_c").cast("int").alias("cluster"))
+
+
 def cluster_summary(clustered: DataFrame, text_col: str = "text", id_col: str = "doc_id", cluster_col: str = "cluster", keep: int = 3) -> DataFrame:
     """(cluster, n, percentage, first_ids): noise (-1) is skipped. Only the first ids are kept while aggregating."""
     total = clustered.count()

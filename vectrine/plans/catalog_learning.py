@@ -101,9 +101,8 @@ def cluster_best_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def cluster_ward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ward's agglomeration of the label means, which are few whatever the number of vectors."""
-    means = search.mean_vectors(vectors(spark, sf_dir), "label").select(F.col("label").cast("long").alias("vec_id"), F.col("centroid").alias("embedding"))
-    return learn.ward(means, 3)
+    """Three clusters of all vectors by Ward's agglomeration."""
+    return learn.ward_of_all(vectors(spark, sf_dir), 3)
 
 
 @query()

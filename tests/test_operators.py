@@ -1,5 +1,6 @@
 """Operators on hand-made inputs: golden values, edge cases and properties."""
 
+import inspect
 import math
 import random
 import zipfile
@@ -277,6 +278,17 @@ def test_ward_and_its_bound(spark):
         learn.ward(df, 2, most=5)
 
 
+def test_best_k_looks_at_two_to_eight_clusters(spark, tmp_path, monkeypatch):
+    starts = []
+    kmeans = learn.kmeans
+    monkeypatch.setattr(learn, "kmeans", lambda df, k, **how: starts.append(how.get("n_init", inspect.signature(kmeans).parameters["n_init"].default)) or kmeans(df, k, **how))
+    centres = np.eye(6) * 20
+    rows = [(i, [float(x) for x in centres[i % 6] + np.random.default_rng(i).normal(0, 0.1, 6)]) for i in range(90)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {r["k"]: r["best"] for r in catalog.queries()["cluster_best_k"](spark, str(tmp_path)).collect()}
+    assert got == {k: k == 6 for k in range(2, 9)} and starts == [10] * 7
+
+
 def test_ward_gives_every_vector_a_cluster(spark, sf):
     df = spark.read.parquet(f"{sf}/embeddings.parquet")
     got = catalog.queries()["cluster_ward"](spark, sf).collect()

@@ -182,7 +182,7 @@ def anomaly_report(found: DataFrame) -> DataFrame:
 # --- clusters
 
 
-def kmeans(df: DataFrame, k: int, seed: int = 42, n_init: int = 3, vector_col: str = "embedding") -> tuple[DataFrame, float, float]:
+def kmeans(df: DataFrame, k: int, seed: int = 42, n_init: int = 10, vector_col: str = "embedding") -> tuple[DataFrame, float, float]:
     """df with its cluster, the inertia and the (squared-L2) silhouette, of the best of n_init seeded runs."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.evaluation import ClusteringEvaluator

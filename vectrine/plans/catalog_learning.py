@@ -94,8 +94,8 @@ def cluster_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def cluster_best_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(k, inertia, silhouette, best) for two to five clusters."""
-    best, seen = learn.best_k(vectors(spark, sf_dir), 5, n_init=1)
+    """(k, inertia, silhouette, best) for two to eight clusters, each the best of ten starts."""
+    best, seen = learn.best_k(vectors(spark, sf_dir))
     return spark.createDataFrame([(k, a, b, k == best) for k, (a, b) in seen.items()], "k int, inertia double, silhouette double, best boolean")
 
 

@@ -351,6 +351,16 @@ def test_quality_ignores_held_out_labels(spark):
     assert all((s >= 0.3) == bool(i % 2) for i, s in a)
 
 
+def test_quality_uses_the_few_labels_of_many_documents(spark):
+    rows = [(i, ("good text here. " if i % 2 else "BAD!!! ### ") * (i % 7 + 1)) for i in range(600)]
+    data = spark.createDataFrame(rows, "doc_id long, text string")
+    for first in (0, 100, 200, 300):  # whichever ids the sample draws
+        labels = spark.createDataFrame([(i, i % 2) for i in range(first, first + 6)], "doc_id long, quality int")
+        model = quality.train(data, labels, F.lit(True), max_rows=60)
+        assert model is not None and model.prior == 0.5
+        assert all((r["score"] >= 0.5) == bool(r["doc_id"] % 2) for r in quality.score(data, model).collect())
+
+
 def test_quality_awkward(spark):
     assert quality.train(empty(spark), spark.createDataFrame([], "doc_id long, quality int"), F.lit(True)) is None
     assert {r["score"] for r in quality.score(awkward(spark), None).collect()} == {0.5}

@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from vectrine.llm.bpe import slices
 from vectrine.llm.common import ID, TEXT, documents
 
-#: Bound of the training sample; rows are chosen by a hash of the id.
+#: Bound of the unlabelled sample, and apart from it of the trusted positives and of the rows for the calibration;
+#: rows are chosen by a hash of the id.
 MAX_TRAIN_ROWS = 30_000
 _CLASSES = 10
 _CLASS = np.full(256, 7, np.uint8)
@@ -83,9 +84,9 @@ class QualityModel:
         return _sigmoid(self.slope * self.margin(x) + self.offset)
 
 
-def estimate_prior(labels: np.ndarray) -> float:
+def estimate_prior(positive: int, labelled: int) -> float:
     """Share of positives among labelled rows, held off 0 and 1."""
-    return float((np.sum(labels == 1) + 1) / (np.sum(labels >= 0) + 2))
+    return (positive + 1) / (labelled + 2)
 
 
 def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 30, batch: int = 512, rate: float = 0.01, decay: float = 1e-4, seed: int = 0) -> np.ndarray:
@@ -123,39 +124,43 @@ def calibrate(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
 def train(docs: DataFrame, labels: DataFrame, usable: Column, max_rows: int = MAX_TRAIN_ROWS, id_col: str = ID, text_col: str = TEXT, label_col: str = "quality") -> QualityModel | None:
     """Fits on the usable rows of docs; None where they hold no positive row.
 
-    A sample of at most about max_rows texts, drawn by a hash of the id, is the unlabelled set; its rows of label 1
-    are the trusted positives; the class prior and the calibration come from its labelled rows. Only their feature
+    A sample of at most about max_rows texts, drawn by a hash of the id, is the unlabelled set. The trusted positives
+    are drawn from all rows of label 1, and the rows for the calibration from all labelled rows, each up to about
+    max_rows, however few of the documents are labelled; the class prior counts all labelled rows. Only feature
     vectors reach the driver. A document labelled more than once counts as its lowest label.
     """
     rows = documents(docs, id_col, text_col).where(usable)
-    total = rows.select(ID).count()
-    below = int((1 << 40) * min(1.0, max_rows / max(1, total)))
-    drawn = lambda c: F.pmod(F.xxhash64(c.cast("string")), F.lit(1 << 40)) <= below
-    known = labels.select(labels[ID].alias("_id"), labels[label_col].cast("int").alias("_label")).where("_id is not null and _label is not null").where(drawn(F.col("_id"))).groupBy("_id").agg(F.min("_label").alias("_label"))
-    taken = rows.where(drawn(F.col(ID))).join(known, F.col(ID) == F.col("_id"), "left").select(F.coalesce("_label", F.lit(-1)).alias("label"), TEXT)
+    known = labels.select(labels[ID].alias("_id"), labels[label_col].cast("int").alias("_label")).where("_id is not null and _label is not null").groupBy("_id").agg(F.min("_label").alias("_label")).where("_label >= 0")
+    counted = rows.select(ID).join(known, F.col(ID) == F.col("_id"), "left").agg(F.count("*").alias("n"), F.count("_label").alias("labelled"), F.count_if(F.col("_label") == 1).alias("positive")).first()
+    below, below_labelled, below_positive = (int((1 << 40) * min(1.0, max_rows / max(1, counted[c]))) for c in ("n", "labelled", "positive"))
+    draw = lambda c: F.pmod(F.xxhash64(c.cast("string")), F.lit(1 << 40))
+    few = known.where((draw(F.col("_id")) <= below_labelled) | ((F.col("_label") == 1) & (draw(F.col("_id")) <= below_positive))).join(rows.select(F.col(ID).alias("_id")), "_id", "left_semi")
+    flags = (draw(F.col(ID)) <= below).cast("int") + F.when(F.col("_id").isNotNull() & (draw(F.col(ID)) <= below_labelled), 2).otherwise(0)
+    taken = rows.join(F.broadcast(few), F.col(ID) == F.col("_id"), "left").withColumn("flags", flags).where((F.col("flags") > 0) | F.col("_id").isNotNull()).select(F.coalesce("_label", F.lit(-1)).alias("label"), TEXT, "flags")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([features(x).tobytes() for x in part.column(1).to_pylist()], pa.binary())], ["label", "x"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([features(x).tobytes() for x in part.column(1).to_pylist()], pa.binary()), part.column(2)], ["label", "x", "flags"])
 
-    got = taken.mapInArrow(run, "label int, x binary").toArrow()
+    got = taken.mapInArrow(run, "label int, x binary, flags int").toArrow()
     if not got.num_rows:
         return None
-    label = got["label"].to_numpy()
+    label, flag = got["label"].to_numpy(), got["flags"].to_numpy()
     raw = np.frombuffer(b"".join(got["x"].to_pylist()), np.float32).reshape(-1, DIMENSIONS)
-    order = np.lexsort([*raw.T[:8], label])  # the same model whatever the order of the rows
-    label, raw = label[order], raw[order]
-    x = _expand(raw).astype(np.float64)
+    order = np.lexsort([*raw.T[:8], flag, label])  # the same model whatever the order of the rows
+    label, flag, raw = label[order], flag[order], raw[order]
     if not np.any(label == 1):
         return None
+    sample = flag % 2 == 1 if np.any(flag % 2 == 1) else np.ones(len(flag), bool)
+    x = _expand(raw[sample]).astype(np.float64)
     mean, scale = x.mean(0), np.maximum(x.std(0), 1e-3)
-    z = np.clip((x - mean) / scale, -8, 8)
-    prior = estimate_prior(label)
-    w = fit_nnpu(z[label == 1], z, prior)
+    standard = lambda x: np.clip((x - mean) / scale, -8, 8)
+    prior = estimate_prior(counted["positive"], counted["labelled"])
+    w = fit_nnpu(standard(_expand(raw[label == 1]).astype(np.float64)), standard(x), prior)
     model = QualityModel(mean, scale, w, 1.0, 0.0, prior)
-    known_rows = label >= 0
-    slope, offset = calibrate(model.margin(raw[known_rows]), (label[known_rows] == 1).astype(float)) if np.any(label == 0) else (1.0, 0.0)
+    known_rows = flag >= 2
+    slope, offset = calibrate(model.margin(raw[known_rows]), (label[known_rows] == 1).astype(float)) if np.any(label[known_rows] == 0) else (1.0, 0.0)
     return QualityModel(mean, scale, w, slope, offset, prior)
 
 

@@ -448,6 +448,10 @@ def spark_for_properties(spark):
     return spark
 
 
+def test_user_vectors_of_the_stream_have_fifty_dimensions(spark, sf):
+    assert {len(r["vector"]) for r in catalog.queries()["stream_user_vectors"](spark, sf).collect()} == {50}
+
+
 def test_random_sets_are_seeded():
     random.seed(0)
     assert list(recommender.initial_vector(3, 1, 4)) == list(recommender.initial_vector(3, 1, 4))

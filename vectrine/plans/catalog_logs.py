@@ -257,7 +257,7 @@ def stream_online_users(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def stream_user_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = recommender.collect_stream(recommender.user_state(_stream(spark, sf_dir), 8), _name("vectors"), "update")
+    out = recommender.collect_stream(recommender.user_state(_stream(spark, sf_dir)), _name("vectors"), "update")
     return out.select("user_id", "n", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
 
 

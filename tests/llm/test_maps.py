@@ -326,6 +326,14 @@ def test_language_awkward(spark):
     assert {r["lang_pred"] for r in language.identify(awkward(spark), {}).collect()} == {"und"}
 
 
+def test_language_bounds_are_parameters(spark):
+    df = spark.createDataFrame([(i, chr(97 + i) * 100, "x") for i in range(20)], "doc_id long, text string, lang string")
+    train = lambda **how: language.train(df, F.lit(True), **how)["x"]
+    assert len(train(cut=10)) == 20 * 11 and len(set(train(cut=10))) == 21
+    assert len(train(cut=10, dictionary_bytes=55)) == 55 and len(set(train(cut=10, dictionary_bytes=55))) == 6
+    assert train(cut=10).endswith(train(cut=10, dictionary_bytes=55))
+
+
 # --- quality
 
 

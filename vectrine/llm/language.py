@@ -21,7 +21,8 @@ from vectrine.llm.bpe import slices
 from vectrine.llm.common import ID, TEXT, documents, tasks_for
 
 UNDETERMINED = "und"
-#: A dictionary's bytes, the texts it is cut from and the longest cut: the bound of the training sample, per language.
+#: A dictionary's bytes, the texts drawn for it and the characters of a cut, per language. What holds is the bytes: they
+#: take about 128 full cuts of one-byte letters, so drawing more texts only helps where texts are short.
 DICTIONARY_BYTES, SAMPLE_TEXTS, CUT = 64 * 1024, 600, 512
 #: Bytes of a block and the level of compression.
 BLOCK, LEVEL = 2_000, 12
@@ -30,12 +31,14 @@ _LETTERS = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 MARGIN = 0.002
 
 
-def train(df: DataFrame, usable: Column, id_col: str = ID, text_col: str = TEXT, lang_col: str = "lang", sample_texts: int = SAMPLE_TEXTS) -> dict[str, bytes]:
+def train(df: DataFrame, usable: Column, id_col: str = ID, text_col: str = TEXT, lang_col: str = "lang", sample_texts: int = SAMPLE_TEXTS, cut: int = CUT, dictionary_bytes: int = DICTIONARY_BYTES) -> dict[str, bytes]:
     """Dictionaries by language, learned from the usable rows with a text and a language.
 
-    At most about sample_texts texts a language are read for it, chosen by a hash of the id, and at most CUT
-    characters of each, from its middle; the bound is a parameter and does not grow with the table. The number of
-    languages must be small. Without usable rows there are no languages.
+    At most about sample_texts texts a language are read for it, chosen by a hash of the id, and at most `cut`
+    characters of each, from its middle. They are joined in order of the hash, and the last dictionary_bytes bytes are
+    the dictionary: of long texts it holds dictionary_bytes / cut (by default 128), and earlier ones have no effect.
+    All bounds are parameters and do not grow with the table. The number of languages must be small. Without usable
+    rows there are no languages.
     """
     rows = df.select(df[id_col].alias(ID), df[text_col].cast("string").alias(TEXT), df[lang_col].cast("string").alias("lang")).where(usable).where("length(text) > 0 and lang is not null")
     draw = F.pmod(F.xxhash64("lang", ID), F.lit(1 << 40))
@@ -43,12 +46,12 @@ def train(df: DataFrame, usable: Column, id_col: str = ID, text_col: str = TEXT,
     if not counts:
         return {}
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int((1 << 40) * min(1.0, sample_texts / n)))])
-    taken = rows.where(draw <= share[F.col("lang")]).withColumn("at", F.greatest(F.lit(1), F.floor((F.length(TEXT) - CUT) / 2) + 1))
-    taken = taken.select("lang", draw.alias("draw"), F.col(TEXT).substr(F.col("at").cast("int"), F.lit(CUT)).alias("cut"))
+    taken = rows.where(draw <= share[F.col("lang")]).withColumn("at", F.greatest(F.lit(1), F.floor((F.length(TEXT) - cut) / 2) + 1))
+    taken = taken.select("lang", draw.alias("draw"), F.col(TEXT).substr(F.col("at").cast("int"), F.lit(cut)).alias("cut"))
     found: dict[str, bytes] = {}
     for r in sorted(taken.collect(), key=lambda r: (r["lang"], r["draw"], r["cut"])):
         found[r["lang"]] = found.get(r["lang"], b"") + normal(r["cut"]) + b" "
-    return {lang: x[-DICTIONARY_BYTES:] for lang, x in found.items()}
+    return {lang: x[-dictionary_bytes:] for lang, x in found.items()}
 
 
 def normal(text: str) -> bytes:

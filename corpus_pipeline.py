@@ -26,9 +26,15 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group: the one of the smallest id. Rows without an id belong to no group and stay."""
+    """One document of each group: the one of the smallest id. Rows without an id belong to no group and stay.
+
+    Of rows with the same id and the same text one stays, the smallest by its other columns. An id with several texts
+    keeps each of them, as an id cannot tell which of its texts belong to a group.
+    """
     kept = neardup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null")).select(*docs.columns).coalesce(tasks_for(docs))
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    rows = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*others)).alias("_o")).select("doc_id", "text", "_o.*")
+    return rows.unionByName(docs.where("doc_id is null")).select(*docs.columns).coalesce(tasks_for(docs))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -46,6 +46,15 @@ def test_near_duplicates(steps):
     assert set(after) == want and all(after[i] == before[i] for i in after)
 
 
+def test_an_id_with_several_texts_keeps_each_once(spark):
+    a, b = ("the first text tells of ships that sail at night", "another one is about bread and how to bake it")
+    data = [(1, a, "en", "z", 48), (1, a, "en", "y", 48), (1, b, "en", "x", 45), (2, a, "en", "w", 48), (None, b, "en", "v", 45)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars int").repartition(3)
+    out = pipeline.drop_near_duplicates(spark, docs, SF)
+    assert out.columns == COLUMNS
+    assert {(r["doc_id"], r["text"], r["source"]) for r in out.collect()} == {(1, a, "y"), (1, b, "x"), (None, b, "v")} and out.count() == 3
+
+
 def test_repeated_passages(steps):
     before, after = rows(steps[2]), rows(steps[3])
     least = {}

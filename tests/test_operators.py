@@ -17,7 +17,7 @@ from vectrine.functions import text as T
 from vectrine.functions import vectors as V
 from vectrine.operators import analytics, chunking, evaluation, learn, recommend, rerank, search, sparse, store, temporal
 from vectrine.plans import rag
-from vectrine.session import EngineConfig
+from vectrine.session import EngineConfig, scratch, written
 from vectrine.sources import files, samples
 from vectrine.streaming import recommender
 
@@ -175,7 +175,7 @@ def test_best_rows_of_equal_scores_are_few_and_of_small_ids():
     assert sorted(ids[a == 0]) == [0, 1, 2] and sorted(s[a == 1]) == [97, 98, 99]
 
 
-@pytest.mark.parametrize("metric", ["cosine", "ip", "l2", "squared_l2"])
+@pytest.mark.parametrize("metric", list(search.METRICS))
 def test_knn_equals_single_searches(spark, metric):
     _, df = vectors(spark)
     got = search.knn(df.where("vec_id < 4"), df, 5, metric)
@@ -184,6 +184,31 @@ def test_knn_equals_single_searches(spark, metric):
         assert [r["vec_id"] for r in got.where(F.col("query_id") == i).orderBy("rank").collect()] == want
 
 
+def test_unknown_metrics_are_refused(spark):
+    _, df = vectors(spark)
+    for call in (lambda: search.knn(df, df, 3, "cosin"), lambda: search.topk(df, [1.0] * 6, 3, "cosin")):
+        with pytest.raises(ValueError):
+            call()
+
+
+def test_search_within_lists_equals_filtered_searches(spark):
+    _, df = vectors(spark)
+    got = search.knn_by_list(df.where("vec_id < 5"), df, 4, "label", exclude_self=True)
+    for i in range(5):
+        for label in range(3):
+            want = [r["vec_id"] for r in search.topk(df, search.vector_of(df, i), 4, where=F.col("label") == label, exclude=i).collect()]
+            assert [r["vec_id"] for r in got.where((F.col("query_id") == i) & (F.col("list") == label)).orderBy("rank").collect()] == want
+
+
+def test_bounds_of_all_scores(spark):
+    x, df = vectors(spark)
+    u = x.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    got = {r["query_id"]: (r["lo"], r["hi"]) for r in search.score_bounds(df.where("vec_id < 5"), df).collect()}
+    s = u[:5] @ u.T
+    assert all(got[i] == pytest.approx((s[i].min(), s[i].max())) for i in range(5))
+
+
 def test_searches_on_null_and_repeated_rows(spark):
     df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, None), (3, []), (4, [0.0, 0.0]), (5, [0.9, 0.1])], "vec_id long, embedding array<double>")
     assert [r["vec_id"] for r in search.topk(df.where("size(embedding) = 2"), [1.0, 0.0], 3).collect()] == [1, 1, 5]
@@ -203,6 +228,34 @@ def test_bm25_by_hand(spark):
     assert got[1] == pytest.approx(2 * idf * w(2, 3)) and got[2] == pytest.approx(idf * w(1, 2)) and 3 not in got
 
 
+def test_bm25_by_a_shuffled_join_and_with_documents_of_score_zero(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"a{i % 7} b{i % 3} a1 a1 检索") for i in range(40)], "doc_id long, text string")
+    q = spark.createDataFrame([(0, "a1 b2 检"), (1, "b0 nothing"), (2, "nothing"), (3, None)], "query_id long, text string")
+    index = sparse.build_index(df)
+    rows = lambda x: {(r["query_id"], r["doc_id"]): round(r["score"], 9) for r in x.collect()}
+    small = rows(sparse.bm25(index, q))
+    monkeypatch.setattr(sparse, "BROADCAST_ROWS", 0)
+    assert rows(sparse.bm25(index, q)) == small and {k for k, _ in small} == {0, 1}
+    full = sparse.filled(sparse.bm25(index, q), index, q, 20)
+    assert full.groupBy("query_id").count().where("count = 20").count() == 4
+    assert [r["doc_id"] for r in full.where("query_id = 2").orderBy("rank").collect()] == list(range(20))
+    best = [r["doc_id"] for r in full.where("query_id = 1").orderBy("rank").collect()]
+    assert best[:14] == list(range(0, 40, 3)) and best[14:] == [1, 2, 4, 5, 7, 8]
+
+
+def test_embeddings_of_counted_terms_equal_those_of_texts(spark):
+    df = spark.createDataFrame([(1, "alpha beta alpha"), (2, "gamma 检索"), (3, ""), (4, None)], "doc_id long, text string")
+    a = {r["id"]: r["embedding"] for r in embed.embed_terms(sparse.build_index(df).forward, 16).collect()}
+    b = {r["id"]: r["embedding"] for r in embed.embed_table(df, "doc_id", "text", 16).collect()}
+    assert set(a) == set(b) == {1, 2} and all(np.allclose(a[i], b[i]) for i in a)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.text(alphabet="aB_1 .检索增K", max_size=30))
+def test_tokens_in_python_and_as_an_expression(spark_for_properties, text):
+    assert sorted(T.tokens_of(text)) == sorted(one(spark_for_properties, T.word_tokens(col(text)).alias("t"))["t"])
+
+
 def test_fusions(spark):
     a = spark.createDataFrame([(0, 1, 9.0), (0, 2, 8.0)], "query_id long, doc_id long, score double")
     b = spark.createDataFrame([(0, 2, 0.9), (0, 3, 0.8)], "query_id long, doc_id long, score double")
@@ -315,6 +368,17 @@ def test_detectors_find_a_far_point(spark):
     assert machine[999]["is_anomaly"] and sum(r["is_anomaly"] for r in machine.values()) <= 20
 
 
+def test_learning_on_tables_without_a_vector(spark):
+    none = spark.createDataFrame([(1, None)], "vec_id long, embedding array<float>")
+    for df in (none, none.limit(0)):
+        known = learn.profile(df)
+        assert known == ([], 0.0, 0.0, 0.0)
+        assert learn.anomaly_report(learn.distance_anomalies(df.where("embedding is not null"), known)).first()["total"] == 0
+        assert learn.pca(df, 2)[0].count() == 0 and learn.pca(df, 2)[1] == []
+        assert learn.one_class_boundary(df, df).count() == 0
+        assert learn.local_outlier_factor(df).count() == 0 and learn.isolation_forest(df).count() == 0
+
+
 def test_pca_against_numpy(spark):
     x, df = vectors(spark, 40, 5)
     out, shares = learn.pca(df, 2)
@@ -346,6 +410,18 @@ def test_ids_upserts_and_merges(spark):
     got = {r["title"]: (r["category"], r["version"]) for r in store.incremental_merge(old, new).collect()}
     assert got == {"a": ("z", 4), "b": ("y", 1), "c": ("w", 1)}
     assert len(store.SCHEMAS) == 22
+    rows = lambda n: spark.createDataFrame(n, "id long, x string, m map<string,int>")
+    got = store.upsert(rows([(1, "a", {}), (2, "b", {})]), rows([(2, "c", {"k": 1}), (2, "d", None), (3, "e", {})])).collect()
+    assert sorted((r["id"], r["x"]) for r in got) == [(1, "a"), (2, "d"), (3, "e")]
+
+
+def test_a_run_scope_deletes_what_it_wrote(spark):
+    with scratch(spark) as path:
+        df = written(spark.range(5), "five")
+        assert df.count() == 5 and df.inputFiles()[0].startswith(path.replace("file:///", "file:/")) or path in df.inputFiles()[0]
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    assert not hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+    assert written(spark.range(3), "three").count() == 3
 
 
 def test_query_log(spark):
@@ -428,6 +504,14 @@ def test_sgd_uses_the_new_user_vector():
     assert set(users) == {1} and set(items) == {2}
 
 
+def test_streams_score_actions_as_batches_do(spark, sf):
+    from vectrine.plans import catalog_logs
+
+    rows = lambda df: {(r["event_id"], r["score"]) for r in df.collect()}
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    assert rows(recommender.as_actions(events, catalog_logs.SCORES)) == rows(catalog_logs.actions(spark, sf))
+
+
 def test_stream_sink_does_not_double_a_batch(spark, tmp_path, sf):
     stream = recommender.actions(spark, f"{sf}/event[s].parquet")
     recommender.to_table(stream, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()

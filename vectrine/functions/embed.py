@@ -6,9 +6,12 @@ a model: the same text gives the same vector in every process and in SQL, but it
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +20,8 @@ from vectrine.functions import vectors as V
 
 #: Hexadecimal digits of the digest that make the bucket; the next one gives the sign.
 BUCKET_DIGITS = 4
+#: Bound of a worker's memo of token digests; a full one is emptied.
+MAX_KNOWN = 500_000
 
 
 def token_bucket(token: Column, dimensions: int) -> Column:
@@ -46,6 +51,34 @@ def embed_table(df: DataFrame, id_col: str, text_col: str, dimensions: int) -> D
     return pairs.select("id", V.normalize(dense).alias("embedding"))
 
 
+def embed_terms(forward: DataFrame, dimensions: int) -> DataFrame:
+    """(id, embedding) of (doc_id, terms array<struct<term, tf>>): `embed_table` from terms that are counted already.
+
+    Each row is embedded by itself, without a shuffle. Rows without terms are left out.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, tuple[int, float]] = {}
+        for batch in batches:
+            terms = batch.column(1)
+            flat = terms.flatten()
+            words, tf = flat.field(0).to_pylist(), flat.field(1).to_numpy()
+            if len(known) > MAX_KNOWN:
+                known.clear()
+            for w in set(words) - known.keys():
+                digest = hashlib.md5(w.encode()).hexdigest()
+                known[w] = int(digest[:BUCKET_DIGITS], 16) % dimensions, 1.0 if digest[BUCKET_DIGITS] < "8" else -1.0
+            place = np.array([known[w] for w in words], np.float64).reshape(-1, 2)
+            row = np.repeat(np.arange(batch.num_rows), terms.value_lengths().to_numpy())
+            out = np.zeros((batch.num_rows, dimensions))
+            np.add.at(out, (row, place[:, 0].astype(int)), place[:, 1] * tf)
+            n = np.sqrt((out * out).sum(1, keepdims=True))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(np.divide(out, n, out=out, where=n > 0)), pa.list_(pa.float64()))], ["id", "embedding"])
+
+    kind = forward.schema["doc_id"].dataType.simpleString()
+    return forward.where(F.size("terms") > 0).select("doc_id", "terms").mapInArrow(run, f"id {kind}, embedding array<double>")
+
+
 @dataclass(frozen=True)
 class Provider:
     name: str

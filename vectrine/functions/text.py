@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -57,6 +59,20 @@ def word_tokens(text: Column) -> Column:
     return F.concat(F.regexp_extract_all(low, F.lit("[a-z0-9_]+"), F.lit(0)), cjk)
 
 
+_LATIN_WORD, _CJK_RUN = re.compile("[a-z0-9_]+"), re.compile("[\u4e00-\u9fff]+")
+
+
+def tokens_of(text: str) -> list[str]:
+    """`word_tokens` for one text in Python: where terms are counted within a row, which no expression does in one pass."""
+    low = text.lower()
+    out = _LATIN_WORD.findall(low)
+    if not low.isascii():
+        for run in _CJK_RUN.findall(low):
+            out += [a + b for a, b in zip(run, run[1:], strict=False)]
+            out += run
+    return out
+
+
 def unicode_words(text: Column) -> Column:
     """Lower-case runs of letters, digits and underscores of any script."""
     return F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))

@@ -20,7 +20,7 @@ def doubles(a: Column) -> Column:
 
 def literal(values: Sequence[float]) -> Column:
     """A constant vector, for a query that is already on the driver; no join is needed to compare with it."""
-    return F.array(*[F.lit(float(x)) for x in values])
+    return F.array(*[F.lit(float(x)) for x in values]).cast("array<double>")
 
 
 def _fold(values: Column) -> Column:

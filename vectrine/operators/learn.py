@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from vectrine.functions import vectors as V
 from vectrine.operators import search
+from vectrine.session import written
 
 
 def centroids(df: DataFrame, label_col: str = "label", vector_col: str = "embedding") -> list[tuple[int | str, list[float]]]:
@@ -51,8 +52,14 @@ def accuracy(predicted: DataFrame, label_col: str = "label") -> DataFrame:
 
 
 def profile(df: DataFrame, vector_col: str = "embedding", deviations: float = 2.0) -> tuple[list[float], float, float, float]:
-    """Centre, mean and population deviation of the distances to it, and the threshold mean + deviations * std."""
-    centre = list(search.mean_vectors(df.withColumn("_g", F.lit(0)), "_g", vector_col).first()["centroid"])
+    """Centre, mean and population deviation of the distances to it, and the threshold mean + deviations * std.
+
+    A table without a vector has an empty centre and zeros.
+    """
+    found = search.mean_vectors(df.withColumn("_g", F.lit(0)), "_g", vector_col).first()
+    if found is None:
+        return [], 0.0, 0.0, 0.0
+    centre = list(found["centroid"])
     d = V.euclidean(F.col(vector_col), V.literal(centre))
     row = df.agg(F.avg(d).alias("m"), F.stddev_pop(d).alias("s")).first()
     return centre, row["m"], row["s"], row["m"] + deviations * row["s"]
@@ -95,6 +102,7 @@ def isolation_forest(df: DataFrame, trees: int = 100, sample: int = 256, contami
 
     Each tree's sample is drawn by a hash of the id; the bound does not depend on the table. Scoring is one Arrow pass.
     """
+    df = df.where(F.col(vector_col).isNotNull())
     n = df.count()
     share = min(1.0, trees * sample / max(1, n))
     drawn = df.where(F.pmod(F.xxhash64(id_col, F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30))).select(id_col, V.doubles(F.col(vector_col)).alias("v")).orderBy(id_col).collect()
@@ -138,9 +146,12 @@ def one_class_boundary(df: DataFrame, normal: DataFrame, nu: float = 0.1, featur
     """(vec_id, score, is_anomaly) by a one-class machine on random Fourier features of an RBF kernel.
 
     Fitted on the driver from at most `most` normal vectors (lowest hashes of the id); the kernel's width is one over
-    dimension times variance. Scores under zero are anomalies.
+    dimension times variance. Scores under zero are anomalies. Without a normal vector every score is 0 and nothing
+    is an anomaly.
     """
-    drawn = np.array([r["v"] for r in normal.select(V.doubles(F.col(vector_col)).alias("v"), F.xxhash64(id_col).alias("h")).orderBy("h").limit(most).collect()])
+    drawn = np.array([r["v"] for r in normal.select(V.doubles(F.col(vector_col)).alias("v"), F.xxhash64(id_col).alias("h")).where("v is not null").orderBy("h").limit(most).collect()])
+    if not len(drawn):
+        return df.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias(id_col), F.lit(0.0).alias("score"), F.lit(False).alias("is_anomaly"))
     rng = np.random.default_rng(seed)
     gamma = 1 / (drawn.shape[1] * max(float(drawn.var()), 1e-12))
     w, b = rng.normal(0, np.sqrt(2 * gamma), (drawn.shape[1], features)), rng.uniform(0, 2 * np.pi, features)
@@ -202,24 +213,25 @@ def best_k(df: DataFrame, most: int = 8, **how: object) -> tuple[int, dict[int,
     return max(seen, key=lambda k: seen[k][1]), seen
 
 
-def dbscan(df: DataFrame, eps: float, min_samples: int, id_col: str = "vec_id", vector_col: str = "embedding", checkpoint: str | None = None) -> DataFrame:
+def dbscan(df: DataFrame, eps: float, min_samples: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, cluster): density clusters by L2, -1 for noise; a border point joins its lowest core's cluster.
 
     Pairs within eps come from the block-wise join on unit-free products; core labels spread by joins until nothing
-    changes, each round checkpointed.
+    changes, each round written to the shared folder.
     """
     ids = df.where(F.col(vector_col).isNotNull()).select(F.col(id_col).alias("v"))
     near = within(df, eps, id_col, vector_col)
-    both = near.select("a", "b").union(near.select(F.col("b").alias("a"), F.col("a").alias("b"))).persist()
+    both = near.select("a", "b").union(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = written(both, "near")
     cores = both.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") + 1 >= min_samples).select(F.col("a").alias("v"))
     alone = ids.where(F.lit(min_samples <= 1))
-    cores = cores.union(alone).distinct().persist()
-    edges = both.join(cores.withColumnRenamed("v", "a"), "a", "left_semi").join(cores.withColumnRenamed("v", "b"), "b", "left_semi").persist()
-    labels = cores.withColumn("label", F.col("v")).checkpoint()
+    cores = written(cores.union(alone).distinct(), "cores")
+    edges = written(both.join(cores.withColumnRenamed("v", "a"), "a", "left_semi").join(cores.withColumnRenamed("v", "b"), "b", "left_semi"), "edges")
+    labels = cores.withColumn("label", F.col("v"))
     while True:
         low = edges.join(labels.withColumnRenamed("v", "b"), "b").groupBy(F.col("a").alias("v")).agg(F.min("label").alias("low"))
         moved = labels.join(low, "v", "left").select("v", F.col("label").alias("was"), F.least("label", "low").alias("label"))
-        now = moved.join(moved.select(F.col("v").alias("label"), F.col("label").alias("to")), "label").select("v", "was", F.least("label", "to").alias("label")).checkpoint()
+        now = written(moved.join(moved.select(F.col("v").alias("label"), F.col("label").alias("to")), "label").select("v", "was", F.least("label", "to").alias("label")), "labels")
         if now.where("label <> was").isEmpty():
             break
         labels = now.select("v", "label")
@@ -318,7 +330,8 @@ def cluster_summary(clustered: DataFrame, text_col: str = "text", id_col: str =
 
 def pca(df: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, list[float]]:
     """(id, point) on the first k axes of the centred vectors, and the explained shares. The covariance is aggregated
-    block by block; only its d x d entries reach the driver. Each axis points where its largest entry is positive."""
+    block by block; only its d x d entries reach the driver. Each axis points where its largest entry is positive.
+    Without a vector there are no axes and no rows."""
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, s, c = 0, None, None
@@ -332,6 +345,8 @@ def pca(df: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedd
     src = df.where(F.col(vector_col).isNotNull())
     parts = src.select(V.doubles(F.col(vector_col)).alias("v")).mapInArrow(moments, "n long, s array<double>, c array<double>")
     summed = parts.agg(F.sum("n").alias("n"), *[F.collect_list(x).alias(x) for x in ("s", "c")]).first()
+    if not summed["n"]:
+        return src.select(id_col, F.array().cast("array<double>").alias("point")), []
     n, s = summed["n"], np.sum(np.array(summed["s"]), 0)
     c = np.sum(np.array(summed["c"]), 0).reshape(len(s), len(s))
     mean = s / n

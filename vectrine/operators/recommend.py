@@ -88,7 +88,10 @@ def mixed(content: DataFrame, peers: DataFrame, limit: int = 5, content_weight:
 
 
 def popular(behaviours: DataFrame, limit: int = 10, kinds: tuple[str, ...] = ("view", "like", "purchase")) -> DataFrame:
-    """(item_id, score, n): highest mean score, then most behaviours, then the smaller id."""
+    """(item_id, score, n): highest mean score, then most behaviours, then the smaller id, of the named kinds.
+
+    A log that has its own word for a like names it in kinds.
+    """
     rows = behaviours.where(F.col("event_type").isin(*kinds)).groupBy("item_id").agg(F.avg("score").alias("score"), F.count("*").alias("n"))
     return rows.orderBy(F.desc(F.round("score", 9)), F.desc("n"), "item_id").limit(limit)
 

@@ -40,7 +40,7 @@ def vector_of(df: DataFrame, item: int | str, id_col: str = "vec_id", vector_col
 
 def scored(df: DataFrame, query: list[float], metric: str = "cosine", vector_col: str = "embedding") -> DataFrame:
     """df with its score against the query; rows without a vector are left out."""
-    return df.where(F.col(vector_col).isNotNull()).withColumn("score", METRICS[metric](F.col(vector_col), V.literal(query)))
+    return df.where(F.col(vector_col).isNotNull()).withColumn("score", METRICS[_known(metric)](F.col(vector_col), V.literal(query)))
 
 
 def topk(df: DataFrame, query: list[float], k: int = 5, metric: str = "cosine", threshold: float | None = None, where: Column | None = None, exclude: int | str | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -96,13 +96,29 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
 
-def _scores(metric: str, q: np.ndarray, v: np.ndarray) -> np.ndarray:
-    if metric == "cosine":
-        return _unit(q) @ _unit(v).T
-    if metric == "ip":
-        return q @ v.T
-    d = np.maximum((q * q).sum(1)[:, None] - 2 * q @ v.T + (v * v).sum(1)[None, :], 0)
-    return 1 / (1 + (np.sqrt(d) if metric == "l2" else d))
+def _squared(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return np.maximum((q * q).sum(1)[:, None] - 2 * q @ v.T + (v * v).sum(1)[None, :], 0)
+
+
+def _smoothed(q: np.ndarray, v: np.ndarray) -> np.ndarray:
+    return (q @ v.T) / (np.sqrt((q * q).sum(1))[:, None] * np.sqrt((v * v).sum(1))[None, :] + V.EPSILON)
+
+
+#: The metrics over blocks: all scores of queries (rows) and vectors (rows).
+BLOCK_METRICS: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {
+    "cosine": lambda q, v: _unit(q) @ _unit(v).T,
+    "cosine_smoothed": _smoothed,
+    "ip": lambda q, v: q @ v.T,
+    "l2": lambda q, v: 1 / (1 + np.sqrt(_squared(q, v))),
+    "squared_l2": lambda q, v: 1 / (1 + _squared(q, v)),
+    "l1": lambda q, v: np.stack([1 / (1 + np.abs(v - x).sum(1)) for x in q]),
+}
+
+
+def _known(metric: str) -> str:
+    if metric not in METRICS:
+        raise ValueError(f"no metric {metric!r}; known: {sorted(METRICS)}")
+    return metric
 
 
 def _cut(a: np.ndarray, ids: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -120,54 +136,89 @@ def _cut(a: np.ndarray, ids: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndar
 
 
 def knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine", exclude_self: bool = True, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, vec_id, score, rank): each query's k best of all vectors.
+    """(query_id, vec_id, score, rank): each query's k best of all vectors by one of METRICS; others are refused.
 
     Query blocks are dealt over groups of vector blocks by an equi-join, so neither side is broadcast; a task keeps a
     query's best rows over all blocks it reads (of `HELD` queries at a time), and ranks are taken over those.
     """
-    groups = max(1, int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return _block_best(packed(queries, id_col, vector_col), packed(vectors, id_col, vector_col), groups, k, metric, exclude_self)
+    return _block_best(packed(queries, id_col, vector_col), packed(vectors, id_col, vector_col), _groups(queries), k, metric, exclude_self)
+
+
+def knn_by_list(queries: DataFrame, vectors: DataFrame, k: int, list_col: str, metric: str = "cosine", exclude_self: bool = False, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(query_id, list, vec_id, score, rank): each query's k best within every list of the vectors (a long), in one
+    pass over the vectors however many lists there are."""
+    return _block_best(packed(queries, id_col, vector_col), packed(vectors, id_col, vector_col, list_col=list_col), _groups(queries), k, metric, exclude_self, by_list=True)
+
+
+def _groups(df: DataFrame) -> int:
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def _block_best(queries: DataFrame, vectors: DataFrame, groups: int, k: int, metric: str, exclude_self: bool) -> DataFrame:
-    """The k best of each query among the packed vectors of its lists, whose blocks are dealt over so many groups."""
-    q = queries.select("dim", "list", F.col("ids").alias("qids"), F.col("data").alias("qdata"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
+def _meeting(queries: DataFrame, vectors: DataFrame, groups: int, keys: list[str]) -> DataFrame:
+    """(dim, ids, data, qids, qdata, list): each query block beside each vector block of the same keys; vector blocks are
+    dealt over so many groups, query blocks are in every group."""
+    q = queries.select(*keys, F.col("ids").alias("qids"), F.col("data").alias("qdata"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("g"))
     v = vectors.withColumn("g", F.pmod(F.xxhash64("ids"), F.lit(groups)).cast("int"))
+    return v.join(q, [*keys, "g"]).select("dim", "ids", "data", "qids", "qdata", "list")
+
+
+def _block_best(queries: DataFrame, vectors: DataFrame, groups: int, k: int, metric: str, exclude_self: bool, by_list: bool = False) -> DataFrame:
+    """The k best of each query among the packed vectors of its lists, whose blocks are dealt over so many groups; with
+    by_list the k best of each list, for every query."""
+    scores = BLOCK_METRICS[_known(metric)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best: dict[bytes, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        best: dict[tuple[bytes, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         held = 0
 
         def out() -> Iterator[pa.RecordBatch]:
-            for qids, (a, vid, s) in best.items():
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(qids, "<i8")[a]), pa.array(vid), pa.array(s)], ["query_id", "vec_id", "score"])
+            for (qids, own), (a, vid, s) in best.items():
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(qids, "<i8")[a]), pa.array(vid), pa.array(s), pa.array(np.full(len(a), own))], ["query_id", "vec_id", "score", "list"])
             best.clear()
 
         for batch in batches:
             for row in range(batch.num_rows):
-                dim, ids, data, qids, qdata = (batch.column(c)[row].as_py() for c in range(5))
+                dim, ids, data, qids, qdata, own = (batch.column(c)[row].as_py() for c in range(6))
                 (vid, x), (qid, y) = _block(dim, ids, data), _block(dim, qids, qdata)
-                s = _scores(metric, y, x)
+                s = scores(y, x)
                 if exclude_self:
                     s[qid[:, None] == vid[None, :]] = -np.inf
                 n = min(k, s.shape[1])
                 kth = np.partition(s, s.shape[1] - n, axis=1)[:, s.shape[1] - n, None]
                 a, b = np.nonzero((s >= kth - 1e-12) & np.isfinite(s))
                 found = a, vid[b], s[a, b]
-                if qids in best:
-                    found = tuple(map(np.concatenate, zip(best[qids], found, strict=True)))
+                key = qids, own if by_list else 0
+                if key in best:
+                    found = tuple(map(np.concatenate, zip(best[key], found, strict=True)))
                 elif held + len(qid) > HELD:
                     yield from out()
                     held = len(qid)
                 else:
                     held += len(qid)
-                best[qids] = _cut(*found, k)
+                best[key] = _cut(*found, k)
         yield from out()
 
-    pairs = v.join(q, ["dim", "list", "g"]).select("dim", "ids", "data", "qids", "qdata")
-    best = pairs.mapInArrow(run, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "vec_id")
-    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    pairs = _meeting(queries, vectors, groups, ["dim"] if by_list else ["dim", "list"])
+    best = pairs.mapInArrow(run, "query_id long, vec_id long, score double, list long")
+    names = ["query_id", "list"] if by_list else ["query_id"]
+    order = Window.partitionBy(*names).orderBy(F.desc(F.round("score", 9)), "vec_id")
+    return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(*names, "vec_id", "score", "rank")
+
+
+def score_bounds(queries: DataFrame, vectors: DataFrame, metric: str = "cosine", id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(query_id, lo, hi): the least and the highest score of each query among all vectors; a row a block leaves a task."""
+    scores = BLOCK_METRICS[_known(metric)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                dim, ids, data, qids, qdata = (batch.column(c)[row].as_py() for c in range(5))
+                (_, x), (qid, y) = _block(dim, ids, data), _block(dim, qids, qdata)
+                s = scores(y, x)
+                yield pa.RecordBatch.from_arrays([pa.array(qid), pa.array(s.min(1)), pa.array(s.max(1))], ["query_id", "lo", "hi"])
+
+    pairs = _meeting(packed(queries, id_col, vector_col), packed(vectors, id_col, vector_col), _groups(queries), ["dim", "list"])
+    return pairs.mapInArrow(run, "query_id long, lo double, hi double").groupBy("query_id").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
 
 
 def similar_pairs(df: DataFrame, threshold: float, strict: bool = False, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:

@@ -2,30 +2,70 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectrine.functions import text as T
+from vectrine.session import spread, written
+
+
+#: Parts that the postings of a term are dealt over, so that those of a stop word are not one task's.
+SALTS = 16
+#: Terms of queries, counted over all of them, that are sent to every task at most; about 30 MB.
+BROADCAST_ROWS = 500_000
 
 
 @dataclass(frozen=True)
 class SparseIndex:
-    """postings (doc_id, term, tf, dl), terms (term, df), corpus of one row (n_docs, avgdl), and docs (doc_id)."""
+    """forward: one row a document, (doc_id, dl, terms array<struct<term, tf>>), in the shared folder.
+
+    Everything else is read from it: postings (doc_id, dl, term, tf), terms (term, df), corpus of one row (n_docs,
+    avgdl), and docs (doc_id). Postings that only a few terms ask for are filtered before any row moves.
+    """
+
+    forward: DataFrame
+
+    @property
+    def postings(self) -> DataFrame:
+        return self.forward.select("doc_id", "dl", F.inline("terms"))
+
+    @property
+    def terms(self) -> DataFrame:
+        return self.postings.groupBy("term").agg(F.count("*").alias("df"))
+
+    @property
+    def corpus(self) -> DataFrame:
+        return self.forward.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl"))
 
-    postings: DataFrame
-    terms: DataFrame
-    corpus: DataFrame
-    docs: DataFrame
+    @property
+    def docs(self) -> DataFrame:
+        return self.forward.select("doc_id")
 
 
 def build_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> SparseIndex:
-    """Null texts are documents without terms; they count in the corpus."""
-    tokens = df.select(F.col(id_col).alias("doc_id"), T.word_tokens(F.coalesce(F.col(text_col), F.lit(""))).alias("tokens"))
-    lengths = tokens.select("doc_id", F.size("tokens").alias("dl"))
-    tf = tokens.select("doc_id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
-    return SparseIndex(tf, tf.groupBy("term").agg(F.count("*").alias("df")), lengths.agg(F.count("*").alias("n_docs"), F.avg("dl").alias("avgdl")), lengths.select("doc_id"))
+    """Tokenises every text once, counts its terms within its row, without a shuffle, and writes the result.
+
+    Null texts are documents without terms; they count in the corpus. Rows that repeat an id are documents of their own.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                texts = part.column(1).to_pylist()
+                counts = [Counter(T.tokens_of(x)) if x else {} for x in texts]
+                terms = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, counts)]), pa.int32()), pa.StructArray.from_arrays([pa.array([t for c in counts for t in c], pa.string()), pa.array([n for c in counts for n in c.values()], pa.int64())], ["term", "tf"]))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([sum(c.values()) for c in counts], pa.int32()), terms], ["doc_id", "dl", "terms"])
+
+    kind = df.schema[id_col].dataType.simpleString()
+    rows = spread(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")))
+    return SparseIndex(written(rows.mapInArrow(run, f"doc_id {kind}, dl int, terms array<struct<term:string,tf:bigint>>"), "index"))
 
 
 def idf(n_docs: Column, df: Column) -> Column:
@@ -38,16 +78,38 @@ def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "t
 
 
 def bm25(index: SparseIndex, queries: DataFrame, k1: float = 1.5, b: float = 0.75, id_col: str = "query_id", text_col: str = "text") -> DataFrame:
-    """(query_id, doc_id, score) of the documents that share a term with the query; all others score 0.
+    """(query_id, doc_id, score) of the documents that share a term with the query; all others score 0 (`filled`).
 
-    Terms meet postings by an equi-join on the term; the corpus row and the document frequencies ride along with the
-    query's terms, which are few.
+    The queries' terms with their weights are a written table, of counted size. Up to BROADCAST_ROWS they go to the
+    documents, so that a document's terms are summed where it lies and only scores move; more of them meet the
+    postings by an equi-join on term and salt. Either way only postings of those terms are unfolded into rows.
     """
     row = index.corpus.first()
     n, avgdl = float(row["n_docs"]), float(row["avgdl"] or 0) or 1.0
-    terms = query_terms(queries, id_col, text_col).join(index.terms, "term").withColumn("idf", idf(F.lit(n), F.col("df")))
-    weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
-    return index.postings.join(terms, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("times") * F.col("idf") * weight).alias("score"))
+    asked = query_terms(queries, id_col, text_col)
+    postings = index.postings.join(asked.select("term").distinct(), "term", "left_semi")
+    weight = F.col("times") * idf(F.lit(n), F.col("df"))
+    terms = written(asked.join(postings.groupBy("term").agg(F.count("*").alias("df")), "term").select("term", "query_id", weight.alias("weight")), "terms")
+    part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
+    if terms.count() <= BROADCAST_ROWS:
+        joined = index.postings.select("term", "doc_id", part.alias("part")).join(F.broadcast(terms), "term")
+    else:
+        salted = postings.select("term", "doc_id", part.alias("part"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+        joined = salted.join(terms.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["term", "salt"])
+    return joined.groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("part")).alias("score"))
+
+
+def filled(scores: DataFrame, index: SparseIndex, queries: DataFrame, k: int, id_col: str = "query_id") -> DataFrame:
+    """(query_id, doc_id, score, rank): each query's k best documents, those that share no term with it at score 0.
+
+    Fewer than k documents score for a query that needs any, so the 2 k smallest ids hold all it may get: a constant.
+    """
+    first = [r["doc_id"] for r in index.docs.where("doc_id is not null").distinct().orderBy("doc_id").limit(2 * k).collect()]
+    best = ranked(scores, k).drop("rank")
+    if not first:
+        return ranked(best, k)
+    zero = queries.select(F.col(id_col).alias("query_id")).distinct().select("query_id", F.explode(F.array(*[F.lit(x).cast(scores.schema["doc_id"].dataType) for x in first])).alias("doc_id"), F.lit(0.0).alias("score"))
+    return ranked(best.unionByName(zero.join(best, ["query_id", "doc_id"], "left_anti")), k)
 
 
 def ranked(scores: DataFrame, k: int | None = None, by: str = "score", digits: int = 9) -> DataFrame:
@@ -65,13 +127,20 @@ def fuse_ranks(lists: list[DataFrame], k: int, constant: int = 60, fetch: int =
     return ranked(union.groupBy("query_id", "doc_id").agg(F.sum("part").alias("score")), k)
 
 
-def fuse_weighted(sparse: DataFrame, dense: DataFrame, k: int, alpha: float = 0.5, epsilon: float = 1e-10) -> DataFrame:
-    """alpha * dense + (1 - alpha) * sparse after min-max scaling over each query's rows; dense must hold them all."""
-    both = dense.select("query_id", "doc_id", F.col("score").alias("d")).join(sparse.select("query_id", "doc_id", F.col("score").alias("s")), ["query_id", "doc_id"], "left").fillna(0.0, ["s"])
-    bounds = both.groupBy("query_id").agg(*[f(x).alias(f"{n}_{x}") for x in ("d", "s") for n, f in (("lo", F.min), ("hi", F.max))])
-    scaled = lambda x: (F.col(x) - F.col(f"lo_{x}")) / (F.col(f"hi_{x}") - F.col(f"lo_{x}") + F.lit(epsilon))
-    out = both.join(bounds, "query_id").select("query_id", "doc_id", (alpha * scaled("d") + (1 - alpha) * scaled("s")).alias("score"))
-    return ranked(out, k)
+def fuse_weighted(sparse: DataFrame, dense: DataFrame, k: int, alpha: float = 0.5, epsilon: float = 1e-10, n_docs: int | None = None) -> DataFrame:
+    """alpha * dense + (1 - alpha) * sparse after min-max scaling over each query's rows.
+
+    dense needs (query_id, doc_id, score, lo, hi): each query's k best documents and all that have a sparse score,
+    with the least and the highest dense score of all documents. A document without a sparse score cannot be among the
+    k best unless it is among the k best dense ones, so no others are needed. n_docs tells whether some document has
+    no sparse score, whose least is then 0.
+    """
+    both = dense.select("query_id", "doc_id", F.col("score").alias("d"), "lo", "hi").join(sparse.select("query_id", "doc_id", F.col("score").alias("s")), ["query_id", "doc_id"], "left").fillna(0.0, ["s"])
+    of = sparse.groupBy("query_id").agg(F.min("score").alias("least"), F.max("score").alias("hi_s"), F.count("*").alias("n"))
+    of = of.select("query_id", "hi_s", F.when(F.col("n") < F.lit(n_docs if n_docs is not None else 1 << 62), 0.0).otherwise(F.col("least")).alias("lo_s"))
+    joined = both.join(of, "query_id", "left").fillna(0.0, ["hi_s", "lo_s"])
+    d, s = (F.col("d") - F.col("lo")) / (F.col("hi") - F.col("lo") + F.lit(epsilon)), (F.col("s") - F.col("lo_s")) / (F.col("hi_s") - F.col("lo_s") + F.lit(epsilon))
+    return ranked(joined.select("query_id", "doc_id", (alpha * d + (1 - alpha) * s).alias("score")), k)
 
 
 def fuse_first_seen(first: DataFrame, second: DataFrame, k: int) -> DataFrame:

@@ -5,10 +5,12 @@ Counters are never updated in place: events are appended and counted when read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vectrine.session import written
+
 
 def _table(*fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(n, t) for n, t in fields])
@@ -43,9 +45,12 @@ SCHEMAS: dict[str, T.StructType] = {
 }
 
 
-def with_ids(rows: DataFrame, after: int = 0, id_col: str = "id", order: str | None = None) -> DataFrame:
-    """rows with ids from after + 1 on, without a gap, in two passes: counts by partition, then places within it."""
-    parts = rows.withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()).persist()
+def with_ids(rows: DataFrame, after: int = 0, id_col: str = "id") -> DataFrame:
+    """rows with ids from after + 1 on, without a gap, in two passes: counts by partition, then places within it.
+
+    The rows are written with their places first, so a lost executor or another layout of tasks cannot move an id.
+    """
+    parts = written(rows.withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()), "ids")
     counts = parts.groupBy("_p").agg(F.count("*").alias("_n"), F.min("_m").alias("_lo"))
     before = {r["_p"]: (r["_n"], r["_lo"]) for r in counts.collect()}  # a row for each partition
     at, start = after, {}
@@ -59,9 +64,12 @@ def with_ids(rows: DataFrame, after: int = 0, id_col: str = "id", order: str | N
 
 
 def upsert(old: DataFrame, new: DataFrame, key: str | list[str] = "id") -> DataFrame:
-    """new rows replace old ones of their key; both must have the same columns. The last of repeated new rows is not
-    defined, so give each key once."""
-    return old.join(new, key, "left_anti").unionByName(new)
+    """new rows replace old ones of their key; both must have the same columns. Of new rows that repeat a key the
+    largest by the JSON text of its other columns comes in, whatever the order they are read in."""
+    keys = [key] if isinstance(key, str) else key
+    rest = [c for c in new.columns if c not in keys]
+    once = new.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.to_json(F.struct(*rest))).alias("_r")).select(*keys, "_r.*") if rest else new.distinct()
+    return old.join(once, keys, "left_anti").unionByName(once)
 
 
 def incremental_merge(old: DataFrame, new: DataFrame, keys: tuple[str, str] = ("title", "content"), updated: tuple[str, ...] = ("category",)) -> DataFrame:
@@ -106,7 +114,3 @@ def reads_back(df: DataFrame, path: str) -> DataFrame:
     """Writes an index and reads it again; Parquet keeps vectors and metadata as they are."""
     overwrite(df, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def latest_position(df: DataFrame, key: str, order: Column) -> DataFrame:
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order)))

@@ -107,9 +107,6 @@ def cluster_ward(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def cluster_density(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from vectrine.plans.catalog_logs import checkpointed
-
-    checkpointed(spark)
     return learn.dbscan(vectors(spark, sf_dir), 1.1, 3)
 
 

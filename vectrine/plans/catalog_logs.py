@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,8 +14,9 @@ from vectrine.session import table
 from vectrine.sources import files
 from vectrine.streaming import recommender
 
-#: Clicks stand for likes and errors for skips.
+#: Clicks stand for likes and errors for skips, in batches and streams alike.
 SCORES = {"view": 1.0, "click": 3.0, "purchase": 5.0, "error": -1.0}
+ENGAGED = ("view", "click", "purchase")
 A_SQL = "a AS (SELECT event_id, ts, user_id, CAST(json_extract(props, '$.k') AS BIGINT) AS item_id, event_type, value, CASE event_type WHEN 'view' THEN 1.0 WHEN 'click' THEN 3.0 WHEN 'purchase' THEN 5.0 WHEN 'error' THEN -1.0 ELSE 1.0 END::DOUBLE AS score FROM events)"
 
 
@@ -24,17 +24,6 @@ def r6(c: str) -> object:
     return F.round(c, 6).alias(c)
 
 
-def checkpointed(spark: SparkSession) -> str:
-    """The shared folder that spark.checkpoint.dir names; one of our own where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        at = spark.sparkContext._jsc.sc().getCheckpointDir()
-        folder = at.get() if at.isDefined() else "file://" + tempfile.mkdtemp(prefix="vectrine-")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
 def actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     return e.select("event_id", "ts", "user_id", F.get_json_object("props", "$.k").cast("long").alias("item_id"), "event_type", "value", recommend.action_score(F.col("event_type"), SCORES).alias("score"))
@@ -89,12 +78,12 @@ def rec_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recommend.mixed(content, recommend.collaborative(rated(spark, sf_dir))).select("user_id", "item_id", r6("score"), "rank")
 
 
-_POPULAR = f"{A_SQL}, po AS (SELECT item_id, avg(score) AS score, count(*) AS n FROM a WHERE event_type IN ('view', 'like', 'purchase') GROUP BY item_id ORDER BY round(avg(score), 9) DESC, count(*) DESC, item_id LIMIT 10)"
+_POPULAR = f"{A_SQL}, po AS (SELECT item_id, avg(score) AS score, count(*) AS n FROM a WHERE event_type IN ('view', 'click', 'purchase') GROUP BY item_id ORDER BY round(avg(score), 9) DESC, count(*) DESC, item_id LIMIT 10)"
 
 
 @query(f"WITH {_POPULAR} SELECT item_id, round(score, 6) AS score, CAST(n AS BIGINT) AS n FROM po")
 def rec_popular(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recommend.popular(actions(spark, sf_dir)).select("item_id", r6("score"), "n")
+    return recommend.popular(actions(spark, sf_dir), kinds=ENGAGED).select("item_id", r6("score"), "n")
 
 
 @query(f"WITH {_POPULAR}, cu AS (SELECT DISTINCT c_custkey AS user_id FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)) SELECT user_id, item_id, round(score, 6) AS score, 'popular' AS reason, false AS real_time FROM cu, po")
@@ -102,7 +91,7 @@ def rec_cold_start(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers without any event are the new users."""
     users = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("user_id"))
     a = actions(spark, sf_dir)
-    return recommend.cold_start(users, a, recommend.popular(a)).select("user_id", "item_id", r6("score"), "reason", "real_time")
+    return recommend.cold_start(users, a, recommend.popular(a, kinds=ENGAGED)).select("user_id", "item_id", r6("score"), "reason", "real_time")
 
 
 @query(f"WITH {A_SQL}, c AS (SELECT user_id, event_type, count(*) AS n FROM a GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS r FROM c) SELECT user_id, event_type, CAST(n AS BIGINT) AS n, 'based on your ' || event_type || ' history' AS reason FROM r WHERE r = 1")
@@ -121,7 +110,7 @@ def rec_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def rec_experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = actions(spark, sf_dir)
     requests = a.select("user_id", F.when(F.col("user_id") % 2 == 0, "A").otherwise("B").alias("test_group")).distinct()
-    return recommend.experiment(requests, recommend.collaborative(rated(spark, sf_dir)), recommend.popular(a)).select("user_id", "item_id", r6("score"), "test_group")
+    return recommend.experiment(requests, recommend.collaborative(rated(spark, sf_dir)), recommend.popular(a, kinds=ENGAGED)).select("user_id", "item_id", r6("score"), "test_group")
 
 
 @query("SELECT CASE WHEN user_id % 2 = 0 THEN 'A' ELSE 'B' END AS test_group, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (event_type = 'click') AS BIGINT) AS clicks, round(count(*) FILTER (event_type = 'click') / count(*), 6) AS rate FROM events GROUP BY 1")
@@ -223,7 +212,7 @@ def source_template_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The path is a pattern, which a stream reads whether the table is one file or a folder."""
-    return recommender.actions(spark, f"{sf_dir}/event[s].parquet")
+    return recommender.actions(spark, f"{sf_dir}/event[s].parquet", scores=SCORES)
 
 
 def _name(tag: str) -> str:

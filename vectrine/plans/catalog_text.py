@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from vectrine.catalog import query
 from vectrine.functions import embed
 from vectrine.functions import text as T
+from vectrine.functions import vectors as V
 from vectrine.operators import analytics, chunking, rerank, search, sparse
 from vectrine.plans import rag
-from vectrine.session import table
+from vectrine.session import spread, table, written
 
 DIMENSIONS = 64
 PHRASE = "the of and"
@@ -21,7 +22,7 @@ def r6(c: str) -> object:
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,8 +106,6 @@ def text_phrase_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
 s AS (SELECT doc_id, len(list_intersect(w, ['the', 'of', 'and'])) / 3.0 AS s, len(list_intersect(w, ['the', 'of', 'and'])) / (len(w) + 3.0 - len(list_intersect(w, ['the', 'of', 'and']))) AS j FROM w)
 SELECT doc_id, round(CAST(s AS DOUBLE), 6) AS overlap, round(CAST(j AS DOUBLE), 6) AS jaccard FROM s""")
 def text_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from vectrine.functions import vectors as V
-
     q = F.lit(PHRASE)
     return docs(spark, sf_dir).select("doc_id", F.round(T.overlap(q, F.col("text")), 6).alias("overlap"), F.round(V.jaccard(T.blank_words(q), T.blank_words(F.col("text"))), 6).alias("jaccard"))
 
@@ -187,6 +186,17 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sparse.ranked(scores, 5).select("query_id", "doc_id", r6("score"), "rank")
 
 
+_RARE = "(VALUES (0, 'akia qqzzx'), (1, 'qqzzx qqzzy'), (2, 'the akia')) AS q(item_id, text)"
+
+
+@query(f"WITH {_BM25.replace('FROM benchmark', 'FROM ' + _RARE)}, z AS (SELECT item_id AS query_id, doc_id, coalesce(s, 0) AS s FROM {_RARE} CROSS JOIN (SELECT doc_id FROM documents) LEFT JOIN b ON b.query_id = item_id AND b.doc_id = documents.doc_id), zr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, doc_id) AS r FROM z) SELECT CAST(query_id AS BIGINT) AS query_id, doc_id, round(s, 6) AS score, CAST(r AS INTEGER) AS rank FROM zr WHERE r <= 5".replace("(SELECT doc_id FROM documents)", "documents").replace("query_id, doc_id, coalesce", "query_id, documents.doc_id AS doc_id, coalesce"))
+def bm25_rare_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries that few documents match, or none: the five best hold documents of score 0."""
+    asked = spark.createDataFrame([(0, "akia qqzzx"), (1, "qqzzx qqzzy"), (2, "the akia")], "query_id long, text string")
+    index = sparse.build_index(docs(spark, sf_dir))
+    return sparse.filled(sparse.bm25(index, asked), index, asked, 5).select("query_id", "doc_id", r6("score"), "rank")
+
+
 @query(f"WITH {_BM25} SELECT CAST(n AS BIGINT) AS n_docs, round(avgdl, 6) AS avgdl, CAST((SELECT count(*) FROM df) AS BIGINT) AS n_terms, CAST((SELECT count(*) FROM tf) AS BIGINT) AS n_postings, CAST((SELECT max(df) FROM df) AS BIGINT) AS max_df FROM c")
 def bm25_index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = sparse.build_index(docs(spark, sf_dir))
@@ -195,13 +205,12 @@ def bm25_index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.select("n_docs", r6("avgdl"), "n_terms", "n_postings", "max_df")
 
 
-def legs(spark: SparkSession, sf_dir: str, k: int | None) -> tuple[DataFrame, DataFrame]:
-    """Sparse scores, and dense ones by hashed embeddings; the dense leg's k best, or all of them."""
-    d, q = docs(spark, sf_dir), questions(spark, sf_dir)
-    index = embed.embed_table(d, "doc_id", "text", DIMENSIONS)
+def legs(spark: SparkSession, sf_dir: str, k: int) -> tuple[DataFrame, DataFrame]:
+    """Sparse scores and the k best dense ones by hashed embeddings, both from one tokenised pass over the documents."""
+    index, q = sparse.build_index(docs(spark, sf_dir)), questions(spark, sf_dir)
     asked = embed.embed_table(q, "query_id", "text", DIMENSIONS)
-    near = search.knn(asked, index, k or index.count(), exclude_self=False, id_col="id")
-    return sparse.bm25(sparse.build_index(d), q), near.select("query_id", F.col("vec_id").alias("doc_id"), "score")
+    near = search.knn(asked, embed.embed_terms(index.forward, DIMENSIONS), k, exclude_self=False, id_col="id")
+    return sparse.bm25(index, q), near.select("query_id", F.col("vec_id").alias("doc_id"), "score")
 
 
 @query(f"WITH {_BM25}, {_DENSE}, u AS (SELECT query_id, doc_id, 1.0 / (60 + r) AS p FROM br WHERE r <= 10 UNION ALL SELECT query_id, doc_id, 1.0 / (60 + r) FROM dr WHERE r <= 10), f AS (SELECT query_id, doc_id, CAST(sum(p) AS DOUBLE) AS s FROM u GROUP BY query_id, doc_id), g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, doc_id) AS rank FROM f) SELECT query_id, doc_id, round(s, 6) AS score, CAST(rank AS INTEGER) AS rank FROM g WHERE rank <= 5")
@@ -211,8 +220,17 @@ def hybrid_rrf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_BM25}, {_DENSE}, a AS (SELECT d.query_id, d.doc_id, d.s AS d, coalesce(b.s, 0) AS s FROM d LEFT JOIN b USING (query_id, doc_id)), m AS (SELECT query_id, min(d) AS dl, max(d) AS dh, min(s) AS sl, max(s) AS sh FROM a GROUP BY query_id), f AS (SELECT query_id, doc_id, 0.5 * (d - dl) / (dh - dl + 1e-10) + 0.5 * (s - sl) / (sh - sl + 1e-10) AS s FROM a JOIN m USING (query_id)), g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, doc_id) AS rank FROM f) SELECT query_id, doc_id, round(s, 6) AS score, CAST(rank AS INTEGER) AS rank FROM g WHERE rank <= 5")
 def hybrid_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a, b = legs(spark, sf_dir, None)
-    return sparse.fuse_weighted(a, b, 5).select("query_id", "doc_id", r6("score"), "rank")
+    """Dense scores of the documents that a term or the five best vectors bring; the scale comes from all documents."""
+    index, q = sparse.build_index(docs(spark, sf_dir)), questions(spark, sf_dir)
+    vectors = written(embed.embed_terms(index.forward, DIMENSIONS), "vectors")
+    asked = embed.embed_table(q, "query_id", "text", DIMENSIONS)
+    scores = sparse.bm25(index, q)
+    near = search.knn(asked, vectors, 5, exclude_self=False, id_col="id").select("query_id", F.col("vec_id").alias("doc_id"))
+    wanted = scores.select("query_id", "doc_id").union(near).distinct()
+    cosine = F.greatest(F.lit(-1.0), V.dot(F.col("q"), F.col("v")))
+    dense = wanted.join(vectors.select(F.col("id").alias("doc_id"), F.col("embedding").alias("v")), "doc_id").join(asked.select(F.col("id").alias("query_id"), F.col("embedding").alias("q")), "query_id")
+    dense = dense.select("query_id", "doc_id", cosine.alias("score")).join(search.score_bounds(asked, vectors, id_col="id"), "query_id")
+    return sparse.fuse_weighted(scores, dense, 5, n_docs=vectors.count()).select("query_id", "doc_id", r6("score"), "rank")
 
 
 @query(f"WITH {_BM25}, {_DENSE}, u AS (SELECT query_id, doc_id, s, 0 AS l FROM br WHERE r <= 5 UNION ALL SELECT query_id, doc_id, s, 1 FROM dr WHERE r <= 5), f AS (SELECT query_id, doc_id, arg_min(s, l) AS s FROM u GROUP BY query_id, doc_id), g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, doc_id) AS rank FROM f) SELECT query_id, doc_id, round(s, 6) AS score, CAST(rank AS INTEGER) AS rank FROM g WHERE rank <= 5")
@@ -223,15 +241,13 @@ def hybrid_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_DENSE}, l AS (SELECT query_id, doc_id, s, lang, row_number() OVER (PARTITION BY query_id, lang ORDER BY round(s, 9) DESC, doc_id) AS r FROM d JOIN documents USING (doc_id)) SELECT query_id, lang, doc_id, round(s, 6) AS score FROM l WHERE r = 1")
 def search_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each query's best document in each language; the language is a filter before scoring."""
+    """Each query's best document in each language; the language is part of the block's key, not a pass of its own."""
     d = docs(spark, sf_dir)
-    index = embed.embed_table(d, "doc_id", "text", DIMENSIONS).join(d.select(F.col("doc_id").alias("id"), "lang"), "id").persist()
+    key = F.xxhash64("lang").alias("list")
+    index = embed.embed_table(d, "doc_id", "text", DIMENSIONS).join(d.select(F.col("doc_id").alias("id"), key), "id")
     asked = embed.embed_table(questions(spark, sf_dir), "query_id", "text", DIMENSIONS)
-    out = None
-    for lang in sorted(r["lang"] for r in d.select("lang").distinct().collect()):
-        one = search.knn(asked, index.where(F.col("lang") == lang), 1, exclude_self=False, id_col="id").select("query_id", F.lit(lang).alias("lang"), F.col("vec_id").alias("doc_id"), r6("score"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    best = search.knn_by_list(asked, index, 1, "list", id_col="id")
+    return best.join(d.select("lang", key).distinct(), "list").select("query_id", "lang", F.col("vec_id").alias("doc_id"), r6("score"))
 
 
 _FOUND = f"{_BM25}, f AS (SELECT query_id, doc_id, s, r, source, text, b2.text AS question FROM br JOIN documents d USING (doc_id) JOIN (SELECT item_id AS query_id, text FROM benchmark) b2 USING (query_id) WHERE r <= 10)".replace("source, text, b2.text", "source, d.text AS text, b2.text")
@@ -294,7 +310,7 @@ def engine_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = docs(spark, sf_dir)
     index = embed.embed_table(d, "doc_id", "text", DIMENSIONS).join(d.select(F.col("doc_id").alias("id"), "text"), "id")
     q = list(index.orderBy("id").first()["embedding"])
-    found = search.topk(index, q, 50, id_col="id").withColumnRenamed("id", "doc_id").persist()
+    found = written(search.topk(index, q, 50, id_col="id").withColumnRenamed("id", "doc_id"), "found")
     return learn.cluster_results(found)
 
 

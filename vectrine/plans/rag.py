@@ -45,7 +45,7 @@ def prompt(context: Column, question: Column) -> Column:
 
 def extract_answer(context: Column, question: Column) -> Column:
     """The default generator, in place of a language model: the first content line of the best source."""
-    return F.coalesce(F.element_at(F.split(context, "\n"), 2), F.lit(REFUSAL)) if question is not None else context
+    return F.coalesce(F.try_element_at(F.split(context, "\n"), F.lit(2)), F.lit(REFUSAL))
 
 
 @dataclass

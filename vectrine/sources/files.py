@@ -101,10 +101,6 @@ def template_corpus(spark: SparkSession, category: str, n: int, noise: bool = Tr
     return main.unionByName(spark.range(n, n + max(1, n // 5)).select("id", pick(other, 4).alias("text"), F.lit("noise").alias("category"), F.lit(True).alias("is_noise")))
 
 
-def safe_name(name: str) -> str:
-    return re.sub(r"[^A-Za-z0-9_.-]", "_", name)
-
-
 def write_lines(df: DataFrame, path: str, text_col: str = "text") -> None:
     df.select(F.col(text_col).alias("value")).write.mode("overwrite").text(path)
 

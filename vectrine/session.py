@@ -57,7 +57,7 @@ def spread(df: DataFrame) -> DataFrame:
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < SMALL_BYTES_A_CORE * cores else df
+    return df.repartition(cores) if size < SMALL_BYTES_A_CORE * cores and len(df.inputFiles()) < cores else df
 
 
 _SCOPE: ContextVar[str | None] = ContextVar("vectrine_scope", default=None)

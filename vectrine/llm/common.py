@@ -7,48 +7,24 @@ only the columns its docstring lists. Extra input columns are therefore ignored,
 from __future__ import annotations
 
 import gc
-import tempfile
 import time
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Internal names, chosen so that they meet no output column.
-ID, TEXT = "doc_id", "text"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors and the driver see: spark.checkpoint.dir, or one of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        at = spark.sparkContext._jsc.sc().getCheckpointDir()
-        found = at.get() if at.isDefined() else None
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="vectrine-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def work_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/vectrine/{tag}-{uuid.uuid4().hex}"
-
+from vectrine.session import shared_dir, spread, work_path, written
 
-def written(df: DataFrame, tag: str, files: int | None = None) -> DataFrame:
-    """Cuts lineage: writes df as Parquet in the shared folder and reads it back with its own schema.
+__all__ = ["ID", "TEXT", "documents", "held_out", "partitions", "partitions_for", "release", "shared_dir", "tasks_for", "work_path", "written"]
 
-    Unlike a cache or a local checkpoint, the rows outlive every executor. files bounds the number of files, and of
-    tasks that make them, where the caller knows how many rows to expect; small tables then are few files.
-    """
-    path = work_path(df.sparkSession, tag)
-    (df.coalesce(max(1, files)) if files is not None else df).write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Internal names, chosen so that they meet no output column.
+ID, TEXT = "doc_id", "text"
 
 
 def documents(df: DataFrame, id_col: str = ID, text_col: str = TEXT) -> DataFrame:
-    """(doc_id, text) with null texts made empty."""
-    return df.select(df[id_col].alias(ID), F.coalesce(df[text_col].cast("string"), F.lit("")).alias(TEXT)).coalesce(tasks_for(df))
+    """(doc_id, text) with null texts made empty, in as many tasks as the size asks for."""
+    rows = df.select(df[id_col].alias(ID), F.coalesce(df[text_col].cast("string"), F.lit("")).alias(TEXT))
+    dealt = spread(rows)
+    return dealt if dealt is not rows else rows.coalesce(tasks_for(df))
 
 
 def tasks_for(df: DataFrame, bytes_each: int = 8 << 20) -> int:
@@ -68,6 +44,13 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def partitions_for(df: DataFrame, bytes_each: int = 64 << 20) -> int:
+    """Partitions that groups of df's rows are dealt to: the session's number, or more where df's estimated size asks
+    for them, so that a partition does not grow with the table."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(partitions(df.sparkSession), min(1 << 18, -(-size // bytes_each) if size < 1 << 60 else 0))
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark delete the shuffle files of finished steps now: it does so once nothing refers to their plans.
 

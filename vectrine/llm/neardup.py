@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from vectrine.llm import shingles
 from vectrine.llm.bpe import slices
-from vectrine.llm.common import ID, TEXT, documents, partitions, tasks_for, written
-from vectrine.llm.graph import Spread, by_group, components
+from vectrine.llm.common import ID, TEXT, documents, partitions_for, tasks_for, written
+from vectrine.llm.graph import Spread, by_group, components, spread_join
 
 #: Classes of a block, columns of a piece of the incidence matrix, bins of a sketch at most.
 BLOCK, COLUMNS, MAX_BINS = 128, 8192, 128
@@ -133,9 +133,9 @@ def _confirmed(sets: DataFrame, percent: int, spread: Spread) -> DataFrame:
     joined = components(found.join(large.select(F.col("v").alias("a")), "a", "left_semi"))
     known = large.select("label", "v").join(joined.select("v", F.col("label").alias("c")), "v", "left").select("label", "v", F.coalesce("c", "v").alias("c"))
     counts = known.groupBy("label", "c").agg(F.count("*").alias("m"))
-    known = known.join(counts, ["label", "c"]).withColumn("c", F.when(F.col("m") >= BLOCK // 2, F.col("c")).otherwise(F.lit(b"")))
+    known = spread_join(known, counts, ["label", "c"]).withColumn("c", F.when(F.col("m") >= BLOCK // 2, F.col("c")).otherwise(F.lit(b"")))
     sub = known.groupBy("label", "c").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("subs"))
-    known = written(known.join(sub, ["label", "c"]).select("label", "v", "c", F.pmod(F.xxhash64("v", F.lit(1)), F.col("subs")).cast("int").alias("s")), "blocks", spread.tasks)
+    known = written(spread_join(known, sub, ["label", "c"]).select("label", "v", "c", F.pmod(F.xxhash64("v", F.lit(1)), F.col("subs")).cast("int").alias("s")), "blocks", spread.tasks)
     block = known.select("label", "c", "s").distinct()
     block = block.withColumn("i", F.xxhash64("c", "s"))
     left, right = block.select("label", F.col("c").alias("c1"), F.col("i").alias("i")), block.select("label", F.col("c").alias("c2"), F.col("i").alias("j"))
@@ -155,7 +155,7 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     links. Rows with a null id have no links either: component_id null, kept true. Repeated rows share a component
     and are kept or not alike. An empty table gives an empty table.
     """
-    spread = Spread(partitions(df.sparkSession), tasks_for(df))
+    spread = Spread(partitions_for(df), tasks_for(df))
     rows, bands = banding(percent)
     docs = documents(df, id_col, text_col)
     drawn = written(sketches(docs, width, rows, bands), "sketches")
@@ -164,17 +164,17 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     classes = written(usable.groupBy("v").agg(F.min(ID).alias("id"), F.first("bands").alias("bands")), "classes", -(-about // CLASS_ROWS))
     members = classes.select("v", F.explode("bands").alias("key"))
     buckets = members.groupBy("key").agg(F.count("*").alias("n"), F.min("v").alias("leader")).where("n > 1").select("key", "leader")
-    candidates = members.join(buckets, "key").where("v != leader").select(F.col("v").alias("a"), F.col("leader").alias("b")).distinct()
+    candidates = spread_join(members, buckets, ["key"]).where("v != leader").select(F.col("v").alias("a"), F.col("leader").alias("b")).distinct()
     # a class meets one leader a band at most: hang it and its other leaders on the smallest, and few edges are left
     hung = candidates.withColumn("m", F.min("b").over(Window.partitionBy("a")))
     stars = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
     clusters = components(hung.select(F.inline(stars)).where("a <> b"), about)
     sizes = clusters.groupBy("label").agg(F.count("*").alias("n"))
-    wanted = clusters.join(sizes, "label").join(classes.select("v", "id"), "v").select("v", "label", "n", "id")
+    wanted = spread_join(clusters, sizes, ["label"]).join(classes.select("v", "id"), "v").select("v", "label", "n", "id")
     joined = components(_confirmed(_sets(docs, wanted, width, spread.tasks), percent, spread), about)
-    named = classes.select("v", "id").join(joined, "v", "left").withColumn("label", F.coalesce("label", "v"))
+    named = written(classes.select("v", "id").join(joined, "v", "left").withColumn("label", F.coalesce("label", "v")), "named", -(-about // CLASS_ROWS))
     smallest = named.groupBy("label").agg(F.min("id").alias("component_id"))
-    by_class = named.join(smallest, "label").select("v", "component_id")
-    out = drawn.join(by_class, "v", "left")
+    by_class = spread_join(named, smallest, ["label"]).select("v", "component_id")
+    out = spread_join(drawn.drop("bands"), written(by_class, "by-class", -(-about // CLASS_ROWS)), ["v"], "left")
     component = F.when(F.col(ID).isNotNull(), F.coalesce("component_id", ID))
     return out.select(ID, "n_shingles", component.alias("component_id"), F.coalesce(component == F.col(ID), F.lit(True)).alias("kept")).coalesce(spread.tasks)

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from vectrine.llm.common import ID, TEXT, documents, tasks_for, work_path
+from vectrine.llm.graph import spread_join
 
 
 @dataclass(frozen=True)
@@ -92,7 +93,7 @@ def scan(df: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RUL
     """
     versions = documents(df, id_col, text_col).withColumn("blob", _blob(TEXT))
     found = _findings(versions.select("blob", TEXT), ledger, rules)
-    return versions.select(ID, "blob").join(found, "blob", "left").select(ID, F.hex("blob").alias("blob"), F.coalesce("spans", F.array().cast(SPAN)).alias("spans")).coalesce(tasks_for(df))
+    return spread_join(versions.select(ID, "blob"), found, ["blob"], "left").select(ID, F.hex("blob").alias("blob"), F.coalesce("spans", F.array().cast(SPAN)).alias("spans")).coalesce(tasks_for(df))
 
 
 def _blob(text: str) -> Column:
@@ -116,12 +117,14 @@ def _findings(blobs: DataFrame, ledger: str | None, rules: tuple[Rule, ...]) ->
 
 
 def mask_documents(df: DataFrame, ledger: str | None = None, rules: tuple[Rule, ...] = RULES, text_col: str = TEXT) -> DataFrame:
-    """df with every finding of its texts masked; all rows and columns stay, null texts stay null."""
-    whole = df.withColumn("_blob", F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)))
-    found = _findings(whole.select(F.col("_blob").alias("blob"), F.coalesce(F.col(text_col), F.lit("")).alias(TEXT)), ledger, rules)
-    joined = whole.join(found.select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")), "_blob", "left")
-    clean = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(masked(F.col(text_col), F.col("_spans")))
-    return joined.select(*[clean.alias(c) if c == text_col else F.col(c) for c in df.columns]).coalesce(tasks_for(df))
+    """df with every finding of its texts masked; all rows and columns stay, whatever their names, null texts stay null."""
+    text = F.coalesce(df[text_col].cast("string"), F.lit(""))
+    whole = df.select(F.struct(*[df[c] for c in df.columns]).alias("row"), F.unhex(F.sha2(text, 256)).alias("blob"))
+    found = _findings(df.select(F.unhex(F.sha2(text, 256)).alias("blob"), text.alias(TEXT)), ledger, rules)
+    joined = spread_join(whole, found, ["blob"], "left")
+    old = F.col("row")[text_col]
+    clean = F.when(F.col("spans").isNull(), old).otherwise(masked(old, F.col("spans")))
+    return joined.select(*[clean.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in df.columns]).coalesce(tasks_for(df))
 
 
 def masked(text: Column, spans: Column, mask: str = "[secret]") -> Column:

@@ -58,9 +58,37 @@ def test_few_rows(spark, rows):
     assert run(spark, rows, 2) == brute(rows, lambda i: i % 2 == 0, 5)
 
 
-def test_bounds_hold_for_every_candidate():
+@pytest.mark.parametrize("largest", [3, 256, 40_000, 1 << 30])
+def test_bounds_hold_for_every_candidate(largest):
     rng = np.random.default_rng(3)
-    q, c = rng.integers(-256, 257, (20, 16)), rng.integers(-256, 257, (500, 16))
-    for qid, ids, scores in topk.search_block((np.arange(1000, 1020), q), (np.arange(500), c), 7):
-        exact = c @ q[qid - 1000]
-        assert list(zip(-scores, ids, strict=True)) == sorted(zip(-exact, range(500), strict=True))[:7]
+    q, c = rng.integers(-largest, largest + 1, (20, 16)), rng.integers(-largest, largest + 1, (500, 16))
+    low, width, cells = topk.approximate(c)
+    at = low + cells.astype(np.int64) * width
+    assert cells.dtype == np.uint8 and (at <= c).all() and (c < at + width).all()
+    lower, slack = topk.bounds(q, low, width, cells)
+    for k, x in enumerate(q):
+        exact = [sum(int(a) * int(b) for a, b in zip(x, y, strict=True)) for y in c]
+        assert all(lo <= e <= lo + slack[k] for lo, e in zip(lower[k].tolist(), exact, strict=True))
+
+
+def test_few_exact_vectors_are_read(spark, sf):
+    """The file keeps cells apart from exact vectors, and the bounds of all blocks leave few of those to read."""
+    reads = spark.sparkContext.accumulator(0)
+    df = spark.read.parquet(f"{sf}/embeddings.parquet")
+    n, asked = df.count(), df.where("vec_id % 50 = 0").count()
+    got = topk.exact_topk(df, df["vec_id"] % 50 == 0, 5, reads=reads)
+    rows = got.collect()
+    assert len(rows) == 5 * asked and 5 * asked <= reads.value < 0.1 * n * asked
+    file = topk.vector_file(topk.quantised(df))
+    assert file.select("cells").agg({"cells": "max"}).first()[0] is not None
+    assert {r["n"] for r in file.selectExpr("length(cells) * 8 = length(exact) as n").collect()} == {True}
+
+
+def test_very_common_vectors_leave_few_rows(spark):
+    """A third of all rows are one vector; a query still gets the smallest ids, its own left out."""
+    rng = random.Random(5)
+    same = [0.5, -0.25, 0.125, 1.0]
+    rows = [(i, same) for i in range(400)] + [(400 + i, [rng.uniform(-1, 1) for _ in range(4)]) for i in range(800)] + [(0, same)] * 7
+    assert run(spark, rows, 100) == brute([(i, [float(np.float32(x)) for x in v]) for i, v in rows], lambda i: i % 100 == 0, 5)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert topk.without_spare_copies(topk.quantised(df), 5).where("id < 400").count() == 10

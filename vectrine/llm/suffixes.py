@@ -10,8 +10,8 @@ the bytes before the anchor back to the first window follow it as a tie-break.
 2. Each chunk of documents sorts the suffixes at its other anchors. Of equal ones only those of the smallest id go on,
    so very common text is one entry a chunk. The sorted runs are front-coded and exchanged by bucket.
 3. Each bucket merges its runs with a loser tree that keeps, for every head, the prefix it shares with the last
-   output, and never compares known prefixes again. Neighbours that share the whole anchor are resolved window by
-   window, on their bytes.
+   output, and never compares known prefixes again. Those common prefixes decide what repeats: neighbours that share
+   enough bytes after the anchor, and enough before it, share a whole window.
 4. The repeated ranges go back to the documents.
 """
 
@@ -26,8 +26,9 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from vectrine.llm.common import ID, TEXT, partitions, release, tasks_for, written
+from vectrine.llm.common import ID, TEXT, partitions_for, release, tasks_for, written
 from vectrine.llm.graph import Spread, by_group
 from vectrine.llm.shingles import mix
 
@@ -336,7 +337,7 @@ def _ranges(found: list[tuple[int, int, int]]) -> bytes:
     return _zip(x[:, 0].copy(), x[:, 1].copy(), x[:, 2].copy())
 
 
-def _with_documents(docs: DataFrame, blobs: DataFrame, spread: Spread, fn, schema: str) -> DataFrame:
+def _with_documents(docs: DataFrame, blobs: DataFrame, spread: Spread, fn, schema: str | T.StructType) -> DataFrame:
     """Calls fn for each chunk with its blobs first, then its documents by id and text, so that rows have numbers."""
     extra = [c for c in docs.columns if c == "carried"]
     rows = docs.select("chunk", F.lit(1).alias("kind"), F.col(ID).alias("id"), TEXT, F.lit(None).cast("binary").alias("blob"), *extra)
@@ -354,29 +355,36 @@ def _resolve(runs: DataFrame, spread: Spread) -> DataFrame:
     def fn(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = [Run(blob, source) for batch in batches for source, blob in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
         found: dict[int, list[tuple[int, int, int]]] = {}
-        group: list[tuple[bytes, list[tuple[int, int, int, int]]]] = []  # distinct suffixes of one anchor: (id, chunk, row, place)
+        group: list[tuple[int, bytes, list[tuple[int, int, int, int]]]] = []  # distinct suffixes of one anchor: (id, chunk, row, place)
         for shared, suffix, r, i in merge(own):
             run = own[r]
             entry = (run.ids[i], run.source, run.rows[i], run.places[i])
-            if group and shared == len(suffix) == len(group[-1][0]):
-                group[-1][1].append(entry)
+            if group and shared == len(suffix) == len(group[-1][1]):
+                group[-1][2].append(entry)
                 continue
             if shared < GRAM and group:
-                _windows(group, found)
+                _decide(group, found)
                 group = []
-            group.append((suffix, [entry]))
+            group.append((shared, suffix, [entry]))
         if group:
-            _windows(group, found)
+            _decide(group, found)
         for chunk, ranges in found.items():
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([_ranges(ranges)], pa.binary())], ["chunk", "blob"])
 
     return by_group(runs.select(F.col("target").alias("bucket"), "source", "blob"), ["bucket"], ["source"], spread, fn, "chunk int, blob binary")
 
 
-def _windows(group: list[tuple[bytes, list[tuple[int, int, int, int]]]], found: dict[int, list[tuple[int, int, int]]]) -> None:
-    """Adds the ranges of a group of suffixes with one anchor whose windows occur under a smaller id."""
-    leading = []
-    for suffix, entries in group:
+def _decide(group: list[tuple[int, bytes, list[tuple[int, int, int, int]]]], found: dict[int, list[tuple[int, int, int]]]) -> None:
+    """Adds the ranges of a group of merged suffixes with one anchor whose windows occur under a smaller id.
+
+    The window that begins d bytes before the anchor is the last d bytes of what precedes it and the first SPAN - d of
+    what follows. Suffixes with equal first SPAN - d bytes are neighbours in the merge whose common prefixes all reach
+    that far; within such a stretch, sorted by what precedes the anchor read backwards, equal windows are neighbours
+    that share d bytes. No window is made or hashed.
+    """
+    rows = []
+    for shared, suffix, entries in group:
+        back = suffix[-1]
         least = min(entries)[0]
         keep = []
         for e in entries:
@@ -384,38 +392,62 @@ def _windows(group: list[tuple[bytes, list[tuple[int, int, int, int]]]], found:
                 found.setdefault(e[1], []).append((e[2], e[3], e[3] + len(suffix) - 1))
             else:
                 keep.append(e)
-        leading.append((least, suffix, keep))
-    if len(leading) < 2:
-        return
-    leading.sort(key=lambda x: x[0])
-    seen: dict[bytes, int] = {}
-    for least, suffix, keep in leading:
-        back = suffix[-1]
-        text = suffix[-1 - back : -1] + suffix[: -1 - back]
-        start = None
-        n = len(text) - SPAN + 1
-        for j in range(n + 1):
-            if j < n and seen.setdefault(text[j : j + SPAN], least) < least:
-                start = j if start is None else start
-            elif start is not None:
-                for _, chunk, row, place in keep:
-                    found.setdefault(chunk, []).append((row, place + start, place + j - 1 + SPAN))
-                start = None
+        rows.append((shared, len(suffix) - 1 - back, suffix[-1 - back : -1][::-1], least, keep))
+
+    def mark(row: tuple, low: int, high: int) -> None:
+        """The windows that begin low to high bytes before the anchor repeat."""
+        back = len(row[2])
+        for _, chunk, at, place in row[4]:
+            found.setdefault(chunk, []).append((at, place + back - high, place + back - low + SPAN))
+
+    if len(rows) == 2:
+        one, two = rows
+        low, high = SPAN - min(two[0], one[1], two[1]), common_prefix(one[2], two[2])
+        if low <= high and one[3] != two[3]:
+            mark(max(one, two, key=lambda r: r[3]), max(low, 0), high)
+    elif len(rows) > 2:
+        hits: dict[int, list[int]] = {}
+        for d in range(max(0, SPAN - max(r[0] for r in rows[1:])), max(len(r[2]) for r in rows) + 1):
+            need, start = SPAN - d, 0
+            for end in range(1, len(rows) + 1):
+                if end < len(rows) and rows[end][0] >= need:
+                    continue
+                here = sorted((rows[i][2][:d], i) for i in range(start, end) if rows[i][1] >= need and len(rows[i][2]) >= d) if end - start > 1 else ()
+                at = 0
+                for k in range(1, len(here) + 1):
+                    if k < len(here) and here[k][0] == here[at][0]:
+                        continue
+                    if k - at > 1:
+                        smallest = min(rows[i][3] for _, i in here[at:k])
+                        for _, i in here[at:k]:
+                            if rows[i][3] > smallest:
+                                hits.setdefault(i, []).append(d)
+                    at = k
+                start = end
+        for i, ds in hits.items():
+            low = ds[0]
+            for k, d in enumerate(ds):
+                if k + 1 == len(ds) or ds[k + 1] != d + 1:
+                    mark(rows[i], low, d)
+                    low = ds[k + 1] if k + 1 < len(ds) else 0
 
 
 # --- step 4: documents without what repeats
 
 
 def strip_repeats(df: DataFrame, id_col: str = ID, text_col: str = TEXT, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, n_bytes, n_removed, n_spans, kept binary, and the columns named in carry): each row's bytes without those covered by a SPAN-byte
-    string that also starts in a row of smaller id.
+    """(doc_id, n_bytes, n_removed, n_spans, kept binary): each row's bytes without those covered by a SPAN-byte string
+    that also starts in a row of smaller id.
+
+    With columns named in carry there are also kept_text, the kept bytes as text without the characters that a cut
+    went through, and carried, a struct of those columns, whose names therefore may be any.
 
     Strings are judged on the input; overlaps count; matches never cross rows. Ids must be integers. Rows of one id
     (repeated rows included) remove nothing from each other. Rows with a null id take no part and stay whole. Null
     and empty texts have no bytes. An empty table gives an empty table.
     """
     spark = df.sparkSession
-    spread = Spread(partitions(spark), tasks_for(df))
+    spread = Spread(partitions_for(df), tasks_for(df))
     docs = df.select(df[id_col].cast("long").alias(ID), F.coalesce(df[text_col].cast("string"), F.lit("")).alias(TEXT), *([F.struct(*[df[c] for c in carry]).alias("carried")] if carry else []))
     total = docs.agg(F.sum(F.octet_length(TEXT))).first()[0] or 0
     chunks = max(spread.partitions, -(-int(total) // CHUNK_BYTES))
@@ -447,18 +479,22 @@ def strip_repeats(df: DataFrame, id_col: str = ID, text_col: str = TEXT, carry:
                     a, b = np.searchsorted(ranges[:, 0], [row, row + 1])
                     out.append((len(raw), *_cut(raw, ranges[a:b, 1:].tolist())))
                     row += 1
-                size, removed, spans, kept = zip(*out, strict=True)
+                size, removed, spans, pieces = zip(*out, strict=True)
                 long = lambda x: pa.array(x, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(2), long(size), long(removed), long(spans), pa.array(kept, pa.binary()), *part.columns[5:]], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "carried"][: 5 + bool(carry)])
+                kept = [long(size), long(removed), long(spans), pa.array([b"".join(x) for x in pieces], pa.binary())]
+                if carry:
+                    kept += [pa.array(["".join(y.decode("utf-8", "ignore") for y in x) for x in pieces], pa.string()), *part.columns[5:]]
+                yield pa.RecordBatch.from_arrays([part.column(2), *kept], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_text", "carried"][: 1 + len(kept)])
 
     blobs = known.select("chunk", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("id"), F.lit(None).cast("string").alias("text"), "blob")
-    kind = f", carried {docs.schema['carried'].dataType.simpleString()}" if carry else ""
-    out = _with_documents(docs, blobs, spread, fn, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary" + kind)
-    return out.select(*out.columns[:5], *[F.col("carried")[c].alias(c) for c in carry])
+    schema = T.StructType([T.StructField(c, T.LongType()) for c in ("doc_id", "n_bytes", "n_removed", "n_spans")] + [T.StructField("kept", T.BinaryType())])
+    if carry:
+        schema = schema.add("kept_text", T.StringType()).add("carried", docs.schema["carried"].dataType)
+    return _with_documents(docs, blobs, spread, fn, schema)
 
 
-def _cut(raw: bytes, ranges: list[list[int]]) -> tuple[int, int, bytes]:
-    """Bytes removed, maximal runs removed, and what is kept; ranges come by start."""
+def _cut(raw: bytes, ranges: list[list[int]]) -> tuple[int, int, list[bytes]]:
+    """Bytes removed, maximal runs removed, and the pieces that are kept; ranges come by start."""
     out, at, spans, end = [], 0, 0, -1
     for a, b in ranges:
         if a > end:
@@ -467,8 +503,7 @@ def _cut(raw: bytes, ranges: list[list[int]]) -> tuple[int, int, bytes]:
         if b > end:
             at = end = b
     out.append(raw[at:])
-    kept = b"".join(out)
-    return len(raw) - len(kept), spans, kept
+    return len(raw) - sum(map(len, out)), spans, out
 
 
 def brute_force(rows: list[tuple[int, str | None]]) -> list[tuple[int, int, int, int, str]]:

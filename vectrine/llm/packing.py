@@ -9,6 +9,7 @@ offset); each piece finds its place by its rank among the pieces of its length.
 
 from __future__ import annotations
 
+import json
 import re
 import sys
 import zlib
@@ -17,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,7 +31,6 @@ CAPACITY = 2048
 assert sys.byteorder == "little" and array("I").itemsize == 4, "ids are written as little-endian 32-bit"
 #: Bound of a worker's memo of encoded words; a full one is emptied.
 MAX_WORDS, MAX_CACHED_CHARS = 900_000, 40
-_BLANKS = re.compile(r"[ \t\n]+")
 _WORD_END = "</w>"
 #: Characters before this one have the lower-case forms that the tokenizer gives them.
 _SIMPLE = "\u0130"
@@ -39,16 +40,16 @@ _WIDE = re.compile("[\u0130-\U0010ffff]").search
 class WordEncoder:
     """Ids of a tokenizer that lower-cases, drops white space and never merges across it.
 
-    Texts are cut at plain blanks, so each distinct word needs the tokenizer once. A vocabulary whose normaliser or
-    splitting lets words depend on their neighbours is encoded whole instead.
+    Texts are cut at plain blanks, so each distinct word needs the tokenizer once. A vocabulary whose declaration lets
+    words depend on their neighbours is encoded whole instead, and so is a text with an added token.
     """
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.words: dict[str, bytes] = {}
-        probe = ["it's a test, 12 (éß) don't!", "a b", " a  b\n\tc "]
-        self.by_word = all(self._whole(x) == b"".join(self._whole(w) for w in _BLANKS.split(x) if w) for x in probe)
+        self.by_word = splits_at_blanks(json.loads(self.tokenizer.to_str()))
         vocabulary = self.tokenizer.get_vocab()
+        self.added = tuple(x.content.lower() for x in self.tokenizer.get_added_tokens_decoder().values())
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for x, i in vocabulary.items() if x.endswith(_WORD_END)]] = True
 
@@ -62,7 +63,10 @@ class WordEncoder:
         """Little-endian unsigned 32-bit ids of each text."""
         if not self.by_word:
             return [self._whole(x) for x in texts]
-        split = [(x.lower() if x.isascii() or not _WIDE(x) else x).replace("\n", " ").split(" ") for x in texts]
+        low = [x.lower() if x.isascii() or not _WIDE(x) else x for x in texts]
+        # added tokens are matched before the tokenizer lower-cases, so a text that holds one in any case stays as it is
+        odd = {k for k, x in enumerate(low) if any(a in x for a in self.added) or (x is texts[k] and any(a in x.lower() for a in self.added))}
+        split = [[] if k in odd else x.replace("\n", " ").split(" ") for k, x in enumerate(low)]
         if len(self.words) > MAX_WORDS:
             self.words = {}
         words = self.words
@@ -78,7 +82,7 @@ class WordEncoder:
             for x in missing:
                 if len(x) > MAX_CACHED_CHARS:
                     del words[x]
-        return [b"".join(ids) for ids in out]
+        return [self._whole(texts[k]) if k in odd else b"".join(ids) for k, ids in enumerate(out)]
 
     def _learn(self, missing: set[str]) -> None:
         """Adds words. One of letters with closing marks is cut before the marks, where the tokenizer cuts it too, and
@@ -122,6 +126,23 @@ class WordEncoder:
             words[x] = words[core] + words[marks] if marks else words[core]
 
 
+def splits_at_blanks(declared: dict) -> bool:
+    """Whether a tokenizer, by its own declaration, encodes words between blanks one by one: it normalises by NFC,
+    blanks and lower case only, keeps what a pattern without white space finds, and has no added token with blanks."""
+    normaliser, splitter = declared.get("normalizer") or {}, declared.get("pre_tokenizer") or {}
+    steps = normaliser.get("normalizers") or [normaliser]
+    cuts = splitter.get("pretokenizers") or [splitter]
+    calm = all(x.get("type") in ("NFC", "Lowercase") or (x.get("type") == "Replace" and x.get("pattern") == {"Regex": "\\s+"} and x.get("content") == " ") for x in steps)
+    lowers = any(x.get("type") == "Lowercase" for x in steps)
+    first = cuts[0]
+    finds = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") is True and isinstance(first.get("pattern", {}).get("Regex"), str)
+    finds = finds and not regex.search(first["pattern"]["Regex"], " \t\r\n\u00a0\u2003")
+    rest = all(x.get("type") == "ByteLevel" and not x.get("add_prefix_space") and not x.get("use_regex") for x in cuts[1:])
+    whole = all(not x["lstrip"] and not x["rstrip"] and not x["single_word"] and not re.search(r"\s", x["content"]) for x in declared.get("added_tokens", []))
+    model = declared.get("model", {})
+    return calm and lowers and finds and rest and whole and model.get("type") == "BPE" and model.get("end_of_word_suffix") == _WORD_END and not declared.get("truncation")
+
+
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
@@ -280,6 +301,7 @@ def pack(df: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str =
             hit = table[row]
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(hit[:, 2] + rank - hit[:, 1]), pa.array(hit[:, 4])], [*batch.schema.names[:5], "sequence_id", "offset"])
 
-    ranked = pieces.join(by_part.select("length", "part", "before"), ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"))
+    # lengths times tasks grows with the table, so this side is shuffled, never broadcast
+    ranked = pieces.join(by_part.select("length", "part", "before").hint("merge"), ["length", "part"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("before") + F.col("nth")).alias("rank"))
     kind = pieces.schema["doc_id"].dataType.simpleString()
     return ranked.mapInArrow(place, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long").coalesce(tasks_for(df))

@@ -5,8 +5,8 @@ wide. Each task writes its images as stored members of one ZIP archive in the sh
 the archives of the tasks that ended, so leftovers of failed attempts are never read.
 
 Reading: the data source plans byte ranges of the archives from their sizes alone. A task opens its archive's
-directory, takes the members whose header starts in its range, streams them as Arrow batches, and retries each member
-on its own from its offset.
+directory, takes the members whose header starts in its range, reads neighbouring ones at once, streams them as Arrow
+batches, and fetches each member that did not come whole, by its CRC, again on its own from its offset.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ from vectrine.llm.common import ID, TEXT, documents, work_path
 WIDTH = 64
 #: Bytes of an archive that one reading task takes, of a streamed batch, and attempts at a member.
 RANGE_BYTES, BATCH_BYTES, ATTEMPTS = 8 << 20, 4 << 20, 4
+#: Bytes read beyond a stretch of members for the last one's name and extra fields; it is fetched alone if they are longer.
+HEADER_ROOM = 64
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 
@@ -122,26 +124,47 @@ def write_archives(df: DataFrame, folder: str, id_col: str = ID, text_col: str =
     return sorted(r["archive"] for r in documents(df, id_col, text_col).mapInArrow(run, "archive string, members long").collect())
 
 
+def neighbours(members: list[zipfile.ZipInfo]) -> Iterator[list[zipfile.ZipInfo]]:
+    """The members by offset in stretches of about BATCH_BYTES, or of one member that is longer."""
+    some: list[zipfile.ZipInfo] = []
+    for x in sorted(members, key=lambda x: x.header_offset):
+        if some and x.header_offset + x.file_size - some[0].header_offset > BATCH_BYTES:
+            yield some
+            some = []
+        some.append(x)
+    if some:
+        yield some
+
+
 class ArchiveRange(InputPartition):
     def __init__(self, archive: str, start: int, end: int) -> None:
         super().__init__((archive, start, end))
         self.archive, self.start, self.end = archive, start, end
 
 
-def fetch(source: pa.NativeFile, offset: int, size: int, attempts: int = ATTEMPTS) -> bytes:
-    """One member's bytes by the offset of its local header; a failed read is tried again, alone, with longer waits."""
+def member(read: bytes, at: int, size: int, crc: int | None, where: str) -> bytes:
+    """A stored member's bytes out of bytes read before, its local header at `at`; OSError if cut short or damaged."""
+    head = read[at : at + 30]
+    if head[:4] != b"PK\x03\x04":
+        raise OSError(f"no member at {where}")
+    names, extra = struct.unpack("<HH", head[26:30])
+    data = read[at + 30 + names + extra : at + 30 + names + extra + size]
+    if len(data) != size:
+        raise OSError(f"member at {where} is cut short")
+    if crc is not None and zlib.crc32(data) != crc:
+        raise OSError(f"member at {where} is damaged")
+    return data
+
+
+def fetch(source: pa.NativeFile, offset: int, size: int, crc: int | None = None, attempts: int = ATTEMPTS) -> bytes:
+    """One member's bytes by the offset of its local header; a read that fails or whose bytes do not have the member's
+    CRC is tried again, alone, with longer waits."""
     for k in range(attempts):
         try:
             source.seek(offset)
             head = source.read(30)
-            if head[:4] != b"PK\x03\x04":
-                raise OSError(f"no member at {offset}")
-            names, extra = struct.unpack("<HH", head[26:30])
-            source.seek(offset + 30 + names + extra)
-            data = source.read(size)
-            if len(data) != size:
-                raise OSError(f"member at {offset} is cut short")
-            return data
+            room = sum(struct.unpack("<HH", head[26:30])) if len(head) == 30 else 0
+            return member(head + source.read(room + size), 0, size, crc, str(offset))
         except OSError:
             if k == attempts - 1:
                 raise
@@ -165,20 +188,25 @@ class ArchiveReader(DataSourceReader):
         fs, root = filesystem(self.folder)
         with fs.open_input_file(f"{root}/{partition.archive}") as source:
             members = [x for x in zipfile.ZipFile(source).infolist() if partition.start <= x.header_offset < partition.end]
-            rows: list[tuple[int | str | None, int, bytes]] = []
-            held = 0
-            for x in members:
-                key, n = json.loads(x.comment)
-                data = fetch(source, x.header_offset, x.file_size)
-                if zlib.crc32(data) != x.CRC:
-                    raise OSError(f"member at {x.header_offset} of {partition.archive} is damaged")
-                rows.append((None if key is None else str(key), n, data))
-                held += len(data)
-                if held >= BATCH_BYTES:
-                    yield self._batch(rows)
-                    rows, held = [], 0
-            if rows:
-                yield self._batch(rows)
+            for some in neighbours(members):
+                yield self._batch(list(self._rows(source, some)))
+
+    @staticmethod
+    def _rows(source: pa.NativeFile, members: list[zipfile.ZipInfo]) -> Iterator[tuple[str | None, int, bytes]]:
+        """Members that lie side by side by one read; one that the read did not bring whole is fetched by itself."""
+        start, last = members[0].header_offset, members[-1]
+        try:
+            source.seek(start)
+            read = source.read(last.header_offset - start + 30 + HEADER_ROOM + last.file_size)
+        except OSError:
+            read = b""
+        for x in members:
+            key, n = json.loads(x.comment)
+            try:
+                data = member(read, x.header_offset - start, x.file_size, x.CRC, str(x.header_offset))
+            except OSError:
+                data = fetch(source, x.header_offset, x.file_size, x.CRC)
+            yield None if key is None else str(key), n, data
 
     @staticmethod
     def _batch(rows: list) -> pa.RecordBatch:

@@ -10,6 +10,7 @@ reversed, as the non-negative estimator asks. The margin is then calibrated to a
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import eq
@@ -74,7 +75,8 @@ class QualityModel:
     weights: np.ndarray
     slope: float
     offset: float
-    prior: float
+    prior: float  # estimated without negatives; the fit uses this one
+    labelled_share: float  # positives among the labelled rows, for comparison
 
     def margin(self, x: np.ndarray) -> np.ndarray:
         z = np.clip((_expand(x) - self.mean) / self.scale, -8, 8)
@@ -84,9 +86,35 @@ class QualityModel:
         return _sigmoid(self.slope * self.margin(x) + self.offset)
 
 
-def estimate_prior(positive: int, labelled: int) -> float:
-    """Share of positives among labelled rows, held off 0 and 1."""
-    return (positive + 1) / (labelled + 2)
+def discriminator(one: np.ndarray, other: np.ndarray, ridge: float = 1.0, steps: int = 12) -> np.ndarray:
+    """Weights (bias last) of a logistic regression that tells `one` from `other`, by Newton steps."""
+    x = np.concatenate([one, other])
+    x = np.concatenate([x, np.ones((len(x), 1))], axis=1)
+    y = np.concatenate([np.ones(len(one)), np.zeros(len(other))])
+    w = np.zeros(x.shape[1])
+    for _ in range(steps):
+        p = _sigmoid(x @ w)
+        w = w - np.linalg.solve((x.T * (p * (1 - p))) @ x + ridge * np.eye(len(w)), x.T @ (p - y) + ridge * w)
+    return w
+
+
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1, gamma: float = 0.01) -> float:
+    """The share of positives among the unlabelled rows, from positives and unlabelled rows alone.
+
+    A discriminator of the two is learned on one half of each. On the other half, above any threshold, the share of
+    unlabelled rows over that of positives is at least the prior, and comes down to it where hardly a negative scores
+    so high. The threshold with the least upper confidence bound of that ratio is taken. Held off 0 and 1; with fewer
+    than two rows on either side there is nothing to compare and it is a half.
+    """
+    if min(len(positive), len(unlabelled)) < 2:
+        return 0.5
+    w = discriminator(positive[::2], unlabelled[::2])
+    p, u = (np.sort(x[1::2] @ w[:-1] + w[-1]) for x in (positive, unlabelled))
+    above_p = 1 - np.searchsorted(p, p) / len(p)
+    above_u = 1 - np.searchsorted(u, p) / len(u)
+    doubt = np.sqrt(np.log(4 / delta) / 2 / len(u)) + np.sqrt(np.log(4 / delta) / 2 / len(p))
+    best = int(np.argmin((above_u + (1 + gamma) * doubt) / above_p))
+    return float(np.clip(above_u[best] / above_p[best], 0.01, 0.99))
 
 
 def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 30, batch: int = 512, rate: float = 0.01, decay: float = 1e-4, seed: int = 0) -> np.ndarray:
@@ -122,12 +150,13 @@ def calibrate(margin: np.ndarray, label: np.ndarray) -> tuple[float, float]:
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, max_rows: int = MAX_TRAIN_ROWS, id_col: str = ID, text_col: str = TEXT, label_col: str = "quality") -> QualityModel | None:
-    """Fits on the usable rows of docs; None where they hold no positive row.
+    """Fits on the usable rows of docs; None, with a warning, where they hold no positive row: there is nothing to learn.
 
     A sample of at most about max_rows texts, drawn by a hash of the id, is the unlabelled set. The trusted positives
     are drawn from all rows of label 1, and the rows for the calibration from all labelled rows, each up to about
-    max_rows, however few of the documents are labelled; the class prior counts all labelled rows. Only feature
-    vectors reach the driver. A document labelled more than once counts as its lowest label.
+    max_rows, however few of the documents are labelled. The class prior is estimated from the positives and the
+    unlabelled sample; negatives only serve the calibration, which is skipped without any. Only feature vectors reach
+    the driver. A document labelled more than once counts as its lowest label.
     """
     rows = documents(docs, id_col, text_col).where(usable)
     known = labels.select(labels[ID].alias("_id"), labels[label_col].cast("int").alias("_label")).where("_id is not null and _label is not null").groupBy("_id").agg(F.min("_label").alias("_label")).where("_label >= 0")
@@ -144,24 +173,28 @@ def train(docs: DataFrame, labels: DataFrame, usable: Column, max_rows: int = MA
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([features(x).tobytes() for x in part.column(1).to_pylist()], pa.binary()), part.column(2)], ["label", "x", "flags"])
 
     got = taken.mapInArrow(run, "label int, x binary, flags int").toArrow()
-    if not got.num_rows:
+    if not counted["positive"]:
+        warnings.warn("no usable document has label 1, so nothing can be learned and all scores are 0.5", stacklevel=2)
         return None
     label, flag = got["label"].to_numpy(), got["flags"].to_numpy()
     raw = np.frombuffer(b"".join(got["x"].to_pylist()), np.float32).reshape(-1, DIMENSIONS)
     order = np.lexsort([*raw.T[:8], flag, label])  # the same model whatever the order of the rows
     label, flag, raw = label[order], flag[order], raw[order]
-    if not np.any(label == 1):
-        return None
     sample = flag % 2 == 1 if np.any(flag % 2 == 1) else np.ones(len(flag), bool)
     x = _expand(raw[sample]).astype(np.float64)
     mean, scale = x.mean(0), np.maximum(x.std(0), 1e-3)
     standard = lambda x: np.clip((x - mean) / scale, -8, 8)
-    prior = estimate_prior(counted["positive"], counted["labelled"])
-    w = fit_nnpu(standard(_expand(raw[label == 1]).astype(np.float64)), standard(x), prior)
-    model = QualityModel(mean, scale, w, 1.0, 0.0, prior)
+    positive = standard(_expand(raw[label == 1]).astype(np.float64))
+    prior, share = estimate_prior(_shuffled(positive), _shuffled(standard(x))), counted["positive"] / max(1, counted["labelled"])
+    w = fit_nnpu(positive, standard(x), prior)
+    model = QualityModel(mean, scale, w, 1.0, 0.0, prior, share)
     known_rows = flag >= 2
     slope, offset = calibrate(model.margin(raw[known_rows]), (label[known_rows] == 1).astype(float)) if np.any(label[known_rows] == 0) else (1.0, 0.0)
-    return QualityModel(mean, scale, w, slope, offset, prior)
+    return QualityModel(mean, scale, w, slope, offset, prior, share)
+
+
+def _shuffled(x: np.ndarray) -> np.ndarray:
+    return x[np.random.default_rng(1).permutation(len(x))]
 
 
 def score(df: DataFrame, model: QualityModel | None, id_col: str = ID, text_col: str = TEXT) -> DataFrame:

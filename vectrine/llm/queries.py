@@ -89,7 +89,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = _table(spark, sf_dir, "documents")
     known = language.train(docs, ~held_out(F.col("doc_id")))
-    return language.identify(docs, known).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+    return language.identify(docs, known).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,25 +32,34 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     keeps each of them, as an id cannot tell which of its texts belong to a group.
     """
     kept = neardup.near_duplicates(docs).where("kept and doc_id is not null").select("doc_id").distinct()
+    rows = docs.join(kept, "doc_id", "left_semi")
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
-    rows = docs.join(kept, "doc_id", "left_semi").groupBy("doc_id", "text").agg(F.min(F.struct(*others)).alias("_o")).select("doc_id", "text", "_o.*")
+    if others:  # a struct keeps other columns apart from these names, whatever they are called
+        rows = rows.groupBy("doc_id", "text").agg(F.min(F.struct(*others)).alias("others")).select("doc_id", "text", *[F.col("others")[c].alias(c) for c in others])
+    else:
+        rows = rows.distinct()
     return rows.unionByName(docs.where("doc_id is null")).select(*docs.columns).coalesce(tasks_for(docs))
 
 
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the bytes that repeat an earlier one; characters cut in two go, and so do documents of which
-    nothing but blanks is left."""
-    others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
-    out = suffixes.strip_repeats(docs, carry=others)
-    text = F.when(F.col("n_removed") == 0, F.col("kept").cast("string")).otherwise(F.replace(F.make_valid_utf8(F.col("kept").cast("string")), F.lit("\ufffd"), F.lit("")))
-    out = out.withColumn("text", text).where((F.col("n_removed") == 0) | (F.length(F.trim("text")) > 0))
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    """Documents without the bytes that repeat an earlier one; characters that a cut goes through go, all others stay,
+    and documents of which nothing but blanks is left go too. Other columns may have any names."""
+    out = suffixes.strip_repeats(docs, carry=tuple(docs.columns)).where((F.col("n_removed") == 0) | (F.length(F.trim("kept_text")) > 0))
+    return _with_text(out.select("kept_text", "carried"), docs)
+
+
+def _with_text(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """docs' columns out of (kept_text, carried), with the new text and, where there is an n_chars, its length."""
+    new = {"text": F.col("kept_text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length("kept_text").cast(docs.schema["n_chars"].dataType)
+    return rows.select(*[new.get(c, F.col("carried")[c]).alias(c) for c in docs.columns])
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets masked."""
-    out = secrets.mask_documents(docs)
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    masked = secrets.mask_documents(docs)
+    return _with_text(masked.select(F.col("text").alias("kept_text"), F.struct(*[masked[c] for c in docs.columns]).alias("carried")), docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,8 +2,10 @@
 
 import hashlib
 import json
+import math
 import random
 import re
+import zipfile
 import zlib
 from collections import Counter
 
@@ -16,6 +18,7 @@ from tokenizers import Tokenizer
 
 from tests.llm.fixtures import TEXTS, awkward, empty
 from vectrine.llm import bpe, language, media, packing, pii, quality, queries, secrets
+from vectrine.llm.common import held_out
 
 RANKS, WORDS = P.path("byte_bpe_50k.tiktoken"), P.path("word_bpe_49k.json")
 
@@ -116,6 +119,28 @@ def test_packing_word_encoder_equals_tokenizer():
         assert own.encode(text) == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
+def test_packing_ids_of_texts_with_added_tokens(spark):
+    whole = Tokenizer.from_file(WORDS)
+    texts = ["Use <|ENDOFTEXT|> here", "Use <|endoftext|> here", "<|STARTOFTEXT|>", "a<|startoftext|>B", "é<|EndOfText|>Σ", "<| ENDOFTEXT |>", "Ünd <|ENDOFTEXT|>İ"]
+    own = packing.WordEncoder(WORDS)
+    for text, got in zip(texts, own.encode_all(texts), strict=True):
+        assert got == np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), text
+    check_packing(packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), WORDS).collect(), list(enumerate(texts)))
+
+
+def test_packing_splits_words_only_where_the_tokenizer_says_so():
+    declared = json.loads(Tokenizer.from_file(WORDS).to_str())
+    assert packing.splits_at_blanks(declared)
+    for change in ({"normalizer": None}, {"pre_tokenizer": {"type": "Metaspace"}}, {"truncation": {"max_length": 3}}, {"added_tokens": [declared["added_tokens"][0] | {"lstrip": True}]}, {"model": {"type": "Unigram"}}):
+        assert not packing.splits_at_blanks(declared | change)
+
+
+def test_packing_of_one_id_with_two_texts(spark):
+    rows = [(1, "one text"), (1, "another text of the same id"), (1, "one text")]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, text string"), WORDS).collect()
+    assert len(out) == 3 and {r["doc_id"] for r in out} == {1} and len({(r["sequence_id"], r["offset"]) for r in out}) == 3
+
+
 def best_known(lengths, capacity):
     """Fewest sequences by trying all, for a handful of lengths."""
     lengths, best = sorted(lengths, reverse=True), [len(lengths)]
@@ -150,6 +175,15 @@ def test_packing_plan_is_exact_and_close_to_the_best():
 # --- media
 
 
+def plain_features(data):
+    n, c = len(data), Counter(data)
+    mean = sum(data) / n
+    std = max(0.0, sum(x * x for x in data) / n - mean * mean) ** 0.5
+    entropy = abs(-sum(k / n * math.log2(k / n) for k in c.values()))
+    step = sum(abs(a - b) for a, b in zip(data, data[1:], strict=False)) / max(1, n - 1)
+    return {k: f"{v:.6f}" for k, v in (("mean", mean), ("std", std), ("entropy", entropy), ("step", step))}
+
+
 def test_media_query(spark, sf):
     got = {r["doc_id"]: r for r in queries.op4_media(spark, sf).collect()}
     assert len(got) == len(docs(sf))
@@ -161,6 +195,7 @@ def test_media_query(spark, sf):
         image = media.to_png(full)
         assert (r["media_bytes"], r["media_sha256"]) == (len(image), sha(image))
         assert set(json.loads(r["feature"])) == {"mean", "std", "entropy", "step"}
+        assert json.loads(r["feature"]) == plain_features(full)
 
 
 def test_media_awkward(spark):
@@ -199,12 +234,55 @@ def test_media_retries_one_member_and_reports_damage():
     assert media.fetch(Flaky(member, 2), 0, 7) == b"payload"
     with pytest.raises(OSError):
         media.fetch(Flaky(member, 9), 0, 7)
+    class Bad(Flaky):
+        """Reads that bring wrong bytes."""
+
+        def read(self, n):
+            wrong, self.failures = self.failures > 0, max(0, self.failures - 1)
+            found = super().read(n) if not wrong else self.data[self.at : self.at + n].replace(b"pay", b"qay")
+            return found
+
+    crc = zlib.crc32(b"payload")
+    assert media.fetch(Bad(member.replace(b"n" + b"p", b"np"), 0), 0, 7, crc) == b"payload"
+    assert media.fetch(Bad(member, 2), 0, 7, crc) == b"payload"
+    with pytest.raises(OSError):
+        media.fetch(Flaky(member.replace(b"pay", b"qay"), 0), 0, 7, crc)
     image = bytearray(media.to_png(media.payload("x")))
     image[50] ^= 1
     with pytest.raises(ValueError):
         media.from_png(bytes(image))
 
 
+def test_media_stretch_that_comes_damaged_is_fetched_member_by_member(tmp_path):
+    path = tmp_path / "a.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_STORED) as z:
+        for k in range(5):
+            info = zipfile.ZipInfo(f"{k}.png")
+            info.comment = json.dumps([k, k]).encode()
+            z.writestr(info, bytes([k]) * (100 + k))
+    data = path.read_bytes()
+
+    class Source:
+        def __init__(self):
+            self.at, self.reads = 0, 0
+
+        def seek(self, at):
+            self.at = at
+
+        def read(self, n):
+            self.reads += 1
+            found = bytearray(data[self.at : self.at + n])
+            if self.reads == 1:
+                found[len(found) // 2] ^= 1
+            self.at += n
+            return bytes(found)
+
+    members, source = zipfile.ZipFile(path).infolist(), Source()
+    got = list(media.ArchiveReader._rows(source, members))
+    assert got == [(str(k), k, bytes([k]) * (100 + k)) for k in range(5)] and source.reads == 3  # one stretch, and one member's two reads
+    assert [len(x) for x in media.neighbours(members)] == [5]
+
+
 # --- personal data
 
 
@@ -294,6 +372,21 @@ def test_secrets_ledger_scans_only_unseen_pairs(spark, tmp_path):
     assert secrets.read_ledger(spark, path).count() == 6
 
 
+def test_secrets_of_two_runs_equal_one(spark, sf):
+    key = lambda df: sorted(tuple(r) for r in df.collect())
+    assert key(queries.secrets_two_runs(spark, sf)) == key(queries.op8_secrets(spark, sf))
+
+
+def test_secrets_masked_beside_columns_of_any_name(spark):
+    text = "a password=abcdefghij0123456789abcdef01 b"
+    rows = [(1, text, "mine", "other", "c"), (2, None, "mine", "other", "c"), (None, text, "x", "y", "z")] + [(k, text, "mine", "other", "c") for k in range(10, 400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _blob string, _spans string, row string").repartition(3)
+    out = secrets.mask_documents(df)
+    assert out.dtypes == df.dtypes
+    want = Counter((i, "a [secret] b" if t else None, *rest) for i, t, *rest in rows)
+    assert Counter(tuple(r) for r in out.collect()) == want
+
+
 def test_secrets_awkward_and_masked(spark):
     found = secrets.scan(awkward(spark))
     assert Counter(r["doc_id"] for r in found.collect()) == Counter(i for i, _ in TEXTS)
@@ -334,9 +427,119 @@ def test_language_bounds_are_parameters(spark):
     assert train(cut=10).endswith(train(cut=10, dictionary_bytes=55))
 
 
+def test_language_equals_a_plain_version(spark, sf):
+    """Dictionaries from texts gathered one by one, and every text against every language with a new compressor."""
+    import zstandard
+
+    def letters(text):
+        return " ".join("".join(c if c > "\x7f" or "a" <= c <= "z" else " " for c in text.lower()).split(" ")).split()
+
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    drawn = df.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull()).select("lang", "text", F.pmod(F.xxhash64("lang", "doc_id"), F.lit(1 << 40)).alias("h")).collect()
+    content = {}
+    for r in sorted(drawn, key=lambda r: r["h"]):
+        if r["text"]:
+            at = max(0, (len(r["text"]) - language.CUT) // 2)
+            content[r["lang"]] = content.get(r["lang"], b"") + " ".join(letters(r["text"][at : at + language.CUT])).encode() + b" "
+    content = {k: v[-language.DICTIONARY_BYTES :] for k, v in content.items()}
+    got = {r["doc_id"]: r for r in queries.op9_language(spark, sf).collect()}
+    for d in docs(sf):
+        r = got[d["doc_id"]]
+        if not any(c.isalpha() for c in d["text"] or ""):
+            assert (r["lang_pred"], r["score"], r["rejected"]) == ("und", 0.0, True)
+            continue
+        raw, sizes = " ".join(letters(d["text"])).encode(), []
+        for lang in sorted(content):
+            total = 0
+            for at in range(0, len(raw), language.BLOCK):
+                own = zstandard.ZstdCompressionDict(content[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+                own.precompute_compress(level=language.LEVEL)
+                total += len(zstandard.ZstdCompressor(level=language.LEVEL, dict_data=own, write_content_size=False, write_checksum=False, write_dict_id=False).compress(raw[at : at + language.BLOCK]))
+            sizes.append((total, lang))
+        (best, lang), (second, _) = sorted(sizes)[:2]
+        margin = (second - best) / max(1, second)
+        assert r["lang_pred"] == lang and r["score"] == pytest.approx(1 - 0.5 * math.exp(-40 * margin)) and r["rejected"] == (margin < language.MARGIN)
+
+
 # --- quality
 
 
+def plain_quality_features(text):
+    """The classifier's features by loops over bytes."""
+    raw = text.encode()
+    kind = []
+    for c in raw:
+        groups = [b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b" \t", b"\n\r", b".,;:'\"", b"!?"]
+        kind.append(next((k for k, g in enumerate(groups) if c in g), 8 if 128 <= c < 192 else 9 if c >= 192 else 7))
+    out = [0.0] * quality.DIMENSIONS
+    for k in kind:
+        out[k] += 1 / len(kind)
+    for a, b in zip(kind, kind[1:], strict=False):
+        out[10 + 10 * a + b] += 1 / (len(kind) - 1)
+    words, lines = text.split(), text.split("\n")
+    n, distinct = max(1, len(words)), len(set(words))
+    if raw:
+        out[110:] = [distinct / n, distinct / n**0.75, sum(words[i] == words[i + 1] for i in range(len(words) - 1)) / n, sum(words[i] == words[i + 2] for i in range(len(words) - 2)) / n, min(1.0, len(raw) / n / 20), 1 - len(set(lines)) / len(lines), math.log1p(n) / 12, math.log1p(len(lines)) / 12]
+    return out
+
+
+def test_quality_query_equals_a_plain_version(spark, sf):
+    """All rows gathered, features by loops, and the risk minimised by its formula; the scores must be the same."""
+    import pyarrow.parquet as pq
+
+    label = {r["doc_id"]: r["quality"] for r in pq.read_table(f"{sf}/labels.parquet").to_pylist() if r["quality"] is not None}
+    table = [(d["doc_id"], label.get(d["doc_id"], -1), np.float32(plain_quality_features(d["text"] or ""))) for d in docs(sf)]
+    wide = lambda x: np.concatenate([x, np.sqrt(np.maximum(x, 0))])
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+    learn = sorted(((y, 3 if y >= 0 else 1, x) for i, y, x in table if zlib.crc32(str(i).encode()) % 5), key=lambda r: (r[0], r[1], *r[2][7::-1].tolist()))
+    x = np.array([wide(r[2]) for r in learn], np.float64)
+    y = np.array([r[0] for r in learn])
+    mean, scale = x.mean(0), np.maximum(x.std(0), 1e-3)
+    z = np.clip((x - mean) / scale, -8, 8)
+    pos = z[y == 1]
+    mix = lambda a: a[np.random.default_rng(1).permutation(len(a))]
+    prior = quality.estimate_prior(mix(pos), mix(z))
+    rng, w, step = np.random.default_rng(0), np.zeros(z.shape[1] + 1), 0
+    m, v = w.copy(), w.copy()
+    for _ in range(30):
+        order = rng.permutation(len(z))
+        for at in range(0, len(order), 512):
+            u, p = z[order[at : at + 512]], pos[rng.integers(0, len(pos), 512)]
+            gu, gp = u @ w[:-1] + w[-1], p @ w[:-1] + w[-1]
+            bias = lambda a: np.hstack([a, np.ones((len(a), 1))])
+            risk = np.log1p(np.exp(gu)).mean() - prior * np.log1p(np.exp(gp)).mean()
+            negative = (sigmoid(gu)[:, None] * bias(u)).mean(0) - prior * (sigmoid(gp)[:, None] * bias(p)).mean(0)
+            g = negative - prior * (sigmoid(-gp)[:, None] * bias(p)).mean(0) if risk >= 0 else -negative
+            g[:-1] += 1e-4 * w[:-1]
+            step += 1
+            m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+            w = w - 0.01 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+    known = y >= 0
+    a, b = quality.calibrate(z[known] @ w[:-1] + w[-1], (y[known] == 1).astype(float))
+    got = {r["doc_id"]: r["score"] for r in queries.op1_quality(spark, sf).collect()}
+    for i, _, x in table:
+        margin = np.clip((wide(x) - mean) / scale, -8, 8) @ w[:-1] + w[-1]
+        assert got[i] == pytest.approx(sigmoid(a * margin + b), abs=2e-3)
+
+
+def test_quality_prior_without_negatives():
+    rng = np.random.default_rng(2)
+    for prior in (0.2, 0.5, 0.8):
+        n = 4000
+        pos, neg = rng.normal(1.5, 1, (n, 4)), rng.normal(-1.5, 1, (n, 4))
+        k = int(prior * n)
+        mixed = rng.permutation(np.concatenate([pos[:k], neg[: n - k]]))
+        assert quality.estimate_prior(rng.normal(1.5, 1, (2000, 4)), mixed) == pytest.approx(prior, abs=0.08)
+    assert quality.estimate_prior(pos[:1], neg) == 0.5
+
+
+def test_quality_without_a_positive_warns(spark):
+    data = spark.createDataFrame([(i, f"text {i}") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0) for i in range(40)], "doc_id long, quality int")
+    with pytest.warns(UserWarning, match="label 1"):
+        assert quality.train(data, labels, F.lit(True)) is None
+
+
 def test_quality_query_held_out(spark):
     sf = "/root/testdata/sf0.01"
     import pyarrow.parquet as pq
@@ -365,7 +568,7 @@ def test_quality_uses_the_few_labels_of_many_documents(spark):
     for first in (0, 100, 200, 300):  # whichever ids the sample draws
         labels = spark.createDataFrame([(i, i % 2) for i in range(first, first + 6)], "doc_id long, quality int")
         model = quality.train(data, labels, F.lit(True), max_rows=60)
-        assert model is not None and model.prior == 0.5
+        assert model is not None and model.labelled_share == 0.5 and 0 < model.prior < 1
         assert all((r["score"] >= 0.5) == bool(r["doc_id"] % 2) for r in quality.score(data, model).collect())
 
 

@@ -107,6 +107,39 @@ def test_components(spark, pairs):
     assert got == parent
 
 
+@pytest.fixture
+def many_partitions(spark):
+    keep = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.autoBroadcastJoinThreshold")}
+    spark.conf.set("spark.sql.shuffle.partitions", "211")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    for k, x in keep.items():
+        spark.conf.set(k, x)
+
+
+def test_a_hot_key_is_not_one_task_of_a_join(spark, many_partitions):
+    from pyspark.sql import functions as F
+
+    left = spark.range(100_000, numPartitions=50).selectExpr("id", "case when id % 3 = 0 then 7 when id % 11 = 0 then null else id end as k").withColumn("tag", F.lit("x"))
+    right = spark.range(100_000).selectExpr("id as k", "id * 2 as w").where("k % 2 = 1")
+    assert len(graph.hot_keys(left, ["k"])) == 1
+    for how in ("inner", "left"):
+        out = graph.spread_join(left, right, ["k"], how)
+        assert out.columns == ["k", "id", "tag", "w"]
+        plain = left.join(right, ["k"], how).select("k", "id", "tag", "w")
+        assert out.exceptAll(plain).isEmpty() and out.count() == plain.count()
+        largest = out.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count")).first()[0]
+        assert largest <= 3000, (how, largest)
+
+
+def test_components_of_a_star_and_a_chain_over_many_partitions(spark, many_partitions):
+    pairs = spark.range(20_000).selectExpr("1000000 as a", "id as b").union(spark.range(30).selectExpr("id + 2000000 as a", "id + 2000001 as b"))
+    rows = graph.components(pairs, 20_100).collect()
+    assert {r["label"] for r in rows if r["v"] <= 1_000_000} == {0} and {r["label"] for r in rows if r["v"] >= 2_000_000} == {2_000_000}
+    assert len(rows) == 20_001 + 31
+
+
 def test_by_group_streams_groups_over_batches(spark):
     import pyarrow as pa
 

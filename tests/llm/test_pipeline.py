@@ -55,6 +55,26 @@ def test_an_id_with_several_texts_keeps_each_once(spark):
     assert {(r["doc_id"], r["text"], r["source"]) for r in out.collect()} == {(1, a, "y"), (1, b, "x"), (None, b, "v")} and out.count() == 3
 
 
+def test_stages_keep_genuine_marks_and_columns_of_any_name(spark):
+    passage = "all of this passage stands in two documents, word for word, as a repeat"
+    names = ["doc_id", "text", "n_removed", "kept", "n_bytes", "n_spans", "kept_text", "carried", "others", "_o", "_blob", "_spans", "blob", "row", "lang"]
+    rows = [(1, f"first \ufffd {passage}", *"abcdefghijkl", "en"), (2, f"bad \ufffd char {passage} tail \ufffd password=hunter2secret", *"abcdefghijkl", "en")]
+    docs = spark.createDataFrame(rows, names)
+    out = written(pipeline.drop_repeated_passages(spark, docs, SF), "names")
+    assert out.columns == names
+    got = {r["doc_id"]: r for r in out.collect()}
+    assert got[1]["text"] == rows[0][1] and tuple(got[1])[2:] == rows[0][2:] and tuple(got[2])[2:] == rows[1][2:]
+    assert got[2]["text"].startswith("bad \ufffd char") and " tail \ufffd password" in got[2]["text"] and "word for word" not in got[2]["text"]
+    clean = written(pipeline.mask_secrets(spark, out, SF), "clean")
+    assert clean.columns == names and {r["doc_id"]: r["text"] for r in clean.collect()}[2].endswith("tail \ufffd [secret]")
+    again = written(pipeline.drop_near_duplicates(spark, clean, SF), "again")
+    assert again.columns == names and again.count() == 2
+    few = docs.select("doc_id", "text")
+    for stage in (pipeline.drop_near_duplicates, pipeline.drop_repeated_passages, pipeline.mask_secrets):
+        few = written(stage(spark, few, SF), "few")
+        assert few.columns == ["doc_id", "text"] and few.count() == 2
+
+
 def test_repeated_passages(steps):
     before, after = rows(steps[2]), rows(steps[3])
     least = {}

@@ -55,6 +55,30 @@ def test_texts_longer_than_a_segment(spark, monkeypatch):
     assert whole == split and len(whole) == sum(len(t) - 49 for _, t in texts)
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_many_contexts_of_one_anchor(spark, seed):
+    """One passage that very many texts share in different lengths, before and after different words."""
+    rng = random.Random(seed)
+    core = "the committee met on the third day of the month and agreed upon nothing at all"
+    rows = []
+    for i in range(150):
+        a, b = rng.randint(0, 30), rng.randint(0, 30)
+        rows.append((i // 2, rng.choice("xyz") * rng.randint(0, 3) + core[a : len(core) - b] + rng.choice("pqr") * rng.randint(0, 3)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert as_rows(suffixes.strip_repeats(df)) == sorted(suffixes.brute_force(rows))
+
+
+def test_kept_text_loses_only_cut_characters(spark):
+    passage = "0123456789" * 3 + "wxyz" * 6 + "é"
+    raw = passage.encode()
+    assert len(raw) == 56
+    rows = [(1, "a " + passage + " b"), (2, "genuine \ufffd here " + passage[:-1] + "ê and \ufffd there")]
+    out = {r["doc_id"]: r for r in suffixes.strip_repeats(spark.createDataFrame(rows, "doc_id long, text string"), carry=("doc_id",)).collect()}
+    assert out[1]["kept_text"] == rows[0][1] and out[2]["n_removed"] > 50
+    assert out[2]["kept_text"] == "genuine \ufffd here and \ufffd there"
+    assert out[2]["carried"]["doc_id"] == 2
+
+
 def test_awkward(spark):
     out = suffixes.strip_repeats(awkward(spark)).collect()
     assert Counter(r["doc_id"] for r in out) == Counter(i for i, _ in TEXTS)

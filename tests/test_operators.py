@@ -2,7 +2,10 @@
 
 import inspect
 import math
+import os
 import random
+import subprocess
+import sys
 import zipfile
 
 import numpy as np
@@ -256,6 +259,64 @@ def test_tokens_in_python_and_as_an_expression(spark_for_properties, text):
     assert sorted(T.tokens_of(text)) == sorted(one(spark_for_properties, T.word_tokens(col(text)).alias("t"))["t"])
 
 
+def test_batches_that_fail_and_texts_that_are_too_long(spark, monkeypatch):
+    calls = []
+
+    def remote(texts):
+        calls.append(len(texts))
+        if any("bad" in x for x in texts):
+            raise OSError("no answer")
+        return embed.vectors_of(texts, 4)
+
+    monkeypatch.setitem(embed._PROVIDERS, "small", embed.Provider("small", 4, 3, 5, embed.hashed_embedding))
+    df = spark.createDataFrame([(1, "one"), (2, None), (3, "x" * 100), (4, "bad one"), (5, "two"), (6, "three")], "doc_id long, text string").coalesce(1).orderBy("doc_id")
+    rows = {r["doc_id"]: r for r in embed.embed_batches(df, remote, "small").collect()}
+    assert rows[1]["error"] is None and np.allclose(rows[1]["embedding"], embed.vectors_of(["one"], 4)[0])
+    assert rows[2]["error"] == "empty text" and rows[3]["error"] == "over 5 tokens"
+    assert {rows[i]["error"] for i in (4, 5, 6)} == {"no answer"} and all(rows[i]["embedding"] is None for i in (2, 3, 4, 5, 6))
+
+
+def test_cache_levels(spark):
+    now = F.lit("2024-01-02").cast("timestamp")
+    key = lambda x: F.md5(F.lit(x))
+    row = lambda x, when: spark.range(1).select(key(x).alias("key"), F.array(F.lit(9.0)).alias("embedding"), F.lit(when).cast("timestamp").alias("expires_at"))
+    memory, store_ = row("a", "2024-01-01").drop("expires_at"), row("a", "2024-01-03").union(row("b", "2024-01-03")).union(row("c", "2024-01-01"))
+    asked = spark.createDataFrame([("a",), ("b",), ("c",), ("c",), (None,)], "text string")
+    served = embed.cached_levels(asked, memory, store_, now, dimensions=4)
+    assert sorted((r["text"], r["level"], len(r["embedding"])) for r in served.collect() if r["text"]) == [("a", "memory", 1), ("b", "store", 1), ("c", "fresh", 4), ("c", "fresh", 4)]
+    assert tuple(embed.cache_counters(served).first()) == (5, 1, 1, 2, 0.4)
+    assert embed.cache_counters(served.limit(0)).first()["hit_rate"] == 0.0
+
+
+def test_rankings_are_cached_by_strategy(spark):
+    now = F.lit("2024-01-02").cast("timestamp")
+    c = spark.createDataFrame([(0, 1, 0.9, 0.1), (0, 2, 0.5, 0.8), (1, 1, 0.2, 0.3)], "query_id long, doc_id long, cosine double, rerank_score double")
+    q = spark.createDataFrame([(0, "x"), (1, "y")], "query_id long, query string")
+    none = spark.createDataFrame([], "key string, ranking array<bigint>, expires_at timestamp")
+    first, cache = rerank.ranked_with_cache(q, c, none, now, "embedding")
+    assert {r["query_id"]: (r["ranking"], r["cached"]) for r in first.collect()} == {0: ([1, 2], False), 1: ([1], False)}
+    cache = written(cache, "cache")
+    again, _ = rerank.ranked_with_cache(q, c, cache, now, "embedding")
+    assert {r["cached"] for r in again.collect()} == {True}
+    other, _ = rerank.ranked_with_cache(q, c, cache, now, "rerank")
+    assert {r["query_id"]: (r["ranking"], r["cached"]) for r in other.collect()}[0] == ([2, 1], False)
+    capped, _ = rerank.ranked_with_cache(q, c, none, now, "rerank", most=1)
+    assert {r["query_id"]: r["ranking"] for r in capped.collect()} == {0: [1], 1: [1]}
+
+
+def test_semantic_chunks_by_an_embedder(spark):
+    df = spark.createDataFrame([(1, "Cats purr. Cats sleep. Ships sail.")], "doc_id long, text string")
+    kinds = lambda parts: np.array([[1.0, 0.0] if "Cats" in p else [0.0, 1.0] for p in parts])
+    assert [r["content"] for r in chunking.by_meaning(df, embedder=kinds).orderBy("chunk_index").collect()] == ["Cats purr. Cats sleep.", "Ships sail."]
+
+
+def test_algorithms_compared_on_separate_groups(spark):
+    points = [(i, [float(i % 3) * 10 + (i // 3) * 0.01, 0.0]) for i in range(90)]
+    rows = {r["algorithm"]: r for r in learn.compare_algorithms(spark.createDataFrame(points, "vec_id long, embedding array<double>"), n_init=3).collect()}
+    assert {(r["clusters"], r["noise"]) for r in rows.values()} == {(3, 0)} and all(r["silhouette"] > 0.99 for r in rows.values())
+    assert samples.comparison(spark).count() == 17
+
+
 def test_fusions(spark):
     a = spark.createDataFrame([(0, 1, 9.0), (0, 2, 8.0)], "query_id long, doc_id long, score double")
     b = spark.createDataFrame([(0, 2, 0.9), (0, 3, 0.8)], "query_id long, doc_id long, score double")
@@ -478,7 +539,7 @@ def test_files(spark, tmp_path):
 
 def test_samples(spark):
     docs, queries, qrels = samples.evaluation(spark)
-    assert (docs.count(), queries.count(), qrels.count()) == (10, 4, 7)
+    assert (docs.count(), queries.count(), qrels.count()) == (10, 6, 10)
     assert samples.documents(spark, 99).count() == 10 and samples.documents(spark, 99, "storage").count() == 2
     assert samples.benchmark_sets(spark, 6, 2).where("relevant").count() == 6
     scores = sparse.ranked(sparse.bm25(sparse.build_index(docs), queries), 5)
@@ -490,11 +551,70 @@ def test_few_results_are_noise(spark):
     assert learn.cluster_results(df).first()["cluster"] == -1
 
 
+def test_workers_get_the_package_from_any_folder(tmp_path):
+    """A process that starts elsewhere, with the package on its own path only."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"import sys; sys.path.insert(0, {root!r})\nfrom vectrine.session import session\nfrom vectrine.operators import chunking\nspark = session(master='local[2]')\ndf = spark.createDataFrame([(1, 'One. Two.' * 50)], 'doc_id long, text string')\nprint('chunks', chunking.by_recursion(df, 60, 10).count())\n"
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300, check=True).stdout
+    assert int(out.split("chunks")[1]) > 1
+
+
+def test_exact_quantiles(spark):
+    rng = np.random.default_rng(0)
+    for x in (rng.normal(size=3000), np.repeat([1.0, 2.0, 5.0], [1000, 500, 1]), np.array([4.0])):
+        df = spark.createDataFrame([(float(v),) for v in x] + [(None,)], "x double")
+        for share in (0.0, 0.5, 0.9, 1.0):
+            assert learn.quantile(df, "x", share, bins=8, few=20) == pytest.approx(float(np.quantile(x, share)))
+    assert learn.quantile(df.limit(0), "x", 0.5) is None
+
+
 def test_config(tmp_path):
     (tmp_path / "c.json").write_text('{"top_k": 9, "other": 1}')
     assert EngineConfig.from_json(str(tmp_path / "c.json")).top_k == 9
 
 
+def test_online_model_one_action_at_a_time(spark, tmp_path):
+    """Batches of one action each equal the plain fold over both sides."""
+    model = recommender.OnlineModel(spark, f"file://{tmp_path}/model", dimensions=4, limit=3)
+    start = {(side, k): spark.range(1).select(recommender.hashed_start(F.lit(k), side, 4).alias("v")).first()["v"] for side in ("users", "items") for k in (1, 2, 3)}
+    users, items = ({k: np.array(start[side, k]) for k in (1, 2, 3)} for side in ("users", "items"))
+    for n, (u, i, s) in enumerate([(1, 2, 5.0), (1, 3, -1.0), (2, 2, 3.0), (1, 2, 1.0)]):
+        users[u], items[i] = recommender.sgd_step(users[u], items[i], s)
+        batch = spark.createDataFrame([(n, n, u, i, s)], "event_id long, ts long, user_id long, item_id long, score double")
+        top = model.update(batch, n).collect()
+        assert all(r["item_id"] != i for r in top)
+    for side, want, keys in (("users", users, (1, 2)), ("items", items, (2, 3))):
+        got = {r["key"]: r["vector"] for r in model.vectors(side).collect()}
+        assert set(got) == set(keys) and all(np.allclose(got[k], want[k]) for k in keys)
+    again = model.update(batch, n).collect()  # a batch that runs twice leaves the same vectors
+    assert [tuple(r) for r in again] == [tuple(r) for r in top]
+    assert np.allclose({r["key"]: r["vector"] for r in model.vectors("users").collect()}[1], users[1])
+
+
+def test_online_model_folds_many_actions_of_one_user(spark, tmp_path):
+    model = recommender.OnlineModel(spark, f"file://{tmp_path}/model", dimensions=4)
+    rows = [(n, n, 1, 10 + n, float(n % 3)) for n in range(6)] + [(9, 9, None, 3, 1.0)]
+    model.update(spark.createDataFrame(rows, "event_id long, ts long, user_id long, item_id long, score double"), 0)
+    first = lambda k, side: np.array(spark.range(1).select(recommender.hashed_start(F.lit(k), side, 4).alias("v")).first()["v"])
+    user = first(1, "users")
+    items = {}
+    for _, _, _, i, s in rows[:6]:
+        user, items[i] = recommender.sgd_step(user, first(i, "items"), s)
+    assert np.allclose(model.vectors("users").first()["vector"], user)
+    assert all(np.allclose(r["vector"], items[r["key"]]) for r in model.vectors("items").collect())
+
+
+def test_producer_and_state_that_expires(spark, tmp_path):
+    stream = recommender.producer(spark, 50)
+    assert stream.isStreaming and {"event_id", "ts", "user_id", "item_id", "event_type", "score"} <= set(stream.columns)
+    events = tmp_path / "in"
+    spark.createDataFrame([(1, 1, 7, 3.0), (2, 2, 7, 1.0)], "event_id long, user_id long, item_id long, score double").selectExpr("*", "timestamp'2024-01-01' as ts").write.parquet(str(events))
+    live = spark.readStream.schema(spark.read.parquet(str(events)).schema).parquet(str(events))
+    out = recommender.run_to_table(recommender.user_state(live, 3, ttl_seconds=3600), "ttl", "update", ["user_id"])
+    assert {r["user_id"]: r["n"] for r in out.collect()} == {1: 1, 2: 1}
+
+
 def test_sgd_uses_the_new_user_vector():
     u, i = np.array([0.1, 0.2]), np.array([0.3, -0.1])
     nu, ni = recommender.sgd_step(u, i, 1.0)

@@ -79,6 +79,17 @@ def embed_terms(forward: DataFrame, dimensions: int) -> DataFrame:
     return forward.where(F.size("terms") > 0).select("doc_id", "terms").mapInArrow(run, f"id {kind}, embedding array<double>")
 
 
+def vectors_of(texts: list[str], dimensions: int = 64) -> np.ndarray:
+    """`hashed_embedding` of texts in Python, for steps that embed within a row."""
+    out = np.zeros((len(texts), dimensions))
+    for row, text in enumerate(texts):
+        for token in T.tokens_of(text):
+            digest = hashlib.md5(token.encode()).hexdigest()
+            out[row, int(digest[:BUCKET_DIGITS], 16) % dimensions] += 1.0 if digest[BUCKET_DIGITS] < "8" else -1.0
+    n = np.sqrt((out * out).sum(1, keepdims=True))
+    return np.divide(out, n, out=out, where=n > 0)
+
+
 @dataclass(frozen=True)
 class Provider:
     name: str
@@ -110,4 +121,62 @@ def embed_with_cache(texts: DataFrame, cache: DataFrame, text_col: str = "text",
     return texts.join(cache.unionByName(fresh), text_col, "left"), fresh
 
 
+def embed_batches(df: DataFrame, batch_embed: Callable[[list[str]], np.ndarray] = vectors_of, name: str = "hashed", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, embedding, error): the provider's embedder called with at most max_batch texts at a time.
+
+    A text over max_tokens by the token estimate has an error and no embedding, as has every text of a batch whose
+    call raises; null and blank texts have an error too. No row is lost.
+    """
+    own = provider(name)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, own.max_batch):
+                part = batch.slice(at, own.max_batch)
+                texts, tokens = part.column(1).to_pylist(), part.column(2).to_pylist()
+                errors = ["empty text" if not x or not x.strip() else f"over {own.max_tokens} tokens" if n > own.max_tokens else None for x, n in zip(texts, tokens, strict=True)]
+                good = [k for k, e in enumerate(errors) if e is None]
+                vectors: list[list[float] | None] = [None] * len(texts)
+                try:
+                    for k, v in zip(good, batch_embed([texts[k] for k in good]) if good else (), strict=True):
+                        vectors[k] = [float(x) for x in v]
+                except Exception as e:  # noqa: BLE001 - a remote embedder may raise anything
+                    vectors = [None] * len(texts)
+                    errors = [x or str(e) or type(e).__name__ for x in errors]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(vectors, pa.list_(pa.float64())), pa.array(errors, pa.string())], [id_col, "embedding", "error"])
+
+    rows = df.select(id_col, F.col(text_col).cast("string").alias("text"), T.token_estimate(F.coalesce(F.col(text_col), F.lit(""))).alias("tokens"))
+    return rows.mapInArrow(run, f"{id_col} {df.schema[id_col].dataType.simpleString()}, embedding array<double>, error string")
+
+
+def embed_by_language(df: DataFrame, dimensions: int = 64, text_col: str = "text") -> DataFrame:
+    """(text, language, normalised, embedding): one row for each distinct text, embedded as its language is written."""
+    rows = df.select(F.col(text_col).cast("string").alias("text")).where("text is not null").distinct()
+    rows = rows.withColumn("language", T.detect_language(F.col("text")))
+    rows = rows.withColumn("normalised", T.normalize_for_language(F.col("text"), F.col("language")))
+    return rows.withColumn("embedding", hashed_embedding(F.col("normalised"), dimensions))
+
+
+def cached_levels(requests: DataFrame, memory: DataFrame, store: DataFrame, now: Column, text_col: str = "text", name: str = "hashed", dimensions: int | None = None) -> DataFrame:
+    """(…, key, level, embedding) of every request: level is memory, store or fresh, in that order of preference.
+
+    memory and store hold (key, embedding), store also expires_at, and each key once. Only what both lack, or the store
+    holds no longer, is embedded, each distinct text once.
+    """
+    own = provider(name)
+    asked = requests.withColumn("key", T.content_key(F.col(text_col)))
+    keys = asked.where(F.col(text_col).isNotNull()).groupBy("key").agg(F.first(text_col).alias("_t"))
+    levels = keys.join(memory.select("key", F.col("embedding").alias("_m")), "key", "left").join(store.where(F.col("expires_at") > now).select("key", F.col("embedding").alias("_s")), "key", "left")
+    level = F.when(F.col("_m").isNotNull(), "memory").when(F.col("_s").isNotNull(), "store").otherwise("fresh")
+    vector = F.coalesce("_m", "_s", F.when(F.col("_m").isNull() & F.col("_s").isNull(), own.embed(F.col("_t"), dimensions or own.dimensions)))
+    return asked.join(levels.select("key", level.alias("level"), vector.alias("embedding")), "key", "left")
+
+
+def cache_counters(served: DataFrame) -> DataFrame:
+    """(requests, memory_hits, store_hits, misses, hit_rate) of `cached_levels`; no requests have a rate of 0."""
+    n = lambda x: F.count_if(F.col("level") == x)
+    out = served.agg(F.count("*").alias("requests"), n("memory").alias("memory_hits"), n("store").alias("store_hits"), n("fresh").alias("misses"))
+    return out.withColumn("hit_rate", F.coalesce(F.try_divide((F.col("memory_hits") + F.col("store_hits")).cast("double"), F.col("requests").cast("double")), F.lit(0.0)))
+
+
 register(Provider("hashed", 64, 10, 8192, hashed_embedding))

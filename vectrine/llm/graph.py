@@ -20,14 +20,19 @@ FILE_ROWS = 500_000
 HOT_SHARE, HOT_ROWS = 1000, 100
 
 
-def hot_keys(df: DataFrame, keys: list[str]) -> list[int]:
-    """Hashes of the hot keys of df, at most HOT_SHARE whatever its size; null keys are none. Counted in partial sums."""
+def hot_keys(df: DataFrame, keys: list[str], least: int = HOT_ROWS) -> list[int]:
+    """Hashes of the keys of df that hold over one HOT_SHARE-th of its rows and over `least` of them, at most HOT_SHARE
+    whatever its size; null keys are none. Counted in partial sums."""
     total = df.count()
-    if total <= HOT_ROWS:
+    if total <= least:
         return []
-    counts = df.where(_known(keys)).groupBy(F.xxhash64(*keys).alias("h")).agg(F.count("*").alias("n"))
-    found = counts.where(F.col("n") > max(HOT_ROWS, total // HOT_SHARE)).orderBy(F.desc("n")).limit(HOT_SHARE).collect()
-    return sorted(r["h"] for r in found)
+    return hot_of(df.where(_known(keys)).groupBy(*keys).agg(F.count("*").alias("n")), keys, total, least)
+
+
+def hot_of(counted: DataFrame, keys: list[str], total: int, least: int = HOT_ROWS) -> list[int]:
+    """`hot_keys` where the rows of each key are counted already, as n."""
+    found = counted.where(F.col("n") > max(least, total // HOT_SHARE)).orderBy(F.desc("n")).limit(HOT_SHARE)
+    return sorted(r["h"] for r in found.select(F.xxhash64(*keys).alias("h")).collect())
 
 
 def _known(keys: list[str]) -> Column:

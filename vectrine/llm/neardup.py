@@ -21,12 +21,12 @@ from pyspark.sql import functions as F
 from vectrine.llm import shingles
 from vectrine.llm.bpe import slices
 from vectrine.llm.common import ID, TEXT, documents, partitions_for, tasks_for, written
-from vectrine.llm.graph import Spread, by_group, components, spread_join
+from vectrine.llm.graph import Spread, by_group, components, hot_of, spread_join
 
 #: Classes of a block, columns of a piece of the incidence matrix, bins of a sketch at most.
 BLOCK, COLUMNS, MAX_BINS = 128, 8192, 128
 #: Classes of one file.
-CLASS_ROWS = 50_000
+CLASS_ROWS = 6_000
 
 
 def banding(percent: int, miss: float = 1e-6, most: int = MAX_BINS) -> tuple[int, int]:
@@ -161,20 +161,21 @@ def near_duplicates(df: DataFrame, width: int = 5, percent: int = 80, id_col: st
     drawn = written(sketches(docs, width, rows, bands), "sketches")
     usable = drawn.where("v is not null and doc_id is not null")
     about = drawn.count()  # from the files' footers
-    classes = written(usable.groupBy("v").agg(F.min(ID).alias("id"), F.first("bands").alias("bands")), "classes", -(-about // CLASS_ROWS))
+    classes = written(usable.groupBy("v").agg(F.min(ID).alias("id"), F.first("bands").alias("bands"), F.count("*").alias("n")), "classes", -(-about // CLASS_ROWS))
+    n_classes = classes.count()
     members = classes.select("v", F.explode("bands").alias("key"))
-    buckets = members.groupBy("key").agg(F.count("*").alias("n"), F.min("v").alias("leader")).where("n > 1").select("key", "leader")
-    candidates = spread_join(members, buckets, ["key"]).where("v != leader").select(F.col("v").alias("a"), F.col("leader").alias("b")).distinct()
+    buckets = written(members.groupBy("key").agg(F.count("*").alias("n"), F.min("v").alias("leader")).where("n > 1"), "buckets", -(-n_classes // CLASS_ROWS))
+    candidates = spread_join(members, buckets.select("key", "leader"), ["key"], hot=hot_of(buckets, ["key"], n_classes * bands)).where("v != leader").select(F.col("v").alias("a"), F.col("leader").alias("b")).distinct()
     # a class meets one leader a band at most: hang it and its other leaders on the smallest, and few edges are left
     hung = candidates.withColumn("m", F.min("b").over(Window.partitionBy("a")))
     stars = F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))
     clusters = components(hung.select(F.inline(stars)).where("a <> b"), about)
-    sizes = clusters.groupBy("label").agg(F.count("*").alias("n"))
-    wanted = spread_join(clusters, sizes, ["label"]).join(classes.select("v", "id"), "v").select("v", "label", "n", "id")
+    sizes = written(clusters.groupBy("label").agg(F.count("*").alias("n")), "sizes", 1 + n_classes // CLASS_ROWS)
+    wanted = spread_join(clusters, sizes, ["label"], hot=hot_of(sizes, ["label"], clusters.count())).join(classes.select("v", "id"), "v").select("v", "label", "n", "id")
     joined = components(_confirmed(_sets(docs, wanted, width, spread.tasks), percent, spread), about)
     named = written(classes.select("v", "id").join(joined, "v", "left").withColumn("label", F.coalesce("label", "v")), "named", -(-about // CLASS_ROWS))
-    smallest = named.groupBy("label").agg(F.min("id").alias("component_id"))
-    by_class = spread_join(named, smallest, ["label"]).select("v", "component_id")
-    out = spread_join(drawn.drop("bands"), written(by_class, "by-class", -(-about // CLASS_ROWS)), ["v"], "left")
+    smallest = written(named.groupBy("label").agg(F.min("id").alias("component_id"), F.count("*").alias("n")), "smallest", 1 + n_classes // CLASS_ROWS)
+    by_class = spread_join(named, smallest.drop("n"), ["label"], hot=hot_of(smallest, ["label"], n_classes)).select("v", "component_id")
+    out = spread_join(drawn.drop("bands"), written(by_class, "by-class", 1 + n_classes // CLASS_ROWS), ["v"], "left", hot=hot_of(classes, ["v"], about))
     component = F.when(F.col(ID).isNotNull(), F.coalesce("component_id", ID))
     return out.select(ID, "n_shingles", component.alias("component_id"), F.coalesce(component == F.col(ID), F.lit(True)).alias("kept")).coalesce(spread.tasks)

@@ -98,13 +98,13 @@ def discriminator(one: np.ndarray, other: np.ndarray, ridge: float = 1.0, steps:
     return w
 
 
-def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1, gamma: float = 0.01) -> float:
+def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1, gamma: float = 0.01, few: int = 20) -> float:
     """The share of positives among the unlabelled rows, from positives and unlabelled rows alone.
 
     A discriminator of the two is learned on one half of each. On the other half, above any threshold, the share of
     unlabelled rows over that of positives is at least the prior, and comes down to it where hardly a negative scores
-    so high. The threshold with the least upper confidence bound of that ratio is taken. Held off 0 and 1; with fewer
-    than two rows on either side there is nothing to compare and it is a half.
+    so high. The threshold with the least upper confidence bound of that ratio is taken. A half stands in for `few` more
+    positives, so a handful of them says little; with fewer than two rows on either side it is a half. Held off 0 and 1.
     """
     if min(len(positive), len(unlabelled)) < 2:
         return 0.5
@@ -114,7 +114,8 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray, delta: float =
     above_u = 1 - np.searchsorted(u, p) / len(u)
     doubt = np.sqrt(np.log(4 / delta) / 2 / len(u)) + np.sqrt(np.log(4 / delta) / 2 / len(p))
     best = int(np.argmin((above_u + (1 + gamma) * doubt) / above_p))
-    return float(np.clip(above_u[best] / above_p[best], 0.01, 0.99))
+    ratio = (len(p) * above_u[best] / above_p[best] + few * 0.5) / (len(p) + few)
+    return float(np.clip(ratio, 0.01, 0.99))
 
 
 def fit_nnpu(positive: np.ndarray, unlabelled: np.ndarray, prior: float, epochs: int = 30, batch: int = 512, rate: float = 0.01, decay: float = 1e-4, seed: int = 0) -> np.ndarray:

@@ -29,8 +29,8 @@ from vectrine.llm.graph import Spread, by_group, hot_keys
 
 #: Queries of a tile and those scored at once, rows of a block, cells of a dimension, exact vectors read at a time.
 QUERY_TILE, QUERIES_AT_ONCE, BLOCK, CELLS, READ = 4096, 512, 4096, 256, 16
-#: Tiles whose running bounds a task remembers, and parts that the survivors of a hot block are dealt over.
-HELD_TILES, HOT_PARTS = 64, 64
+#: Tiles whose running bounds a task remembers; survivors from which on a block is hot, and parts it is dealt over then.
+HELD_TILES, HOT_SURVIVORS, HOT_PARTS = 64, 20_000, 64
 _FILE = "block long, dim int, ids binary, low binary, width binary, cells binary, exact binary"
 
 
@@ -159,7 +159,7 @@ def survivors(file: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 def _read(file: DataFrame, left: DataFrame, queries: DataFrame, k: int, reads: Accumulator | None) -> DataFrame:
     """(query_id, vec_id, score): the k best exact products of each block, read in the order of the bounds."""
-    hot = hot_keys(left, ["block"])
+    hot = hot_keys(left, ["block"], HOT_SURVIVORS)
     is_hot = F.xxhash64("block").isin(hot) if hot else F.lit(False)
     asked = left.join(queries.select(F.col("id").alias("query_id"), "v"), "query_id")
     asked = asked.select("block", F.when(is_hot, F.pmod(F.xxhash64("query_id"), F.lit(HOT_PARTS))).otherwise(0).cast("int").alias("s"), F.lit(1).alias("kind"), "query_id", (-F.col("upper")).alias("order"), "place", "v", F.lit(None).cast("binary").alias("ids"), F.lit(None).cast("binary").alias("exact"))

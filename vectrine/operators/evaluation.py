@@ -84,3 +84,12 @@ def compare(a: DataFrame, b: DataFrame) -> DataFrame:
 def method_averages(metrics: DataFrame, method_col: str = "method") -> DataFrame:
     """Means of all metrics by method."""
     return metrics.groupBy(method_col).agg(*[F.avg(c).alias(c) for c in metrics.columns if c not in (method_col, "query_id")])
+
+
+def compare_methods(ranked: DataFrame, qrels: DataFrame, queries: DataFrame, methods: tuple[str, ...] = ("embedding", "rerank", "hybrid"), method_col: str = "method") -> DataFrame:
+    """Means of `per_query` by method, of (method, query_id, doc_id, rank): each method's rows are runs of their own, over
+    all queries, so one that finds nothing for a query pays for it."""
+    own = F.struct(F.col(method_col).alias("m"), F.col("query_id").alias("q"))
+    of = lambda df: df.withColumn(method_col, F.explode(F.array(*map(F.lit, methods)))).withColumn("query_id", own).drop(method_col)
+    out = per_query(ranked.withColumn("query_id", own).drop(method_col), of(qrels), of(queries))
+    return method_averages(out.withColumn(method_col, F.col("query_id.m")), method_col)

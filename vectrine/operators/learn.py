@@ -87,10 +87,46 @@ def local_outlier_factor(df: DataFrame, k: int = 5, contamination: float = 0.1)
     lrd = reach.groupBy("a").agg(F.try_divide(F.lit(1.0), F.avg("reach") + 1e-10).alias("lrd"))
     of = reach.join(lrd.select(F.col("a").alias("b"), F.col("lrd").alias("lb")), "b").groupBy("a").agg(F.avg("lb").alias("nb"))
     out = of.join(lrd, "a").select(F.col("a").alias("vec_id"), (F.col("nb") / F.col("lrd")).alias("lof"))
-    cut = out.agg(F.percentile("lof", F.lit(1 - contamination)).alias("cut")).first()["cut"]
+    out = written(out, "lof")
+    cut = quantile(out, "lof", 1 - contamination)
     return out.withColumn("is_anomaly", F.col("lof") > F.lit(cut) if cut is not None else F.lit(False))
 
 
+def quantile(df: DataFrame, column: str, share: float, bins: int = 1024, few: int = 10_000) -> float | None:
+    """The value below which a share of the column lies, between neighbours by their distance; None without values.
+
+    Exact, without all values in one task: counts over bins of the range narrow it to the bin that holds the value,
+    again and again, until few values are left. df is read once a pass, so it should be cheap to read.
+    """
+    rows = df.select(F.col(column).cast("double").alias("x")).where("x is not null and not isnan(x)")
+    first = rows.agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).first()
+    if not first["n"]:
+        return None
+    place = share * (first["n"] - 1)
+
+    def at(rank: int) -> float:
+        lo, hi, n, below = first["lo"], first["hi"], first["n"], 0
+        while n > few and lo < hi:
+            width = (hi - lo) / bins
+            b = F.least(F.floor((F.col("x") - lo) / width), F.lit(bins - 1)) if width > 0 else F.lit(0)
+            found = rows.where(F.col("x").between(lo, hi)).groupBy(b.alias("b")).agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi")).orderBy("b").collect()  # at most `bins` rows
+            for r in found:
+                if below + r["n"] > rank:
+                    break
+                below += r["n"]
+            if (r["lo"], r["hi"]) == (lo, hi):
+                break
+            lo, hi, n = r["lo"], r["hi"], r["n"]
+        if lo == hi:
+            return lo
+        held = sorted(r["x"] for r in rows.where(F.col("x").between(lo, hi)).groupBy("x").count().collect() for _ in range(r["count"])) if n <= few else [lo] * n
+        return held[rank - below]
+
+    low = int(place)
+    value = at(low)
+    return value if place == low else value + (place - low) * (at(low + 1) - value)
+
+
 def _average_path(n: np.ndarray | float) -> np.ndarray | float:
     """Mean depth of an unsuccessful search in a binary tree of n points."""
     n = np.asarray(n, float)
@@ -138,7 +174,8 @@ def isolation_forest(df: DataFrame, trees: int = 100, sample: int = 256, contami
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(2 ** -(out / max(1, len(forest)) / max(float(_average_path(size)), 1e-9)))], [id_col, "score"])
 
     scored = df.where(F.col(vector_col).isNotNull()).select(id_col, V.doubles(F.col(vector_col)).alias("v")).mapInArrow(run, f"{id_col} long, score double")
-    cut = scored.agg(F.percentile("score", F.lit(1 - contamination)).alias("cut")).first()["cut"]
+    scored = written(scored, "scores")
+    cut = quantile(scored, "score", 1 - contamination)
     return scored.withColumn("is_anomaly", F.col("score") > F.lit(cut) if cut is not None else F.lit(False))
 
 
@@ -344,11 +381,12 @@ def pca(df: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedd
 
     src = df.where(F.col(vector_col).isNotNull())
     parts = src.select(V.doubles(F.col(vector_col)).alias("v")).mapInArrow(moments, "n long, s array<double>, c array<double>")
-    summed = parts.agg(F.sum("n").alias("n"), *[F.collect_list(x).alias(x) for x in ("s", "c")]).first()
-    if not summed["n"]:
+    entries = parts.select(F.posexplode(F.concat(F.array(F.col("n").cast("double")), "s", "c")).alias("at", "x"))
+    summed = [r["x"] for r in entries.groupBy("at").agg(F.sum("x").alias("x")).orderBy("at").collect()]  # 1 + d + d * d rows
+    if not summed:
         return src.select(id_col, F.array().cast("array<double>").alias("point")), []
-    n, s = summed["n"], np.sum(np.array(summed["s"]), 0)
-    c = np.sum(np.array(summed["c"]), 0).reshape(len(s), len(s))
+    d = int(np.sqrt(len(summed) - 1))
+    n, s, c = summed[0], np.array(summed[1 : 1 + d]), np.array(summed[1 + d :]).reshape(d, d)
     mean = s / n
     values, axes = np.linalg.eigh(c / n - np.outer(mean, mean))
     order = np.argsort(-values)[:k]
@@ -372,3 +410,45 @@ def cluster_results(results: DataFrame, n_clusters: int = 3, text_col: str = "te
         return results.select(id_col, F.lit(-1).alias("cluster"), F.lit("").alias("topic"))
     grouped, _, _ = kmeans(results, n_clusters, vector_col=vector_col)
     return grouped.join(analytics.topics(grouped, "cluster", text_col), "cluster").select(id_col, "cluster", "topic")
+
+
+def cluster_profiles(clustered: DataFrame, keep: int = 3, words: int = 5, text_col: str = "text", id_col: str = "doc_id", cluster_col: str = "cluster") -> DataFrame:
+    """(cluster, n, percentage, first_texts, keywords): sizes, the texts of the first ids, and the most frequent words.
+    Noise (a cluster of -1) is skipped. Only the first rows and the most frequent words are gathered."""
+    from vectrine.operators import analytics
+
+    total = F.sum("n").over(Window.partitionBy(F.lit(0)))  # over one row a cluster
+    sizes = clustered.groupBy(cluster_col).agg(F.count("*").alias("n")).withColumn("percentage", F.col("n") * 100.0 / total)
+    rows = clustered.where(F.col(cluster_col).cast("string") != "-1")
+    rank = F.row_number().over(Window.partitionBy(cluster_col).orderBy(id_col))
+    first = rows.withColumn("_r", rank).where(F.col("_r") <= keep).groupBy(cluster_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("_r", text_col))), lambda x: x[text_col]).alias("first_texts"))
+    found = analytics.group_keywords(rows, cluster_col, words, text_col)
+    top = found.groupBy(cluster_col).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "word"))), lambda x: x["word"]).alias("keywords"))
+    return sizes.join(first, cluster_col).join(top, cluster_col, "left")
+
+
+def silhouette(clustered: DataFrame, vector_col: str = "embedding", cluster_col: str = "cluster") -> float | None:
+    """The mean (squared-L2) silhouette of all rows but noise; None for fewer than two clusters."""
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.functions import array_to_vector
+
+    rows = clustered.where(F.col(cluster_col) >= 0)
+    number = rows.select(cluster_col).distinct()
+    if number.limit(2).count() < 2:
+        return None
+    # the evaluator wants labels as doubles; a density cluster is named by an id, which a double may not hold
+    names = number.withColumn("_n", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(cluster_col)) - 1)
+    rows = rows.join(names, cluster_col).select(array_to_vector(V.doubles(F.col(vector_col))).alias("_f"), F.col("_n").cast("double").alias("_c"))
+    return float(ClusteringEvaluator(featuresCol="_f", predictionCol="_c").evaluate(rows))
+
+
+def compare_algorithms(df: DataFrame, k: int = 3, eps: float = 0.6, min_samples: int = 3, n_init: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(algorithm, clusters, noise, silhouette) of k-means, Ward's agglomeration and density clusters over the same rows."""
+    rows = df.where(F.col(vector_col).isNotNull()).select(id_col, vector_col)
+    found = {"kmeans": kmeans(rows, k, n_init=n_init, vector_col=vector_col)[0].select(id_col, "cluster"), "ward": ward_of_all(rows, k, id_col=id_col, vector_col=vector_col), "density": dbscan(rows, eps, min_samples, id_col, vector_col)}
+    out = []
+    for name, clustered in found.items():
+        clustered = written(clustered, name)
+        row = clustered.agg(F.countDistinct(F.when(F.col("cluster") >= 0, F.col("cluster"))).alias("c"), F.count_if(F.col("cluster") < 0).alias("n")).first()
+        out.append((name, row["c"], row["n"], silhouette(clustered.join(rows, id_col), vector_col)))
+    return df.sparkSession.createDataFrame(out, "algorithm string, clusters long, noise long, silhouette double")

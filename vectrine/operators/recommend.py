@@ -34,7 +34,7 @@ def user_vectors(behaviours: DataFrame, items: DataFrame, n: int = 20) -> DataFr
     return search.mean_vectors(joined, "user_id", weight=F.col("score")).select("user_id", F.col("centroid").alias("embedding"))
 
 
-def content_based(users: DataFrame, items: DataFrame, seen: DataFrame, limit: int = 5) -> DataFrame:
+def content_based(users: DataFrame, items: DataFrame, seen: DataFrame, limit: int = 5, metric: str = "cosine") -> DataFrame:
     """(user_id, item_id, score, rank): the items most like the user's vector among those not in seen.
 
     The block-wise search fetches limit more than a user has seen, so what the anti-join takes away is covered. Users
@@ -49,7 +49,7 @@ def content_based(users: DataFrame, items: DataFrame, seen: DataFrame, limit: in
     near, low, high = None, -1, 64
     while low < most or near is None:
         part = asked.where((F.col("n") > low) & (F.col("n") <= high)).select(F.col("user_id").alias("vec_id"), "embedding")
-        found = search.knn(part, candidates, limit + min(high, most), exclude_self=False)
+        found = search.knn(part, candidates, limit + min(high, most), metric, exclude_self=False)
         near, low, high = found if near is None else near.unionByName(found), high, high * 16
     left = near.select(F.col("query_id").alias("user_id"), F.col("vec_id").alias("item_id"), "score").join(touched, ["user_id", "item_id"], "left_anti")
     return _ranked(left, limit)

@@ -96,3 +96,26 @@ def cache_put(cache: DataFrame, fresh: DataFrame, now: Column, ttl_seconds: int
     """The cache without expired and replaced rows, with the fresh ones."""
     kept = cache.where(F.col("expires_at") > now).join(fresh, "key", "left_anti")
     return kept.unionByName(fresh.withColumn("expires_at", now + F.make_dt_interval(secs=F.lit(ttl_seconds))))
+
+
+def all_strategies(candidates: DataFrame) -> DataFrame:
+    """(method, query_id, doc_id, rank from 1) of the same candidates by each strategy."""
+    one = lambda s: by_strategy(candidates, s).select(F.lit(s).alias("method"), "query_id", "doc_id", (F.col("final_rank") + 1).alias("rank"))
+    return one("embedding").unionByName(one("rerank")).unionByName(one("hybrid"))
+
+
+def ranked_with_cache(requests: DataFrame, candidates: DataFrame, cache: DataFrame, now: Column, strategy: str = "hybrid", most: int = MAX_DOCUMENTS, ttl_seconds: int = 3600) -> tuple[DataFrame, DataFrame]:
+    """(answers, cache): (query_id, key, ranking array<doc_id>, cached) of (query_id, query), and the cache with new ones.
+
+    The first `most` candidates of a query by cosine are ranked. Its key is made of the query, those candidates and the
+    strategy, so neither another strategy nor another list shares an answer; only missing keys are ranked.
+    """
+    first = place(candidates, "cosine", "_p").where(F.col("_p") < most)
+    lists = first.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "doc_id"))), lambda x: x["doc_id"].cast("string")).alias("docs"))
+    asked = requests.join(lists, "query_id").withColumn("key", cache_key(F.col("query"), F.col("docs"), strategy))
+    hits, misses = cache_get(asked, cache, now)
+    fresh = by_strategy(first.drop("_p").join(misses.select("query_id"), "query_id", "left_semi"), strategy)
+    ranking = fresh.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("final_rank", "doc_id"))), lambda x: x["doc_id"]).alias("ranking"))
+    new = misses.join(ranking, "query_id")
+    answers = hits.select("query_id", "key", "ranking", F.lit(True).alias("cached")).unionByName(new.select("query_id", "key", "ranking", F.lit(False).alias("cached")))
+    return answers, cache_put(cache, new.groupBy("key").agg(F.first("ranking").alias("ranking")), now, ttl_seconds)

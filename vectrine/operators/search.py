@@ -205,6 +205,24 @@ def _block_best(queries: DataFrame, vectors: DataFrame, groups: int, k: int, met
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(*names, "vec_id", "score", "rank")
 
 
+def all_scores(queries: DataFrame, vectors: DataFrame, metric: str = "cosine", id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(query_id, vec_id, score) of every query and vector, the diagonal included: the cells of a similarity matrix,
+    which are the result. They are made block by block where they lie."""
+    scores = BLOCK_METRICS[_known(metric)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                dim, ids, data, qids, qdata = (batch.column(c)[row].as_py() for c in range(5))
+                (vid, x), (qid, y) = _block(dim, ids, data), _block(dim, qids, qdata)
+                for at in range(0, len(qid), 64):
+                    s = scores(y[at : at + 64], x)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qid[at : at + 64], len(vid))), pa.array(np.tile(vid, len(s))), pa.array(s.ravel())], ["query_id", "vec_id", "score"])
+
+    pairs = _meeting(packed(queries, id_col, vector_col), packed(vectors, id_col, vector_col), _groups(queries), ["dim", "list"])
+    return pairs.mapInArrow(run, "query_id long, vec_id long, score double")
+
+
 def score_bounds(queries: DataFrame, vectors: DataFrame, metric: str = "cosine", id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, lo, hi): the least and the highest score of each query among all vectors; a row a block leaves a task."""
     scores = BLOCK_METRICS[_known(metric)]

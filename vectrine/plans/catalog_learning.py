@@ -62,10 +62,10 @@ def anomaly_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {E_SQL}, p AS (SELECT a.vec_id AS a, b.vec_id AS b, list_distance(a.v, b.v) AS d, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(1 / (1 + list_distance(a.v, b.v)), 9) DESC, b.vec_id) AS r FROM e a JOIN e b ON a.vec_id <> b.vec_id),
 n AS (SELECT a, b, d FROM p WHERE r <= 5), kd AS (SELECT a, max(d) AS kd FROM n GROUP BY a),
 re AS (SELECT n.a, n.b, greatest(n.d, kd.kd) AS reach FROM n JOIN kd ON kd.a = n.b), l AS (SELECT a, 1 / (avg(reach) + 1e-10) AS lrd FROM re GROUP BY a),
-o AS (SELECT re.a, avg(l.lrd) AS nb FROM re JOIN l ON l.a = re.b GROUP BY re.a)
-SELECT o.a AS vec_id, round(o.nb / l.lrd, 6) AS lof FROM o JOIN l ON l.a = o.a""")
+o AS (SELECT re.a, avg(l.lrd) AS nb FROM re JOIN l ON l.a = re.b GROUP BY re.a),
+f AS (SELECT o.a AS vec_id, o.nb / l.lrd AS lof FROM o JOIN l ON l.a = o.a) SELECT vec_id, round(lof, 6) AS lof, lof > (SELECT quantile_cont(lof, 0.9) FROM f) AS is_anomaly FROM f""")
 def anomaly_lof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return learn.local_outlier_factor(vectors(spark, sf_dir)).select("vec_id", r6("lof"))
+    return learn.local_outlier_factor(vectors(spark, sf_dir)).select("vec_id", r6("lof"), "is_anomaly")
 
 
 @query()
@@ -105,7 +105,9 @@ def cluster_ward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learn.ward_of_all(vectors(spark, sf_dir), 3)
 
 
-@query()
+@query(f"""WITH RECURSIVE {E_SQL}, p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.vec_id <> b.vec_id AND list_distance(a.v, b.v) <= 1.1), k AS (SELECT a AS v FROM p GROUP BY a HAVING count(*) + 1 >= 3),
+g AS (SELECT a, b FROM p WHERE a IN (SELECT v FROM k) AND b IN (SELECT v FROM k)), r AS (SELECT v, v AS c FROM k UNION SELECT g.b, r.c FROM r JOIN g ON g.a = r.v AND r.c < g.b), l AS (SELECT v, min(c) AS label FROM r GROUP BY v),
+x AS (SELECT p.a AS v, min(label) AS border FROM p JOIN l ON l.v = p.b GROUP BY p.a) SELECT vec_id, coalesce(l.label, border, -1) AS cluster FROM e LEFT JOIN l ON l.v = vec_id LEFT JOIN x ON x.v = vec_id""")
 def cluster_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learn.dbscan(vectors(spark, sf_dir), 1.1, 3)
 
@@ -124,3 +126,9 @@ def project_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = vectors(spark, sf_dir)
     out = learn.trajectory(df, "label", "vec_id", V.dot(F.col("embedding"), V.literal(search.vector_of(df, 0))))
     return out.select("vec_id", "label", "place", r6("value"), r6("step"))
+
+
+@query()
+def cluster_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three algorithms over all vectors; eps as surveyed leaves these vectors, which lie far apart, as noise."""
+    return learn.compare_algorithms(vectors(spark, sf_dir))

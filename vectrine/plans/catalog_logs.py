@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from vectrine.catalog import query
 from vectrine.functions import vectors as V
 from vectrine.operators import analytics, learn, recommend, store
-from vectrine.session import table
+from vectrine.session import table, work_path, written
 from vectrine.sources import files
 from vectrine.streaming import recommender
 
@@ -99,14 +97,17 @@ def rec_explanation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recommend.explanation(actions(spark, sf_dir))
 
 
-@query()
+_BEFORE = "bf AS (SELECT user_id, e.v AS pv FROM pf JOIN e USING (item_id) WHERE r <= 5)"
+
+
+@query(f"WITH {_CONTENT}, {_PEERS}, {_BEFORE}, dv AS (SELECT cf.user_id, cf.item_id, 1 - avg(list_dot_product(e.v, pv)) AS d FROM cf JOIN e USING (item_id) JOIN bf ON bf.user_id = cf.user_id WHERE cf.r <= 5 GROUP BY 1, 2) SELECT cf.user_id, cf.item_id, round(coalesce(d, 0), 6) AS diversity, round(s + 0.1 * coalesce(d, 0), 6) AS final_score FROM cf LEFT JOIN dv ON dv.user_id = cf.user_id AND dv.item_id = cf.item_id WHERE r <= 5")
 def rec_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
     a, i = actions(spark, sf_dir), items(spark, sf_dir)
     out = recommend.diversity(recommend.content_based(recommend.user_vectors(a, i), i, a), recommend.collaborative(rated(spark, sf_dir)), i)
     return out.select("user_id", "item_id", r6("diversity"), r6("final_score"))
 
 
-@query()
+@query(f"WITH {_POPULAR}, {_PEERS}, rq AS (SELECT DISTINCT user_id, CASE WHEN user_id % 2 = 0 THEN 'A' ELSE 'B' END AS test_group FROM a), sv AS (SELECT rq.user_id, item_id, s AS score, 'A' AS test_group FROM rq JOIN pf USING (user_id) WHERE test_group = 'A' AND r <= 5 UNION ALL SELECT rq.user_id, item_id, score, 'A' FROM rq, po WHERE test_group = 'A' AND rq.user_id NOT IN (SELECT user_id FROM pf WHERE r <= 5) UNION ALL SELECT user_id, item_id, score * 1.2, 'B' FROM rq, po WHERE test_group = 'B') SELECT user_id, item_id, round(score, 6) AS score, test_group FROM sv")
 def rec_experiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = actions(spark, sf_dir)
     requests = a.select("user_id", F.when(F.col("user_id") % 2 == 0, "A").otherwise("B").alias("test_group")).distinct()
@@ -215,38 +216,34 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recommender.actions(spark, f"{sf_dir}/event[s].parquet", scores=SCORES)
 
 
-def _name(tag: str) -> str:
-    return f"{tag}_{uuid.uuid4().hex[:12]}"
-
-
 @query("SELECT date_trunc('day', ts) AS start, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def stream_daily_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Complete mode, so late rows count too."""
-    out = recommender.collect_stream(recommender.windowed(_stream(spark, sf_dir)), _name("daily"))
+    out = recommender.run_to_table(recommender.windowed(_stream(spark, sf_dir)), "daily")
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("WITH w AS (SELECT ts, event_type, value, unnest([date_trunc('hour', ts), date_trunc('hour', ts) - INTERVAL 1 HOUR]) AS start FROM events) SELECT start, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total FROM w GROUP BY 1, 2")
 def stream_sliding_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = recommender.collect_stream(recommender.windowed(_stream(spark, sf_dir), size="2 hours", slide="1 hour"), _name("sliding"))
+    out = recommender.run_to_table(recommender.windowed(_stream(spark, sf_dir), size="2 hours", slide="1 hour"), "sliding")
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
 @query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
 SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", CAST(count(*) AS BIGINT) AS n FROM s GROUP BY user_id, k""")
 def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = recommender.collect_stream(recommender.sessions(_stream(spark, sf_dir)), _name("sessions"))
+    out = recommender.run_to_table(recommender.sessions(_stream(spark, sf_dir)), "sessions")
     return out.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
 
 
 @query()
 def stream_online_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recommender.collect_stream(recommender.online_users(_stream(spark, sf_dir)), _name("online"))
+    return recommender.run_to_table(recommender.online_users(_stream(spark, sf_dir)), "online")
 
 
 @query()
 def stream_user_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = recommender.collect_stream(recommender.user_state(_stream(spark, sf_dir)), _name("vectors"), "update")
+    out = recommender.run_to_table(recommender.user_state(_stream(spark, sf_dir)), "vectors", "update", ["user_id"])
     return out.select("user_id", "n", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
 
 
@@ -254,5 +251,36 @@ def stream_user_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "embeddings")
     live = spark.readStream.schema(df.schema).parquet(f"{sf_dir}/embedding[s].parquet")
-    out = recommender.collect_stream(recommender.alerts(live, learn.profile(df)), _name("alerts"), "append")
+    out = recommender.run_to_table(recommender.alerts(live, learn.profile(df)), "alerts", "append")
     return out.select("vec_id", r6("distance"), "severity")
+
+
+_START = "list_transform(range(0, 50), lambda d: (CAST(('0x' || substr(md5({k} || ':{s}:' || d), 1, 7)) AS BIGINT) / 268435456.0 - 0.5) * 0.2)"
+_DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1] * z[2]))"
+_STEP = "list_transform(list_zip({a}, {b}), lambda z: z[1] + 0.01 * ({e} * z[2] - 0.001 * z[1]))"
+
+
+@query(f"""WITH {A_SQL}, f AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ru, row_number() OVER (PARTITION BY item_id ORDER BY ts, event_id) AS ri FROM a WHERE item_id IS NOT NULL),
+o AS (SELECT user_id, item_id, score, {_START.format(k="user_id", s="users")} AS u, {_START.format(k="item_id", s="items")} AS i FROM f WHERE ru = 1 AND ri = 1),
+e AS (SELECT *, score - {_DOT.format(a="u", b="i")} AS e FROM o), n AS (SELECT *, {_STEP.format(a="u", b="i", e="e")} AS nu FROM e), m AS (SELECT *, score - {_DOT.format(a="i", b="nu")} AS e2 FROM n)
+SELECT user_id, item_id, round(list_sum(nu), 6) AS user_total, round({_DOT.format(a="nu", b="nu")}, 6) AS user_square, round(list_sum({_STEP.format(a="i", b="nu", e="e2")}), 6) AS item_total FROM m""")
+def online_first_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sides after the actions that are the first of their user and of their item, learned as one batch."""
+    a = actions(spark, sf_dir).where("item_id is not null")
+    first = lambda key: F.row_number().over(Window.partitionBy(key).orderBy("ts", "event_id"))
+    batch = written(a.withColumn("_u", first("user_id")).withColumn("_i", first("item_id")).where("_u = 1 and _i = 1").select("event_id", "ts", "user_id", "item_id", "score"), "first")
+    model = recommender.OnlineModel(spark, work_path(spark, "model"))
+    model.update(batch, 0)
+    side = lambda name, key: model.vectors(name).select(F.col("key").alias(key), F.col("vector").alias(name))
+    out = batch.select("user_id", "item_id").join(side("users", "user_id"), "user_id").join(side("items", "item_id"), "item_id")
+    return out.select("user_id", "item_id", F.round(V.total(F.col("users")), 6).alias("user_total"), F.round(V.dot(F.col("users"), F.col("users")), 6).alias("user_square"), F.round(V.total(F.col("items")), 6).alias("item_total"))
+
+
+@query()
+def online_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of all events learned by both sides; every user's ten best items after the last batch that user is in."""
+    model = recommender.OnlineModel(spark, work_path(spark, "model"))
+    model.follow(_stream(spark, sf_dir), work_path(spark, "follow")).awaitTermination()
+    rows = spark.read.parquet(f"{model.path}/recommendations")
+    last = F.max("batch").over(Window.partitionBy("user_id"))
+    return rows.withColumn("_l", last).where("batch = _l").select("user_id", "item_id", r6("score"), "rank")

@@ -138,7 +138,10 @@ def _digests(chunks: DataFrame) -> DataFrame:
     return chunks.select("doc_id", "chunk_index", F.length("content").alias("n"), F.md5("content").alias("digest"))
 
 
-@query()
+@query(r"""WITH RECURSIVE c AS (SELECT doc_id, text, 0 AS k, CAST(0 AS BIGINT) AS a, CAST(NULL AS BIGINT) AS b FROM documents WHERE length(regexp_replace(text, '\s', '', 'g')) > 0
+UNION ALL SELECT doc_id, text, k + 1, CASE WHEN b IS NULL THEN 0 ELSE b - 50 END, CASE WHEN s + 200 < length(text) AND p > 101 THEN s + p ELSE s + 200 END
+FROM (SELECT *, CASE WHEN b IS NULL THEN 0 ELSE b - 50 END AS s, length(regexp_replace(substr(text, CASE WHEN b IS NULL THEN 1 ELSE b - 49 END, 200), '[^。.\n]*$', '')) AS p FROM c) WHERE s < length(text)),
+w AS (SELECT doc_id, k - 1 AS k, """ + _STRIP.format("substr(text, a + 1, b - a)") + """ AS x FROM c WHERE k > 0) SELECT doc_id, CAST(k AS INTEGER) AS chunk_index, CAST(length(x) AS INTEGER) AS n, md5(x) AS digest FROM w""")
 def chunk_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _digests(chunking.by_fixed_size(docs(spark, sf_dir)))
 
@@ -323,3 +326,100 @@ def report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = analytics.keywords(d, 5).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "word"))).alias("keywords"))
     rows = analytics.text_profile(d).join(words, "doc_id", "left").join(near, "doc_id", "left")
     return rows.select("doc_id", F.to_json(F.struct("chars", "words", "tokens", "category", "language", "summary", F.col("keywords.word").alias("keywords"), F.col("similar.vec_id").alias("similar"))).alias("report"))
+
+
+@query()
+def chunk_semantic_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences joined while their embeddings are alike."""
+    return _digests(chunking.by_meaning(docs(spark, sf_dir), 0.1, embedder=embed.vectors_of))
+
+
+_SCRIPTS = [(1, "检索增强生成 RAG"), (2, "ひらがなとカタカナ"), (3, "한국어 문장입니다"), (4, "Hello, World 1!"), (5, "12 + 30"), (6, "机器学习 编程 算法"), (7, "企业管理和市场战略"), (8, "学校课程与学生"), (9, "日本語のテキスト"), (10, "数据 数据 市场"), (11, "")]
+_SCRIPTS_SQL = "t AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in _SCRIPTS) + ") AS v(id, text))"
+_CJK_SQL = "regexp_extract_all(text, '[\u4e00-\u9fff]')"
+
+
+def _hits(words: tuple[str, ...]) -> str:
+    return " + ".join(f"CAST(contains(lower(text), '{w}') AS INTEGER)" for w in words)
+
+
+@query(f"""WITH {_SCRIPTS_SQL}, s AS (SELECT *, {", ".join(f"{_hits(w)} AS h{k}" for k, w in enumerate(T.RULE_CATEGORIES.values()))}, len({_CJK_SQL}) AS cjk FROM t)
+SELECT CAST(id AS BIGINT) AS id, CASE WHEN cjk > 0 THEN 'zh' WHEN regexp_matches(text, '[\u3040-\u309f\u30a0-\u30ff]') THEN 'ja' WHEN regexp_matches(text, '[\uac00-\ud7af]') THEN 'ko' WHEN regexp_matches(text, '[a-zA-Z]') THEN 'en' ELSE 'unknown' END AS language,
+CASE WHEN h0 >= h1 AND h0 >= h2 THEN '技术' WHEN h1 >= h2 THEN '商业' ELSE '教育' END AS category, CAST(floor(cjk / 1.5 + (length(text) - cjk) / 4.0) AS INTEGER) AS tokens FROM s""")
+def text_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Languages, rule categories and token estimates of texts in several scripts."""
+    df = spark.createDataFrame(_SCRIPTS, "id long, text string")
+    t = F.col("text")
+    return df.select("id", T.detect_language(t).alias("language"), T.classify_by_rules(t).alias("category"), T.token_estimate(t).alias("tokens"))
+
+
+@query(f"""WITH {_SCRIPTS_SQL}, w AS (SELECT id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS w, regexp_extract_all(lower(text), '[\u4e00-\u9fff]+') AS r FROM t),
+c AS (SELECT id, unnest(w) AS term FROM w UNION ALL SELECT id, unnest(list_transform(range(1, length(x) + 1), lambda i: substr(x, i, 1))) FROM (SELECT id, unnest(r) AS x FROM w) UNION ALL SELECT id, unnest(list_transform(range(1, length(x)), lambda i: substr(x, i, 2))) FROM (SELECT id, unnest(r) AS x FROM w))
+SELECT CAST(id AS BIGINT) AS id, term, CAST(count(*) AS BIGINT) AS tf FROM c GROUP BY id, term""")
+def text_script_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The terms that sparse search sees in texts of several scripts: words, and pairs and characters of Han runs."""
+    df = spark.createDataFrame(_SCRIPTS, "id long, text string")
+    return sparse.build_index(df, "id").postings.select(F.col("doc_id").alias("id"), "term", "tf")
+
+
+@query()
+def embed_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of several scripts, each once, embedded as their language is written."""
+    df = spark.createDataFrame(_SCRIPTS + _SCRIPTS[:3], "id long, text string")
+    return embed.embed_by_language(df, 16).select("text", "language", "normalised", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
+
+
+_CACHED = "k AS (SELECT md5(text) AS key, max(lang) AS lang, min(doc_id) AS first FROM documents WHERE text IS NOT NULL GROUP BY 1), l AS (SELECT CASE WHEN lang = 'en' THEN 'memory' WHEN lang = 'de' THEN 'store' ELSE 'fresh' END AS level, key FROM k), r AS (SELECT level FROM documents LEFT JOIN l ON md5(text) = key)"
+
+
+@query(f"WITH {_CACHED} SELECT CAST(count(*) AS BIGINT) AS requests, CAST(count(*) FILTER (level = 'memory') AS BIGINT) AS memory_hits, CAST(count(*) FILTER (level = 'store') AS BIGINT) AS store_hits, CAST(count(*) FILTER (level = 'fresh') AS BIGINT) AS misses, round(count(*) FILTER (level IN ('memory', 'store')) / count(*), 6) AS hit_rate FROM r")
+def embed_cache_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """English texts are in memory, German ones in the store, French ones there but expired; the rest is unknown."""
+    d = docs(spark, sf_dir).select("text", "lang")
+    known = d.where("text is not null").groupBy(T.content_key(F.col("text")).alias("key")).agg(F.max("lang").alias("lang")).withColumn("embedding", F.array(F.lit(1.0)))
+    now = F.lit("2024-01-02 00:00:00").cast("timestamp")
+    expires = F.when(F.col("lang") == "de", F.lit("2024-01-03 00:00:00")).otherwise(F.lit("2024-01-01 00:00:00")).cast("timestamp")
+    memory, store = known.where("lang = 'en'").drop("lang"), known.where("lang in ('de', 'fr')").select("key", "embedding", expires.alias("expires_at"))
+    return embed.cache_counters(embed.cached_levels(d, memory, store, now, dimensions=4)).select("requests", "memory_hits", "store_hits", "misses", r6("hit_rate"))
+
+
+@query(f"WITH {_DENSE}, a AS (SELECT query_id, max(s) AS best, list(source ORDER BY r) AS sources, arg_min(d.text, r) AS text FROM (SELECT query_id, doc_id, s, r FROM dr WHERE r <= 3) x JOIN documents d USING (doc_id) GROUP BY query_id) SELECT query_id, best >= 0.7 AS answered, round(best, 6) AS confidence, md5(CASE WHEN best >= 0.7 THEN text ELSE '{rag.REFUSAL}' END) AS answer, sources FROM a")
+def qa_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best of three documents where it reaches 0.7, else a refusal; the three sources either way."""
+    _, dense = legs(spark, sf_dir, 3)
+    found = sparse.ranked(dense, 3).join(docs(spark, sf_dir).select("doc_id", "source", "text"), "doc_id")
+    out = rag.answers_with_sources(found)
+    return out.select("query_id", "answered", r6("confidence"), F.md5("answer").alias("answer"), "sources")
+
+
+@query(f"WITH {_DENSE}, u AS (SELECT doc_id, count(*) AS n FROM dr WHERE r = 1 AND s >= 0.7 GROUP BY doc_id) SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS usage_count FROM documents d LEFT JOIN u USING (doc_id)")
+def qa_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document was the answer: counted from the log of answers."""
+    from vectrine.operators import store
+
+    _, dense = legs(spark, sf_dir, 1)
+    log = rag.threshold_answers(sparse.ranked(dense, 1)).where("answered")
+    return store.with_counts(docs(spark, sf_dir).select("doc_id"), log, "doc_id", "answer_id", "usage_count")
+
+
+@query(f"""WITH w AS (SELECT lang, doc_id, text, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r FROM documents), f AS (SELECT lang, list(md5(text) ORDER BY doc_id) AS first_texts FROM w WHERE r <= 3 GROUP BY lang), n AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang),
+u AS (SELECT lang, unnest(string_split_regex(text, '\s+')) AS word FROM documents), c AS (SELECT lang, word, count(*) AS k FROM u WHERE length(word) > 1 GROUP BY lang, word), k AS (SELECT lang, list(word ORDER BY k DESC, word) AS keywords FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY k DESC, word) AS r FROM c) WHERE r <= 5 GROUP BY lang)
+SELECT lang AS cluster, CAST(n AS BIGINT) AS n, round(n * 100.0 / (SELECT count(*) FROM documents), 6) AS percentage, first_texts, keywords FROM n JOIN f USING (lang) JOIN k USING (lang)""")
+def cluster_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes, first texts and keywords of clusters, here the languages."""
+    from vectrine.operators import learn
+
+    out = learn.cluster_profiles(docs(spark, sf_dir).select("doc_id", "text", F.col("lang").alias("cluster")))
+    return out.select("cluster", "n", r6("percentage"), F.transform("first_texts", F.md5).alias("first_texts"), "keywords")
+
+
+@query()
+def cluster_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents normalised by language, clustered by their embeddings: the languages of each cluster."""
+    from vectrine.operators import learn
+
+    d = docs(spark, sf_dir).select("doc_id", "text", "lang")
+    plain = d.select("doc_id", T.normalize_for_language(F.col("text"), T.detect_language(F.col("text"))).alias("text"))
+    vectors = written(embed.embed_terms(sparse.build_index(plain).forward, DIMENSIONS), "vectors")
+    clustered, _, _ = learn.kmeans(vectors, 4, n_init=3)
+    return clustered.join(d.select(F.col("doc_id").alias("id"), "lang"), "id").groupBy("cluster", "lang").agg(F.count("*").alias("n"))

@@ -261,11 +261,11 @@ def eval_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("metric", *[r6(c) for c in ("mean", "min", "max", "std")])
 
 
-@query(f"WITH {_metrics_sql(64, 8)}, {_summary_sql(64)}, {_summary_sql(8)} SELECT metric, round(s64.mean, 6) AS a, round(s8.mean, 6) AS b, round(s8.mean - s64.mean, 6) AS difference FROM s64 JOIN s8 USING (metric)")
+@query(f"WITH {_metrics_sql(64, 8)}, {_summary_sql(64)}, {_summary_sql(8)} SELECT metric, round(s64.mean, 6) AS a, round(s8.mean, 6) AS b, round(s8.mean - s64.mean, 6) AS difference, CASE WHEN s8.mean > s64.mean THEN 'b' WHEN s8.mean < s64.mean THEN 'a' ELSE 'equal' END AS better FROM s64 JOIN s8 USING (metric)")
 def eval_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All dimensions against the first eight."""
     a, b = (evaluation.summary(evaluation.per_query(*run_of(spark, sf_dir, d))) for d in (64, 8))
-    return evaluation.compare(a, b).select("metric", r6("a"), r6("b"), r6("difference"))
+    return evaluation.compare(a, b).select("metric", r6("a"), r6("b"), r6("difference"), "better")
 
 
 @query(f"WITH {_metrics_sql(64)} SELECT query_id, round(recall_5, 6) AS recall_5 FROM k64 ORDER BY k64.recall_5, query_id LIMIT 3")
@@ -313,3 +313,67 @@ def rerank_hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_RERANK} SELECT query_id, doc_id, CAST(rr AS INTEGER) AS final_rank, round(least(1, greatest(0, rs)), 6) AS rerank_score FROM z")
 def rerank_by_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rerank.by_strategy(candidates(spark, sf_dir), "rerank").select("query_id", "doc_id", "final_rank", r6("rerank_score"))
+
+
+@query(f"WITH {E_SQL}, c AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, list_cosine_similarity(a.v, b.v) AS s, list_distance(a.v, b.v) AS d, list_sum(list_transform(list_zip(a.v, b.v), lambda z: abs(z[1] - z[2]))) AS m FROM e a JOIN e b ON a.vec_id % 50 = 0) SELECT query_id, vec_id, round(s, 6) AS cosine, round(1 / (1 + d), 6) AS l2, round(1 / (1 + m), 6) AS l1 FROM c")
+def vec_matrix_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the similarity matrix of every fiftieth vector against all, by three metrics."""
+    df = vectors(spark, sf_dir)
+    cells = lambda m, name: search.all_scores(df.where("vec_id % 50 = 0"), df, m).withColumnRenamed("score", name)
+    out = cells("cosine", "cosine").join(cells("l2", "l2"), ["query_id", "vec_id"]).join(cells("l1", "l1"), ["query_id", "vec_id"])
+    # a vector's distance to itself comes from a difference of products, so it is set rather than rounded
+    l2 = F.when(F.col("query_id") == F.col("vec_id"), 1.0).otherwise(F.col("l2"))
+    return out.select("query_id", "vec_id", r6("cosine"), F.round(l2, 6).alias("l2"), r6("l1"))
+
+
+_UNIT = "n AS (SELECT vec_id, label >= 5 AS image, list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) AS u FROM e)"
+
+
+@query(f"WITH {E_SQL}, {_UNIT}, d AS (SELECT * FROM (VALUES ('text_to_image', false, true), ('image_to_image', true, true), ('image_to_text', true, false)) AS d(direction, asks, wanted)), p AS (SELECT direction, a.vec_id AS query_id, b.vec_id, list_dot_product(a.u, b.u) AS s FROM d JOIN n a ON a.image = asks AND a.vec_id % 50 = 0 JOIN n b ON b.image = wanted AND a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY direction, query_id ORDER BY round(s, 9) DESC, vec_id) AS rank FROM p) SELECT direction, query_id, vec_id, round(s, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5")
+def vec_cross_modal_directions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text to image, image to image and image to text, for every fiftieth vector; labels from 5 on stand for images."""
+    df = vectors(spark, sf_dir).withColumn("embedding", V.normalize(F.col("embedding"))).withColumn("modality", (F.col("label") >= 5).cast("long"))
+    near = search.knn_by_list(df.where("vec_id % 50 = 0"), df, 5, "modality", "ip", exclude_self=True)
+    asked = df.select(F.col("vec_id").alias("query_id"), F.col("modality").alias("asks"))
+    name = F.when((F.col("asks") == 0) & (F.col("list") == 1), "text_to_image").when((F.col("asks") == 1) & (F.col("list") == 1), "image_to_image").when(F.col("asks") == 1, "image_to_text")
+    return near.join(asked, "query_id").withColumn("direction", name).where("direction is not null").select("direction", "query_id", "vec_id", r6("score"), "rank")
+
+
+@query(f"WITH {E_SQL}, p AS (SELECT a.vec_id AS query_id, b.vec_id AS vec_id, 1 / (1 + list_sum(list_transform(list_zip(a.v, b.v), lambda z: abs(z[1] - z[2])))) AS l1, list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v)) + 1e-10) AS cs FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id), u AS (SELECT 'l1' AS metric, query_id, vec_id, l1 AS s FROM p UNION ALL SELECT 'cosine_smoothed', query_id, vec_id, cs FROM p), r AS (SELECT *, row_number() OVER (PARTITION BY metric, query_id ORDER BY round(s, 9) DESC, vec_id) AS rank FROM u) SELECT metric, query_id, vec_id, round(s, 6) AS score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5")
+def vec_knn_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batched search by Manhattan distance and by the smoothed cosine."""
+    df = vectors(spark, sf_dir)
+    one = lambda m: search.knn(df.where("vec_id % 50 = 0"), df, 5, m).select(F.lit(m).alias("metric"), "query_id", "vec_id", r6("score"), "rank")
+    return one("l1").unionByName(one("cosine_smoothed"))
+
+
+@query(f"""WITH {_RERANK}, m AS (SELECT z.*, row_number() OVER (PARTITION BY query_id ORDER BY round(f, 9) DESC, doc_id) - 1 AS fr, a.label = b.label AS hit FROM z JOIN e a ON a.vec_id = query_id JOIN e b ON b.vec_id = doc_id),
+l AS (SELECT 'embedding' AS method, query_id, er AS r, hit FROM m UNION ALL SELECT 'rerank', query_id, rr, hit FROM m UNION ALL SELECT 'hybrid', query_id, fr, hit FROM m),
+n AS (SELECT a.vec_id AS query_id, count(*) FILTER (b.label = a.label AND b.vec_id <> a.vec_id) AS nrel FROM e a, e b WHERE a.vec_id % 50 = 0 GROUP BY 1),
+mm AS (SELECT method, query_id, CASE WHEN nrel = 0 THEN 1.0 ELSE CAST(count(*) FILTER (hit AND r < 5) AS DOUBLE) / nrel END AS recall_5, CAST(count(*) FILTER (hit AND r < 5) AS DOUBLE) / 5 AS precision_5, coalesce(1.0 / (min(r) FILTER (hit) + 1), 0) AS mrr FROM l JOIN n USING (query_id) GROUP BY method, query_id, nrel)
+SELECT method, round(avg(recall_5), 6) AS recall_5, round(avg(precision_5), 6) AS precision_5, round(avg(mrr), 6) AS mrr FROM mm GROUP BY method""")
+def rerank_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three rankings of the same candidates, compared by their metrics over all queries."""
+    from vectrine.session import written
+
+    _, qrels, queries = run_of(spark, sf_dir)
+    out = evaluation.compare_methods(rerank.all_strategies(written(candidates(spark, sf_dir), "candidates")), qrels, queries)
+    return out.select("method", r6("recall_5"), r6("precision_5"), r6("mrr"))
+
+
+_GRADED = "CASE WHEN a.label = b.label THEN 3 WHEN abs(a.label - b.label) = 1 THEN 2 WHEN abs(a.label - b.label) = 2 THEN 1 ELSE 0 END"
+
+
+@query(f"""WITH {E_SQL}, g AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_id, {_GRADED} AS rel, list_cosine_similarity(a.v, b.v) AS s FROM e a JOIN e b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, doc_id) AS rank, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, doc_id) AS ideal FROM g)
+SELECT query_id, round(sum((pow(2, rel) - 1) / log2(rank + 1)) FILTER (rank <= 10) / sum((pow(2, rel) - 1) / log2(ideal + 1)) FILTER (ideal <= 10), 6) AS ndcg FROM r GROUP BY query_id""")
+def eval_ndcg_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relevance from 0 to 3 by the distance of the labels, so that the exponential gain shows."""
+    df = vectors(spark, sf_dir).select("vec_id", "label")
+    run, _, queries = run_of(spark, sf_dir)
+    # labels are few: the grade of two labels is looked up, not made for every pair of rows
+    both = df.select("label").distinct().select(F.col("label").alias("a"), F.explode(F.array(*[(F.col("label") + k).alias("b") for k in (-2, -1, 0, 1, 2)])).alias("b"))
+    grade = both.withColumn("rel", 3 - F.abs(F.col("a") - F.col("b")))
+    asked = df.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("label").alias("a"))
+    qrels = asked.join(grade, "a").join(df.select(F.col("vec_id").alias("doc_id"), F.col("label").alias("b")), "b").where("query_id <> doc_id").select("query_id", "doc_id", "rel")
+    return evaluation.ndcg(run, qrels, queries, 10).select("query_id", r6("ndcg"))

@@ -96,3 +96,15 @@ def engine_search(df: DataFrame, query: str, query_vector: list[float], k: int =
     score = vector_weight * V.cosine(F.col("embedding"), V.literal(query_vector)) + keyword_weight * T.keyword_score(q, F.col(title_col), F.col(content_col))
     top = rows.withColumn("score", score).orderBy(F.desc("score"), id_col).limit(k)
     return top.withColumn("highlights", T.highlights(q, F.col(title_col), F.col(content_col))).withColumn("preview", T.preview(F.col(content_col)))
+
+
+def answers_with_sources(found: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """(query_id, answer, confidence, answered, sources) of ranked (query_id, doc_id, source, text, score, rank): the
+    best row's text where it reaches the threshold, else the refusal; all rows' sources by rank either way.
+
+    found is a top-k result, so a query's rows are few. A query without rows is not in it and gets no answer.
+    """
+    rows = F.array_sort(F.collect_list(F.struct("rank", "source")))
+    out = found.groupBy("query_id").agg(F.max("score").alias("confidence"), F.min_by("text", "rank").alias("best"), F.transform(rows, lambda x: x["source"]).alias("sources"))
+    ok = F.col("confidence") >= threshold
+    return out.select("query_id", F.when(ok, F.col("best")).otherwise(F.lit(REFUSAL)).alias("answer"), "confidence", ok.alias("answered"), "sources")

@@ -5,10 +5,12 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 from dataclasses import dataclass, fields
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,13 +39,25 @@ def session(config: EngineConfig | None = None, master: str | None = None) -> Sp
     builder = SparkSession.builder.appName("vectrine")
     if master:
         builder = builder.master(master)
-    return (
+    spark = (
         builder.config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.shuffle.partitions", config.shuffle_partitions)
         .getOrCreate()
     )
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers of all executors, for clusters on which it is not installed."""
+    root = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="vectrine-")) / "vectrine.zip"  # Spark's own file server hands it out
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for x in sorted(root.rglob("*.py")):
+            z.write(x, x.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(path))
 
 
 #: A table with fewer bytes than this for each core may lie in one row group, which one task reads.

@@ -17,7 +17,26 @@ _DOCUMENTS = (
     (8, "State is kept for each key between the batches of a stream.", "streams"),
     (9, "A checkpoint cuts the lineage of a long chain of steps.", "engine"),
 )
-_QUERIES = ((0, "how do rows with equal keys meet", (1,), "easy"), (1, "reading columnar files fast", (2, 3), "medium"), (2, "nearest vectors in lists", (4, 5), "medium"), (3, "late events in a stream", (7, 8), "hard"))
+_QUERIES = ((0, "how do rows with equal keys meet", (1,), "easy"), (1, "reading columnar files fast", (2, 3), "medium"), (2, "nearest vectors in lists", (4, 5), "medium"), (3, "late events in a stream", (7, 8), "hard"), (4, "what makes a rare term weigh more", (6,), "easy"), (5, "steps and stages of a long plan", (0, 9), "hard"))
+_COMPARED = (
+    "Bread rises because yeast turns sugar into gas.",
+    "A sourdough starter holds wild yeast and needs feeding.",
+    "Kneading builds the gluten that holds the gas in.",
+    "Whole-grain flour takes up more water than white flour.",
+    "A hot stone gives the loaf a firm crust.",
+    "Steam in the oven keeps the crust soft at first.",
+    "Salt slows the yeast and sharpens the taste.",
+    "Tomatoes need sun and even watering.",
+    "Compost feeds the soil in spring.",
+    "Slugs come out on damp evenings.",
+    "A raised bed warms up early in the year.",
+    "Mulch keeps the ground moist in summer.",
+    "Trams run on rails in the street.",
+    "A night bus replaces the underground after midnight.",
+    "Cyclists may use the lane against the traffic here.",
+    "Tickets are cheaper when bought before the ride.",
+    "The ferry crosses the river every twenty minutes.",
+)
 
 
 def documents(spark: SparkSession, n: int = 10, category: str | None = None) -> DataFrame:
@@ -38,3 +57,8 @@ def benchmark_sets(spark: SparkSession, n_documents: int, n_queries: int) -> Dat
     q = spark.range(n_queries).select(F.col("id").alias("query_id"), F.concat(F.lit("query "), F.col("id") + 1).alias("query"))
     d = q.withColumn("doc_id", F.explode(F.sequence(F.lit(0), F.lit(n_documents - 1)))).withColumn("relevant", F.col("doc_id") % 2 == 0)
     return d.withColumn("text", F.concat(F.when(F.col("relevant"), F.lit("About ")).otherwise(F.lit("Not about ")), "query", F.lit(", part "), F.col("doc_id") + 1))
+
+
+def comparison(spark: SparkSession) -> DataFrame:
+    """(doc_id, text): seventeen fixed documents on three subjects, to compare rankings on."""
+    return spark.createDataFrame(list(enumerate(_COMPARED)), "doc_id long, text string")

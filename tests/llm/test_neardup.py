@@ -9,6 +9,7 @@ import pytest
 
 from tests.llm.fixtures import TEXTS, awkward, empty
 from vectrine.llm import graph, neardup, queries, shingles
+from vectrine.llm.common import partitions, partitions_for
 
 
 def brute(texts, width, percent):
@@ -154,3 +155,8 @@ def test_by_group_streams_groups_over_batches(spark):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == Counter(i * i % 13 for i in range(500))
+
+
+def test_a_table_of_unknown_size_gets_the_session_s_partitions(spark):
+    wide = spark.createDataFrame([(1, *"abcdefghijklmn")], ["doc_id", *"abcdefghijklm", "text"])
+    assert partitions_for(wide) == partitions_for(wide.select("doc_id", "text")) == partitions(spark)

@@ -18,6 +18,8 @@ __all__ = ["ID", "TEXT", "documents", "held_out", "partitions", "partitions_for"
 
 #: Internal names, chosen so that they meet no output column.
 ID, TEXT = "doc_id", "text"
+#: Tables that Spark knows no size of count as 2^63 bytes, and a few columns of one as their share of that.
+UNKNOWN_BYTES = 1 << 52
 
 
 def documents(df: DataFrame, id_col: str = ID, text_col: str = TEXT) -> DataFrame:
@@ -46,9 +48,9 @@ def partitions(spark: SparkSession) -> int:
 
 def partitions_for(df: DataFrame, bytes_each: int = 64 << 20) -> int:
     """Partitions that groups of df's rows are dealt to: the session's number, or more where df's estimated size asks
-    for them, so that a partition does not grow with the table."""
+    for them, so that a partition does not grow with the table. A table of unknown size gets the session's number."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(partitions(df.sparkSession), min(1 << 18, -(-size // bytes_each) if size < 1 << 60 else 0))
+    return max(partitions(df.sparkSession), min(1 << 18, -(-size // bytes_each) if size < UNKNOWN_BYTES else 0))
 
 
 def release(spark: SparkSession) -> None:

@@ -96,12 +96,12 @@ def test_loser_tree_equals_sorting_and_gives_prefixes(runs):
     for r in range(runs):
         own = sorted((bytes(rng.choice(b"ab") for _ in range(rng.randint(1, 12))), r, i, i) for i in range(rng.randint(0, 60)))
         sets.append(own)
-    decoded = [suffixes.Run(suffixes.front_code(x), k) for k, x in enumerate(sets) if x]
-    assert [r.suffixes for r in decoded] == [[e[0] for e in x] for x in sets if x]
+    decoded = [suffixes.Run(suffixes.front_code(suffixes.packed(*zip(*x, strict=True), [0] * len(x))), k) for k, x in enumerate(sets) if x]
+    assert [list(r) for r in decoded] == [[e[0] for e in x] for x in sets if x]
     out = list(suffixes.merge(decoded)) if decoded else []
     assert [x[1] for x in out] == sorted(e[0] for x in sets for e in x)
     before = b""
     for shared, s, _, _ in out:
         assert shared == suffixes.common_prefix(before, s)
         before = s
-    assert Counter((r, i) for _, _, r, i in out) == Counter((k, i) for k, r in enumerate(decoded) for i in range(len(r.suffixes)))
+    assert Counter((r, i) for _, _, r, i in out) == Counter((k, i) for k, r in enumerate(decoded) for i in range(len(r.ids)))

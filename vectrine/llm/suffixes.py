@@ -19,7 +19,9 @@ from __future__ import annotations
 
 import hashlib
 import struct
+from array import array
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,9 +35,11 @@ from vectrine.llm.graph import Spread, by_group
 from vectrine.llm.shingles import mix
 
 SPAN, GRAM = 50, 24
+#: Bytes of the longest suffix; texts and suffixes that are worked on at once.
+WIDTH, TEXTS, BLOCK_ROWS = 2 * SPAN - GRAM + 1, 64, 8192
 _CHOICES = SPAN - GRAM + 1
 #: Bytes of documents in a chunk, positions of a segment, anchors that a task of the first step holds at once.
-CHUNK_BYTES, SEGMENT, HELD = 12 << 20, 1 << 19, 2_000_000
+CHUNK_BYTES, SEGMENT, HELD = 12 << 20, 1 << 19, 1_000_000
 _PLACE = np.uint64(SEGMENT * 2 - 1)
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 _S16, _S23, _S29 = np.uint64(16), np.uint64(23), np.uint64(29)
@@ -140,8 +144,8 @@ def _anchors(docs: DataFrame, buckets: int) -> DataFrame:
         n = done = 0
         for batch in batches:
             chunk = batch.column(0).to_numpy()
-            for at in range(0, batch.num_rows, 256):
-                texts = [x.encode("utf-8", "replace") for x in batch.column(2).slice(at, 256).to_pylist()]
+            for at in range(0, batch.num_rows, TEXTS):
+                texts = [x.encode("utf-8", "replace") for x in batch.column(2).slice(at, TEXTS).to_pylist()]
                 for text, _, _, _, key in anchored(texts):
                     bucket, low = _route(key, buckets)
                     held.append((bucket.astype("<u4"), low, chunk[at + text], text + done))
@@ -196,30 +200,83 @@ def common_prefix(a: bytes, b: bytes, known: int = 0) -> int:
     return m - (differ.bit_length() + 7) // 8
 
 
-def front_code(run: list[tuple[bytes, int, int, int]]) -> bytes:
-    """A sorted run of (suffix, id, row, place) as shared prefix lengths, the rest of each suffix, and the numbers."""
-    shared, rest, before = [], [], b""
-    for x in run:
-        n = common_prefix(before, x[0])
-        shared.append(n)
-        rest.append(x[0][n:])
-        before = x[0]
-    column = lambda k, kind: np.array([x[k] for x in run], kind)
-    return _zip(np.array(shared, "u1"), np.array([len(x) for x in rest], "u1"), np.frombuffer(b"".join(rest), "u1"), column(1, "<i8"), column(2, "<u4"), column(3, "<u4"))
+class Suffixes(NamedTuple):
+    """Suffixes in one matrix, a row each, padded with zeros, and their numbers; a few arrays whatever their count."""
+
+    data: np.ndarray
+    size: np.ndarray
+    ids: np.ndarray
+    rows: np.ndarray
+    places: np.ndarray
+    buckets: np.ndarray
+
+    def at(self, which: np.ndarray | slice) -> Suffixes:
+        return Suffixes(*(x[which] for x in self))
+
+
+def packed(suffixes: list[bytes], ids: list[int], rows: list[int], places: list[int], buckets: list[int]) -> Suffixes:
+    data = np.frombuffer(b"".join(x.ljust(WIDTH, b"\0") for x in suffixes), "u1").reshape(-1, WIDTH)
+    return Suffixes(data, np.array([len(x) for x in suffixes], "u1"), np.array(ids, "<i8"), np.array(rows, "<u4"), np.array(places, "<u4"), np.array(buckets, "<u4"))
+
+
+def _cut_out(raw: np.ndarray, start: np.ndarray, first: np.ndarray, last: np.ndarray, anchor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Matrix and sizes of the suffixes of groups of windows in texts that start at `start` of raw: the bytes from the
+    anchor to the end of the last window, those from the first window to the anchor, and how many the latter are."""
+    out, after, back = np.zeros((len(start), WIDTH), "u1"), last + SPAN - anchor, anchor - first
+    column = np.arange(WIDTH)
+    for lo in range(0, len(start), BLOCK_ROWS):
+        x = slice(lo, lo + BLOCK_ROWS)
+        tail = column >= after[x, None]
+        place = (start + anchor)[x, None] + column - np.where(tail, (after + back)[x, None], 0)
+        here = column < (after + back)[x, None]
+        out[x][here] = raw[place[here]]
+    size = after + back + 1
+    out[np.arange(len(start)), size - 1] = back
+    return out, size.astype("u1")
+
+
+def ordered(x: Suffixes) -> Suffixes:
+    """x in the order of its suffixes; equal ones keep their order."""
+    by_size = np.argsort(x.size, kind="stable")  # of two suffixes that differ by the padding only, the shorter one is first
+    data = np.ascontiguousarray(x.data[by_size]).view(f"S{WIDTH}").ravel()
+    return x.at(by_size[np.argsort(data, kind="stable")])
+
+
+def prefixes(x: Suffixes) -> np.ndarray:
+    """The length of the prefix that each suffix shares with the one before it; 0 for the first."""
+    out = np.zeros(len(x.size), "u1")
+    for lo in range(1, len(out), BLOCK_ROWS):
+        hi = min(lo + BLOCK_ROWS, len(out))
+        differ = x.data[lo:hi] != x.data[lo - 1 : hi - 1]
+        first = np.where(differ.any(axis=1), differ.argmax(axis=1), WIDTH)
+        out[lo:hi] = np.minimum(first, np.minimum(x.size[lo:hi], x.size[lo - 1 : hi - 1]))
+    return out
+
+
+def front_code(x: Suffixes) -> bytes:
+    """A sorted run as shared prefix lengths, the rest of each suffix, and the numbers."""
+    shared, column, rest = prefixes(x), np.arange(WIDTH), []
+    for lo in range(0, len(shared), BLOCK_ROWS):
+        part = slice(lo, lo + BLOCK_ROWS)
+        rest.append(x.data[part][(column >= shared[part, None]) & (column < x.size[part, None])])
+    return _zip(shared, x.size - shared, np.concatenate(rest), x.ids, x.rows, x.places)
 
 
 class Run:
-    """A decoded run; shared[i] is the prefix that suffix i has in common with suffix i - 1."""
+    """A front-coded run; shared[i] is the prefix that suffix i has in common with suffix i - 1. Suffixes are decoded
+    one by one as they are asked for."""
 
     def __init__(self, blob: bytes, source: int = 0) -> None:
         shared, sizes, rest, ids, rows, places = _unzip(blob, "u1", "u1", "u1", "<i8", "<u4", "<u4")
-        self.source, self.shared, self.ids, self.rows, self.places = source, shared.tolist(), ids.tolist(), rows.tolist(), places.tolist()
-        data, at, before, out = rest.tobytes(), 0, b"", []
-        for n, size in zip(self.shared, sizes.tolist(), strict=True):
-            before = before[:n] + data[at : at + size]
+        self.source, self.shared, self.sizes, self.rest = source, shared.tobytes(), sizes.tobytes(), rest.tobytes()
+        self.ids, self.rows, self.places = array("q", ids.tobytes()), array("I", rows.tobytes()), array("I", places.tobytes())
+
+    def __iter__(self) -> Iterator[bytes]:
+        at, before = 0, b""
+        for n, size in zip(self.shared, self.sizes, strict=True):
+            before = before[:n] + self.rest[at : at + size]
             at += size
-            out.append(before)
-        self.suffixes = out
+            yield before
 
 
 def merge(runs: list[Run]) -> Iterator[tuple[int, bytes, int, int]]:
@@ -231,7 +288,8 @@ def merge(runs: list[Run]) -> Iterator[tuple[int, bytes, int, int]]:
     size = 1
     while size < len(runs):
         size *= 2
-    head: list[bytes | None] = [r.suffixes[0] if r.suffixes else None for r in runs] + [None] * (size - len(runs))
+    left = [iter(r) for r in runs]
+    head: list[bytes | None] = [next(x, None) for x in left] + [None] * (size - len(runs))
     known, at = [0] * size, [0] * size
 
     def play(a: int, b: int) -> tuple[int, int]:
@@ -260,10 +318,9 @@ def merge(runs: list[Run]) -> Iterator[tuple[int, bytes, int, int]]:
         yield known[best], head[best], best, at[best]
         run, i = runs[best], at[best] + 1
         at[best] = i
-        if i < len(run.suffixes):
-            head[best], known[best] = run.suffixes[i], run.shared[i]
-        else:
-            head[best] = None
+        head[best] = next(left[best], None)
+        if head[best] is not None:
+            known[best] = run.shared[i]
         node = (best + size) >> 1
         while node:
             best, losers[node] = play(best, losers[node])
@@ -275,47 +332,51 @@ def _runs(docs: DataFrame, shared: DataFrame, buckets: int, spread: Spread) -> D
 
     def fn(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: list[np.ndarray] = []
-        entries: list[tuple[bytes, int, int, int]] = []
-        where: list[int] = []
+        held: list[Suffixes] = []
         wanted, row = None, 0
         for batch in batches:
-            kinds, ids, texts = batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3)
+            kinds, ids, texts = batch.column(1).to_pylist(), batch.column(2), batch.column(3)
             n_blobs = kinds.count(0)
-            for bucket, blob in zip(ids[:n_blobs], batch.column(4).slice(0, n_blobs).to_pylist(), strict=True):
+            for bucket, blob in zip(ids.slice(0, n_blobs).to_pylist(), batch.column(4).slice(0, n_blobs).to_pylist(), strict=True):
                 known.append(_unzip(blob, "<u4")[0].astype(np.uint64) | np.uint64(bucket << 32))
             if n_blobs == len(kinds):
                 continue
             if wanted is None:
                 wanted = np.sort(np.concatenate(known)) if known else np.empty(0, np.uint64)
-            for lo in range(n_blobs, len(kinds), 256):
-                part = [x.encode("utf-8", "replace") for x in texts.slice(lo, 256).to_pylist()]
+                known = []
+            number, has_id = ids.fill_null(0).to_numpy(zero_copy_only=False), ids.is_valid().to_numpy(zero_copy_only=False)
+            for lo in range(n_blobs, len(kinds), TEXTS):
+                part = [x.encode("utf-8", "replace") for x in texts.slice(lo, TEXTS).to_pylist()]
+                raw = np.frombuffer(b"".join(part), "u1")
+                start = np.cumsum([0, *map(len, part)])
                 for text, first, last, anchor, hashed in anchored(part) if len(wanted) else ():
                     bucket, low = _route(hashed, buckets)
                     full = low.astype(np.uint64) | (bucket << np.uint64(32))
-                    hit = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, full), len(wanted) - 1)] == full)
-                    for k, a, b, p, to in zip(text[hit].tolist(), first[hit].tolist(), last[hit].tolist(), anchor[hit].tolist(), bucket[hit].tolist(), strict=True):
-                        if ids[lo + k] is None:
-                            continue
-                        own = part[k]
-                        entries.append((own[p : b + SPAN] + own[a:p] + bytes((p - a,)), ids[lo + k], row + k, a))
-                        where.append(to)
+                    hit = wanted[np.minimum(np.searchsorted(wanted, full), len(wanted) - 1)] == full
+                    hit &= has_id[lo + text]
+                    if not hit.any():
+                        continue
+                    text, first, last, anchor, bucket = (x[hit] for x in (text, first, last, anchor, bucket))
+                    data, size = _cut_out(raw, start[text], first, last, anchor)
+                    held.append(Suffixes(data, size, number[lo + text], (row + text).astype("<u4"), first.astype("<u4"), bucket.astype("<u4")))
                 row += len(part)
-        order = sorted(range(len(entries)), key=lambda i: entries[i][0])  # stable: equal suffixes by id, row and place
-        by_bucket: dict[int, list[tuple[bytes, int, int, int]]] = {}
-        repeated: list[tuple[int, int, int]] = []
-        before, least = b"", None
-        for i in order:
-            e = entries[i]
-            if e[0] != before:
-                before, least = e[0], e[1]
-            if e[1] == least:
-                by_bucket.setdefault(where[i], []).append(e)
-            else:
-                repeated.append((e[2], e[3], e[3] + len(e[0]) - 1))
-        for to, run in by_bucket.items():
-            yield _row(0, to, key[0], front_code(run))
-        if repeated:
-            yield _row(1, key[0], key[0], _ranges(repeated))
+        if not held:
+            return
+        every = Suffixes(*(np.concatenate(x) for x in zip(*held, strict=True)))
+        held = []
+        every = ordered(every)  # rows come by id, so equal suffixes are by id, row and place
+        again = (prefixes(every) == every.size) & (np.diff(every.size, prepend=every.size[:1]) == 0)
+        again[0] = False
+        head = np.maximum.accumulate(np.where(again, 0, np.arange(len(again))))
+        of_least = every.ids == every.ids[head]
+        repeated = every.at(~of_least)
+        every = every.at(of_least)
+        every = every.at(np.argsort(every.buckets, kind="stable"))
+        edge = np.flatnonzero(np.concatenate([[True], every.buckets[1:] != every.buckets[:-1]]))
+        for lo, hi in zip(edge, [*edge[1:], len(every.size)], strict=True):
+            yield _row(0, int(every.buckets[lo]), key[0], front_code(every.at(slice(lo, hi))))
+        if len(repeated.size):
+            yield _row(1, key[0], key[0], _ranges(repeated.rows, repeated.places, repeated.places + repeated.size - 1))
 
     return _with_documents(docs, shared.select("chunk", F.lit(0).alias("kind"), F.col("bucket").cast("long").alias("id"), F.lit(None).cast("string").alias("text"), "blob"), spread, fn, "kind int, target int, source int, blob binary")
 
@@ -325,16 +386,14 @@ def _row(kind: int, target: int, source: int, blob: bytes) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([number(kind), number(target), number(source), pa.array([blob], pa.binary())], ["kind", "target", "source", "blob"])
 
 
-def _ranges(found: list[tuple[int, int, int]]) -> bytes:
-    """Ranges (row, start, end), overlapping ones of a row joined."""
-    out: list[list[int]] = []
-    for row, start, end in sorted(found):
-        if out and out[-1][0] == row and start <= out[-1][2]:
-            out[-1][2] = max(out[-1][2], end)
-        else:
-            out.append([row, start, end])
-    x = np.array(out, "<u4")
-    return _zip(x[:, 0].copy(), x[:, 1].copy(), x[:, 2].copy())
+def _ranges(row: np.ndarray, start: np.ndarray, end: np.ndarray) -> bytes:
+    """Ranges of rows, overlapping ones of a row joined."""
+    row, start, end = (x.astype(np.int64) for x in (row, start, end))
+    order = np.lexsort([start, row])
+    row, start, end = row[order], start[order], end[order]
+    reach = np.maximum.accumulate(row << 32 | end)  # the furthest end so far of the row
+    at = np.flatnonzero(np.concatenate([[True], (row[1:] << 32 | start[1:]) > reach[:-1]]))
+    return _zip(row[at].astype("<u4"), start[at].astype("<u4"), (reach[np.append(at[1:], len(row)) - 1] & 0xFFFFFFFF).astype("<u4"))
 
 
 def _with_documents(docs: DataFrame, blobs: DataFrame, spread: Spread, fn, schema: str | T.StructType) -> DataFrame:
@@ -369,7 +428,7 @@ def _resolve(runs: DataFrame, spread: Spread) -> DataFrame:
         if group:
             _decide(group, found)
         for chunk, ranges in found.items():
-            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([_ranges(ranges)], pa.binary())], ["chunk", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([_ranges(*np.array(ranges).T)], pa.binary())], ["chunk", "blob"])
 
     return by_group(runs.select(F.col("target").alias("bucket"), "source", "blob"), ["bucket"], ["source"], spread, fn, "chunk int, blob binary")
 
@@ -471,8 +530,8 @@ def strip_repeats(df: DataFrame, id_col: str = ID, text_col: str = TEXT, carry:
             if ranges is None:
                 ranges = np.concatenate(blobs) if blobs else np.empty((0, 3), "<u4")
                 ranges = ranges[np.lexsort([ranges[:, 1], ranges[:, 0]])]
-            for lo in range(n_blobs, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
+            for lo in range(n_blobs, batch.num_rows, TEXTS):
+                part = batch.slice(lo, TEXTS)
                 out = []
                 for text in part.column(3).to_pylist():
                     raw = text.encode("utf-8", "replace")

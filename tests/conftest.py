@@ -1,4 +1,5 @@
 import os
+import signal
 import sys
 
 import pytest
@@ -6,6 +7,22 @@ from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+#: Seconds that one test may take.
+TEST_SECONDS = 300
+
+
+@pytest.fixture(autouse=True)
+def time_limit():
+    """Fails a test that does not end, so that the others still run."""
+
+    def over(*_):
+        raise TimeoutError(f"the test took over {TEST_SECONDS} s")
+
+    before = signal.signal(signal.SIGALRM, over)
+    signal.alarm(TEST_SECONDS)
+    yield
+    signal.alarm(0)
+    signal.signal(signal.SIGALRM, before)
 
 
 @pytest.fixture(scope="session")

@@ -22,7 +22,7 @@ from vectrine.operators import analytics, chunking, evaluation, learn, recommend
 from vectrine.plans import rag
 from vectrine.session import EngineConfig, scratch, written
 from vectrine.sources import files, samples
-from vectrine.streaming import recommender
+from vectrine.streaming import expiry, recommender
 
 
 def one(spark, *columns):
@@ -615,6 +615,54 @@ def test_producer_and_state_that_expires(spark, tmp_path):
     assert {r["user_id"]: r["n"] for r in out.collect()} == {1: 1, 2: 1}
 
 
+def test_users_start_anew_after_their_time(spark, tmp_path):
+    rows = [(1, "2024-01-01 00:00:00", 1), (2, "2024-01-01 00:30:00", 1), (3, "2024-01-01 02:00:00", 1), (4, "2024-01-01 02:00:01", 2)]
+    spark.createDataFrame(rows, "event_id long, t string, user_id long").selectExpr("event_id", "user_id", "cast(t as timestamp) as ts", "2L as item_id", "1d as score").write.parquet(str(tmp_path / "in"))
+    live = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).parquet(str(tmp_path / "in"))
+    out = recommender.run_to_table(recommender.user_state(live, 3, ttl_seconds=3600), "ttl", "update", ["user_id"])
+    assert {r["user_id"]: r["n"] for r in out.collect()} == {1: 1, 2: 1}
+
+
+def test_requests_to_an_expiring_entry():
+    def plain(times, until, ttl):
+        hits = misses = evictions = 0
+        for t in times:
+            if until is not None and t < until:
+                hits += 1
+            else:
+                evictions += until is not None
+                misses, until = misses + 1, t + ttl
+        return hits, misses, evictions, until
+
+    rng = random.Random(3)
+    for _ in range(200):
+        times = sorted(rng.randrange(60) for _ in range(rng.randrange(1, 12)))
+        until, ttl = rng.choice([None, rng.randrange(60)]), rng.randrange(1, 20)
+        assert expiry.requests(np.array(times), until, ttl) == plain(times, until, ttl)
+
+
+def test_expired_entries_leave_the_state(spark, tmp_path):
+    """Two runs over a growing folder; the state holds the entry that lives at the end and no other."""
+
+    def add(name, rows):
+        spark.createDataFrame(rows, "k long, t string").selectExpr("k", "cast(t as timestamp) as ts").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+
+    def run(n):
+        live = spark.readStream.schema("k long, ts timestamp").parquet(str(tmp_path / "in"))
+        with expiry.rocksdb(spark):
+            recommender.to_table(expiry.expiring_cache(live, "k", 600, "0 seconds"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+            state = spark.read.format("statestore").option("path", str(tmp_path / "ck")).option("stateVarName", "until").load().select("key.k").collect()
+        sums = spark.read.parquet(str(tmp_path / "out")).groupBy("k").agg(F.sum("hits"), F.sum("misses"), F.sum("evictions")).collect()
+        return {r["k"] for r in state}, {tuple(r) for r in sums}
+
+    before = spark.conf.get(expiry.PROVIDER)
+    add("a", [(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:05:00"), (1, "2024-01-01 00:10:00"), (2, "2024-01-01 00:01:00"), (None, "2024-01-01 00:01:00"), (4, None)])
+    assert run(1) == ({1, 2}, {(1, 1, 2, 1), (2, 0, 1, 0)})
+    add("b", [(3, "2024-01-01 00:30:00"), (3, "2024-01-01 00:30:00")])
+    assert run(2) == ({3}, {(1, 1, 2, 2), (2, 0, 1, 1), (3, 1, 1, 0)})
+    assert spark.conf.get(expiry.PROVIDER) == before
+
+
 def test_sgd_uses_the_new_user_vector():
     u, i = np.array([0.1, 0.2]), np.array([0.3, -0.1])
     nu, ni = recommender.sgd_step(u, i, 1.0)

@@ -10,7 +10,7 @@ from vectrine.functions import vectors as V
 from vectrine.operators import analytics, learn, recommend, store
 from vectrine.session import table, work_path, written
 from vectrine.sources import files
-from vectrine.streaming import recommender
+from vectrine.streaming import expiry, recommender
 
 #: Clicks stand for likes and errors for skips, in batches and streams alike.
 SCORES = {"view": 1.0, "click": 3.0, "purchase": 5.0, "error": -1.0}
@@ -241,6 +241,17 @@ def stream_online_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recommender.run_to_table(recommender.online_users(_stream(spark, sf_dir)), "online")
 
 
+@query("""WITH RECURSIVE e AS (SELECT user_id, ts FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL), n AS (SELECT user_id, count(*) AS n FROM e GROUP BY user_id), w AS (SELECT max(ts) - INTERVAL 1 HOUR AS w FROM e),
+m AS (SELECT user_id, min(ts) AS t FROM e GROUP BY user_id UNION ALL SELECT m.user_id, e.ts FROM m ASOF JOIN e ON m.user_id = e.user_id AND m.t + INTERVAL 1 DAY <= e.ts),
+s AS (SELECT user_id, count(*) AS misses, max(t) + INTERVAL 1 DAY AS until FROM m GROUP BY user_id)
+SELECT user_id, CAST(n - misses AS BIGINT) AS hits, CAST(misses AS BIGINT) AS misses, CAST(misses - (until > w)::INT AS BIGINT) AS evictions FROM s JOIN n USING (user_id), w""")
+def stream_expiring_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits, misses and evictions by user of a cache whose entries live for a day."""
+    with expiry.rocksdb(spark):
+        rows = recommender.run_to_table(expiry.expiring_cache(_stream(spark, sf_dir), "user_id", 86_400), "cache", "append")
+    return rows.groupBy("user_id").agg(*[F.sum(c).alias(c) for c in ("hits", "misses", "evictions")])
+
+
 @query()
 def stream_user_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = recommender.run_to_table(recommender.user_state(_stream(spark, sf_dir)), "vectors", "update", ["user_id"])
@@ -262,8 +273,8 @@ _STEP = "list_transform(list_zip({a}, {b}), lambda z: z[1] + 0.01 * ({e} * z[2]
 
 @query(f"""WITH {A_SQL}, f AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS ru, row_number() OVER (PARTITION BY item_id ORDER BY ts, event_id) AS ri FROM a WHERE item_id IS NOT NULL),
 o AS (SELECT user_id, item_id, score, {_START.format(k="user_id", s="users")} AS u, {_START.format(k="item_id", s="items")} AS i FROM f WHERE ru = 1 AND ri = 1),
-e AS (SELECT *, score - {_DOT.format(a="u", b="i")} AS e FROM o), n AS (SELECT *, {_STEP.format(a="u", b="i", e="e")} AS nu FROM e), m AS (SELECT *, score - {_DOT.format(a="i", b="nu")} AS e2 FROM n)
-SELECT user_id, item_id, round(list_sum(nu), 6) AS user_total, round({_DOT.format(a="nu", b="nu")}, 6) AS user_square, round(list_sum({_STEP.format(a="i", b="nu", e="e2")}), 6) AS item_total FROM m""")
+e AS (SELECT *, score - {_DOT.format(a="u", b="i")} AS e FROM o), n AS (SELECT *, {_STEP.format(a="u", b="i", e="e")} AS nu FROM e)
+SELECT user_id, item_id, round(list_sum(nu), 6) AS user_total, round({_DOT.format(a="nu", b="nu")}, 6) AS user_square, round(list_sum({_STEP.format(a="i", b="nu", e="e")}), 6) AS item_total FROM n""")
 def online_first_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both sides after the actions that are the first of their user and of their item, learned as one batch."""
     a = actions(spark, sf_dir).where("item_id is not null")

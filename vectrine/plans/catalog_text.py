@@ -402,7 +402,7 @@ def qa_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.with_counts(docs(spark, sf_dir).select("doc_id"), log, "doc_id", "answer_id", "usage_count")
 
 
-@query(f"""WITH w AS (SELECT lang, doc_id, text, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r FROM documents), f AS (SELECT lang, list(md5(text) ORDER BY doc_id) AS first_texts FROM w WHERE r <= 3 GROUP BY lang), n AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang),
+@query(rf"""WITH w AS (SELECT lang, doc_id, text, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r FROM documents), f AS (SELECT lang, list(md5(text) ORDER BY doc_id) AS first_texts FROM w WHERE r <= 3 GROUP BY lang), n AS (SELECT lang, count(*) AS n FROM documents GROUP BY lang),
 u AS (SELECT lang, unnest(string_split_regex(text, '\s+')) AS word FROM documents), c AS (SELECT lang, word, count(*) AS k FROM u WHERE length(word) > 1 GROUP BY lang, word), k AS (SELECT lang, list(word ORDER BY k DESC, word) AS keywords FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY k DESC, word) AS r FROM c) WHERE r <= 5 GROUP BY lang)
 SELECT lang AS cluster, CAST(n AS BIGINT) AS n, round(n * 100.0 / (SELECT count(*) FROM documents), 6) AS percentage, first_texts, keywords FROM n JOIN f USING (lang) JOIN k USING (lang)""")
 def cluster_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -117,12 +117,20 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vectrine.llm import fim
+
+    out = fim.transform(_table(spark, sf_dir, "documents"), seed=7, fim_percent=100, spm_percent=50, unit="line")
+    back = fim.restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_packing, op3_neardup, op4_media, op5_topk, op6_pii, op7_bpe, op8_secrets, op9_language, op10_suffixes, secrets_two_runs)}
+    return {f.__name__: f for f in (op1_quality, op2_packing, op3_neardup, op4_media, op5_topk, op6_pii, op7_bpe, op8_secrets, op9_language, op10_suffixes, op12_fim, secrets_two_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_neardup": OP3_SQL, "op5_topk": OP5_SQL, "op8_secrets": op8_sql(), "secrets_two_runs": op8_sql(), "op10_suffixes": OP10_SQL}
+    return {"op3_neardup": OP3_SQL, "op5_topk": OP5_SQL, "op8_secrets": op8_sql(), "secrets_two_runs": op8_sql(), "op10_suffixes": OP10_SQL, "op12_fim": OP12_SQL}
 
 
 OP5_SQL = """
@@ -171,6 +179,18 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGI
 FROM d LEFT JOIN t USING (doc_id)
 """
 
+OP12_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS u FROM t),
+n AS (SELECT doc_id, t, u, len(u) AS n, list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(h, i, 8) AS BIGINT)) AS h FROM u),
+c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+  CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 100 THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM n),
+p AS (SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:], '') AS s FROM c)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE t END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p
+"""
+
 
 def op8_sql() -> str:
     """Places come from the text between matches and the matches, as in the operator's own expression."""

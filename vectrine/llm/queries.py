@@ -117,6 +117,12 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vectrine.llm import warc
+
+    return warc.store_and_read(_table(spark, sf_dir, "pages"))
+
+
 def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vectrine.llm import fim
 
@@ -126,11 +132,11 @@ def op12_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_packing, op3_neardup, op4_media, op5_topk, op6_pii, op7_bpe, op8_secrets, op9_language, op10_suffixes, op12_fim, secrets_two_runs)}
+    return {f.__name__: f for f in (op1_quality, op2_packing, op3_neardup, op4_media, op5_topk, op6_pii, op7_bpe, op8_secrets, op9_language, op10_suffixes, op11_warc, op12_fim, secrets_two_runs)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_neardup": OP3_SQL, "op5_topk": OP5_SQL, "op8_secrets": op8_sql(), "secrets_two_runs": op8_sql(), "op10_suffixes": OP10_SQL, "op12_fim": OP12_SQL}
+    return {"op3_neardup": OP3_SQL, "op5_topk": OP5_SQL, "op8_secrets": op8_sql(), "secrets_two_runs": op8_sql(), "op10_suffixes": OP10_SQL, "op11_warc": OP11_SQL, "op12_fim": OP12_SQL}
 
 
 OP5_SQL = """
@@ -179,6 +185,15 @@ SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGI
 FROM d LEFT JOIN t USING (doc_id)
 """
 
+OP11_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+m AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY h) END AS least FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha256(h) AS payload_digest,
+  CASE WHEN least IS NOT NULL AND page_id IS DISTINCT FROM least THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM least THEN least END AS refers_to
+FROM m
+"""
+
 OP12_SQL = r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS t, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
 u AS (SELECT *, regexp_extract_all(t, '[^\n]*\n|[^\n]+') AS u FROM t),

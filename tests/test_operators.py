@@ -7,6 +7,7 @@ import random
 import subprocess
 import sys
 import zipfile
+import zlib
 
 import numpy as np
 import pytest
@@ -18,11 +19,11 @@ from vectrine import catalog
 from vectrine.functions import embed
 from vectrine.functions import text as T
 from vectrine.functions import vectors as V
-from vectrine.operators import analytics, chunking, evaluation, learn, recommend, rerank, search, sparse, store, temporal
+from vectrine.operators import analytics, chunking, evaluation, hierarchy, learn, network, recommend, rerank, search, sparse, store, temporal
 from vectrine.plans import rag
 from vectrine.session import EngineConfig, scratch, written
-from vectrine.sources import files, samples
-from vectrine.streaming import expiry, recommender
+from vectrine.sources import files, pdf, samples
+from vectrine.streaming import expiry, metrics, online, recommender
 
 
 def one(spark, *columns):
@@ -317,6 +318,78 @@ def test_algorithms_compared_on_separate_groups(spark):
     assert samples.comparison(spark).count() == 17
 
 
+def test_network_of_batches_equals_one_built_at_once(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    x = {i: rng.normal(0, 1, 3) for i in range(60)}
+    net = network.SimilarityNetwork(spark, f"file://{tmp_path}/net", 0.7)
+    table = lambda rows: spark.createDataFrame([(i, None if v is None else v.tolist()) for i, v in rows], "vec_id long, embedding array<double>")
+
+    def edges(x):
+        unit = {i: v / np.linalg.norm(v) for i, v in x.items()}
+        return {(a, b) for a in x for b in x if a < b and unit[a] @ unit[b] > 0.7}
+
+    def check(want):
+        assert {(r["a"], r["b"]) for r in net.edges().collect()} == edges(want) and net.edges().count() == len(edges(want))
+
+    now = {i: x[i] for i in range(40)}
+    assert net.update(table(list(now.items())), 0)["entries"] == 40
+    check(now)
+    batch = [(i, x[i]) for i in range(30, 60)] + [(3, -x[3]), (4, None), (5, x[6]), (5, x[6]), (None, x[7])]
+    after = now | {i: x[i] for i in range(30, 60)} | {3: -x[3], 5: x[6]}
+    del after[4]
+    for _ in range(2):  # a batch that runs twice
+        assert net.update(table(batch), 1)["entries"] == 23  # thirty to thirty-nine come as they are
+        check(after)
+    net.update(table([(4, x[4])]), 2)
+    check(after | {4: x[4]})
+    assert net.update(table([]), 3) == {"entries": 0, "edges": 0}
+
+
+def test_inverted_lists_prune_partitions(spark, sf, tmp_path):
+    df = spark.read.parquet(f"{sf}/embeddings.parquet")
+    centroids = [(r["vec_id"], [float(x) for x in r["embedding"]]) for r in df.where("vec_id < 20").orderBy("vec_id").collect()]
+    search.write_lists(search.assign(df, centroids), str(tmp_path / "lists"))
+    lists = spark.read.parquet(str(tmp_path / "lists"))
+    found = search.ivf_lists_l2(lists, df.where("vec_id % 50 = 0"), centroids, 10, 20)
+    exact = search.knn(df.where("vec_id % 50 = 0"), df, 10, "squared_l2")
+    assert {tuple(r)[:2] for r in found.collect()} == {tuple(r)[:2] for r in exact.collect()}
+    one = search.ivf_lists_l2(lists, df.where("vec_id = 0"), centroids, 5, 1)
+    assert "dynamicpruning" in one._jdf.queryExecution().executedPlan().toString()
+    assert one.count() > 0 and search.recall(search.ivf_lists_l2(lists, df.where("vec_id % 50 = 0"), centroids, 10, 16), exact) >= 0.9
+
+
+def made_pdf(pages, packed=False):
+    """A PDF file with one font by a map to Unicode and one without; in a packed one all but streams are in an object stream."""
+    cmap = b"1 begincodespacerange <0000> <ffff> endcodespacerange 1 beginbfchar <0001> <6F22> endbfchar 2 beginbfrange <0010> <0012> <0061> <0020> <0021> [<00E9> <D83DDE00>] endbfrange"
+    objects = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Kids [%s] /Resources << /Font << /F1 3 0 R /F2 4 0 R >> >> >>" % b" ".join(b"%d 0 R" % (10 + 2 * i) for i in range(len(pages))), 3: b"<< /Type /Font /Subtype /Type1 >>", 4: b"<< /Type /Font /ToUnicode 5 0 R >>"}
+    stream = lambda x: b"<< /Length %d /Filter /FlateDecode >> stream\n%s\nendstream" % (len(zlib.compress(x)), zlib.compress(x))
+    streams = {5: stream(cmap)} | {11 + 2 * i: stream(c) for i, c in enumerate(pages)}
+    objects |= {10 + 2 * i: b"<< /Type /Page /Parent 2 0 R /Contents %d 0 R >>" % (11 + 2 * i) for i in range(len(pages))}
+    if packed:
+        places, body = [], b""
+        for n, x in objects.items():
+            places.append(b"%d %d" % (n, len(body)))
+            body += x + b" "
+        head = b" ".join(places) + b" "
+        inside = zlib.compress(head + body)
+        streams[90] = b"<< /Type /ObjStm /N %d /First %d /Filter /FlateDecode >> stream\n%s\nendstream" % (len(objects), len(head), inside)
+        objects = {}
+    return b"%PDF-1.5\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % x for x in (objects | streams).items()) + b"%%EOF"
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_pdf_text_without_a_library(spark, tmp_path, packed):
+    first = rb"BT /F1 12 Tf 72 700 Td (A \(first\) line\051 caf\351) Tj 0 -14 Td [(ker) -10 (ned) -300 (words)] TJ T* (x) ' ET"
+    second = b"BT /F2 9 Tf <0001> Tj 5 0 Td <001000110012> Tj 1 0 0 1 0 0 Tm [<0020> 5 <0021>] TJ ET"
+    data = made_pdf([first, second], packed)
+    want = "A (first) line) café\nkerned words\nx\n漢abc\né😀\n"
+    assert pdf.text_of(data) == want
+    for name, x in (("a.pdf", data), ("b.pdf", b"%PDF broken"), ("c.pdf", b"no such file"), ("d.pdf", data.replace(b"%%EOF", b"/Encrypt"))):
+        (tmp_path / name).write_bytes(x)
+    assert {r["path"][-5:]: r["text"] for r in pdf.read(spark, str(tmp_path)).collect()} == {"a.pdf": want, "b.pdf": "", "c.pdf": "", "d.pdf": ""}
+    assert {r["filename"]: r["content"] for r in files.documents(spark, str(tmp_path)).collect()}["a.pdf"] == want
+
+
 def test_fusions(spark):
     a = spark.createDataFrame([(0, 1, 9.0), (0, 2, 8.0)], "query_id long, doc_id long, score double")
     b = spark.createDataFrame([(0, 2, 0.9), (0, 3, 0.8)], "query_id long, doc_id long, score double")
@@ -417,6 +490,76 @@ def test_ward_over_centres_finds_separate_clusters(spark):
     assert learn._agglomerate(np.array([[0.0], [1.0], [2.1]]), np.array([100, 100, 1]), 2) == [0, 1, 1]
 
 
+def test_ward_tree_equals_one_block(spark):
+    """Rounds of reciprocal neighbours down to three clusters, against joining the nearest pair again and again."""
+    rng = np.random.default_rng(7)
+    x = np.concatenate([rng.normal(0, 1, (40, 5)), rng.normal(4, 2, (20, 5))])
+    df = spark.createDataFrame([(i * 3 + 1, v.tolist()) for i, v in enumerate(x)] + [(0, None)], "vec_id long, embedding array<double>").repartition(3)
+    tree = written(hierarchy.ward_tree(df, last=8), "tree")
+    want = [d for *_, d in hierarchy.joins_of(x, np.ones(len(x)))]
+    got = tree.collect()
+    assert sorted(r["distance"] for r in got) == pytest.approx(sorted(want)) and all(r["kept"] < r["joined"] for r in got)
+    for k in (1, 3):
+        found = {r["vec_id"]: r["cluster"] for r in hierarchy.cut(df, tree, k).collect()}
+        assert [found[i * 3 + 1] for i in range(len(x))] == learn._agglomerate(x, np.ones(len(x)), k)
+
+
+def test_ward_tree_of_ties_and_few_rows(spark):
+    square = [(i, [float(i % 4), 0.0]) for i in range(12)]  # each place three times, all gaps alike
+    df = spark.createDataFrame(square, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["cluster"] for r in hierarchy.ward(df, 4, last=1).collect()}
+    assert all(got[i] == got[i % 4] for i in range(12)) and len(set(got.values())) == 4
+    assert [tuple(r) for r in hierarchy.ward(df.limit(1), 3).collect()] == [(0, 0)]
+    assert hierarchy.ward(df.limit(0), 3).collect() == []
+
+
+def test_kmeans_ends_where_lloyd_does(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(0, 1, (200, 4)) + np.repeat(np.eye(4) * 3, 50, 0)
+    df = spark.createDataFrame([(i, v.tolist(), str(i)) for i, v in enumerate(x)] + [(999, None, "n")], "vec_id long, embedding array<double>, name string").repartition(3)
+    out, inertia, width = learn.kmeans(df, 4, most=100, move=1e-9)
+    label = {r["vec_id"]: r["cluster"] for r in out.collect()}
+    at = np.array([label[i] for i in range(200)])
+    centres = np.stack([x[at == c].mean(0) for c in range(4)])
+    d = ((x[:, None] - centres) ** 2).sum(2)
+    assert (d.argmin(1) == at).all() and inertia == pytest.approx(d.min(1).sum()) and 0 < width < 1
+    best = np.inf
+    for s in range(30):  # no worse than thirty plain runs from random rows
+        c = x[np.random.default_rng(s).choice(200, 4, replace=False)]
+        for _ in range(100):
+            a = ((x[:, None] - c) ** 2).sum(2).argmin(1)
+            c = np.stack([x[a == j].mean(0) if (a == j).any() else c[j] for j in range(4)])
+        best = min(best, ((x[:, None] - c) ** 2).sum(2).min(1).sum())
+    assert inertia <= best * (1 + 1e-9)
+    again = {r["vec_id"]: r["cluster"] for r in learn.kmeans(df.repartition(2), 4, most=100, move=1e-9)[0].collect()}
+    assert again == label  # however the rows are dealt
+    same = spark.createDataFrame([(i, [1.0]) for i in range(5)], "vec_id long, embedding array<double>")
+    assert learn.kmeans(same, 2)[0].select("cluster").distinct().count() == 1 and math.isnan(learn.kmeans(same, 2)[2])
+    assert learn.kmeans(same.limit(0), 2)[0].collect() == []
+
+
+def test_one_class_machine_is_fitted_on_all_rows(spark, sf):
+    """The flags of a plain fit of the same objective, by many small gradient steps, on all rows."""
+    df = spark.read.parquet(f"{sf}/embeddings.parquet")
+    rows = sorted((r["vec_id"], r["embedding"]) for r in df.collect())
+    x, nu, soft, features = np.array([v for _, v in rows], float), 0.1, 0.02, 256
+    rng = np.random.default_rng(42)
+    gamma = 1 / (x.shape[1] * x.var())
+    w, b = rng.normal(0, np.sqrt(2 * gamma), (x.shape[1], features)), rng.uniform(0, 2 * np.pi, features)
+    z = np.sqrt(2 / features) * np.cos(x @ w + b)
+    u, rho = np.zeros(features), 0.0
+    value = lambda u, rho: u @ u / 2 - rho + np.where((t := rho - z @ u) <= 0, 0, np.where(t < soft, t * t / (2 * soft), t - soft / 2)).mean() / nu
+    for _ in range(4000):
+        pull = np.clip((rho - z @ u) / soft, 0, 1) / (nu * len(z))
+        u, rho = u - 0.02 * (u - pull @ z), rho - 0.02 * (pull.sum() - 1) * 0.1
+    got = {r["vec_id"]: r for r in learn.one_class_boundary(df, df).collect()}
+    scores = np.array([got[i]["score"] for i, _ in rows])
+    assert sum(r["is_anomaly"] for r in got.values()) == pytest.approx(nu * len(x), abs=1)
+    s = z @ u - np.quantile(z @ u, nu)
+    assert np.corrcoef(s, scores)[0, 1] > 0.999
+    assert ((s < 0) != (scores < 0)).mean() <= 0.01 and np.isfinite(value(u, rho))
+
+
 def test_detectors_find_a_far_point(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(0, 0.1, 4)]) for i in range(80)] + [(999, [9.0] * 4)]
@@ -605,6 +748,56 @@ def test_online_model_folds_many_actions_of_one_user(spark, tmp_path):
     assert all(np.allclose(r["vector"], items[r["key"]]) for r in model.vectors("items").collect())
 
 
+@pytest.mark.parametrize(("n", "per_bucket"), [(600, 100), (10_000, 100_000)])
+def test_waves_equal_acting_one_by_one(spark, n, per_bucket):
+    """Actions of 50 users, a third of them on one item, in several buckets and in one."""
+    rng = random.Random(4)
+    rows = [(k, k // 3, rng.randrange(50), 0 if k % 3 == 0 else rng.randrange(1, 400), float(rng.choice([1, 3, 5, -1]))) for k in range(n)]
+    start = {s: spark.createDataFrame([(k,) for k in sorted({r[c] for r in rows})], "key long").withColumn("vector", online.hashed_start(F.col("key"), s, 6)) for s, c in (("users", 2), ("items", 3))}
+    want = {s: {r["key"]: np.array(r["vector"]) for r in df.collect()} for s, df in start.items()}
+    for _, _, u, i, score in rows:
+        want["users"][u], want["items"][i] = recommender.sgd_step(want["users"][u], want["items"][i], score)
+    actions = spark.createDataFrame(rng.sample(rows, n), "event_id long, ts long, user_id long, item_id long, score double")
+    got = online.two_sided(actions, start["users"], start["items"], per_bucket=per_bucket).collect()
+    assert len(got) == sum(map(len, want.values()))
+    assert all(np.allclose(r["vector"], want[r["side"]][r["key"]], atol=1e-12) for r in got)
+
+
+def test_online_model_snapshots_and_rescoring(spark, tmp_path):
+    model = recommender.OnlineModel(spark, f"file://{tmp_path}/model", dimensions=4, limit=3, keep_seen=True, snapshot_every=2)
+    plain = recommender.OnlineModel(spark, f"file://{tmp_path}/plain", dimensions=4, limit=3, keep_seen=True, snapshot_every=0)
+    rng = random.Random(2)
+    schema = "event_id long, ts long, user_id long, item_id long, score double, event_type string"
+    for batch in range(4):
+        rows = [(10 * batch + k, k, rng.randrange(3), rng.randrange(6), float(rng.randrange(-1, 6)), rng.choice(["view", "like"])) for k in range(6)]
+        df = spark.createDataFrame([*rows, (None, 1, 1, 1, 1.0, "view")], schema)
+        old = [tuple(r) for r in spark.read.parquet(f"{model.path}/recommendations").collect()] if batch else []
+        a, b = ([tuple(r) for r in m.update(df, batch).collect()] for m in (model, plain))
+        assert {r[:2] for r in a} == {r[:2] for r in b}
+    assert os.path.exists(f"{tmp_path}/model/users_all/batch=1") and os.path.exists(f"{tmp_path}/model/items_all/batch=3")
+    for side in ("users", "items"):
+        x, y = ({r["key"]: r["vector"] for r in m.vectors(side).collect()} for m in (model, plain))
+        assert x.keys() == y.keys() and all(np.allclose(x[k], y[k]) for k in x)
+    # the scores of the last batch from their definition
+    users, items = ({r["key"]: np.array(r["vector"]) for r in model.vectors(s).collect()} for s in ("users", "items"))
+    last = {}
+    for user, item, _, rank, _, n in old:
+        last.setdefault(user, {}).setdefault(n, {})[rank] = item
+    kinds = {}
+    for r in spark.read.parquet(f"{model.path}/kinds").collect():
+        kinds.setdefault(r["user_id"], {}).setdefault(r["event_type"], []).append(r["n"])
+    assert a
+    for user in {r[0] for r in a}:
+        cached = last[user][max(last[user])].values() if user in last else []
+        bonus = lambda v: 0.1 * (1 - np.mean([v @ items[i] for i in cached])) if cached else 0.0  # noqa: B023, E731
+        score = {i: users[user] @ v + bonus(v) for i, v in items.items()}
+        best = sorted(score, key=lambda i: (-round(score[i], 9), i))[:3]  # noqa: B023
+        kind = min(kinds[user], key=lambda k: (-sum(kinds[user][k]), k))  # noqa: B023
+        got = sorted((r for r in a if r[0] == user), key=lambda r: r[3])
+        assert [r[1] for r in got] == best and [r[2] for r in got] == pytest.approx([score[i] for i in best])
+        assert {r[4] for r in got} == {f"based on your {kind} history"}
+
+
 def test_producer_and_state_that_expires(spark, tmp_path):
     stream = recommender.producer(spark, 50)
     assert stream.isStreaming and {"event_id", "ts", "user_id", "item_id", "event_type", "score"} <= set(stream.columns)
@@ -663,6 +856,19 @@ def test_expired_entries_leave_the_state(spark, tmp_path):
     assert spark.conf.get(expiry.PROVIDER) == before
 
 
+def test_batches_report_their_metrics(spark, tmp_path):
+    for k in range(3):
+        spark.createDataFrame([(n % (k + 2),) for n in range(10 * (k + 1))], "user_id long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    live = spark.readStream.schema("user_id long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    with metrics.reported(spark, str(tmp_path / "metrics")):
+        recommender.to_table(metrics.observed(live), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    rows = metrics.ticks(spark, str(tmp_path / "metrics")).collect()
+    got = {(r["batch"], r["metric_name"]): r["value"] for r in rows}
+    assert {b for b, _ in got} == {0, 1, 2} and {m for _, m in got} == {"rows", "active_users", "input_rows", "rows_per_second", "batch_ms"}
+    assert [got[b, "rows"] for b in range(3)] == [got[b, "input_rows"] for b in range(3)] and sorted(got[b, "rows"] for b in range(3)) == [10, 20, 30]
+    assert sorted(got[b, "active_users"] for b in range(3)) == [2, 3, 4]
+
+
 def test_sgd_uses_the_new_user_vector():
     u, i = np.array([0.1, 0.2]), np.array([0.3, -0.1])
     nu, ni = recommender.sgd_step(u, i, 1.0)

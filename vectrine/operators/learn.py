@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectrine.functions import vectors as V
-from vectrine.operators import search
+from vectrine.operators import hierarchy, search
 from vectrine.session import written
 
 
@@ -179,35 +179,111 @@ def isolation_forest(df: DataFrame, trees: int = 100, sample: int = 256, contami
     return scored.withColumn("is_anomaly", F.col("score") > F.lit(cut) if cut is not None else F.lit(False))
 
 
-def one_class_boundary(df: DataFrame, normal: DataFrame, nu: float = 0.1, features: int = 256, seed: int = 42, epochs: int = 200, most: int = 5000, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(vec_id, score, is_anomaly) by a one-class machine on random Fourier features of an RBF kernel.
+def one_class_boundary(df: DataFrame, normal: DataFrame, nu: float = 0.1, features: int = 256, seed: int = 42, steps: int = 25, soft: float = 0.02, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(vec_id, score, is_anomaly) by a one-class machine on random Fourier features of an RBF kernel, fitted on all
+    normal vectors; the kernel's width is one over dimension times variance.
 
-    Fitted on the driver from at most `most` normal vectors (lowest hashes of the id); the kernel's width is one over
-    dimension times variance. Scores under zero are anomalies. Without a normal vector every score is 0 and nothing
-    is an anomaly.
+    Least |u|^2 / 2 - rho + mean(hinge(rho - z u)) / nu, with a hinge rounded over `soft`, by Newton steps. A step reads
+    the vectors twice: once for the sums that give its direction, once for the value at several lengths of it; what
+    leaves a task has a fixed size. rho is then the exact nu-quantile of the normal scores. Scores under zero are
+    anomalies. Without a normal vector every score is 0 and nothing is an anomaly.
     """
-    drawn = np.array([r["v"] for r in normal.select(V.doubles(F.col(vector_col)).alias("v"), F.xxhash64(id_col).alias("h")).where("v is not null").orderBy("h").limit(most).collect()])
-    if not len(drawn):
+    rows = normal.where(F.col(vector_col).isNotNull()).select(V.doubles(F.col(vector_col)).alias("v"))
+    moments = rows.select(F.size("v").alias("d"), V.total(F.col("v")).alias("s"), V.dot(F.col("v"), F.col("v")).alias("q")).agg(F.count("*").alias("n"), F.max("d").alias("d"), F.sum("s").alias("s"), F.sum("q").alias("q")).first()
+    if not moments["n"]:
         return df.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias(id_col), F.lit(0.0).alias("score"), F.lit(False).alias("is_anomaly"))
+    entries = moments["n"] * moments["d"]
+    variance = moments["q"] / entries - (moments["s"] / entries) ** 2
     rng = np.random.default_rng(seed)
-    gamma = 1 / (drawn.shape[1] * max(float(drawn.var()), 1e-12))
-    w, b = rng.normal(0, np.sqrt(2 * gamma), (drawn.shape[1], features)), rng.uniform(0, 2 * np.pi, features)
+    gamma = 1 / (moments["d"] * max(variance, 1e-12))
+    w, b = rng.normal(0, np.sqrt(2 * gamma), (moments["d"], features)), rng.uniform(0, 2 * np.pi, features)
     lift = lambda x: np.sqrt(2 / features) * np.cos(x @ w + b)
-    z = lift(drawn)
-    u, rho = z.mean(0), 0.0
-    for t in range(1, epochs + 1):  # subgradient steps of |u|^2 / 2 - rho + mean(max(0, rho - z u)) / nu
-        s = z @ u
-        rho = float(np.quantile(s, nu))
-        u = u - (1 / (t + 5)) * (u - z[s < rho].sum(0) / (nu * len(z)))
-    rho = float(np.quantile(z @ u, nu))
+    fit = OneClassFit(nu, soft, features, int(moments["n"]))
+    for _ in range(steps):
+        point = fit.point
+        if not fit.turn(_summed(rows, lambda x: fit.curvature(lift(x), point))):  # noqa: B023
+            break
+        lines = fit.candidates()
+        fit.move(_summed(rows, lambda x: fit.values(lift(x), lines)))  # noqa: B023
+    u = fit.point[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lift(np.array(batch.column(1).to_pylist())) @ u - rho)], [id_col, "score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lift(np.array(batch.column(1).to_pylist())) @ u)], [id_col, "score"])
+
+    scores = lambda x: x.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias(id_col), V.doubles(F.col(vector_col)).alias("v")).mapInArrow(run, f"{id_col} long, score double")
+    rho = quantile(written(scores(normal), "scores"), "score", nu)
+    return scores(df).select(id_col, (F.col("score") - rho).alias("score")).withColumn("is_anomaly", F.col("score") < 0)
+
+
+class OneClassFit:
+    """Newton's method on the rounded one-class objective; the sums over rows are taken elsewhere."""
+
+    def __init__(self, nu: float, soft: float, features: int, n: int) -> None:
+        self.nu, self.soft, self.n = nu, soft, n
+        self.point = np.zeros(features + 1)  # u, then rho
+        self.direction = self.point
+
+    def curvature(self, z: np.ndarray, point: np.ndarray) -> np.ndarray:
+        """Sums of the hinge's first and second derivatives over the rows, flat."""
+        z = np.concatenate([-z, np.ones((len(z), 1))], 1)
+        t = z @ point
+        first = np.clip(t / self.soft, 0, 1)
+        inside = z[(t > 0) & (t < self.soft)]
+        return np.concatenate([first @ z, (inside.T @ inside / self.soft).ravel()])
+
+    def turn(self, sums: np.ndarray) -> bool:
+        """Sets the direction from the sums; False where the gradient is nothing."""
+        k, scale = len(self.point), 1 / (self.nu * self.n)
+        own = np.append(self.point[:-1], -1.0)
+        gradient = own + scale * sums[:k]
+        hessian = np.diag(np.append(np.ones(k - 1), 1e-9)) + scale * sums[k:].reshape(k, k)
+        self.direction = -np.linalg.solve(hessian, gradient)
+        return bool(np.abs(gradient).max() > 1e-9)
+
+    def candidates(self) -> np.ndarray:
+        """Points along the direction; it may be very long where no row lies on the hinge's round part."""
+        length = np.abs(self.direction[-1])
+        first = min(1.0, 1.0 / length) if length > 0 else 1.0
+        return np.stack([self.point + first * 0.5**i * self.direction for i in range(24)])
+
+    def values(self, z: np.ndarray, points: np.ndarray) -> np.ndarray:
+        """The hinge's sum over the rows at each point."""
+        t = points[:, -1][:, None] - points[:, :-1] @ z.T
+        return np.where(t <= 0, 0, np.where(t < self.soft, t * t / (2 * self.soft), t - self.soft / 2)).sum(1)
+
+    def move(self, sums: np.ndarray) -> None:
+        """To the lowest of the candidates."""
+        points = self.candidates()
+        self.point = points[int(np.argmin((points[:, :-1] ** 2).sum(1) / 2 - points[:, -1] + sums / (self.nu * self.n)))]
+
+
+def _summed(rows: DataFrame, of: Callable[[np.ndarray], np.ndarray], at_once: int = 4096) -> np.ndarray:
+    """The sum over all rows of an array that `of` gives for some vectors. Each task sends one array, and those are added
+    up in groups before one task adds the groups up, so no task gets more than a share of them."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for at in range(0, batch.num_rows, at_once):
+                part = of(np.array(batch.column(0).slice(at, at_once).to_pylist()))
+                total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["a"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for batch in batches:
+            for x in batch.column(0):
+                part = np.frombuffer(x.as_py())
+                total = part if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["a"])
 
-    out = df.where(F.col(vector_col).isNotNull()).select(id_col, V.doubles(F.col(vector_col)).alias("v")).mapInArrow(run, f"{id_col} long, score double")
-    return out.withColumn("is_anomaly", F.col("score") < 0)
+    groups = max(1, min(32, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    parts = rows.mapInArrow(each, "a binary").repartition(groups).mapInArrow(added, "a binary").collect()  # at most 32 arrays
+    return np.sum([np.frombuffer(r["a"]) for r in parts], axis=0)
 
 
 def ensemble(votes: list[DataFrame], id_col: str = "vec_id") -> DataFrame:
@@ -230,24 +306,92 @@ def anomaly_report(found: DataFrame) -> DataFrame:
 # --- clusters
 
 
-def kmeans(df: DataFrame, k: int, seed: int = 42, n_init: int = 10, vector_col: str = "embedding") -> tuple[DataFrame, float, float]:
-    """df with its cluster, the inertia and the (squared-L2) silhouette, of the best of n_init seeded runs."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.evaluation import ClusteringEvaluator
-    from pyspark.ml.functions import array_to_vector
+def kmeans(df: DataFrame, k: int, seed: int = 42, n_init: int = 10, vector_col: str = "embedding", most: int = 20, move: float = 1e-4) -> tuple[DataFrame, float, float]:
+    """df with its cluster, the inertia and the (squared-L2) silhouette, of the best of n_init seeded starts.
 
-    rows = df.withColumn("_f", array_to_vector(V.doubles(F.col(vector_col))))
-    fits = [KMeans(k=k, seed=seed + i, featuresCol="_f", predictionCol="cluster").fit(rows) for i in range(n_init)]
-    best = min(fits, key=lambda m: m.summary.trainingCost)
-    out = best.transform(rows)
-    silhouette = ClusteringEvaluator(featuresCol="_f", predictionCol="cluster").evaluate(out)
-    return out.drop("_f"), float(best.summary.trainingCost), float(silhouette)
+    All starts go side by side, so a step of all of them is one pass over the vectors: first a pass for each centre,
+    drawn with a chance in proportion to the squared distance from those before it, then Lloyd's steps until no
+    centre moves by more than `move` (or `most` of them). What leaves a task has a fixed size. Rows without a vector
+    are left out; equal vectors have one chance together, and a cluster that nothing is nearest to keeps its centre.
+    Without two different vectors there is no silhouette (NaN).
+    """
+    rows = df.where(F.col(vector_col).isNotNull())
+    points = written(rows.select(V.doubles(F.col(vector_col)).alias("v"), F.xxhash64(V.doubles(F.col(vector_col))).alias("h")), "points")
+    centres = _first_centres(points, k, seed, n_init)
+    if centres is None:
+        return rows.withColumn("cluster", F.lit(None).cast("int")), 0.0, float("nan")
+    d = centres.shape[2]
+
+    def step(x: np.ndarray) -> np.ndarray:
+        return np.concatenate([_lloyd(x, c) for c in centres])
+
+    for turn in range(most + 1):
+        sums = _summed(points, step).reshape(n_init, k * (d + 1) + 1)
+        cost, n = sums[:, -1], sums[:, : k].reshape(n_init, k, 1)
+        new = np.where(n > 0, sums[:, k:-1].reshape(n_init, k, d) / np.maximum(n, 1), centres)
+        moved = np.sqrt(((new - centres) ** 2).sum(2)).max()
+        if moved <= move or turn == most:
+            break
+        centres = new
+    best = int(np.argmin(cost))
+    nearest = F.array(*[F.struct(V.squared_l2(F.col(vector_col), V.literal(c)).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(centres[best].tolist())])
+    out = rows.withColumn("cluster", F.array_min(nearest)["i"].cast("int"))
+    found = silhouette(out, vector_col)
+    return out, float(cost[best]), float("nan") if found is None else found
+
+
+def _lloyd(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Of the vectors nearest to each centre: their numbers, their sums, and last the squared distances of all, flat."""
+    d = search._squared(x, centres)
+    at = d.argmin(1)
+    n, s = np.bincount(at, minlength=len(centres)).astype(float), np.zeros(centres.shape)
+    np.add.at(s, at, x)
+    return np.concatenate([n, s.ravel(), [d[np.arange(len(x)), at].sum()]])
+
+
+def _uniform(h: np.ndarray, salt: int) -> np.ndarray:
+    """Numbers in (0, 1) drawn by a hash of the rows' hashes and a salt."""
+    z = h.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15 * (salt + 1) & 0xFFFFFFFFFFFFFFFF)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        z = (z ^ (z >> np.uint64(shift))) * np.uint64(factor)
+    return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(float) / (1 << 53) + 2.0**-54
+
+
+def _first_centres(points: DataFrame, k: int, seed: int, starts: int) -> np.ndarray | None:
+    """(starts, k, d) centres: each drawn by the squared distance from the nearest one before it, as the smallest of
+    exponential waiting times, of which only the smallest of each task leaves it. None without a vector."""
+    chosen = np.zeros((starts, 0, 0))
+    for turn in range(k):
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best: dict[int, tuple[float, list[float]]] = {}
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x, h = np.array(batch.column(0).to_pylist()), batch.column(1).to_numpy()
+                for s in range(starts):
+                    weight = search._squared(x, chosen[s]).min(1) if turn else np.ones(len(x))  # noqa: B023
+                    with np.errstate(divide="ignore"):
+                        wait = -np.log(_uniform(h, (seed * 1009 + s) * 64 + turn)) / weight  # noqa: B023
+                    i = int(np.lexsort((h, wait))[0])
+                    best[s] = min(best.get(s, (np.inf, [])), (float(wait[i]), x[i].tolist()))
+            if best:
+                yield pa.RecordBatch.from_arrays([pa.array(list(best), pa.int32()), pa.array([w for w, _ in best.values()]), pa.array([v for _, v in best.values()], pa.list_(pa.float64()))], ["s", "wait", "v"])
+
+        drawn = points.select("v", "h").mapInArrow(run, "s int, wait double, v array<double>").groupBy("s").agg(F.min(F.struct("wait", "v")).alias("m")).collect()  # a row for each start
+        if not drawn:
+            return None
+        new = {r["s"]: r["m"]["v"] for r in drawn}
+        # where every vector is a centre already nothing is left to draw, and the first centre stands twice
+        column = np.array([new[s] if new.get(s) else chosen[s, 0].tolist() for s in range(starts)])
+        chosen = column[:, None, :] if not turn else np.concatenate([chosen, column[:, None, :]], 1)
+    return chosen
 
 
 def best_k(df: DataFrame, most: int = 8, **how: object) -> tuple[int, dict[int, tuple[float, float]]]:
     """The number of clusters from 2 on with the highest silhouette, and (inertia, silhouette) of each."""
     seen = {k: kmeans(df, k, **how)[1:] for k in range(2, most + 1)}
-    return max(seen, key=lambda k: seen[k][1]), seen
+    return max(seen, key=lambda k: -np.inf if np.isnan(seen[k][1]) else seen[k][1]), seen
 
 
 def dbscan(df: DataFrame, eps: float, min_samples: int, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
@@ -322,7 +466,7 @@ def _agglomerate(x: np.ndarray, size: np.ndarray, n_clusters: int) -> list[int]:
 def ward(df: DataFrame, n_clusters: int, most: int = 2000, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(vec_id, cluster): Ward's agglomeration in one NumPy group, for at most `most` rows; more are refused.
 
-    There is no distributed exact form; larger tables take `ward_of_all`.
+    Larger tables take `hierarchy.ward`.
     """
     if df.limit(most + 1).count() > most:
         raise ValueError(f"Ward's agglomeration takes at most {most} rows; cluster centres instead")
@@ -337,7 +481,7 @@ def ward(df: DataFrame, n_clusters: int, most: int = 2000, id_col: str = "vec_id
 
 
 def ward_of_all(df: DataFrame, n_clusters: int, centres: int = 200, most: int = 2000, seed: int = 42, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(vec_id, cluster) of every row with a vector, whatever their number.
+    """(vec_id, cluster) of every row with a vector, whatever their number; `hierarchy.ward` is exact for all of them.
 
     Up to `most` rows it is exact (`ward`). More are put to k-means centres first; Ward joins the centres, each with
     the weight of its rows, and a row has the cluster of its centre. That differs from exact Ward where a centre's
@@ -437,15 +581,15 @@ def silhouette(clustered: DataFrame, vector_col: str = "embedding", cluster_col:
     if number.limit(2).count() < 2:
         return None
     # the evaluator wants labels as doubles; a density cluster is named by an id, which a double may not hold
-    names = number.withColumn("_n", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(cluster_col)) - 1)
-    rows = rows.join(names, cluster_col).select(array_to_vector(V.doubles(F.col(vector_col))).alias("_f"), F.col("_n").cast("double").alias("_c"))
+    label = F.pmod(F.xxhash64(cluster_col), F.lit(1 << 52)).cast("double")
+    rows = rows.select(array_to_vector(V.doubles(F.col(vector_col))).alias("_f"), label.alias("_c"))
     return float(ClusteringEvaluator(featuresCol="_f", predictionCol="_c").evaluate(rows))
 
 
 def compare_algorithms(df: DataFrame, k: int = 3, eps: float = 0.6, min_samples: int = 3, n_init: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(algorithm, clusters, noise, silhouette) of k-means, Ward's agglomeration and density clusters over the same rows."""
     rows = df.where(F.col(vector_col).isNotNull()).select(id_col, vector_col)
-    found = {"kmeans": kmeans(rows, k, n_init=n_init, vector_col=vector_col)[0].select(id_col, "cluster"), "ward": ward_of_all(rows, k, id_col=id_col, vector_col=vector_col), "density": dbscan(rows, eps, min_samples, id_col, vector_col)}
+    found = {"kmeans": kmeans(rows, k, n_init=n_init, vector_col=vector_col)[0].select(id_col, "cluster"), "ward": hierarchy.ward(rows, k, id_col, vector_col), "density": dbscan(rows, eps, min_samples, id_col, vector_col)}
     out = []
     for name, clustered in found.items():
         clustered = written(clustered, name)

@@ -135,8 +135,9 @@ def _cut(a: np.ndarray, ids: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndar
     return a[keep], ids[keep], s[keep]
 
 
-def knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str = "cosine", exclude_self: bool = True, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(query_id, vec_id, score, rank): each query's k best of all vectors by one of METRICS; others are refused.
+def knn(queries: DataFrame, vectors: DataFrame, k: int, metric: str | Callable[[np.ndarray, np.ndarray], np.ndarray] = "cosine", exclude_self: bool = True, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(query_id, vec_id, score, rank): each query's k best of all vectors by one of METRICS, or by a function that gives
+    the scores of query rows and vector rows; other names are refused.
 
     Query blocks are dealt over groups of vector blocks by an equi-join, so neither side is broadcast; a task keeps a
     query's best rows over all blocks it reads (of `HELD` queries at a time), and ranks are taken over those.
@@ -162,10 +163,10 @@ def _meeting(queries: DataFrame, vectors: DataFrame, groups: int, keys: list[str
     return v.join(q, [*keys, "g"]).select("dim", "ids", "data", "qids", "qdata", "list")
 
 
-def _block_best(queries: DataFrame, vectors: DataFrame, groups: int, k: int, metric: str, exclude_self: bool, by_list: bool = False) -> DataFrame:
+def _block_best(queries: DataFrame, vectors: DataFrame, groups: int, k: int, metric: str | Callable[[np.ndarray, np.ndarray], np.ndarray], exclude_self: bool, by_list: bool = False) -> DataFrame:
     """The k best of each query among the packed vectors of its lists, whose blocks are dealt over so many groups; with
     by_list the k best of each list, for every query."""
-    scores = BLOCK_METRICS[_known(metric)]
+    scores = metric if callable(metric) else BLOCK_METRICS[_known(metric)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[tuple[bytes, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
@@ -267,6 +268,22 @@ def similar_pairs(df: DataFrame, threshold: float, strict: bool = False, id_col:
     return pairs.mapInArrow(run, "a long, b long, score double")
 
 
+def pairs_between(some: DataFrame, others: DataFrame, threshold: float, strict: bool = False, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(a, b, score) with a < b of the vectors of two tables that share no id, as `similar_pairs` of their union would
+    give for pairs across them; only blocks of different tables meet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                dim, ids, data, qids, qdata = (batch.column(c)[row].as_py() for c in range(5))
+                (vid, x), (qid, y) = _block(dim, ids, data), _block(dim, qids, qdata)
+                s = _unit(y) @ _unit(x).T
+                i, j = np.nonzero(s > threshold if strict else s >= threshold)
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(qid[i], vid[j])), pa.array(np.maximum(qid[i], vid[j])), pa.array(s[i, j])], ["a", "b", "score"])
+
+    return _meeting(packed(some, id_col, vector_col), packed(others, id_col, vector_col), _groups(some), ["dim", "list"]).mapInArrow(run, "a long, b long, score double")
+
+
 def group_similarity(df: DataFrame, group_col: str, vector_col: str = "embedding") -> DataFrame:
     """(a, b, mean_similarity) of every two groups: the mean over all pairs of their rows, without making a pair.
 
@@ -335,6 +352,22 @@ def ivf_knn(assigned: DataFrame, queries: DataFrame, centroids: list[tuple[int,
     return _block_best(packed(probed, id_col, vector_col, list_col="_l"), packed(assigned, id_col, vector_col, list_col="cluster_id"), groups, k, "cosine", exclude_self)
 
 
+def ivf_lists_l2(lists: DataFrame, queries: DataFrame, centroids: list[tuple[int, list[float]]], k: int, nprobe: int, exclude_self: bool = True, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(query_id, vec_id, score, rank): each query's k best by 1 / (1 + squared L2) in the nprobe lists whose centroids
+    are nearest to it, out of a table that `write_lists` wrote.
+
+    The lists that any query probes are found first and joined to the table's partition column, so at run time Spark
+    reads the folders of those lists only; they are as many as centroids at most. Each list's blocks then meet the
+    queries that probe it.
+    """
+    near = F.array(*[F.struct(V.squared_l2(F.col(vector_col), V.literal(c)).alias("d"), F.lit(i).alias("i")) for i, c in centroids])
+    probed = queries.where(F.col(vector_col).isNotNull()).withColumn("_l", F.explode(F.slice(F.array_sort(near), 1, nprobe)["i"]))
+    wanted = probed.select(F.col("_l").alias("cluster_id")).distinct().where("cluster_id >= 0")
+    read = lists.join(F.broadcast(wanted), "cluster_id", "left_semi")
+    groups = -(-_groups(queries) // max(1, len(centroids)))
+    return _block_best(packed(probed, id_col, vector_col, list_col="_l"), packed(read, id_col, vector_col, list_col="cluster_id"), groups, k, "squared_l2", exclude_self)
+
+
 def recall(found: DataFrame, exact: DataFrame) -> float | None:
     """Share of the exact search's (query_id, vec_id) rows that were found, as a mean over its queries."""
     hits = exact.select("query_id", "vec_id").join(found.select("query_id", "vec_id", F.lit(1).alias("hit")), ["query_id", "vec_id"], "left")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectrine.catalog import query
-from vectrine.operators import learn, search
+from vectrine.operators import hierarchy, learn, search
 from vectrine.plans.catalog_vectors import _CENTROIDS, E_SQL, r6, vectors
 
 _SCORES = f"{E_SQL}, {_CENTROIDS}, s AS (SELECT vec_id, label, class, list_cosine_similarity(v, c) AS s FROM e, c), b AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(s, 9) DESC, class) AS r FROM s)"
@@ -101,8 +101,8 @@ def cluster_best_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def cluster_ward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three clusters of all vectors by Ward's agglomeration."""
-    return learn.ward_of_all(vectors(spark, sf_dir), 3)
+    """Three clusters of all vectors by Ward's agglomeration, exactly."""
+    return hierarchy.ward(vectors(spark, sf_dir), 3)
 
 
 @query(f"""WITH RECURSIVE {E_SQL}, p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM e a JOIN e b ON a.vec_id <> b.vec_id AND list_distance(a.v, b.v) <= 1.1), k AS (SELECT a AS v FROM p GROUP BY a HAVING count(*) + 1 >= 3),

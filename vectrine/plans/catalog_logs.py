@@ -10,7 +10,7 @@ from vectrine.functions import vectors as V
 from vectrine.operators import analytics, learn, recommend, store
 from vectrine.session import table, work_path, written
 from vectrine.sources import files
-from vectrine.streaming import expiry, recommender
+from vectrine.streaming import expiry, metrics, recommender
 
 #: Clicks stand for likes and errors for skips, in batches and streams alike.
 SCORES = {"view": 1.0, "click": 3.0, "purchase": 5.0, "error": -1.0}
@@ -252,6 +252,17 @@ def stream_expiring_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("user_id").agg(*[F.sum(c).alias(c) for c in ("hits", "misses", "evictions")])
 
 
+@query("SELECT CAST(0 AS BIGINT) AS batch, unnest(['input_rows', 'rows']) AS metric_name, CAST(count(*) AS DOUBLE) AS value FROM events")
+def stream_metric_ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each batch of a stream reported: the rows it read and those it observed. Rates and active users, which are
+    timed and sketched, are in the table too and not compared."""
+    at = work_path(spark, "ticks")
+    with metrics.reported(spark, f"{at}/metrics"):
+        recommender.to_table(metrics.observed(_stream(spark, sf_dir)), f"{at}/rows", f"{at}/state").awaitTermination()
+    rows = metrics.ticks(spark, f"{at}/metrics").where(F.col("metric_name").isin("input_rows", "rows"))
+    return rows.select("batch", "metric_name", "value")
+
+
 @query()
 def stream_user_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = recommender.run_to_table(recommender.user_state(_stream(spark, sf_dir)), "vectors", "update", ["user_id"])
@@ -287,11 +298,63 @@ def online_first_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("user_id", "item_id", F.round(V.total(F.col("users")), 6).alias("user_total"), F.round(V.dot(F.col("users"), F.col("users")), 6).alias("user_square"), F.round(V.total(F.col("items")), 6).alias("item_total"))
 
 
-@query()
-def online_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stream of all events learned by both sides; every user's ten best items after the last batch that user is in."""
+def _folded(name: str, until: str = "true") -> str:
+    """Tables of a state named so: both sides' vectors after the actions until then, one by one. Each step of the
+    recursion takes one action and replaces the rows of its user, its item and the step."""
+    moved = _STEP.format(a="{a}", b="{b}", e="e")
+    return f"""{name}_o AS MATERIALIZED (SELECT row_number() OVER (ORDER BY ts, event_id) AS n, user_id, item_id, score FROM a WHERE user_id IS NOT NULL AND item_id IS NOT NULL AND {until}),
+{name}(side, id, v) USING KEY (side, id) AS (SELECT 'users' AS side, user_id AS id, {_START.format(k="user_id", s="users")} AS v FROM (SELECT DISTINCT user_id FROM {name}_o)
+UNION ALL SELECT 'items', item_id, {_START.format(k="item_id", s="items")} FROM (SELECT DISTINCT item_id FROM {name}_o) UNION ALL SELECT 'at', 0, [0.0]
+UNION SELECT unnest(['users', 'items', 'at']), unnest([user_id, item_id, 0]), unnest([nu, {moved.format(a="i", b="nu")}, [n]]) FROM (SELECT *, {moved.format(a="u", b="i")} AS nu
+FROM (SELECT CAST(o.n AS DOUBLE) AS n, o.user_id, o.item_id, u.v AS u, i.v AS i, o.score - list_dot_product(u.v, i.v) AS e FROM {name} s JOIN {name}_o o ON s.side = 'at' AND o.n = CAST(s.v[1] AS BIGINT) + 1
+JOIN recurring.{name} u ON u.side = 'users' AND u.id = o.user_id JOIN recurring.{name} i ON i.side = 'items' AND i.id = o.item_id)))"""
+
+
+def _why(name: str, until: str = "true") -> str:
+    return f"{name}_w AS (SELECT user_id, 'based on your ' || event_type || ' history' AS reason FROM (SELECT user_id, event_type, count(*) AS n FROM a WHERE item_id IS NOT NULL AND {until} GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) = 1)"
+
+
+@query(f"WITH RECURSIVE {A_SQL}, {_folded('f')} SELECT side, id AS key, round(list_sum(v), 6) AS total, round(list_dot_product(v, v), 6) AS square FROM f WHERE side <> 'at'")
+def online_all_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sides after all actions, learned as one batch and as one by one."""
     model = recommender.OnlineModel(spark, work_path(spark, "model"))
+    model.update(actions(spark, sf_dir), 0)
+    side = lambda name: model.vectors(name).select(F.lit(name).alias("side"), "key", F.round(V.total(F.col("vector")), 6).alias("total"), F.round(V.dot(F.col("vector"), F.col("vector")), 6).alias("square"))
+    return side("users").unionByName(side("items"))
+
+
+_TOP = "SELECT u.id AS user_id, i.id AS item_id, list_dot_product(u.v, i.v) AS s FROM {0} u JOIN {0} i ON u.side = 'users' AND i.side = 'items'"
+_BEST = "row_number() OVER (PARTITION BY user_id ORDER BY round(s, 9) DESC, item_id)"
+
+
+@query(f"WITH RECURSIVE {A_SQL}, {_folded('f')}, {_why('f')}, t AS (SELECT *, {_BEST} AS r FROM ({_TOP.format('f')}) QUALIFY r <= 10) SELECT user_id, item_id, round(s, 6) AS score, CAST(r AS INTEGER) AS rank, reason FROM t JOIN f_w USING (user_id)")
+def online_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of all events learned by both sides; every user's ten best items, those acted on included, after the
+    last batch that user is in, with the reason."""
+    model = recommender.OnlineModel(spark, work_path(spark, "model"), keep_seen=True)
     model.follow(_stream(spark, sf_dir), work_path(spark, "follow")).awaitTermination()
-    rows = spark.read.parquet(f"{model.path}/recommendations")
+    return _served(model)
+
+
+def _served(model: recommender.OnlineModel) -> DataFrame:
+    """The recommendations of each user's last batch."""
+    rows = model.spark.read.parquet(f"{model.path}/recommendations")
     last = F.max("batch").over(Window.partitionBy("user_id"))
-    return rows.withColumn("_l", last).where("batch = _l").select("user_id", "item_id", r6("score"), "rank")
+    return rows.withColumn("_l", last).where("batch = _l").select("user_id", "item_id", r6("score"), "rank", "reason")
+
+
+_HALF = "ts < TIMESTAMP '2024-01-16 00:00:00'"
+
+
+@query(f"""WITH RECURSIVE {A_SQL}, {_folded('h', _HALF)}, {_folded('f')}, {_why('h', _HALF)}, {_why('f')}, t1 AS (SELECT *, {_BEST} AS r FROM ({_TOP.format('h')}) QUALIFY r <= 10),
+p AS (SELECT user_id, i.id AS item_id, i.v FROM t1 JOIN f i ON i.side = 'items' AND i.id = t1.item_id WHERE r <= 5), again AS (SELECT DISTINCT user_id FROM a WHERE item_id IS NOT NULL AND NOT ({_HALF})),
+d AS (SELECT p.user_id, i.id AS item_id, 1 - avg(list_dot_product(p.v, i.v)) AS d FROM p JOIN f i ON i.side = 'items' GROUP BY 1, 2),
+t2 AS (SELECT *, {_BEST} AS r FROM (SELECT t.user_id, t.item_id, t.s + coalesce(0.1 * d, 0) AS s FROM ({_TOP.format('f')}) t JOIN again USING (user_id) LEFT JOIN d ON d.user_id = t.user_id AND d.item_id = t.item_id) QUALIFY r <= 10)
+SELECT user_id, item_id, round(s, 6) AS score, CAST(r AS INTEGER) AS rank, reason FROM t2 JOIN f_w USING (user_id)
+UNION ALL SELECT user_id, item_id, round(s, 6), CAST(r AS INTEGER), reason FROM t1 JOIN h_w USING (user_id) WHERE user_id NOT IN (SELECT user_id FROM again)""")
+def online_rescored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches: the second renews its users' recommendations with a bonus for what differs from the five best before."""
+    model, rows = recommender.OnlineModel(spark, work_path(spark, "model"), keep_seen=True), actions(spark, sf_dir)
+    for batch, part in enumerate((rows.where(_HALF), rows.where(f"NOT ({_HALF})"))):
+        model.update(part, batch)
+    return _served(model)

@@ -421,5 +421,5 @@ def cluster_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = docs(spark, sf_dir).select("doc_id", "text", "lang")
     plain = d.select("doc_id", T.normalize_for_language(F.col("text"), T.detect_language(F.col("text"))).alias("text"))
     vectors = written(embed.embed_terms(sparse.build_index(plain).forward, DIMENSIONS), "vectors")
-    clustered, _, _ = learn.kmeans(vectors, 4, n_init=3)
+    clustered, _, _ = learn.kmeans(vectors, 4)
     return clustered.join(d.select(F.col("doc_id").alias("id"), "lang"), "id").groupBy("cluster", "lang").agg(F.count("*").alias("n"))

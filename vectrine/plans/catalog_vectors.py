@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from vectrine.catalog import query
 from vectrine.functions import vectors as V
-from vectrine.operators import evaluation, learn, rerank, search
-from vectrine.session import table
+from vectrine.operators import evaluation, learn, network, rerank, search
+from vectrine.session import table, work_path
 
 #: The table in double, and the vector of row 0.
 E_SQL = "e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), q AS (SELECT v AS q FROM e WHERE vec_id = 0)"
@@ -17,6 +17,7 @@ _L1 = "list_sum(list_transform(list_zip(v, q), lambda z: abs(z[1] - z[2])))"
 THRESHOLDS = [0.1, 0.2, 0.3, 0.5]
 #: Lists of the trained index, and how many of them a query probes for a recall at 10 of at least 0.9 (see README).
 LISTS, PROBED = 10, 8
+L2_LISTS, L2_PROBED = 50, 40
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,6 +172,23 @@ def vec_network_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ends.groupBy("vec_id").agg(F.count("*").alias("degree"), F.round(F.max("score"), 6).alias("strongest"))
 
 
+_CHANGED = f"{E_SQL.replace('e AS', 'e0 AS', 1)}, e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (SELECT v FROM e0 n WHERE n.vec_id = e0.vec_id + 1) ELSE v END AS v FROM e0 WHERE vec_id % 11 <> 0)"
+
+
+@query(f"WITH {_CHANGED} SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.v, b.v), 6) AS score FROM e a JOIN e b ON a.vec_id < b.vec_id AND list_cosine_similarity(a.v, b.v) > 0.4")
+def network_of_three_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A network kept up to date: half of the vectors, then the others, then changes (each seventh takes the vector after
+    it) and removals (each eleventh). Its edges are those of a network built at once from what is there at the end."""
+    df = vectors(spark, sf_dir).select("vec_id", "embedding")
+    after = df.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next")).where("vec_id % 7 = 0")
+    changed = df.where("vec_id % 7 = 0").join(after, "vec_id", "left").select("vec_id", F.col("next").alias("embedding"))
+    removed = df.where("vec_id % 11 = 0").select("vec_id", F.lit(None).cast(df.schema["embedding"].dataType).alias("embedding"))
+    net = network.SimilarityNetwork(spark, work_path(spark, "network"), 0.4)
+    for batch, part in enumerate((df.where("vec_id % 2 = 0"), df.where("vec_id % 2 = 1"), changed.where("vec_id % 11 <> 0").unionByName(removed))):
+        net.update(part, batch)
+    return net.edges().select("a", "b", r6("score"))
+
+
 @query(f"WITH {E_SQL} SELECT a.label AS a, b.label AS b, round(avg(list_cosine_similarity(a.v, b.v)), 6) AS mean_similarity FROM e a, e b GROUP BY a.label, b.label")
 def vec_matrix_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Means of the full similarity matrix by label, without its cells."""
@@ -212,6 +230,20 @@ def ivf_list_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.assign(df, learn.centroids(df)).groupBy("cluster_id").agg(F.count("*").alias("n"))
 
 
+@query(f"""WITH {E_SQL}, c AS (SELECT vec_id AS cid, v AS c FROM e WHERE vec_id < {L2_LISTS}), m AS (SELECT vec_id, v, cid, row_number() OVER (PARTITION BY vec_id ORDER BY list_sum(list_transform(list_zip(v, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), cid) AS r FROM e, c),
+s AS (SELECT q.vec_id AS query_id, x.vec_id, 1 / (1 + list_sum(list_transform(list_zip(q.v, x.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS s FROM m q JOIN m x ON q.cid = x.cid WHERE q.vec_id % 50 = 0 AND q.r <= {L2_PROBED} AND x.r = 1 AND q.vec_id <> x.vec_id)
+SELECT query_id, vec_id, round(s, 6) AS score, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id) AS rank FROM s) WHERE rank <= 10""")
+def ivf_l2_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fifty lists by L2 around sampled vectors (the first fifty), written as partitions, asked by every fiftieth vector.
+    Forty lists are probed for a recall at 10 over 0.9: 0.95 (sf0.001), 0.97 (sf0.01), 0.96 (sf0.1), 0.98 (check_s)."""
+    df = vectors(spark, sf_dir)
+    centroids = [(r["vec_id"], [float(x) for x in r["embedding"]]) for r in df.where(F.col("vec_id") < L2_LISTS).orderBy("vec_id").collect()]
+    path = work_path(spark, "lists")
+    search.write_lists(search.assign(df, centroids), path)
+    found = search.ivf_lists_l2(spark.read.parquet(path), df.where("vec_id % 50 = 0"), centroids, 10, L2_PROBED)
+    return found.select("query_id", "vec_id", r6("score"), "rank")
+
+
 @query()
 def ivf_trained_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lists of k-means centroids, asked by every fiftieth vector; not in SQL, tests compare with the exact search."""

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vectrine.sources import pdf
+
 SUPPORTED = ("txt", "md", "pdf", "docx")
 MAX_LINES = 10
 
@@ -48,11 +50,11 @@ def docx_text(data: bytes) -> str:
 
 
 def pdf_text(data: bytes) -> str:
-    """Pages' text where a PDF library is installed; empty without one."""
+    """Pages' text by a PDF library where one is installed, else by `pdf.text_of`."""
     try:
         import fitz
     except ImportError:
-        return ""
+        return pdf.text_of(data)
     with fitz.open(stream=data, filetype="pdf") as doc:
         return "".join(page.get_text() for page in doc)
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from vectrine.llm import language, neardup, packing, secrets, suffixes
 from vectrine.llm.common import held_out, tasks_for, written
@@ -35,7 +36,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     rows = docs.join(kept, "doc_id", "left_semi")
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     if others:  # a struct keeps other columns apart from these names, whatever they are called
-        rows = rows.groupBy("doc_id", "text").agg(F.min(F.struct(*others)).alias("others")).select("doc_id", "text", *[F.col("others")[c].alias(c) for c in others])
+        order = F.struct(*[F.array_sort(F.map_entries(c)).alias(c) if isinstance(docs.schema[c].dataType, T.MapType) else F.col(c) for c in others])
+        rows = rows.groupBy("doc_id", "text").agg(F.min_by(F.struct(*others), order).alias("others")).select("doc_id", "text", *[F.col("others")[c].alias(c) for c in others])
     else:
         rows = rows.distinct()
     return rows.unionByName(docs.where("doc_id is null")).select(*docs.columns).coalesce(tasks_for(docs))

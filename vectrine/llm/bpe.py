@@ -209,6 +209,8 @@ def round_trip(df: DataFrame, vocabulary: str, pattern: str, id_col: str = ID, t
 
 
 def slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """Short slices of a batch, so that few texts are Python objects at once."""
+    """Short slices of a batch, so that few texts are Python objects at once; then what Arrow keeps of earlier batches
+    for later goes back to the system, as a worker holds it otherwise while it waits for its next task."""
     for at in range(0, batch.num_rows, rows):
         yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()

@@ -129,5 +129,6 @@ def by_group(df: DataFrame, keys: list[str], order: list[str], spread: Spread, f
             for _ in own:
                 pass
             head = after[0] if after else None
+        pa.default_memory_pool().release_unused()  # a worker that waits holds little
 
     return df.repartition(spread.partitions, *keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema).coalesce(spread.tasks)

@@ -109,7 +109,7 @@ def _findings(blobs: DataFrame, ledger: str | None, rules: tuple[Rule, ...]) ->
         unseen = blobs.dropDuplicates(["blob"]).withColumn("done", F.array().cast("array<string>"))
     else:
         done = read_ledger(spark, path).select("blob", F.explode("scanned").alias("key")).where(F.col("key").isin(keys)).groupBy("blob").agg(F.collect_set("key").alias("done"))
-        unseen = blobs.join(done, "blob", "left").withColumn("done", F.coalesce("done", F.array().cast("array<string>"))).where(F.size("done") < len(keys)).dropDuplicates(["blob"])
+        unseen = blobs.dropDuplicates(["blob"]).join(done, "blob", "left").withColumn("done", F.coalesce("done", F.array().cast("array<string>"))).where(F.size("done") < len(keys))
     scan_blobs(unseen, rules).coalesce(tasks_for(blobs)).write.mode("append").parquet(path)
     wanted = F.filter("spans", lambda s: s["rule"].isin(keys))
     found = spark.read.schema(LEDGER).parquet(path).select("blob", wanted.alias("spans")).where(F.size("spans") > 0)

@@ -156,6 +156,7 @@ def _anchors(docs: DataFrame, buckets: int) -> DataFrame:
                     held, n = [], 0
         if held:
             yield from pack(held)
+        pa.default_memory_pool().release_unused()  # a worker that waits holds little
 
     return docs.mapInArrow(run, "bucket int, blob binary")
 

@@ -3,10 +3,16 @@
 Language identification drops the texts it rejects; near-duplicate detection keeps one document of each group;
 suffix de-duplication takes repeated passages out of what is left; the secret scan masks what it finds; packing lays
 the documents out in sequences.
+
+Texts reach Python workers in batches of at most BATCH_ROWS, where the session has left Spark's default: ten thousand
+long texts at once, in the executor and in the worker, are most of what a task of these stages would hold.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,13 +25,30 @@ from vectrine.llm.queries import PACKING_TOKENIZER
 #: SQL cannot express compression, sketches or tokenizers; tests compare the stages with brute-force versions.
 ORACLE_SQL = None
 
+#: Rows of a batch of texts, and the setting of them with its default.
+BATCH_ROWS, BATCH_SETTING, BATCH_DEFAULT = 1_000, "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
+def small_batches(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage with small batches for the rows it returns too, which are made after it has returned."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        if spark.conf.get(BATCH_SETTING) == BATCH_DEFAULT:
+            spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
+        return stage(spark, docs, sf_dir)
+
+    return run
+
 
+@small_batches
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with a clear margin; null, empty and letterless texts go."""
     known = language.train(docs, ~held_out(F.col("doc_id")))
     return language.accepted(docs, known)
 
 
+@small_batches
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: the one of the smallest id. Rows without an id belong to no group and stay.
 
@@ -43,6 +66,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return rows.unionByName(docs.where("doc_id is null")).select(*docs.columns).coalesce(tasks_for(docs))
 
 
+@small_batches
 def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the bytes that repeat an earlier one; characters that a cut goes through go, all others stay,
     and documents of which nothing but blanks is left go too. Other columns may have any names."""
@@ -58,12 +82,14 @@ def _with_text(rows: DataFrame, docs: DataFrame) -> DataFrame:
     return rows.select(*[new.get(c, F.col("carried")[c]).alias(c) for c in docs.columns])
 
 
+@small_batches
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with secrets masked."""
     masked = secrets.mask_documents(docs)
     return _with_text(masked.select(F.col("text").alias("kept_text"), F.struct(*[masked[c] for c in docs.columns]).alias("carried")), docs)
 
 
+@small_batches
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row for each piece of a document with its sequence and offset."""
     return packing.pack(docs, public_tokenizers.path(PACKING_TOKENIZER))

@@ -25,6 +25,8 @@ from vectrine.llm.graph import Spread, by_group, components, hot_of, spread_join
 
 #: Classes of a block, columns of a piece of the incidence matrix, bins of a sketch at most.
 BLOCK, COLUMNS, MAX_BINS = 128, 8192, 128
+#: Shingles that are sorted together.
+AT_ONCE = 400_000
 #: Classes of one file.
 CLASS_ROWS = 6_000
 
@@ -54,22 +56,34 @@ def sketches(df: DataFrame, width: int, rows: int, bands: int, id_col: str = ID,
     return src.mapInArrow(run, f"doc_id {src.schema[0].dataType.simpleString()}, n_shingles long, v binary, bands array<long>")
 
 
+def _shared(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two sets share. The range of hashes is gone through in parts, of which each set, being
+    sorted, has a slice, so sets of very long texts are never sorted together at once."""
+    both = np.zeros((len(sets), len(sets)))
+    parts = max(1, -(-sum(map(len, sets)) // AT_ONCE))
+    cuts = np.array([(i << 64) // parts for i in range(1, parts)], np.uint64)
+    places = [[0, *np.searchsorted(x, cuts).tolist(), len(x)] for x in sets]
+    for p in range(parts):
+        own = [x[at[p] : at[p + 1]] for x, at in zip(sets, places, strict=True)]
+        owner = np.repeat(np.arange(len(sets)), [len(x) for x in own])
+        _, column, df = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+        kept = df[column] > 1
+        owner, column = owner[kept], column[kept]
+        used, column = np.unique(column, return_inverse=True)
+        order = np.argsort(column, kind="stable")
+        owner, column = owner[order], column[order]
+        for at in range(0, len(used), COLUMNS):
+            lo, hi = np.searchsorted(column, [at, at + COLUMNS])
+            piece = np.zeros((len(sets), min(COLUMNS, len(used) - at)), np.float32)
+            piece[owner[lo:hi], column[lo:hi] - at] = 1
+            both += piece @ piece.T
+    return both
+
+
 def links(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """A spanning forest of the pairs with 100 * intersection >= percent * union, by counting shared shingles."""
     size = np.array([len(x) for x in sets])
-    owner = np.repeat(np.arange(len(sets)), size)
-    _, column, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = df[column] > 1
-    owner, column = owner[shared], column[shared]
-    used, column = np.unique(column, return_inverse=True)
-    both = np.zeros((len(sets), len(sets)))
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    for at in range(0, len(used), COLUMNS):
-        lo, hi = np.searchsorted(column, [at, at + COLUMNS])
-        piece = np.zeros((len(sets), min(COLUMNS, len(used) - at)), np.float32)
-        piece[owner[lo:hi], column[lo:hi] - at] = 1
-        both += piece @ piece.T
+    both = _shared(sets)
     union = size[:, None] + size[None, :] - both
     parent = list(range(len(sets)))
 

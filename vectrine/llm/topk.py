@@ -30,7 +30,7 @@ from vectrine.llm.graph import Spread, by_group, hot_keys
 #: Queries of a tile and those scored at once, rows of a block, cells of a dimension, exact vectors read at a time.
 QUERY_TILE, QUERIES_AT_ONCE, BLOCK, CELLS, READ = 4096, 512, 4096, 256, 16
 #: Tiles whose running bounds a task remembers; survivors from which on a block is hot, and parts it is dealt over then.
-HELD_TILES, HOT_SURVIVORS, HOT_PARTS = 64, 20_000, 64
+HELD_TILES, HOT_SURVIVORS, HOT_PARTS = 256, 20_000, 64
 _FILE = "block long, dim int, ids binary, low binary, width binary, cells binary, exact binary"
 
 
@@ -125,11 +125,12 @@ def survivors(file: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, block, place, lower, upper) of the candidates that the cells do not rule out, by one scan of them."""
     spark = file.sparkSession
     tiles = max(1, -(-queries.count() // QUERY_TILE))
-    groups = max(1, -(-partitions(spark) // tiles))
+    groups = max(1, min(partitions(spark), file.count()))
+    # the cells, which are most of the file, move once; the queries, which are few, are handed to every group of blocks
     asked = _tiles(queries, tiles).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    cells = file.select("block", "dim", "ids", "low", "width", "cells", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int").alias("g"), F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tile"))
-    meet = (cells["g"] == asked["g"]) & (cells["tile"] == asked["tile"]) & (cells["dim"] == asked["qdim"])
-    pairs = cells.join(asked.hint("merge"), meet).select(cells["tile"], "dim", "block", "ids", "low", "width", "cells", "qids", "qexact")
+    cells = file.select("block", "dim", "ids", "low", "width", "cells", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int").alias("g"))
+    meet = (cells["g"] == asked["g"]) & (cells["dim"] == asked["qdim"])
+    pairs = cells.join(asked.hint("merge"), meet).select("tile", "dim", "block", "ids", "low", "width", "cells", "qids", "qexact")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[tuple[int, int], np.ndarray] = {}  # each query's k highest lower bounds so far

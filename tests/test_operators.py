@@ -19,7 +19,7 @@ from vectrine import catalog
 from vectrine.functions import embed
 from vectrine.functions import text as T
 from vectrine.functions import vectors as V
-from vectrine.operators import analytics, chunking, evaluation, hierarchy, learn, network, recommend, rerank, search, sparse, store, temporal
+from vectrine.operators import analytics, chunking, evaluation, hierarchy, learn, network, projection, recommend, rerank, search, sparse, store, temporal
 from vectrine.plans import rag
 from vectrine.session import EngineConfig, scratch, written
 from vectrine.sources import files, pdf, samples
@@ -560,6 +560,54 @@ def test_one_class_machine_is_fitted_on_all_rows(spark, sf):
     assert ((s < 0) != (scores < 0)).mean() <= 0.01 and np.isfinite(value(u, rho))
 
 
+def plain_tsne(x, perplexity, turns=400):
+    """The method as it stands, all pairs in one process."""
+    n = len(x)
+    d = ((x[:, None] - x) ** 2).sum(2)
+    off = ~np.eye(n, dtype=bool)
+    p = np.zeros((n, n))
+    order = np.sort(d[off].reshape(n, n - 1), 1)
+    places = np.argsort(np.where(off, d, np.inf), 1)[:, : n - 1]
+    np.put_along_axis(p, places, projection.affinities(order, perplexity), 1)
+    p = (p + p.T) / (2 * n)
+    _, _, axes = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    y = (x - x.mean(0)) @ axes[:2].T
+    y, v, gain = y / y[:, 0].std() * 1e-4, np.zeros((n, 2)), np.ones((n, 2))
+    for t in range(turns):
+        w = 1 / (1 + ((y[:, None] - y) ** 2).sum(2))
+        np.fill_diagonal(w, 0)
+        c = ((12 if t < turns // 4 else 1) * p - w / w.sum()) * w
+        slope = 4 * (c.sum(1)[:, None] * y - c @ y)
+        gain = np.maximum(np.where(np.sign(slope) != np.sign(v), gain + 0.2, gain * 0.8), 0.01)
+        v = (0.5 if t < turns // 4 else 0.8) * v - 50 * gain * slope
+        y = y + v
+    return y
+
+
+def kept(x, y, k=10):
+    near = lambda z: np.argsort(((z[:, None] - z) ** 2).sum(2) + np.eye(len(z)) * 1e18, 1)[:, :k]
+    return np.mean([len(set(a) & set(b)) / k for a, b in zip(near(x), near(y), strict=True)])
+
+
+def test_affinities_have_the_perplexity():
+    d = np.sort(np.random.default_rng(0).gamma(2, 1, (50, 60)), 1)
+    p = projection.affinities(d, 12)
+    assert np.allclose(p.sum(1), 1) and np.allclose(np.exp(-(p * np.log(p)).sum(1)), 12, rtol=1e-6)
+
+
+def test_tsne_keeps_neighbours_as_the_plain_method_does(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    x = rng.normal(0, 1, (240, 8)) + np.repeat(rng.normal(0, 4, (6, 8)), 40, 0)
+    monkeypatch.setattr(projection, "PART", 100)  # several parts
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(999, None)], "vec_id long, embedding array<double>").repartition(3)
+    got = {r["vec_id"]: (r["x"], r["y"]) for r in projection.tsne(df, 15.0, rounds=40).collect()}
+    assert sorted(got) == list(range(240))
+    y = np.array([got[i] for i in range(240)])
+    assert np.isfinite(y).all() and kept(x, y) >= 0.85 * kept(x, plain_tsne(x, 15))
+    few = projection.tsne(df.where("vec_id < 2")).collect()
+    assert [(r["x"], r["y"]) for r in few] == [(0.0, 0.0)] * 2 and projection.tsne(df.limit(0)).collect() == []
+
+
 def test_detectors_find_a_far_point(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(0, 0.1, 4)]) for i in range(80)] + [(999, [9.0] * 4)]

@@ -42,6 +42,12 @@ def best_class(df: DataFrame, classes: list[tuple[int | str, list[float]]], thre
     return out.withColumn("class", F.when(keep, F.col("_b.class"))).withColumn("score", F.col("_b.score")).drop("_b")
 
 
+def sentiment(df: DataFrame, positive: list[float], negative: list[float], vector_col: str = "embedding") -> DataFrame:
+    """df with its sentiment and the margin of the two cosines; a tie is negative."""
+    margin = F.round(V.cosine(F.col(vector_col), V.literal(positive)) - V.cosine(F.col(vector_col), V.literal(negative)), 9)
+    return df.where(F.col(vector_col).isNotNull()).withColumn("margin", margin).withColumn("sentiment", F.when(F.col("margin") > 0, "positive").otherwise("negative"))
+
+
 def accuracy(predicted: DataFrame, label_col: str = "label") -> DataFrame:
     """(label, n, correct, accuracy); rows without a class count in no total."""
     rows = predicted.where(F.col("class").isNotNull())
@@ -287,11 +293,13 @@ def _summed(rows: DataFrame, of: Callable[[np.ndarray], np.ndarray], at_once: in
 
 
 def ensemble(votes: list[DataFrame], id_col: str = "vec_id") -> DataFrame:
-    """(vec_id, votes, share, is_anomaly) of detectors' (vec_id, is_anomaly): over half must agree."""
-    union = votes[0].select(id_col, "is_anomaly")
+    """(vec_id, votes, share, confidence, is_anomaly) of detectors' (vec_id, is_anomaly): over half must agree. The
+    confidence is the mean of those detectors that give one, null without any."""
+    one = lambda v: v.select(id_col, "is_anomaly", (F.col("confidence") if "confidence" in v.columns else F.lit(None)).cast("double").alias("confidence"))
+    union = one(votes[0])
     for v in votes[1:]:
-        union = union.unionByName(v.select(id_col, "is_anomaly"))
-    out = union.groupBy(id_col).agg(F.sum(F.col("is_anomaly").cast("long")).alias("votes"), F.avg(F.col("is_anomaly").cast("double")).alias("share"))
+        union = union.unionByName(one(v))
+    out = union.groupBy(id_col).agg(F.sum(F.col("is_anomaly").cast("long")).alias("votes"), F.avg(F.col("is_anomaly").cast("double")).alias("share"), F.avg("confidence").alias("confidence"))
     return out.withColumn("is_anomaly", F.col("share") > 0.5)
 
 
@@ -586,10 +594,13 @@ def silhouette(clustered: DataFrame, vector_col: str = "embedding", cluster_col:
     return float(ClusteringEvaluator(featuresCol="_f", predictionCol="_c").evaluate(rows))
 
 
-def compare_algorithms(df: DataFrame, k: int = 3, eps: float = 0.6, min_samples: int = 3, n_init: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(algorithm, clusters, noise, silhouette) of k-means, Ward's agglomeration and density clusters over the same rows."""
+def compare_algorithms(df: DataFrame, k: int = 3, eps: float | tuple[float, ...] = 0.6, min_samples: int = 3, n_init: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(algorithm, clusters, noise, silhouette) of k-means, Ward's agglomeration and density clusters over the same rows;
+    density clusters once for each of several eps, which they are named by then."""
     rows = df.where(F.col(vector_col).isNotNull()).select(id_col, vector_col)
-    found = {"kmeans": kmeans(rows, k, n_init=n_init, vector_col=vector_col)[0].select(id_col, "cluster"), "ward": hierarchy.ward(rows, k, id_col, vector_col), "density": dbscan(rows, eps, min_samples, id_col, vector_col)}
+    found = {"kmeans": kmeans(rows, k, n_init=n_init, vector_col=vector_col)[0].select(id_col, "cluster"), "ward": hierarchy.ward(rows, k, id_col, vector_col)}
+    widths = eps if isinstance(eps, tuple) else (eps,)
+    found |= {"density" if len(widths) == 1 else f"density {x:g}": dbscan(rows, x, min_samples, id_col, vector_col) for x in widths}
     out = []
     for name, clustered in found.items():
         clustered = written(clustered, name)

@@ -284,6 +284,24 @@ def pairs_between(some: DataFrame, others: DataFrame, threshold: float, strict:
     return _meeting(packed(some, id_col, vector_col), packed(others, id_col, vector_col), _groups(some), ["dim", "list"]).mapInArrow(run, "a long, b long, score double")
 
 
+def pairwise_l2(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """(pairs, mean, least, most): of the L2 distances of all unordered pairs, by products of blocks; a row a pair of
+    blocks leaves a task. Fewer than two vectors have no pair: 0 and nulls."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                dim, ids, data, qids, qdata = (batch.column(c)[row].as_py() for c in range(5))
+                (vid, x), (qid, y) = _block(dim, ids, data), _block(dim, qids, qdata)
+                d = np.sqrt(_squared(y, x))[qid[:, None] < vid[None, :]]
+                if len(d):
+                    yield pa.RecordBatch.from_arrays([pa.array([len(d)], pa.int64()), *(pa.array([float(f(d))]) for f in (np.sum, np.min, np.max))], ["n", "s", "lo", "hi"])
+
+    blocks = packed(df, id_col, vector_col)
+    found = _meeting(blocks, blocks, _groups(df), ["dim", "list"]).mapInArrow(run, "n long, s double, lo double, hi double")
+    return found.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("pairs"), F.try_divide(F.sum("s"), F.sum("n")).alias("mean"), F.min("lo").alias("least"), F.max("hi").alias("most"))
+
+
 def group_similarity(df: DataFrame, group_col: str, vector_col: str = "embedding") -> DataFrame:
     """(a, b, mean_similarity) of every two groups: the mean over all pairs of their rows, without making a pair.
 

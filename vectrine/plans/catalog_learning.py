@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectrine.catalog import query
-from vectrine.operators import hierarchy, learn, search
+from vectrine.operators import hierarchy, learn, projection, search
 from vectrine.plans.catalog_vectors import _CENTROIDS, E_SQL, r6, vectors
 
 _SCORES = f"{E_SQL}, {_CENTROIDS}, s AS (SELECT vec_id, label, class, list_cosine_similarity(v, c) AS s FROM e, c), b AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY round(s, 9) DESC, class) AS r FROM s)"
@@ -37,6 +37,14 @@ def classify_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.groupBy("threshold").agg(F.sum((F.col("score") >= F.col("threshold")).cast("long")).alias("classified"))
 
 
+@query(f"WITH {E_SQL}, {_CENTROIDS}, mg AS (SELECT vec_id, round(list_cosine_similarity(v, p.c) - list_cosine_similarity(v, n.c), 9) AS m FROM e, c p, c n WHERE p.class = 0 AND n.class = 1) SELECT vec_id, round(m, 6) AS margin, CASE WHEN m > 0 THEN 'positive' ELSE 'negative' END AS sentiment FROM mg")
+def classify_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two centroids, of labels 0 and 1, stand for the two sentiments."""
+    df = vectors(spark, sf_dir)
+    known = dict(learn.centroids(df))
+    return learn.sentiment(df, known[0], known[1]).select("vec_id", r6("margin"), "sentiment")
+
+
 _PROFILE = f"{E_SQL}, u AS (SELECT unnest(v) AS x, generate_subscripts(v, 1) AS d FROM e), m AS (SELECT list(x ORDER BY d) AS c FROM (SELECT d, avg(x) AS x FROM u GROUP BY d)), w AS (SELECT vec_id, v, c, list_distance(v, c) AS d FROM e, m), h AS (SELECT avg(d) + 2 * stddev_pop(d) AS t FROM w), f AS (SELECT vec_id, d, d > t AS bad, CASE WHEN d > t THEN least(d / t, 1) ELSE 1 - d / t END AS conf, list_cosine_similarity(v, c) AS sim FROM w, h)"
 
 
@@ -118,6 +126,12 @@ def project_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", F.transform("point", lambda x: F.round(x, 6)).alias("point"))
 
 
+@query()
+def project_tsne(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A map of all vectors; not in SQL, a test compares the neighbours it keeps with the plain method's."""
+    return projection.tsne(vectors(spark, sf_dir)).select("vec_id", r6("x"), r6("y"))
+
+
 @query(f"WITH {E_SQL}, t AS (SELECT vec_id, label, list_dot_product(v, q) AS x, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS place FROM e, q) SELECT vec_id, label, CAST(place AS INTEGER) AS place, round(x, 6) AS value, round(x - lag(x) OVER (PARTITION BY label ORDER BY vec_id), 6) AS step FROM t")
 def project_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A one-dimensional course within each label, along the direction of vector 0."""
@@ -130,5 +144,6 @@ def project_trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def cluster_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three algorithms over all vectors; eps as surveyed leaves these vectors, which lie far apart, as noise."""
-    return learn.compare_algorithms(vectors(spark, sf_dir))
+    """Three algorithms over all vectors; eps as surveyed leaves these vectors, which lie far apart, as noise, so a
+    second one at which groups appear stands beside it."""
+    return learn.compare_algorithms(vectors(spark, sf_dir), eps=(0.6, 1.1))

@@ -53,6 +53,17 @@ def rec_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recommend.content_based(recommend.user_vectors(a, i), i, a).select("user_id", "item_id", r6("score"), "rank")
 
 
+_INTEREST = _CONTENT.replace("CASE WHEN sum(score) > 0 THEN sum(score * x) / sum(score) ELSE 0 END", "avg(x)")
+
+
+@query(f"WITH {_INTEREST} SELECT user_id, item_id, round(s, 6) AS score, CAST(r AS INTEGER) AS rank FROM cf WHERE r <= 5")
+def rec_interest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The plain mean of each user's latest items as an interest, and the items nearest to it."""
+    a, i = actions(spark, sf_dir), items(spark, sf_dir)
+    users = recommend.user_vectors(a.withColumn("score", F.lit(1.0)), i)
+    return recommend.content_based(users, i, a).select("user_id", "item_id", r6("score"), "rank")
+
+
 _PEERS = """rt AS (SELECT user_id, item_id, arg_max(value, (ts, event_id)) AS s FROM a WHERE event_type IN ('view', 'click') GROUP BY user_id, item_id),
 al AS (SELECT x.user_id, y.user_id AS peer, 1 / (1 + sqrt(avg((x.s - y.s) * (x.s - y.s)))) AS sim FROM rt x JOIN rt y USING (item_id) WHERE x.user_id <> y.user_id GROUP BY 1, 2),
 nr AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(sim, 9) DESC, peer) AS r FROM al),
@@ -300,14 +311,16 @@ def online_first_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _folded(name: str, until: str = "true") -> str:
     """Tables of a state named so: both sides' vectors after the actions until then, one by one. Each step of the
-    recursion takes one action and replaces the rows of its user, its item and the step."""
+    recursion takes every action that is the next one of its user and of its item, and replaces their rows; k counts
+    the actions that a row has seen."""
     moved = _STEP.format(a="{a}", b="{b}", e="e")
-    return f"""{name}_o AS MATERIALIZED (SELECT row_number() OVER (ORDER BY ts, event_id) AS n, user_id, item_id, score FROM a WHERE user_id IS NOT NULL AND item_id IS NOT NULL AND {until}),
-{name}(side, id, v) USING KEY (side, id) AS (SELECT 'users' AS side, user_id AS id, {_START.format(k="user_id", s="users")} AS v FROM (SELECT DISTINCT user_id FROM {name}_o)
-UNION ALL SELECT 'items', item_id, {_START.format(k="item_id", s="items")} FROM (SELECT DISTINCT item_id FROM {name}_o) UNION ALL SELECT 'at', 0, [0.0]
-UNION SELECT unnest(['users', 'items', 'at']), unnest([user_id, item_id, 0]), unnest([nu, {moved.format(a="i", b="nu")}, [n]]) FROM (SELECT *, {moved.format(a="u", b="i")} AS nu
-FROM (SELECT CAST(o.n AS DOUBLE) AS n, o.user_id, o.item_id, u.v AS u, i.v AS i, o.score - list_dot_product(u.v, i.v) AS e FROM {name} s JOIN {name}_o o ON s.side = 'at' AND o.n = CAST(s.v[1] AS BIGINT) + 1
-JOIN recurring.{name} u ON u.side = 'users' AND u.id = o.user_id JOIN recurring.{name} i ON i.side = 'items' AND i.id = o.item_id)))"""
+    rank = "row_number() OVER (PARTITION BY {0} ORDER BY ts, event_id)"
+    return f"""{name}_o AS MATERIALIZED (SELECT user_id, item_id, score, {rank.format("user_id")} AS ru, {rank.format("item_id")} AS ri FROM a WHERE user_id IS NOT NULL AND item_id IS NOT NULL AND {until}),
+{name}(side, id, k, v) USING KEY (side, id) AS (SELECT 'users' AS side, user_id AS id, CAST(0 AS BIGINT) AS k, {_START.format(k="user_id", s="users")} AS v FROM (SELECT DISTINCT user_id FROM {name}_o)
+UNION ALL SELECT 'items', item_id, 0, {_START.format(k="item_id", s="items")} FROM (SELECT DISTINCT item_id FROM {name}_o)
+UNION SELECT unnest(['users', 'items']), unnest([user_id, item_id]), unnest([ru, ri]), unnest([nu, {moved.format(a="i", b="nu")}]) FROM (SELECT *, {moved.format(a="u", b="i")} AS nu
+FROM (SELECT o.user_id, o.item_id, o.ru, o.ri, u.v AS u, i.v AS i, o.score - list_dot_product(u.v, i.v) AS e FROM (SELECT 1 FROM {name} LIMIT 1) s, recurring.{name} u JOIN {name}_o o ON u.side = 'users' AND u.id = o.user_id AND o.ru = u.k + 1
+JOIN recurring.{name} i ON i.side = 'items' AND i.id = o.item_id AND o.ri = i.k + 1)))"""
 
 
 def _why(name: str, until: str = "true") -> str:

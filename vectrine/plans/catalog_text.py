@@ -58,12 +58,16 @@ _W = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
 _SENT = r"list_filter(list_transform(string_split_regex(text, '[。！？.!?]+'), lambda s: " + _STRIP.format("s") + "), lambda s: length(s) > 0)"
 
 
-@query(f"""WITH s AS (SELECT doc_id, text, {_SENT} AS s FROM documents),
+_PROFILE = f"""s AS (SELECT doc_id, text, {_SENT} AS s FROM documents),
 l AS (SELECT *, length(s[1]) AS a, length(s[2]) AS b, length(s[3]) AS c FROM s),
 f AS (SELECT *, CASE WHEN len(s) > 0 AND a <= 200 THEN s[1] || '。' ELSE '' END AS o1 FROM l),
 g AS (SELECT *, CASE WHEN o1 <> '' AND len(s) > 1 AND length(o1) + b <= 200 THEN o1 || s[2] || '。' ELSE o1 END AS o2, o1 <> '' AND len(s) > 1 AND length(o1) + b <= 200 AS ok FROM f),
-h AS (SELECT *, CASE WHEN ok AND len(s) > 2 AND length(o2) + c <= 200 THEN o2 || s[3] || '。' ELSE o2 END AS o3 FROM g)
-SELECT doc_id, CAST(length(text) AS INTEGER) AS chars, CAST(len({_W}) AS INTEGER) AS words, CASE WHEN regexp_matches(text, '[a-zA-Z]') THEN 'en' ELSE 'unknown' END AS language, '技术' AS category, md5(CASE WHEN o3 <> '' THEN o3 WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END) AS summary FROM h""")
+h AS (SELECT *, CASE WHEN ok AND len(s) > 2 AND length(o2) + c <= 200 THEN o2 || s[3] || '。' ELSE o2 END AS o3 FROM g)"""
+_SUMMARY = "CASE WHEN o3 <> '' THEN o3 WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END"
+
+
+@query(f"""WITH {_PROFILE}
+SELECT doc_id, CAST(length(text) AS INTEGER) AS chars, CAST(len({_W}) AS INTEGER) AS words, CASE WHEN regexp_matches(text, '[a-zA-Z]') THEN 'en' ELSE 'unknown' END AS language, '技术' AS category, md5({_SUMMARY}) AS summary FROM h""")
 def text_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents hold none of the rule words, so all fall to the first category."""
     out = analytics.text_profile(docs(spark, sf_dir))
@@ -290,6 +294,34 @@ def rag_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pipe.answer(index, asked).select("query_id", F.md5("prompt").alias("prompt"), "answer", "n_sources")
 
 
+_LABELS = {"function words": "the of and to in", "articles": "der die das le la les el los", "numbers": "one two three 1 2 3"}
+_LABEL_ROWS = "(VALUES " + ", ".join(f"({i}, '{x}')" for i, x in enumerate(_LABELS.values())) + ") AS q(item_id, text)"
+_UNIT = "CASE WHEN list_dot_product({0}, {0}) = 0 THEN 0.0 ELSE list_dot_product({0}, {1}) / sqrt(list_dot_product({0}, {0})) / sqrt(list_dot_product({1}, {1})) END"
+
+
+@query(f"""WITH {_DOC_VECTORS}, {_embedded("lv", f"SELECT item_id AS id, unnest({_TOK}) AS term FROM {_LABEL_ROWS}")},
+s AS (SELECT dv.id AS doc_id, {list(_LABELS)}[lv.id + 1] AS class, lv.id AS k, {_UNIT.format("dv.v", "lv.v")} AS s FROM dv, lv)
+SELECT doc_id, class, round(s, 6) AS score, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY round(s, 9) DESC, k) AS INTEGER) AS rank FROM s""")
+def classify_zero_shot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every label's embedded text against every document's, best first; no document was labelled for it."""
+    named = spark.createDataFrame(list(enumerate(_LABELS.values())), "id long, text string")
+    known = {r["id"]: list(r["embedding"]) for r in embed.embed_table(named, "id", "text", DIMENSIONS).collect()}
+    d = embed.embed_table(docs(spark, sf_dir), "doc_id", "text", DIMENSIONS)
+    scores = F.array_sort(F.array(*[F.struct((-F.round(V.cosine(F.col("embedding"), V.literal(v)), 9)).alias("o"), F.lit(k).alias("k"), F.lit(list(_LABELS)[k]).alias("class"), V.cosine(F.col("embedding"), V.literal(v)).alias("score")) for k, v in sorted(known.items())]))
+    rows = d.select(F.col("id").alias("doc_id"), F.posexplode(scores).alias("p", "x"))
+    return rows.select("doc_id", "x.class", F.round("x.score", 6).alias("score"), (F.col("p") + 1).alias("rank"))
+
+
+@query(f"WITH {_DOC_VECTORS} SELECT a.doc_id AS a, b.doc_id AS b, a.lang AS lang_a, b.lang AS lang_b, round({_UNIT.format('x.v', 'y.v')}, 6) AS similarity FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1 AND a.lang <> b.lang JOIN dv x ON x.id = a.doc_id JOIN dv y ON y.id = b.doc_id".replace("THEN 0.0 ELSE", "OR list_dot_product(y.v, y.v) = 0 THEN 0.0 ELSE"))
+def cross_language_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The similarity of two texts of different languages: each document and the one after it."""
+    d = docs(spark, sf_dir)
+    v = written(embed.embed_table(d, "doc_id", "text", DIMENSIONS).join(d.select(F.col("doc_id").alias("id"), "lang"), "id"), "vectors")
+    side = lambda n: v.select(F.col("id").alias(n), F.col("lang").alias(f"lang_{n}"), F.col("embedding").alias(f"v_{n}"))
+    pairs = side("a").withColumn("b", F.col("a") + 1).join(side("b"), "b").where("lang_a <> lang_b")
+    return pairs.select("a", "b", "lang_a", "lang_b", F.round(V.cosine(F.col("v_a"), F.col("v_b")), 6).alias("similarity"))
+
+
 _KW = r"list_distinct(list_filter(string_split_regex(lower({}), '\s+'), lambda x: length(x) > 0))"
 
 
@@ -317,7 +349,12 @@ def engine_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return learn.cluster_results(found)
 
 
-@query()
+@query(f"""WITH {_PROFILE}, w AS (SELECT doc_id, {_W} AS w FROM documents), wu AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM w), wc AS (SELECT doc_id, word, count(*) AS n, min(pos) AS first FROM wu WHERE length(word) > 1 GROUP BY doc_id, word),
+wk AS (SELECT doc_id, list(word ORDER BY n DESC, first) AS k FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first) AS r FROM wc) WHERE r <= 5 GROUP BY doc_id), {_DOC_VECTORS},
+du AS MATERIALIZED (SELECT id, CASE WHEN list_dot_product(v, v) = 0 THEN v ELSE list_transform(v, lambda x: x / sqrt(list_dot_product(v, v))) END AS u FROM dv),
+ds AS (SELECT a.id AS doc_id, b.id AS other, row_number() OVER (PARTITION BY a.id ORDER BY round(list_dot_product(a.u, b.u), 9) DESC, b.id) AS r FROM du a JOIN du b ON a.id <> b.id), dk AS (SELECT doc_id, list(other ORDER BY r) AS sim FROM ds WHERE r <= 3 GROUP BY doc_id)
+SELECT doc_id, '{{"chars":' || length(text) || ',"words":' || len({_W}) || ',"tokens":' || CAST(floor(length(text) / 4.0) AS INTEGER) || ',"category":"技术","language":"' || CASE WHEN regexp_matches(text, '[a-zA-Z]') THEN 'en' ELSE 'unknown' END || '","summary":' || CAST(to_json({_SUMMARY}) AS VARCHAR) || coalesce(',"keywords":' || CAST(to_json(k) AS VARCHAR), '') || coalesce(',"similar":' || CAST(to_json(sim) AS VARCHAR), '') || '}}' AS report
+FROM h LEFT JOIN wk USING (doc_id) LEFT JOIN dk USING (doc_id)""")
 def report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A JSON report of each document: its profile, keywords and the three most similar documents."""
     d = docs(spark, sf_dir)

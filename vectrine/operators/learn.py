@@ -432,12 +432,6 @@ def dbscan(df: DataFrame, eps: float, min_samples: int, id_col: str = "vec_id",
 
 def within(df: DataFrame, eps: float, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(a, b) with a < b and L2 distance at most eps, by products of packed blocks."""
-    n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    blocks = search.packed(df, id_col, vector_col, 512).withColumn("k", F.pmod(F.xxhash64("ids"), F.lit(n)).cast("int"))
-    meet = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda o: F.struct(F.least("k", o).alias("i"), F.greatest("k", o).alias("j")))
-    rows = blocks.withColumn("p", F.explode(meet)).select("dim", "p.i", "p.j", "k", "ids", "data")
-    left = rows.where("k = i").select("dim", "i", "j", F.col("ids").alias("l"), F.col("data").alias("m"))
-    pairs = rows.where("k = j").join(left, ["dim", "i", "j"]).select("dim", "ids", "data", "l", "m", (F.col("i") == F.col("j")).alias("same"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -451,7 +445,7 @@ def within(df: DataFrame, eps: float, id_col: str = "vec_id", vector_col: str =
                 keep = a < b if same else a != b
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)[keep]), pa.array(np.maximum(a, b)[keep])], ["a", "b"])
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return search.block_pairs(df, id_col, vector_col).mapInArrow(run, "a long, b long")
 
 
 def _agglomerate(x: np.ndarray, size: np.ndarray, n_clusters: int) -> list[int]:

@@ -4,6 +4,9 @@ An action moves its user's and its item's vector, so each depends on the one bef
 before it of the same item. `two_sided` works through a batch in waves: items are dealt into buckets, a task goes
 through its bucket's actions in order as far as the users' vectors it needs are known, and hands a user on whose next
 action lies in another bucket. A wave is two shuffles; the result is that of acting one by one.
+
+Items that a user has in common stay in one bucket, and so on along the chain (`linked_items`): hand-overs between
+buckets would make about as many waves as a chain has actions. What is not linked is worked through side by side.
 """
 
 from __future__ import annotations
@@ -46,14 +49,16 @@ def two_sided(actions: DataFrame, users: DataFrame, items: DataFrame, rate: floa
     ordered = written(actions.select("event_id", "ts", "user_id", "item_id", "score").withColumn("n", F.monotonically_increasing_id()), "ordered")
     most = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     buckets = max(1, min(most, -(-ordered.count() // per_bucket)))
-    bucket = F.pmod(F.xxhash64("item_id"), F.lit(buckets)).cast("int")
+    bucket = F.lit(0) if buckets == 1 else F.pmod(F.xxhash64("linked"), F.lit(buckets)).cast("int")
+    links = None if buckets == 1 else linked_items(ordered)
+    dealt = lambda rows: (rows if links is None else rows.join(links, "item_id")).withColumn("b", bucket)
     w = Window.partitionBy("user_id").orderBy("ts", "event_id", "n")
-    linked = ordered.withColumn("b", bucket).withColumn("next", F.lead("n").over(w)).withColumn("next_b", F.lead("b").over(w)).withColumn("head", F.row_number().over(w) == 1)
+    linked = dealt(ordered).withColumn("next", F.lead("n").over(w)).withColumn("next_b", F.lead("b").over(w)).withColumn("head", F.row_number().over(w) == 1)
     heads = linked.where("head").join(users.select(F.col("key").alias("user_id"), F.col("vector").alias("vec")), "user_id")
     columns = [F.col(c) for c in ("b", "ts", "event_id", "n", "user_id", "item_id", "score", "next", "next_b", "vec")]
     later = linked.where("not head").withColumn("vec", F.lit(None).cast("array<double>"))
     rows = heads.select(F.lit(_ACTION).alias("kind"), *columns).unionByName(later.select(F.lit(_ACTION).alias("kind"), *columns))
-    own = items.select(F.col("key").alias("item_id"), F.col("vector").alias("vec")).withColumn("b", bucket)
+    own = dealt(items.select(F.col("key").alias("item_id"), F.col("vector").alias("vec")))
     state = rows.unionByName(own.select(F.lit(_WAITING_ITEM).alias("kind"), "b", "item_id", "vec"), allowMissingColumns=True)
     done = []
     while True:
@@ -71,6 +76,22 @@ def two_sided(actions: DataFrame, users: DataFrame, items: DataFrame, rate: floa
     return rows.select(F.when(is_user, "users").otherwise("items").alias("side"), F.when(is_user, F.col("user_id")).otherwise(F.col("item_id")).alias("key"), F.col("vec").alias("vector"))
 
 
+def linked_items(actions: DataFrame) -> DataFrame:
+    """(item_id, linked): the smallest item that each is linked with through users who acted on both, directly or along a
+    chain. Labels spread between items and users, and pointers are doubled, until nothing changes."""
+    pairs = written(actions.select("user_id", "item_id").distinct(), "pairs")
+    labels = pairs.select("item_id").distinct().withColumn("linked", F.col("item_id"))
+    while True:
+        users = pairs.join(labels, "item_id").groupBy("user_id").agg(F.min("linked").alias("low"))
+        low = pairs.join(users, "user_id").groupBy("item_id").agg(F.min("low").alias("low"))
+        moved = labels.join(low, "item_id").select("item_id", F.col("linked").alias("was"), F.least("linked", "low").alias("linked"))
+        on = moved.select(F.col("item_id").alias("linked"), F.col("linked").alias("further"))
+        now = written(moved.join(on, "linked").select("item_id", "was", F.least("linked", "further").alias("linked")), "links")
+        labels = now.select("item_id", "linked")
+        if now.where("linked <> was").isEmpty():
+            return labels
+
+
 def _wave(rate: float, decay: float):  # noqa: ANN202
     """One pass over sorted buckets: a bucket's items first, then its actions in order. An action whose user's vector is
     not known yet stops its item; all others go on."""

@@ -94,7 +94,8 @@ def linked_items(actions: DataFrame) -> DataFrame:
 
 def _wave(rate: float, decay: float):  # noqa: ANN202
     """One pass over sorted buckets: a bucket's items first, then its actions in order. An action whose user's vector is
-    not known yet stops its item; all others go on."""
+    not known yet stops its item; all others go on. Actions of a batch that share neither user nor item with one between
+    them are moved together (`_moved`)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items: dict[int, np.ndarray] = {}
@@ -113,37 +114,65 @@ def _wave(rate: float, decay: float):  # noqa: ANN202
             stopped.clear()
             return found
 
+        def act(own: dict[str, list], rows: list[int]) -> tuple[list[tuple], list[int], list]:
+            """What the actions of one bucket bring, those that stay, and their users' vectors where known."""
+            going, source, level, stay, whose = [], [], [], [], []
+            by_next: dict[int, int] = {}  # the place in `going` of the action before an action of the same user
+            last: dict[int, int] = {}
+            for r in rows:
+                item, n = own["item_id"][r], own["n"][r]
+                before = by_next.pop(n, None)
+                start = own["vec"][r] if own["vec"][r] is not None else held.pop(n, None)
+                if item in stopped or (before is None and start is None):
+                    stopped.add(item)
+                    stay.append(r)
+                    whose.append((before, start))
+                    continue
+                level.append(1 + max(last.get(item, -1), -1 if before is None else level[before]))
+                last[item] = level[-1]
+                if own["next"][r] is not None and own["next_b"][r] == at:
+                    by_next[own["next"][r]] = len(going)
+                going.append(r)
+                source.append((before, start))
+            if not going:
+                return [], stay, [None if x is None else list(x) for _, x in whose]
+            slots = {i: k for k, i in enumerate(dict.fromkeys(own["item_id"][r] for r in going))}
+            vectors = np.stack([items[i] for i in slots])
+            users = np.zeros((len(going), vectors.shape[1]))
+            for k, (_, start) in enumerate(source):
+                if start is not None:
+                    users[k] = start
+            prior = np.array([-1 if p is None else p for p, _ in source])
+            _moved(users, vectors, prior, np.array([slots[own["item_id"][r]] for r in going]), np.array([own["score"][r] for r in going]), np.array(level), rate, decay)
+            items.update((i, vectors[k]) for i, k in slots.items())
+            held.update((n, users[k].copy()) for n, k in by_next.items())
+            found = []
+            for k, r in enumerate(going):
+                nxt = own["next"][r]
+                if nxt is None:
+                    found.append((_DONE_USER, at, own["user_id"][r], None, None, users[k]))
+                elif own["next_b"][r] != at:
+                    found.append((_MESSAGE, at, own["user_id"][r], None, nxt, users[k]))
+            return found, stay, [users[p].tolist() if p is not None else None if x is None else list(x) for p, x in whose]
+
         for batch in batches:
             schema = batch.schema
             own = {f.name: batch.column(k).to_pylist() for k, f in enumerate(schema) if f.name in ("kind", "b", "n", "user_id", "item_id", "score", "next", "next_b", "vec")}
             found: list[tuple] = []
             stay, vectors = [], []
-            for r in range(batch.num_rows):
-                kind, b, item, n = own["kind"][r], own["b"][r], own["item_id"][r], own["n"][r]
-                if b != at:
+            edges = [r for r in range(batch.num_rows) if not r or own["b"][r] != own["b"][r - 1]] + [batch.num_rows]
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                if own["b"][lo] != at:
                     found += flush()
-                    at = b
-                vec = own["vec"][r]
-                if kind == _WAITING_ITEM:
-                    items[item] = np.array(vec)
-                    continue
-                user = np.array(vec) if vec is not None else held.pop(n, None)
-                if item in stopped or user is None:
-                    stopped.add(item)
-                    stay.append(r)
-                    vectors.append(None if user is None else user.tolist())
-                    continue
-                v = items[item]
-                error = own["score"][r] - float(user @ v)
-                user = user + rate * (error * v - decay * user)
-                items[item] = v + rate * (error * user - decay * v)
-                nxt, who = own["next"][r], own["user_id"][r]
-                if nxt is None:
-                    found.append((_DONE_USER, b, who, None, None, user))
-                elif own["next_b"][r] == b:
-                    held[nxt] = user
-                else:
-                    found.append((_MESSAGE, b, who, None, nxt, user))
+                    at = own["b"][lo]
+                actions = []
+                for r in range(lo, hi):
+                    if own["kind"][r] == _WAITING_ITEM:
+                        items[own["item_id"][r]] = np.array(own["vec"][r])
+                    else:
+                        actions.append(r)
+                more, left, known = act(own, actions)
+                found, stay, vectors = found + more, stay + left, vectors + known
             if stay:
                 part = batch.take(pa.array(stay))
                 yield part.set_column(schema.get_field_index("vec"), schema.field("vec"), pa.array(vectors, schema.field("vec").type))
@@ -155,6 +184,18 @@ def _wave(rate: float, decay: float):  # noqa: ANN202
     return run
 
 
+def _moved(users: np.ndarray, items: np.ndarray, prior: np.ndarray, item: np.ndarray, score: np.ndarray, level: np.ndarray, rate: float, decay: float) -> None:
+    """Moves both sides in place, level by level; no two actions of a level share a user or an item. users has a row for
+    each action, which starts as that of its prior action where there is one."""
+    order = np.argsort(level, kind="stable")
+    for k in np.split(order, np.flatnonzero(np.diff(level[order])) + 1):
+        u = np.where(prior[k, None] >= 0, users[prior[k]], users[k])
+        v = items[item[k]]
+        error = (score[k] - np.einsum("ij,ij->i", u, v))[:, None]
+        u = u + rate * (error * v - decay * u)
+        users[k], items[item[k]] = u, v + rate * (error * u - decay * v)
+
+
 class OnlineModel:
     """User and item vectors that follow a stream of actions, and recommendations renewed as users change.
 

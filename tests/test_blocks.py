@@ -2,6 +2,7 @@
 
 import pytest
 
+from vectrine import catalog
 from vectrine.operators import learn, search
 from vectrine.session import table
 
@@ -27,3 +28,9 @@ def test_grid_of_blocks(vectors):
     assert search._grid(few, blocks, 40)[0] < 10 < search._grid(few, blocks, 40)[1]
     even, wide = search._grid(blocks, blocks, 64, 1), search._grid(blocks, blocks, 64, 500)
     assert even[0] * even[1] >= 64 and wide[1] < even[1] and wide[0] * wide[1] >= 64
+
+
+def test_matrix_cells_are_not_joined(spark, sf):
+    """Three metrics of a cell were three tables, joined cell by cell."""
+    found = catalog.queries()["vec_matrix_cells"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert found.count("Join ") == 1

@@ -1,9 +1,10 @@
 """Blocks of vectors that meet: how they are dealt, and that the driver sees none of them."""
 
+import numpy as np
 import pytest
 
 from vectrine import catalog
-from vectrine.operators import learn, search
+from vectrine.operators import hierarchy, learn, search
 from vectrine.session import table
 
 
@@ -34,3 +35,28 @@ def test_matrix_cells_are_not_joined(spark, sf):
     """Three metrics of a cell were three tables, joined cell by cell."""
     found = catalog.queries()["vec_matrix_cells"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert found.count("Join ") == 1
+
+
+def test_few_blocks_are_not_copied_for_many_groups(spark):
+    """Two hundred cells for one block on each side would copy every vector up to two hundred times."""
+    df = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(20)], "vec_id long, embedding array<double>").coalesce(1)
+    blocks = search.packed(df, "vec_id", "embedding")
+    rows, columns = search._grid(blocks, blocks, 200, 90)
+    assert rows <= 2 and columns <= 2
+
+
+def test_a_chain_joins_as_the_nearest_pairs_do():
+    rng = np.random.default_rng(3)
+    x, size = rng.normal(0, 1, (90, 6)), rng.integers(1, 5, 90)
+    plain, chain = hierarchy.joins_of(x, size), hierarchy.chain_joins(x, size)
+    assert [r[:2] for r in chain] == [r[:2] for r in plain] and np.allclose([r[2] for r in chain], [r[2] for r in plain])
+    assert hierarchy.chain_joins(x[:1], size[:1]) == []
+
+
+def test_copies_are_joined_without_rounds(spark, monkeypatch):
+    """Forty copies took a round of searches each, as only two of them can be each other's nearest."""
+    rounds, knn = [], search.knn
+    monkeypatch.setattr(search, "knn", lambda *a, **k: rounds.append(1) or knn(*a, **k))
+    df = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(40)] + [(40, [5.0, 5.0])], "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["cluster"] for r in hierarchy.ward(df, 2, last=1).collect()}
+    assert len(rounds) <= 2 and {got[i] for i in range(40)} == {0} and got[40] == 1

@@ -9,8 +9,10 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,8 +22,10 @@ from vectrine.functions import vectors as V
 
 #: Hexadecimal digits of the digest that make the bucket; the next one gives the sign.
 BUCKET_DIGITS = 4
-#: Bound of a worker's memo of token digests; a full one is emptied.
-MAX_KNOWN = 500_000
+#: Bound of a worker's memo of token digests, about 20 MB; the ones asked for last are kept.
+MAX_KNOWN = 100_000
+#: Rows whose terms a worker unfolds at once.
+ROWS_AT_ONCE = 256
 
 
 def token_bucket(token: Column, dimensions: int) -> Column:
@@ -58,38 +62,63 @@ def embed_terms(forward: DataFrame, dimensions: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple[int, float]] = {}
         for batch in batches:
-            terms = batch.column(1)
-            flat = terms.flatten()
-            words, tf = flat.field(0).to_pylist(), flat.field(1).to_numpy()
-            if len(known) > MAX_KNOWN:
-                known.clear()
-            for w in set(words) - known.keys():
-                digest = hashlib.md5(w.encode()).hexdigest()
-                known[w] = int(digest[:BUCKET_DIGITS], 16) % dimensions, 1.0 if digest[BUCKET_DIGITS] < "8" else -1.0
-            place = np.array([known[w] for w in words], np.float64).reshape(-1, 2)
-            row = np.repeat(np.arange(batch.num_rows), terms.value_lengths().to_numpy())
-            out = np.zeros((batch.num_rows, dimensions))
-            np.add.at(out, (row, place[:, 0].astype(int)), place[:, 1] * tf)
-            n = np.sqrt((out * out).sum(1, keepdims=True))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(np.divide(out, n, out=out, where=n > 0)), pa.list_(pa.float64()))], ["id", "embedding"])
+            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(at, ROWS_AT_ONCE)
+                terms = part.column(1)
+                flat = terms.flatten()
+                words, tf = flat.field(0).dictionary_encode(), flat.field(1).to_numpy()
+                place = _buckets(words.dictionary.to_pylist(), dimensions)[words.indices.to_numpy()]
+                row = np.repeat(np.arange(part.num_rows), terms.value_lengths().to_numpy())
+                out = np.bincount(row * dimensions + place[:, 0], place[:, 1] * tf, part.num_rows * dimensions).reshape(-1, dimensions)
+                n = np.sqrt((out * out).sum(1, keepdims=True))
+                out = np.divide(out, n, out=out, where=n > 0)
+                vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, dimensions), pa.int32()), pa.array(out.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0), vectors], ["id", "embedding"])
 
     kind = forward.schema["doc_id"].dataType.simpleString()
     return forward.where(F.size("terms") > 0).select("doc_id", "terms").mapInArrow(run, f"id {kind}, embedding array<double>")
 
 
+def _buckets(tokens: list[str], dimensions: int) -> np.ndarray:
+    """(bucket, sign) of each token."""
+    out = np.empty((len(tokens), 2), np.int64)
+    for k, token in enumerate(tokens):
+        out[k] = _bucket(token, dimensions)
+    return out
+
+
+@lru_cache(MAX_KNOWN)
+def _bucket(token: str, dimensions: int) -> tuple[int, int]:
+    digest = hashlib.md5(token.encode()).hexdigest()
+    return int(digest[:BUCKET_DIGITS], 16) % dimensions, 1 if digest[BUCKET_DIGITS] < "8" else -1
+
+
 def vectors_of(texts: list[str], dimensions: int = 64) -> np.ndarray:
     """`hashed_embedding` of texts in Python, for steps that embed within a row."""
     out = np.zeros((len(texts), dimensions))
     for row, text in enumerate(texts):
+        own = [0] * dimensions
         for token in T.tokens_of(text):
-            digest = hashlib.md5(token.encode()).hexdigest()
-            out[row, int(digest[:BUCKET_DIGITS], 16) % dimensions] += 1.0 if digest[BUCKET_DIGITS] < "8" else -1.0
+            b, sign = _bucket(token, dimensions)
+            own[b] += sign
+        out[row] = own
     n = np.sqrt((out * out).sum(1, keepdims=True))
     return np.divide(out, n, out=out, where=n > 0)
 
 
+def hashed_in_batches(text: Column, dimensions: int) -> Column:
+    """`hashed_embedding` by batches of texts in Python, for many texts: the fold does as many steps a token as there
+    are dimensions."""
+
+    @F.pandas_udf("array<double>")
+    def embedded(texts: pd.Series) -> pd.Series:
+        parts = (vectors_of([x or "" for x in texts[at : at + 1024]], dimensions) for at in range(0, len(texts), 1024))
+        return pd.Series([v for x in parts for v in x], dtype=object).where(texts.notna().to_numpy(), None)
+
+    return embedded(text)
+
+
 @dataclass(frozen=True)
 class Provider:
     name: str

@@ -12,6 +12,7 @@ from vectrine.functions import embed
 from vectrine.functions import text as T
 from vectrine.functions import vectors as V
 from vectrine.operators import chunking, search
+from vectrine.session import written
 
 #: Characters of context a prompt holds at most, and what stands between sources.
 MAX_CONTEXT, BETWEEN = 3000, "\n\n---\n\n"
@@ -56,7 +57,7 @@ class Pipeline:
     overlap: int = 50
     dimensions: int = 64
     top_k: int = 3
-    embed: Callable[[Column, int], Column] = embed.hashed_embedding
+    embed: Callable[[Column, int], Column] = embed.hashed_in_batches
     generate: Callable[[Column, Column], Column] = extract_answer
 
     def ingest(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -68,9 +69,11 @@ class Pipeline:
 
     def retrieve(self, index: DataFrame, queries: DataFrame) -> DataFrame:
         """The top_k chunks of each (query_id, question), with 1 / (1 + squared L2) scores."""
+        index = written(index, "index")  # searched, then asked for what was found; chunks are cut and embedded once
         q = queries.select(F.col("query_id").alias("chunk_id"), self.embed(F.col("question"), self.dimensions).alias("embedding"))
         near = search.knn(q, index, self.top_k, "squared_l2", exclude_self=False, id_col="chunk_id")
-        return near.select("query_id", F.col("vec_id").alias("chunk_id"), "score").join(index.drop("embedding"), "chunk_id")
+        found = written(near.select("query_id", F.col("vec_id").alias("chunk_id"), "score"), "found")  # of known size, so chunks need not move
+        return found.join(index.drop("embedding"), "chunk_id")
 
     def answer(self, index: DataFrame, queries: DataFrame) -> DataFrame:
         """(query_id, question, answer, prompt, n_sources); a blank question or an empty index gives the refusal."""

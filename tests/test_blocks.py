@@ -1,10 +1,11 @@
 """Blocks of vectors that meet: how they are dealt, and that the driver sees none of them."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from vectrine import catalog
-from vectrine.operators import hierarchy, learn, search
+from vectrine.operators import hierarchy, learn, projection, search
 from vectrine.session import table
 
 
@@ -60,3 +61,18 @@ def test_copies_are_joined_without_rounds(spark, monkeypatch):
     df = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(40)] + [(40, [5.0, 5.0])], "vec_id long, embedding array<double>")
     got = {r["vec_id"]: r["cluster"] for r in hierarchy.ward(df, 2, last=1).collect()}
     assert len(rounds) <= 2 and {got[i] for i in range(40)} == {0} and got[40] == 1
+
+
+def test_vectors_become_a_matrix_without_python_numbers():
+    column = pa.array([[1.0, 2.0], [3.0, 4.0], [5.0, 6.0]]).slice(1)
+    assert search.matrix(column).tolist() == [[3, 4], [5, 6]]
+    x, centres = np.array([[0.0], [1.0], [9.0]]), np.array([[0.0], [10.0]])
+    assert learn._lloyd(x, search._squared(x, centres)).tolist() == [2, 1, 1, 9, 2]
+
+
+def test_a_part_of_the_map_is_one_row():
+    """What other parts read of a part are the first bytes of it."""
+    blob = projection._point_blob([np.array([3, 8]), np.array([0.5, 1.5]), np.array([2.0, 4.0])])
+    for data, each in ((blob, projection.POINT), (blob[: 2 * projection.FAR], projection.FAR)):
+        ids, y = projection._places(data, each)
+        assert ids.tolist() == [3, 8] and y.tolist() == [[0.5, 2.0], [1.5, 4.0]]

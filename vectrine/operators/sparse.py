@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +20,12 @@ from vectrine.session import spread, written
 SALTS = 16
 #: Terms of queries, counted over all of them, that are sent to every task at most; about 30 MB.
 BROADCAST_ROWS = 500_000
+#: Scores, and products that are summed to them, which a task makes at once.
+CELLS, PRODUCTS = 1 << 17, 1 << 20
+#: Rows of the best that a task holds before it puts them out.
+HELD = 1 << 20
+#: Scores this near may be the same when rounded to nine digits.
+NEAR = 2e-9
 
 
 @dataclass(frozen=True)
@@ -48,20 +55,26 @@ class SparseIndex:
         return self.forward.select("doc_id")
 
 
-def build_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> SparseIndex:
+def build_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", only: DataFrame | None = None) -> SparseIndex:
     """Tokenises every text once, counts its terms within its row, without a shuffle, and writes the result.
 
     Null texts are documents without terms; they count in the corpus. Rows that repeat an id are documents of their own.
+    With only (term), for queries that are known before, other terms are counted in dl and left out of the index; more
+    than BROADCAST_ROWS of them leave nothing out.
     """
+    wanted = only.select("term").distinct().limit(BROADCAST_ROWS + 1).toArrow()["term"].to_pylist() if only is not None else None
+    sent = df.sparkSession.sparkContext.broadcast(frozenset(wanted)) if wanted is not None and len(wanted) <= BROADCAST_ROWS else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                texts = part.column(1).to_pylist()
-                counts = [Counter(T.tokens_of(x)) if x else {} for x in texts]
+                tokens = [T.tokens_of(x) if x else [] for x in part.column(1).to_pylist()]
+                counts: list[dict[str, int]] = [Counter(x) for x in tokens]
+                if sent is not None:
+                    counts = [{t: c[t] for t in c if t in sent.value} for c in counts]
                 terms = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, counts)]), pa.int32()), pa.StructArray.from_arrays([pa.array([t for c in counts for t in c], pa.string()), pa.array([n for c in counts for n in c.values()], pa.int64())], ["term", "tf"]))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([sum(c.values()) for c in counts], pa.int32()), terms], ["doc_id", "dl", "terms"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(map(len, tokens)), pa.int32()), terms], ["doc_id", "dl", "terms"])
 
     kind = df.schema[id_col].dataType.simpleString()
     rows = spread(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")))
@@ -77,13 +90,166 @@ def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "t
     return queries.select(F.col(id_col).alias("query_id"), F.explode(T.word_tokens(F.coalesce(F.col(text_col), F.lit("")))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
 
 
+@dataclass(frozen=True)
+class _Asked:
+    """Queries as every task gets them: the ids, the terms, and of each term the places of its queries and their weights."""
+
+    queries: pa.Array
+    terms: pa.Array
+    first: np.ndarray
+    size: np.ndarray
+    place: np.ndarray
+    weight: np.ndarray
+    avgdl: float
+
+
 def bm25(index: SparseIndex, queries: DataFrame, k1: float = 1.5, b: float = 0.75, id_col: str = "query_id", text_col: str = "text") -> DataFrame:
     """(query_id, doc_id, score) of the documents that share a term with the query; all others score 0 (`filled`).
 
-    The queries' terms with their weights are a written table, of counted size. Up to BROADCAST_ROWS they go to the
-    documents, so that a document's terms are summed where it lies and only scores move; more of them meet the
-    postings by an equi-join on term and salt. Either way only postings of those terms are unfolded into rows.
+    Up to BROADCAST_ROWS terms of queries go to the documents, whose terms are summed where they lie, so that no posting
+    and no score is shuffled; more of them meet the postings by an equi-join on term and salt. Where only the best are
+    wanted, `bm25_best` lets only those leave a task.
+    """
+    found = _asked(index, queries, id_col, text_col)
+    if found is None:
+        return _joined(index, queries, k1, b, id_col, text_col)
+    asked, again = found
+    scores = _scored(index.forward, asked, queries.schema[id_col].dataType.simpleString(), None, k1, b)
+    return scores if again is None else _summed(scores)
+
+
+def bm25_best(index: SparseIndex, queries: DataFrame, k: int, k1: float = 1.5, b: float = 0.75, id_col: str = "query_id", text_col: str = "text") -> DataFrame:
+    """(query_id, doc_id, score, rank): the k best of `bm25`, as `ranked` gives them.
+
+    A task keeps each query's best over all documents it reads and puts out little more than k rows a query, not a row
+    for each query and document. Rows of an id that stands twice are summed before they are ranked.
     """
+    found = _asked(index, queries, id_col, text_col)
+    if found is None:
+        return ranked(_joined(index, queries, k1, b, id_col, text_col), k)
+    asked, again = found
+    kind = queries.schema[id_col].dataType.simpleString()
+    if again is None:
+        return ranked(_scored(index.forward, asked, kind, k, k1, b), k)
+    same = F.col("doc_id").eqNullSafe(F.col("again"))
+    once, several = (index.forward.join(again, same, how) for how in ("left_anti", "left_semi"))
+    return ranked(_scored(once, asked, kind, k, k1, b).unionByName(_summed(_scored(several, asked, kind, None, k1, b))), k)
+
+
+def _summed(scores: DataFrame) -> DataFrame:
+    return scores.groupBy("query_id", "doc_id").agg(F.sum("score").alias("score"))
+
+
+def _asked(index: SparseIndex, queries: DataFrame, id_col: str, text_col: str) -> tuple[_Asked, DataFrame | None] | None:
+    """The queries to send to every task, and the ids (again) that several rows of the index have, if there are any; none
+    where the queries have more than BROADCAST_ROWS terms."""
+    rows = query_terms(queries, id_col, text_col).limit(BROADCAST_ROWS + 1).toArrow().combine_chunks()
+    if rows.num_rows > BROADCAST_ROWS:
+        return None
+    coded = [pa.concat_arrays(rows[c].chunks or [pa.array([], rows.schema.field(c).type)]).dictionary_encode("encode") for c in ("query_id", "term")]
+    (ids, place), (terms, term) = ((x.dictionary, x.indices.to_numpy()) for x in coded)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(len(terms), np.int64)
+        for batch in batches:
+            n += np.bincount(pc.index_in(batch.column(0).flatten().field(0), terms).drop_null().to_numpy(), minlength=len(n))
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(n[at])], ["at", "n"])
+
+    by_id = index.forward.groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("dl").alias("dl"))
+    row = by_id.agg(F.sum("n").alias("n"), F.sum("dl").alias("dl"), F.count_if(F.col("n") > 1).alias("again")).first()
+    again = by_id.where("n > 1").select(F.col("doc_id").alias("again")) if row["again"] else None
+    n_docs, df = row["n"] or 0, np.zeros(len(terms), np.int64)
+    if len(terms):
+        counts = index.forward.select("terms").mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+        df[counts["at"].to_numpy()] = counts["n"].to_numpy()
+    order, size = np.argsort(term, kind="stable"), np.bincount(term, minlength=len(terms))
+    weight = rows["times"].to_numpy()[order] * np.log((n_docs - df + 0.5) / (df + 0.5) + 1)[term[order]]
+    return _Asked(ids, terms, np.cumsum(size) - size, size, place[order], weight, (row["dl"] or 0) / max(1, n_docs) or 1.0), again
+
+
+def _scored(forward: DataFrame, asked: _Asked, kind: str, k: int | None, k1: float, b: float) -> DataFrame:
+    """(query_id, doc_id, score) of each row of the index and each query that shares a term with it; with k only what may
+    be among the k best of a query. A row's products are summed in the order of the terms, so equal texts score the same."""
+    sent = forward.sparkSession.sparkContext.broadcast(asked)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q = sent.value
+        width = len(q.queries)
+        if not width:
+            return
+        bar = np.full(width, -np.inf)
+        held: tuple[np.ndarray, pa.Array, np.ndarray] | None = None
+        put = lambda c, ids, s: pa.RecordBatch.from_arrays([q.queries.take(pa.array(c)), ids, pa.array(s)], ["query_id", "doc_id", "score"])
+        for batch in batches:
+            terms = batch.column(2)
+            at = pc.index_in(terms.flatten().field(0), q.terms)
+            known = np.flatnonzero(at.is_valid().to_numpy(zero_copy_only=False))
+            at = at.drop_null().to_numpy().astype(np.int64)
+            row = np.repeat(np.arange(batch.num_rows), terms.value_lengths().to_numpy())[known]
+            order = np.argsort(row * len(q.terms) + at)
+            row, at, tf = row[order], at[order], terms.flatten().field(1).to_numpy()[known[order]]
+            part = tf * (k1 + 1) / (tf + k1 * (1 - b + b * batch.column(1).to_numpy()[row] / q.avgdl))
+            edge = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            made = np.concatenate([[0], np.cumsum(q.size[at])])[edge]
+            found, start = [], 0
+            while start < batch.num_rows:
+                end = max(start + 1, min(start + max(1, CELLS // width), int(np.searchsorted(made, made[start] + PRODUCTS, "right")) - 1, batch.num_rows))
+                own = slice(edge[start], edge[end])
+                n = q.size[at[own]]
+                if not len(n):
+                    start = end
+                    continue
+                entry = np.repeat(q.first[at[own]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                cell = np.repeat((row[own] - start) * width, n) + q.place[entry]
+                s = np.bincount(cell, q.weight[entry] * np.repeat(part[own], n), (end - start) * width)
+                seen = np.zeros(len(s), bool)
+                seen[cell] = True
+                s[~seen] = -np.inf
+                s = s.reshape(-1, width)
+                if k is not None and len(s) >= k and len(low := np.flatnonzero(np.isneginf(bar))):
+                    bar[low] = np.partition(s[:, low], len(s) - k, axis=0)[len(s) - k]
+                a, c = np.nonzero((s >= bar - NEAR) & (s > -np.inf))
+                if k is None:
+                    yield put(c, batch.column(0).take(pa.array(a + start)), s[a, c])
+                else:
+                    found.append((c, a + start, s[a, c]))
+                start = end
+            if found:
+                c, a, s = map(np.concatenate, zip(*found, strict=True))
+                ids = batch.column(0).take(pa.array(a))
+                if held is not None:
+                    c, ids, s = np.concatenate([held[0], c]), pa.concat_arrays([held[1], ids]), np.concatenate([held[2], s])
+                held = _cut(c, ids, s, k, bar)
+                if len(held[0]) > HELD:
+                    yield put(*held)
+                    held = None
+        if held is not None:
+            yield put(*held)
+
+    return forward.select("doc_id", "dl", "terms").mapInArrow(run, f"query_id {kind}, doc_id {forward.schema['doc_id'].dataType.simpleString()}, score double")
+
+
+def _cut(c: np.ndarray, ids: pa.Array, s: np.ndarray, k: int, bar: np.ndarray) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """The rows that may be among the k best of each query c: those that rounding may bring to the k-th score, of each
+    score the k smallest ids. bar is raised to the k-th scores."""
+    code = np.empty(len(s), np.int64)
+    code[pc.array_sort_indices(ids, null_placement="at_start").to_numpy()] = np.arange(len(s))
+    order = np.lexsort((code, -s, c))
+    c, s = c[order], s[order]
+    first, end = np.searchsorted(c, c), np.searchsorted(c, c, "right")
+    kth = s[np.minimum(first + k, end) - 1]
+    new = np.ones(len(s), bool)
+    new[1:] = (c[1:] != c[:-1]) | (s[1:] != s[:-1])
+    place = np.arange(len(s)) - np.flatnonzero(new)[np.cumsum(new) - 1]
+    keep = (s >= kth - NEAR) & (place < k)
+    full = end - first >= k
+    bar[c[full]] = np.maximum(bar[c[full]], kth[full])
+    return c[keep], ids.take(pa.array(order[keep])), s[keep]
+
+
+def _joined(index: SparseIndex, queries: DataFrame, k1: float, b: float, id_col: str, text_col: str) -> DataFrame:
+    """`bm25` by an equi-join of postings and the terms of many queries; only postings of those terms become rows."""
     row = index.corpus.first()
     n, avgdl = float(row["n_docs"]), float(row["avgdl"] or 0) or 1.0
     asked = query_terms(queries, id_col, text_col)
@@ -91,11 +257,8 @@ def bm25(index: SparseIndex, queries: DataFrame, k1: float = 1.5, b: float = 0.7
     weight = F.col("times") * idf(F.lit(n), F.col("df"))
     terms = written(asked.join(postings.groupBy("term").agg(F.count("*").alias("df")), "term").select("term", "query_id", weight.alias("weight")), "terms")
     part = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
-    if terms.count() <= BROADCAST_ROWS:
-        joined = index.postings.select("term", "doc_id", part.alias("part")).join(F.broadcast(terms), "term")
-    else:
-        salted = postings.select("term", "doc_id", part.alias("part"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
-        joined = salted.join(terms.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["term", "salt"])
+    salted = postings.select("term", "doc_id", part.alias("part"), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"))
+    joined = salted.join(terms.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["term", "salt"])
     return joined.groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("part")).alias("score"))
 
 

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from vectrine.functions import embed
 from vectrine.operators import sparse
 from vectrine.plans import catalog_text
 
@@ -79,3 +80,11 @@ def test_an_index_of_asked_terms_counts_the_others_in_the_length(spark):
     only = spark.createDataFrame([("c",), ("zz",)], "term string")
     got = {r["doc_id"]: (r["dl"], [tuple(t) for t in r["terms"]]) for r in sparse.build_index(df, only=only).forward.collect()}
     assert got == {1: (4, [("c", 2)]), 2: (1, [])}
+
+def test_terms_are_hashed_once_a_batch(spark, monkeypatch):
+    """Each slice of 256 rows hashed its own terms again."""
+    monkeypatch.setattr(embed, "TERMS_AT_ONCE", 7)
+    df = spark.createDataFrame([(i, f"w{i} word 检索 w{i}") for i in range(600)], "doc_id long, text string").coalesce(1)
+    got = {r["id"]: r["embedding"] for r in embed.embed_terms(sparse.build_index(df).forward, 8).collect()}
+    want = embed.vectors_of([f"w{i} word 检索 w{i}" for i in range(600)], 8)
+    assert len(got) == 600 and all(max(abs(got[i] - want[i])) < 1e-12 for i in range(600))

@@ -26,6 +26,8 @@ BUCKET_DIGITS = 4
 MAX_KNOWN = 100_000
 #: Rows whose terms a worker unfolds at once.
 ROWS_AT_ONCE = 256
+#: Different terms of a batch that a worker holds as Python objects at once.
+TERMS_AT_ONCE = 1 << 16
 
 
 def token_bucket(token: Column, dimensions: int) -> Column:
@@ -58,17 +60,19 @@ def embed_table(df: DataFrame, id_col: str, text_col: str, dimensions: int) -> D
 def embed_terms(forward: DataFrame, dimensions: int) -> DataFrame:
     """(id, embedding) of (doc_id, terms array<struct<term, tf>>): `embed_table` from terms that are counted already.
 
-    Each row is embedded by itself, without a shuffle. Rows without terms are left out.
+    Each row is embedded by itself, without a shuffle, and each term of a batch hashed once. Rows without terms are left out.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            words = batch.column(1).flatten().field(0).dictionary_encode()
+            buckets = np.concatenate([_buckets(words.dictionary.slice(at, TERMS_AT_ONCE), dimensions) for at in range(0, max(1, len(words.dictionary)), TERMS_AT_ONCE)])
+            edge = np.concatenate([[0], np.cumsum(batch.column(1).value_lengths().to_numpy())])
             for at in range(0, batch.num_rows, ROWS_AT_ONCE):
                 part = batch.slice(at, ROWS_AT_ONCE)
                 terms = part.column(1)
-                flat = terms.flatten()
-                words, tf = flat.field(0).dictionary_encode(), flat.field(1).to_numpy()
-                place = _buckets(words.dictionary.to_pylist(), dimensions)[words.indices.to_numpy()]
+                tf = terms.flatten().field(1).to_numpy()
+                place = buckets[words.indices.slice(edge[at], len(tf)).to_numpy()]
                 row = np.repeat(np.arange(part.num_rows), terms.value_lengths().to_numpy())
                 out = np.bincount(row * dimensions + place[:, 0], place[:, 1] * tf, part.num_rows * dimensions).reshape(-1, dimensions)
                 n = np.sqrt((out * out).sum(1, keepdims=True))
@@ -80,12 +84,13 @@ def embed_terms(forward: DataFrame, dimensions: int) -> DataFrame:
     return forward.where(F.size("terms") > 0).select("doc_id", "terms").mapInArrow(run, f"id {kind}, embedding array<double>")
 
 
-def _buckets(tokens: list[str], dimensions: int) -> np.ndarray:
-    """(bucket, sign) of each token."""
-    out = np.empty((len(tokens), 2), np.int64)
-    for k, token in enumerate(tokens):
-        out[k] = _bucket(token, dimensions)
-    return out
+def _buckets(tokens: pa.Array, dimensions: int) -> np.ndarray:
+    """(bucket, sign) of each token, from the bytes of all digests at once: most of a batch's different tokens are rare,
+    and no memo holds them."""
+    digests = np.frombuffer(b"".join([hashlib.md5(t).digest() for t in tokens.cast(pa.binary()).to_numpy(zero_copy_only=False)]), np.uint8).reshape(-1, 16).astype(np.int64)
+    at = BUCKET_DIGITS // 2
+    bucket = sum(digests[:, k] << 8 * (at - 1 - k) for k in range(at)) % dimensions
+    return np.stack([bucket, np.where(digests[:, at] < 128, 1, -1)], 1)
 
 
 @lru_cache(MAX_KNOWN)

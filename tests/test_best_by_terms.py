@@ -88,3 +88,13 @@ def test_terms_are_hashed_once_a_batch(spark, monkeypatch):
     got = {r["id"]: r["embedding"] for r in embed.embed_terms(sparse.build_index(df).forward, 8).collect()}
     want = embed.vectors_of([f"w{i} word 检索 w{i}" for i in range(600)], 8)
     assert len(got) == 600 and all(max(abs(got[i] - want[i])) < 1e-12 for i in range(600))
+
+
+def test_an_index_with_vectors_embeds_by_all_terms(spark):
+    df = spark.createDataFrame([*((i, f"w{i} word 检索 w{i}") for i in range(600)), (600, None), (601, "!")], "doc_id long, text string").coalesce(1)
+    only = spark.createDataFrame([("word",)], "term string")
+    index = sparse.build_index(df, only=only, dimensions=8)
+    got = {r["id"]: r["embedding"] for r in index.vectors.collect()}
+    want = {r["id"]: r["embedding"] for r in embed.embed_table(df, "doc_id", "text", 8).collect()}
+    assert got.keys() == want.keys() == set(range(600)) and all(max(abs(a - b) for a, b in zip(got[i], want[i], strict=True)) < 1e-12 for i in want)
+    assert index.postings.count() == 600

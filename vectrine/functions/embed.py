@@ -65,25 +65,31 @@ def embed_terms(forward: DataFrame, dimensions: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words = batch.column(1).flatten().field(0).dictionary_encode()
-            buckets = np.concatenate([_buckets(words.dictionary.slice(at, TERMS_AT_ONCE), dimensions) for at in range(0, max(1, len(words.dictionary)), TERMS_AT_ONCE)])
-            edge = np.concatenate([[0], np.cumsum(batch.column(1).value_lengths().to_numpy())])
-            for at in range(0, batch.num_rows, ROWS_AT_ONCE):
-                part = batch.slice(at, ROWS_AT_ONCE)
-                terms = part.column(1)
-                tf = terms.flatten().field(1).to_numpy()
-                place = buckets[words.indices.slice(edge[at], len(tf)).to_numpy()]
-                row = np.repeat(np.arange(part.num_rows), terms.value_lengths().to_numpy())
-                out = np.bincount(row * dimensions + place[:, 0], place[:, 1] * tf, part.num_rows * dimensions).reshape(-1, dimensions)
-                n = np.sqrt((out * out).sum(1, keepdims=True))
-                out = np.divide(out, n, out=out, where=n > 0)
-                vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, dimensions), pa.int32()), pa.array(out.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(0), vectors], ["id", "embedding"])
+            at = 0
+            for vectors in sums_of_terms(batch.column(1), dimensions):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(vectors)), vectors], ["id", "embedding"])
+                at += len(vectors)
 
     kind = forward.schema["doc_id"].dataType.simpleString()
     return forward.where(F.size("terms") > 0).select("doc_id", "terms").mapInArrow(run, f"id {kind}, embedding array<double>")
 
 
+def sums_of_terms(terms: pa.ListArray, dimensions: int) -> Iterator[pa.ListArray]:
+    """The embedding of each row of counted terms, by slices of ROWS_AT_ONCE rows; a row without terms has zeros."""
+    words = terms.flatten().field(0).dictionary_encode()
+    buckets = np.concatenate([_buckets(words.dictionary.slice(at, TERMS_AT_ONCE), dimensions) for at in range(0, max(1, len(words.dictionary)), TERMS_AT_ONCE)])
+    edge = np.concatenate([[0], np.cumsum(terms.value_lengths().to_numpy())])
+    for at in range(0, len(terms), ROWS_AT_ONCE):
+        part = terms.slice(at, ROWS_AT_ONCE)
+        tf = part.flatten().field(1).to_numpy()
+        place = buckets[words.indices.slice(edge[at], len(tf)).to_numpy()]
+        row = np.repeat(np.arange(len(part)), part.value_lengths().to_numpy())
+        out = np.bincount(row * dimensions + place[:, 0], place[:, 1] * tf, len(part) * dimensions).astype(float).reshape(-1, dimensions)
+        n = np.sqrt((out * out).sum(1, keepdims=True))
+        out = np.divide(out, n, out=out, where=n > 0)
+        yield pa.ListArray.from_arrays(pa.array(np.arange(0, out.size + 1, dimensions), pa.int32()), pa.array(out.ravel()))
+
+
 def _buckets(tokens: pa.Array, dimensions: int) -> np.ndarray:
     """(bucket, sign) of each token, from the bytes of all digests at once: most of a batch's different tokens are rare,
     and no memo holds them."""

@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vectrine.functions import embed
 from vectrine.functions import text as T
 from vectrine.session import spread, written
 
@@ -33,7 +34,7 @@ class SparseIndex:
     """forward: one row a document, (doc_id, dl, terms array<struct<term, tf>>), in the shared folder.
 
     Everything else is read from it: postings (doc_id, dl, term, tf), terms (term, df), corpus of one row (n_docs,
-    avgdl), and docs (doc_id). Postings that only a few terms ask for are filtered before any row moves.
+    avgdl), docs (doc_id), and vectors (id, embedding) where it was built with dimensions. Postings that only a few terms ask for are filtered before any row moves.
     """
 
     forward: DataFrame
@@ -54,31 +55,42 @@ class SparseIndex:
     def docs(self) -> DataFrame:
         return self.forward.select("doc_id")
 
+    @property
+    def vectors(self) -> DataFrame:
+        """As `embed.embed_terms` gives them; documents without terms are left out."""
+        return self.forward.where("dl > 0").select(F.col("doc_id").alias("id"), "embedding")
+
 
-def build_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", only: DataFrame | None = None) -> SparseIndex:
+def build_index(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", only: DataFrame | None = None, dimensions: int | None = None) -> SparseIndex:
     """Tokenises every text once, counts its terms within its row, without a shuffle, and writes the result.
 
     Null texts are documents without terms; they count in the corpus. Rows that repeat an id are documents of their own.
     With only (term), for queries that are known before, other terms are counted in dl and left out of the index; more
-    than BROADCAST_ROWS of them leave nothing out.
+    than BROADCAST_ROWS of them leave nothing out. With dimensions each row has its embedding by all its terms, so that
+    they need not be kept for it.
     """
     wanted = only.select("term").distinct().limit(BROADCAST_ROWS + 1).toArrow()["term"].to_pylist() if only is not None else None
     sent = df.sparkSession.sparkContext.broadcast(frozenset(wanted)) if wanted is not None and len(wanted) <= BROADCAST_ROWS else None
 
+    def counted(counts: list[dict[str, int]]) -> pa.ListArray:
+        rows = pa.StructArray.from_arrays([pa.array([t for c in counts for t in c], pa.string()), pa.array([n for c in counts for n in c.values()], pa.int64())], ["term", "tf"])
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, counts)]), pa.int32()), rows)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 tokens = [T.tokens_of(x) if x else [] for x in part.column(1).to_pylist()]
                 counts: list[dict[str, int]] = [Counter(x) for x in tokens]
+                vectors = [pa.concat_arrays(embed.sums_of_terms(counted(counts), dimensions))] if dimensions else []
                 if sent is not None:
                     counts = [{t: c[t] for t in c if t in sent.value} for c in counts]
-                terms = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, counts)]), pa.int32()), pa.StructArray.from_arrays([pa.array([t for c in counts for t in c], pa.string()), pa.array([n for c in counts for n in c.values()], pa.int64())], ["term", "tf"]))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(map(len, tokens)), pa.int32()), terms], ["doc_id", "dl", "terms"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(map(len, tokens)), pa.int32()), counted(counts), *vectors], names)
 
+    names = ["doc_id", "dl", "terms", *(["embedding"] if dimensions else [])]
     kind = df.schema[id_col].dataType.simpleString()
     rows = spread(df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")))
-    return SparseIndex(written(rows.mapInArrow(run, f"doc_id {kind}, dl int, terms array<struct<term:string,tf:bigint>>"), "index"))
+    return SparseIndex(written(rows.mapInArrow(run, f"doc_id {kind}, dl int, terms array<struct<term:string,tf:bigint>>" + (", embedding array<double>" if dimensions else "")), "index"))
 
 
 def idf(n_docs: Column, df: Column) -> Column:

@@ -47,7 +47,7 @@ def affinities(distances: np.ndarray, perplexity: float) -> np.ndarray:
 def _edges(rows: DataFrame, n: int, perplexity: float, id_col: str, vector_col: str) -> DataFrame:
     """(a, b, p) in both directions: the mean of both points' chances, over all points one in sum."""
     k = max(1, min(n - 1, int(3 * perplexity)))
-    near = search.knn(rows, rows, k, lambda q, v: -search._squared(q, v), id_col=id_col, vector_col=vector_col)
+    near = search.knn(rows, rows, k, search.NEAREST, id_col=id_col, vector_col=vector_col)
     lists = near.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("d"), "vec_id"))).alias("l"))
     lists = lists.select("query_id", F.col("l.vec_id").alias("ids"), F.col("l.d").alias("d"))
 
